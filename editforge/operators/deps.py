@@ -32,48 +32,56 @@ def _blanked(lines: DataFrame, key: str) -> DataFrame:
     return lines.select(key, "ln", F.regexp_replace("t", LITERAL_RE, "\"\"").alias("bt"))
 
 
-def block_edges(lines: DataFrame, key: str = "ok") -> DataFrame:
-    """R1 + R2 edges (key, ln, req)."""
+def _rows(lines: DataFrame, key: str) -> DataFrame:
+    """One generated row per (line, block level) and per (line, identifier).
+
+    Block rows: an opener emits one row per level it opens (``kind`` 0); every
+    line emits a row for its innermost level and, for a closer, for each level
+    it closes (``kind`` 1). Identifier rows: one per distinct identifier of the
+    line, flagged when it is the name the line declares.
+    Both share the window key ``(key, g)`` with ``g`` = ``L<level>`` or ``N<name>``.
+    """
     b = _blanked(lines, key)
     cnt = lambda ch: F.length("bt") - F.length(F.replace(F.col("bt"), F.lit(ch), F.lit("")))
     run = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     b = (b.withColumn("net", cnt("{") - cnt("}"))
          .withColumn("d_after", F.sum("net").over(run))
-         .withColumn("d_before", F.col("d_after") - F.col("net")))
-    openers = (b.where(F.col("net") > 0)
-               .select(key, F.explode(F.sequence(F.col("d_before") + 1, F.col("d_after"))).alias("level"),
-                       "ln", F.col("ln").alias("open_ln"), F.lit(0).alias("kind"), F.lit(False).alias("closes")))
-    members = (b.select(key, F.explode(F.sequence(F.least(F.col("d_after") + 1, F.col("d_before")),
-                                                  F.col("d_before"))).alias("level"),
-                        "ln", "d_after")
-               .select(key, "level", "ln", F.lit(None).cast("bigint").alias("open_ln"), F.lit(1).alias("kind"),
-                       (F.col("level") > F.col("d_after")).alias("closes")))
-    asof = Window.partitionBy(key, "level").orderBy("ln", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = (openers.unionByName(members)
-             .withColumn("o", F.last("open_ln", ignorenulls=True).over(asof))
-             .where((F.col("kind") == 1) & F.col("o").isNotNull()))
-    inner = found.select(key, "ln", F.col("o").alias("req"))
-    closer = found.where("closes").select(key, F.col("o").alias("ln"), F.col("ln").alias("req"))
-    return inner.unionByName(closer)
-
-
-def identifier_edges(lines: DataFrame, key: str = "ok") -> DataFrame:
-    """R3 edges: identifier use -> first declaring line (key, ln, req)."""
-    b = _blanked(lines, key).withColumn("decl", F.regexp_extract("bt", DECL_RE, 1))
-    decls = b.where(F.col("decl") != "").groupBy(key, F.col("decl").alias("name")).agg(F.min("ln").alias("req"))
-    uses = b.select(key, "ln", "decl", F.explode(F.array_distinct(
-        F.regexp_extract_all("bt", F.lit(IDENT_RE), 0))).alias("name")).where(F.col("name") != F.col("decl"))
-    return uses.join(decls, [key, "name"]).where(F.col("req") != F.col("ln")).select(key, "ln", "req")
-
-
-def line_dependencies(lines: DataFrame, key: str = "ok", rules=None) -> DataFrame:
-    """Distinct requirement edges (key, ln, req) with ``req != ln``."""
-    rules = rules or (block_edges, identifier_edges)
-    out = None
-    for r in rules:
-        e = r(lines, key)
-        out = e if out is None else out.unionByName(e)
-    return out.where(F.col("ln") != F.col("req")).distinct()
+         .withColumn("d_before", F.col("d_after") - F.col("net"))
+         .withColumn("decl", F.regexp_extract("bt", DECL_RE, 1)))
+    row = lambda g, kind, flag: F.struct(g.alias("g"), F.lit(kind).alias("kind"), flag.alias("flag"))
+    lvl = lambda lv: F.concat(F.lit("L"), lv.cast("string"))
+    opens = F.transform(F.sequence(F.col("d_before") + 1, F.greatest(F.col("d_after"), F.col("d_before"))),
+                        lambda lv: row(lvl(lv), 0, F.lit(False)))
+    opens = F.when(F.col("net") > 0, opens).otherwise(F.array())
+    member = F.transform(F.sequence(F.least(F.col("d_after") + 1, F.col("d_before")), F.col("d_before")),
+                         lambda lv: row(lvl(lv), 1, lv > F.col("d_after")))
+    idents = F.transform(F.array_distinct(F.regexp_extract_all("bt", F.lit(IDENT_RE), 0)),
+                         lambda nm: row(F.concat(F.lit("N"), nm), 2, nm == F.col("decl")))
+    return b.select(key, "ln", F.explode(F.concat(opens, member, idents)).alias("r")) \
+        .select(key, "ln", "r.g", "r.kind", "r.flag")
+
+
+def line_dependencies(lines: DataFrame, key: str = "ok") -> DataFrame:
+    """Distinct requirement edges (key, ln, req) with ``req != ln``.
+
+    One window pass over ``(key, g)`` ordered by line: for block rows the
+    as-of opener (``last`` opener at that level up to this row), for
+    identifier rows the first declaring line of the name.
+    """
+    r = _rows(lines, key)
+    w = Window.partitionBy(key, "g").orderBy("ln", "kind")
+    r = (r.withColumn("o", F.last(F.when(F.col("kind") == 0, F.col("ln")), ignorenulls=True)
+                      .over(w.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("first_decl", F.min(F.when((F.col("kind") == 2) & F.col("flag"), F.col("ln")))
+                     .over(Window.partitionBy(key, "g"))))
+    block_req = F.when((F.col("kind") == 1) & F.col("o").isNotNull(), F.array(
+        F.struct(F.col("ln").alias("a"), F.col("o").alias("b")),
+        F.when(F.col("flag"), F.struct(F.col("o").alias("a"), F.col("ln").alias("b")))))
+    ident_req = F.when((F.col("kind") == 2) & ~F.col("flag") & F.col("first_decl").isNotNull(),
+                       F.array(F.struct(F.col("ln").alias("a"), F.col("first_decl").alias("b"))))
+    e = r.select(key, F.explode(F.coalesce(block_req, ident_req)).alias("e")) \
+        .select(key, F.col("e.a").alias("ln"), F.col("e.b").alias("req"))
+    return e.where(F.col("req").isNotNull() & (F.col("ln") != F.col("req"))).distinct()
 
 
 def repair_closure(ranks: DataFrame, edges: DataFrame, key: str = "ok",

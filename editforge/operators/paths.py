@@ -29,6 +29,18 @@ def min_lines(lines: DataFrame, n: int = MIN_LINES, key: str = "ok") -> DataFram
     return lines.groupBy(key).agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= n)
 
 
+def eligible_lines(docs: DataFrame, n: int = MIN_LINES, key: str = "ok", code: str = "code") -> DataFrame:
+    """F1+F2 at document level, then one row per line: (key, ln, t, n_lines).
+
+    ``docs`` holds normalised texts (P5: no blank lines, joined by ``\\n``), so
+    the line count is the size of the split and no aggregate is needed.
+    """
+    arr = F.split(F.col(code), "\n", -1)
+    d = docs.where(F.col(code) != "").select(key, arr.alias("_a")).where(F.size("_a") >= n)
+    return d.select(key, F.posexplode("_a").alias("_p", "t"), F.size("_a").cast("bigint").alias("n_lines")) \
+        .select(key, (F.col("_p") + 1).cast("bigint").alias("ln"), "t", "n_lines")
+
+
 def path_fanout(docs: DataFrame, n_paths: int = PATHS_PER_DOC, seed_base: int = SEED_BASE,
                 key: str = "ok") -> DataFrame:
     """B1 (+P10): ``n_paths`` paths per document with seed ``base + key*1000 + path``."""

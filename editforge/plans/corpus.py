@@ -33,11 +33,16 @@ class PathBuild:
 
 
 def build_paths(lines: DataFrame, cap: int = P.MAX_DELETIONS, n_paths: int = P.PATHS_PER_DOC,
-                min_lines: int = P.MIN_LINES, key: str = "ok",
+                min_lines: int | None = P.MIN_LINES, key: str = "ok",
                 max_rounds: int = D.MAX_REPAIR_ROUNDS) -> PathBuild:
+    """``lines`` (key, ln, t); pass ``min_lines=None`` when F2 was applied already
+    (``paths.eligible_lines``), which avoids an aggregate and a semi-join."""
     checkpoint_dir(lines.sparkSession)
-    docs = P.min_lines(lines, min_lines, key)
-    kept = lines.join(docs.select(key), key, "left_semi").select(key, "ln", "t").checkpoint()
+    if min_lines is not None:
+        docs = P.min_lines(lines, min_lines, key)
+        lines = lines.join(docs.select(key), key, "left_semi")
+    kept = lines.select(key, "ln", "t").checkpoint()
+    docs = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_lines"))
     paths = P.path_fanout(docs, n_paths, key=key)
     ranks = P.deletion_order(kept, paths, key)
     edges = D.line_dependencies(kept, key)

@@ -168,3 +168,109 @@ ORACLE = {
                         True),
     "edit_records": _q(["steps", "lines_ok"], f"SELECT * FROM ({_records(CAP)})", True),
 }
+
+
+# ---------------------------------------------------------------- merge / clean
+from .oracle_fixtures import normalise, rstrip, strip, strip_comments, splitlines  # noqa: E402
+
+
+def _js(f):
+    return f"json_extract_string(raw, '$.{f}')"
+
+
+cte("parsed", ["raw_lines"], f"""
+  SELECT file_ord, line_no, raw,
+         CASE WHEN {strip('raw')} = '' THEN 'blank'
+              WHEN NOT json_valid(raw) THEN 'bad_json'
+              WHEN NOT starts_with({strip('raw')}, '{{') THEN 'not_object'
+              ELSE 'ok' END AS status
+  FROM raw_lines""")
+cte("recs", ["parsed"], f"""
+  SELECT file_ord, line_no, raw, {_js('contract_address')} AS contract_address, {_js('func_name')} AS func_name,
+         {_js('file_path')} AS file_path, {_js('class_code')} AS class_code, {_js('func_code')} AS func_code,
+         {_js('contract')} AS contract
+  FROM parsed WHERE status = 'ok'""")
+cte("keyed", ["recs"], f"""
+  SELECT *, CASE WHEN addr <> '' AND fn <> '' THEN 'addr:' || addr || '::fn:' || fn
+                 WHEN fp <> '' AND fn <> '' THEN 'file:' || fp || '::fn:' || fn
+                 ELSE 'codehash:' || sha256({strip("replace(coalesce(nullif(class_code, ''), nullif(func_code, ''), ''), chr(13) || chr(10), chr(10))")})
+            END AS key
+  FROM (SELECT *, lower({strip("coalesce(contract_address, '')")}) AS addr, {strip("coalesce(func_name, '')")} AS fn,
+               {strip("coalesce(file_path, '')")} AS fp FROM recs)""")
+cte("merged_first", ["keyed"], """
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY file_ord, line_no) AS rn
+                              FROM keyed) WHERE rn = 1""")
+cte("merged_last", ["keyed"], """
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY file_ord DESC, line_no DESC)
+                              AS rn FROM keyed) WHERE rn = 1""")
+_VER = "(\\d+\\.\\d+\\.\\d+)"
+cte("cleaned", ["merged_first"], f"""
+  SELECT file_ord, line_no,
+         CASE WHEN code = '' OR body = '' THEN ''
+              WHEN contains(lower(body), 'pragma solidity') THEN body
+              ELSE 'pragma solidity ^' || coalesce(nullif(regexp_extract(raw_ver, {sqlstr(_VER)}, 1), ''), '0.4.0')
+                   || ';' || chr(10) || body END AS contract,
+         CASE WHEN code = '' THEN 'no_code' WHEN body = '' THEN 'empty_after_clean' ELSE 'ok' END AS reason
+  FROM (SELECT *, {normalise(strip_comments('code'))} AS body FROM (
+          SELECT file_ord, line_no, coalesce(nullif(class_code, ''), nullif(contract, ''), '') AS code,
+                 coalesce(nullif({_js('compiler_version')}, ''), nullif({_js('original_meta.version')}, ''),
+                          nullif({_js('version')}, ''), '') AS raw_ver
+          FROM merged_first))""")
+cte("dedup", ["cleaned"], """
+  SELECT contract, arg_min(file_ord, (file_ord, line_no)) AS file_ord, arg_min(line_no, (file_ord, line_no)) AS line_no
+  FROM cleaned WHERE reason = 'ok' GROUP BY contract""")
+
+_RAW_VER = "coalesce(nullif(compiler_version, ''), nullif(original_version, ''), nullif(version, ''), '')"
+_REC = "key, file_ord, line_no, contract_address, func_name, file_path, class_code"
+
+ORACLE.update({
+    "bad_record_route": _q(["parsed"], "SELECT file_ord, line_no, status AS reason FROM parsed "
+                                       "WHERE status IN ('bad_json', 'not_object')"),
+    "reject_examples": _q(["parsed"], "SELECT file_ord || ':' || line_no AS loc FROM parsed "
+                                      "WHERE status IN ('bad_json', 'not_object') ORDER BY file_ord, line_no LIMIT 20"),
+    "code_field_coalesce": _q(["recs"], "SELECT file_ord, line_no, coalesce(nullif(class_code, ''), "
+                                        "nullif(contract, ''), '') AS code FROM recs"),
+    "version_field_fallback": _q(["meta_records"], f"SELECT id, {_RAW_VER} AS raw_ver FROM meta_records"),
+    "extract_version": _q(["meta_records"], f"SELECT id, nullif(regexp_extract({_RAW_VER}, {sqlstr(_VER)}, 1), '') "
+                                            "AS version FROM meta_records"),
+    "strip_comments": _q(["code_docs"], f"SELECT ok, {strip_comments('code')} AS code FROM code_docs"),
+    "normalise_lines": _q(["clean_docs"], "SELECT ok, code FROM clean_docs"),
+    "ensure_header": _q(["meta_records"], f"""
+  SELECT id, CASE WHEN body = '' THEN ''
+                  WHEN contains(lower(body), 'pragma solidity') THEN body
+                  ELSE 'pragma solidity ^' || coalesce(nullif(regexp_extract({_RAW_VER}, {sqlstr(_VER)}, 1), ''),
+                                                       '0.4.0') || ';' || chr(10) || body END AS contract
+  FROM (SELECT *, {normalise(strip_comments('code'))} AS body FROM meta_records)"""),
+    "code_hash": _q(["raw_records"], f"""
+  SELECT file_ord, line_no, sha256({strip("replace(class_code, chr(13) || chr(10), chr(10))")}) AS code_hash
+  FROM raw_records"""),
+    "stable_key": _q(["raw_records"], f"""
+  SELECT file_ord, line_no,
+         CASE WHEN addr <> '' AND fn <> '' THEN 'addr:' || addr || '::fn:' || fn
+              WHEN fp <> '' AND fn <> '' THEN 'file:' || fp || '::fn:' || fn
+              ELSE 'codehash:' || sha256({strip("replace(coalesce(class_code, ''), chr(13) || chr(10), chr(10))")})
+         END AS key
+  FROM (SELECT *, lower({strip("coalesce(contract_address, '')")}) AS addr, {strip("coalesce(func_name, '')")} AS fn,
+               {strip("coalesce(file_path, '')")} AS fp FROM raw_records)"""),
+    "split_lines": f"""
+  SELECT doc_id, CAST(i AS BIGINT) AS line_no, ({splitlines('text')})[i] AS line
+  FROM documents, range(1, len({splitlines('text')}) + 1) r(i)""",
+    "merge_keep_first": _q(["merged_first"], f"SELECT {_REC} FROM merged_first"),
+    "merge_keep_last": _q(["merged_last"], f"SELECT {_REC} FROM merged_last"),
+    "drop_empty": _q(["cleaned"], "SELECT file_ord, line_no FROM cleaned WHERE reason = 'ok'"),
+    "content_dedup": _q(["dedup"], "SELECT contract, file_ord, line_no FROM dedup"),
+    "merge_report": _q(["parsed", "keyed"], """
+  SELECT (SELECT count(DISTINCT file_ord) FROM parsed) AS files,
+         (SELECT count(*) FROM parsed) AS lines,
+         (SELECT count(*) FROM parsed WHERE status = 'ok') AS records_in,
+         (SELECT count(*) FROM parsed WHERE status = 'bad_json') AS bad_json,
+         (SELECT count(*) FROM parsed WHERE status = 'not_object') AS not_object,
+         (SELECT count(DISTINCT key) FROM keyed) AS records_out,
+         (SELECT count(*) FROM parsed WHERE status = 'ok') - (SELECT count(DISTINCT key) FROM keyed) AS dups"""),
+    "clean_report": _q(["cleaned"], """
+  SELECT count(DISTINCT contract) FILTER (WHERE reason = 'ok') AS kept,
+         count(*) FILTER (WHERE reason = 'ok') - count(DISTINCT contract) FILTER (WHERE reason = 'ok') AS duplicates,
+         count(*) FILTER (WHERE reason <> 'ok') AS rejected
+  FROM cleaned"""),
+    "clean_corpus": _q(["dedup"], "SELECT contract FROM dedup"),
+})

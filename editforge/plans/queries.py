@@ -10,14 +10,19 @@ from ..operators import deps as D
 from ..operators import diff as E
 from ..operators import paths as P
 from ..sources import fixtures as X
+from ..sources.tables import table as _table
 from . import corpus as C
 
 # Parameters of the registered queries (reference settings unless noted).
 CAP_SMALL = 5   # step_cap: a cap the test documents exceed, to exercise B6
 
 
+def _eligible(spark: SparkSession, sf: str):
+    return P.eligible_lines(X.clean_docs(spark, sf))
+
+
 def _pb(spark: SparkSession, sf: str, cap: int = P.MAX_DELETIONS) -> C.PathBuild:
-    return C.build_paths(X.clean_lines(spark, sf), cap=cap)
+    return C.build_paths(_eligible(spark, sf), cap=cap, min_lines=None)
 
 
 def q_min_lines(spark, sf):
@@ -25,21 +30,18 @@ def q_min_lines(spark, sf):
 
 
 def q_path_fanout(spark, sf):
-    return P.path_fanout(P.min_lines(X.clean_lines(spark, sf))).select(
-        "ok", F.col("path_id").cast("bigint").alias("path_id"), "seed")
+    docs = _eligible(spark, sf).where(F.col("ln") == 1).select("ok")
+    return P.path_fanout(docs).select("ok", F.col("path_id").cast("bigint").alias("path_id"), "seed")
 
 
 def q_deletion_order(spark, sf):
-    lines = X.clean_lines(spark, sf)
-    docs = P.min_lines(lines)
-    kept = lines.join(docs.select("ok"), "ok", "left_semi")
-    return P.deletion_order(kept, P.path_fanout(docs)).select(
+    kept = _eligible(spark, sf)
+    return P.deletion_order(kept, P.path_fanout(kept.where(F.col("ln") == 1).select("ok"))).select(
         "ok", F.col("path_id").cast("bigint").alias("path_id"), "ln", "rank")
 
 
 def q_line_dependencies(spark, sf):
-    lines = X.clean_lines(spark, sf)
-    return D.line_dependencies(lines.join(P.min_lines(lines).select("ok"), "ok", "left_semi"))
+    return D.line_dependencies(_eligible(spark, sf))
 
 
 def q_repair_closure(spark, sf):
@@ -99,3 +101,131 @@ QUERIES = {
     "edit_sequence": q_edit_sequence,
     "edit_records": q_edit_records,
 }
+
+
+# ---------------------------------------------------------------- merge / clean
+from ..operators import clean as K  # noqa: E402
+
+RECORD_COLS = ["key", "file_ord", "line_no", "contract_address", "func_name", "file_path", "class_code"]
+
+
+def _parsed(spark, sf):
+    return K.parse_records(X.raw_lines(spark, sf))
+
+
+def _merged(spark, sf, keep="first"):
+    good, _ = K.bad_record_route(X.raw_lines(spark, sf))
+    return K.merge_keep(K.merge_key(K.with_fields(good)).drop("raw"), keep)
+
+
+def q_bad_record_route(spark, sf):
+    return K.bad_record_route(X.raw_lines(spark, sf))[1]
+
+
+def q_reject_examples(spark, sf):
+    return K.reject_examples(K.bad_record_route(X.raw_lines(spark, sf))[1])
+
+
+def q_code_field_coalesce(spark, sf):
+    good, _ = K.bad_record_route(X.raw_lines(spark, sf))
+    g = K.with_fields(good)
+    return g.select("file_ord", "line_no", K.code_field(g).alias("code"))
+
+
+def _raw_ver(m):
+    return T.falsy_coalesce(F.col("compiler_version"), F.col("original_version"), F.col("version"))
+
+
+def q_version_field_fallback(spark, sf):
+    m = X.meta_records(spark, sf)
+    return m.select("id", _raw_ver(m).alias("raw_ver"))
+
+
+def q_extract_version(spark, sf):
+    m = X.meta_records(spark, sf)
+    return m.select("id", T.extract_version(_raw_ver(m)).alias("version"))
+
+
+def q_strip_comments(spark, sf):
+    return X.code_docs(spark, sf).select("ok", T.strip_comments(F.col("code")).alias("code"))
+
+
+def q_normalise_lines(spark, sf):
+    return X.clean_docs(spark, sf)
+
+
+def q_ensure_header(spark, sf):
+    m = X.meta_records(spark, sf)
+    return m.select("id", K.clean_code(F.col("code"), _raw_ver(m)).alias("contract"))
+
+
+def q_code_hash(spark, sf):
+    r = X.raw_records(spark, sf)
+    return r.select("file_ord", "line_no", T.code_hash(F.col("class_code")).alias("code_hash"))
+
+
+def q_stable_key(spark, sf):
+    r = X.raw_records(spark, sf)
+    return r.select("file_ord", "line_no", T.stable_key(F.col("contract_address"), F.col("func_name"),
+                                                        F.col("file_path"), F.col("class_code")).alias("key"))
+
+
+def q_split_lines(spark, sf):
+    d = _table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", F.posexplode(T.splitlines(F.col("text"))).alias("pos", "line")) \
+        .select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def q_merge_keep_first(spark, sf):
+    return _merged(spark, sf, "first").select(*RECORD_COLS)
+
+
+def q_merge_keep_last(spark, sf):
+    return _merged(spark, sf, "last").select(*RECORD_COLS)
+
+
+def _cleaned(spark, sf):
+    return K.clean_records(_merged(spark, sf))
+
+
+def q_drop_empty(spark, sf):
+    return _cleaned(spark, sf).where(F.col("reason") == "ok").select("file_ord", "line_no")
+
+
+def q_content_dedup(spark, sf):
+    return K.content_dedup(_cleaned(spark, sf))
+
+
+def q_merge_report(spark, sf):
+    p = K.merge_key(K.with_fields(_parsed(spark, sf)))
+    return K.merge_report(p)
+
+
+def q_clean_report(spark, sf):
+    return K.clean_report(_cleaned(spark, sf))
+
+
+def q_clean_corpus(spark, sf):
+    return K.content_dedup(_cleaned(spark, sf)).select("contract")
+
+
+QUERIES.update({
+    "bad_record_route": q_bad_record_route,
+    "reject_examples": q_reject_examples,
+    "code_field_coalesce": q_code_field_coalesce,
+    "version_field_fallback": q_version_field_fallback,
+    "extract_version": q_extract_version,
+    "strip_comments": q_strip_comments,
+    "normalise_lines": q_normalise_lines,
+    "ensure_header": q_ensure_header,
+    "code_hash": q_code_hash,
+    "stable_key": q_stable_key,
+    "split_lines": q_split_lines,
+    "merge_keep_first": q_merge_keep_first,
+    "merge_keep_last": q_merge_keep_last,
+    "drop_empty": q_drop_empty,
+    "content_dedup": q_content_dedup,
+    "merge_report": q_merge_report,
+    "clean_report": q_clean_report,
+    "clean_corpus": q_clean_corpus,
+})

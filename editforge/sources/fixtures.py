@@ -54,42 +54,57 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("file_ord", "line_no", raw.alias("raw"))
 
 
-def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ok, ln, t): one code-shaped document per order, one row per line."""
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ok, code): one code-shaped document per order.
+
+    Lines, in order: header (when ``o_orderkey % 3 <> 0``), ``contract C.. {``,
+    up to four lines per line item (items numbered by
+    ``(l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)``), ``}``.
+    Built with one aggregate over lineitem (already partitioned by order key)
+    and one join to orders.
+    """
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus",
                "l_shipdate", "l_extendedprice")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey",
-                                                 "l_shipdate", "l_extendedprice")
-    li = li.withColumn("item", F.row_number().over(w))
-    part = F.col("l_partkey").cast("string")
-    supp = F.col("l_suppkey").cast("string")
-    is_r = F.col("l_returnflag") == "R"
-    is_f = F.col("l_linestatus") == "F"
-    item_parts = F.array(
-        F.struct(F.lit(0).alias("p"), F.concat(F.lit("  uint p"), part, F.lit(" = "),
-                                               F.col("l_quantity").cast("bigint").cast("string"),
-                                               F.lit("; // "), F.col("l_returnflag")).alias("t")),
-        F.struct(F.lit(1).alias("p"), F.when(is_r, F.concat(F.lit("  string s"), supp, F.lit(' = "http://x/'),
-                                                            supp, F.lit('";'))).alias("t")),
-        F.struct(F.lit(2).alias("p"), F.when(is_f, F.concat(F.lit("  function f"), F.col("item").cast("string"),
-                                                            F.lit("() { /* "), F.col("l_returnflag"))).alias("t")),
-        F.struct(F.lit(3).alias("p"), F.when(is_f, F.concat(F.lit("  */ total += p"), part, F.lit("; }"))).alias("t")))
-    items = (li.select(F.col("l_orderkey").alias("ok"), "item", F.explode(item_parts).alias("x"))
-             .select("ok", F.lit(2).alias("sec"), (F.col("item") * 4 + F.col("x.p")).alias("sub"), F.col("x.t").alias("t")))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
+                    "l_quantity", "l_returnflag", "l_linestatus")
+    per_order = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def item_lines(x, i):
+        part = x["l_partkey"].cast("string")
+        supp = x["l_suppkey"].cast("string")
+        return F.array(
+            F.concat(F.lit("  uint p"), part, F.lit(" = "), x["l_quantity"].cast("bigint").cast("string"),
+                     F.lit("; // "), x["l_returnflag"]),
+            F.when(x["l_returnflag"] == "R", F.concat(F.lit("  string s"), supp, F.lit(' = "http://x/'),
+                                                      supp, F.lit('";'))),
+            F.when(x["l_linestatus"] == "F", F.concat(F.lit("  function f"), (i + 1).cast("string"),
+                                                      F.lit("() { /* "), x["l_returnflag"])),
+            F.when(x["l_linestatus"] == "F", F.concat(F.lit("  */ total += p"), part, F.lit("; }"))))
+
+    body = F.array_join(F.flatten(F.transform("items", item_lines)), "\n")   # nulls are skipped
+    per_order = per_order.select(F.col("l_orderkey").alias("ok"), body.alias("body"))
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     ok = F.col("o_orderkey")
-    frame = F.array(
-        F.struct(F.lit(0).alias("sec"), F.when(ok % 3 != 0, F.concat(
-            F.lit("pragma solidity ^0."), (F.lit(4) + F.col("o_custkey") % 3).cast("string"), F.lit("."),
-            (F.col("o_custkey") % 10).cast("string"), F.lit(";"))).alias("t")),
-        F.struct(F.lit(1).alias("sec"), F.concat(F.lit("contract C"), ok.cast("string"), F.lit(" {")).alias("t")),
-        F.struct(F.lit(3).alias("sec"), F.lit("}").alias("t")))
-    heads = (o.select(ok.alias("ok"), F.explode(frame).alias("x"))
-             .select("ok", F.col("x.sec").alias("sec"), F.lit(0).alias("sub"), F.col("x.t").alias("t")))
-    lines = heads.unionByName(items).where(F.col("t").isNotNull())
-    wl = Window.partitionBy("ok").orderBy("sec", "sub")
-    return lines.select("ok", F.row_number().over(wl).cast("bigint").alias("ln"), "t")
+    header = F.when(ok % 3 != 0, F.concat(
+        F.lit("pragma solidity ^0."), (F.lit(4) + F.col("o_custkey") % 3).cast("string"), F.lit("."),
+        (F.col("o_custkey") % 10).cast("string"), F.lit(";")))
+    opener = F.concat(F.lit("contract C"), ok.cast("string"), F.lit(" {"))
+    return (o.join(per_order, o.o_orderkey == per_order.ok, "left")
+            .select(ok.alias("ok"), F.concat_ws("\n", header, opener, F.nullif("body", F.lit("")), F.lit("}"))
+                    .alias("code")))
+
+
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ok, ln, t): the code documents, one row per line."""
+    return lines_of(code_docs(spark, sf_dir))
+
+
+def lines_of(docs: DataFrame, key: str = "ok", code: str = "code") -> DataFrame:
+    """(key, ln, t) from ``\\n``-joined documents (1-based line numbers)."""
+    return (docs.select(key, F.posexplode(F.split(F.col(code), "\n", -1)).alias("pos", "t"))
+            .where(F.col("t") != "")
+            .select(key, (F.col("pos") + 1).cast("bigint").alias("ln"), "t"))
 
 
 def documents_of(lines: DataFrame, key: str = "ok", ln: str = "ln", t: str = "t",
@@ -100,11 +115,6 @@ def documents_of(lines: DataFrame, key: str = "ok", ln: str = "ln", t: str = "t"
                                  lambda x: x["v"]), "\n").alias(out))
 
 
-def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ok, code): the code_lines documents as whole texts."""
-    return documents_of(code_lines(spark, sf_dir))
-
-
 def meta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, code, compiler_version, original_version, version)."""
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
@@ -118,13 +128,14 @@ def meta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(o, "id").select("id", "code", "compiler_version", "original_version", "version")
 
 
+def clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ok, code): code documents after comment stripping (P4) and line normalisation (P5)."""
+    return code_docs(spark, sf_dir).select("ok", T.normalise_lines(T.strip_comments(F.col("code"))).alias("code"))
+
+
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ok, ln, t): code_lines after comment stripping and line normalisation."""
-    docs = code_docs(spark, sf_dir)
-    clean = docs.select("ok", T.normalise_lines(T.strip_comments(F.col("code"))).alias("code"))
-    return clean.select("ok", F.posexplode(F.split("code", "\n", -1)).alias("pos", "t")) \
-        .where(F.col("t") != "") \
-        .select("ok", (F.col("pos") + 1).cast("bigint").alias("ln"), "t")
+    return lines_of(clean_docs(spark, sf_dir))
 
 
 def pragma_exprs(spark: SparkSession, sf_dir: str) -> DataFrame:
