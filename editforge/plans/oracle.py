@@ -274,3 +274,95 @@ ORACLE.update({
   FROM cleaned"""),
     "clean_corpus": _q(["dedup"], "SELECT contract FROM dedup"),
 })
+
+
+# ---------------------------------------------------------------- diagnostics / versions
+cte("diag_x", ["diagnostics"], f"""
+  SELECT doc, pos, starts_with(s, 'Error:') AS hdr,
+         CAST(nullif(regexp_extract(s, '^--> \\S+:(\\d+):\\d+:', 1), '') AS BIGINT) AS loc,
+         CAST(nullif(regexp_extract(s, ':(\\d+):\\d+: Error:', 1), '') AS BIGINT) AS inl
+  FROM (SELECT doc, pos, {strip('t')} AS s FROM diagnostics)""")
+cte("l1", ["diag_x"], """
+  SELECT doc, pos, hdr, CASE WHEN hdr THEN ahead ELSE inl END AS line_no FROM (
+    SELECT *, first_value(loc IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos
+                ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead FROM diag_x)
+  WHERE hdr OR inl IS NOT NULL""")
+cte("doc_lines", ["clean_lines", "diagnostics"], """
+  SELECT ok AS doc, ln, t FROM clean_lines WHERE ok IN (SELECT doc FROM diagnostics)""")
+cte("l2", ["l1", "clean_lines"], """
+  SELECT DISTINCT doc, line_no FROM (
+    SELECT e.doc, CASE WHEN e.line_no IS NOT NULL THEN e.line_no
+                       WHEN c.n_lines > 0 THEN 1 + (('0x' || substr(md5(e.doc || ':' || e.pos), 1, 8))::BIGINT % c.n_lines)
+                  END AS line_no
+    FROM l1 e LEFT JOIN (SELECT ok AS doc, count(*) AS n_lines FROM clean_lines GROUP BY ok) c ON c.doc = e.doc)
+  WHERE line_no IS NOT NULL""")
+
+
+def _bounds_sql(compat):
+    src = "expr" if compat else "regexp_replace(expr, '(>=|<=|>|<|=)\\s+', '\\1', 'g')"
+    lower_ops = "('>=', '>')" if compat else "('=', '>=', '>')"
+    caret, bare, op = r"^\^(\d+)\.(\d+)\.(\d+)", r"^(\d+)\.(\d+)\.(\d+)$", r"^(>=|<=|>|<|=)(\d+)\.(\d+)\.(\d+)"
+    g = lambda pat, i: f"CAST(regexp_extract(tok, {sqlstr(pat)}, {i}) AS INTEGER)"
+    return f"""
+  WITH toks AS (
+    SELECT expr, CAST(i - 1 AS BIGINT) AS tok_no, arr[i] AS tok
+    FROM (SELECT expr, regexp_split_to_array({strip(src)}, '\\s+') AS arr
+          FROM (SELECT DISTINCT expr FROM pragma_exprs WHERE expr IS NOT NULL)), range(1, len(arr) + 1) r(i))
+  SELECT expr, tok_no, 'lower' AS side, '>=' AS op, {g(caret, 1)} AS major, {g(caret, 2)} AS minor, {g(caret, 3)} AS patch
+  FROM toks WHERE regexp_matches(tok, {sqlstr(caret)})
+  UNION ALL
+  SELECT expr, tok_no, 'upper', '<', {g(caret, 1)}, {g(caret, 2)} + 1, 0 FROM toks WHERE regexp_matches(tok, {sqlstr(caret)})
+  UNION ALL
+  SELECT expr, tok_no, 'lower', '=', {g(bare, 1)}, {g(bare, 2)}, {g(bare, 3)} FROM toks
+  WHERE regexp_matches(tok, {sqlstr(bare)})
+  UNION ALL
+  SELECT expr, tok_no, CASE WHEN regexp_extract(tok, {sqlstr(op)}, 1) IN {lower_ops} THEN 'lower' ELSE 'upper' END,
+         regexp_extract(tok, {sqlstr(op)}, 1), {g(op, 2)}, {g(op, 3)}, {g(op, 4)}
+  FROM toks WHERE regexp_matches(tok, {sqlstr(op)}) AND NOT regexp_matches(tok, {sqlstr(caret)})"""
+
+
+def _resolve_sql(compat):
+    skip = "WHERE NOT (side = 'upper' AND op = '=')" if compat else ""
+    return f"""
+  WITH b AS (SELECT *, major * 1000000 + minor * 1000 + patch AS n FROM ({_bounds_sql(compat)}) {skip}),
+  cat AS (SELECT major * 1000000 + minor * 1000 + patch AS n FROM versions),
+  sat AS (SELECT b.expr, c.n, count(*) AS k FROM b JOIN cat c ON
+            CASE b.op WHEN '>=' THEN c.n >= b.n WHEN '>' THEN c.n > b.n WHEN '=' THEN c.n = b.n
+                      WHEN '<=' THEN c.n <= b.n WHEN '<' THEN c.n < b.n END
+          GROUP BY b.expr, c.n),
+  best AS (SELECT s.expr, max(s.n) AS n FROM sat s JOIN (SELECT expr, count(*) AS nb FROM b GROUP BY expr) t
+           ON t.expr = s.expr WHERE s.k = t.nb GROUP BY s.expr),
+  res AS (SELECT p.id, coalesce(best.n, (SELECT max(n) FROM cat)) AS n FROM pragma_exprs p
+          LEFT JOIN best ON best.expr = p.expr)
+  SELECT id, (n // 1000000) || '.' || ((n // 1000) % 1000) || '.' || (n % 1000) AS version FROM res"""
+
+
+ORACLE.update({
+    "error_line_extract": _q(["l1"], "SELECT DISTINCT doc, line_no FROM l1 WHERE line_no IS NOT NULL"),
+    "error_line_fallback": _q(["l2"], "SELECT doc, line_no FROM l2"),
+    "error_context": _q(["l2", "doc_lines"], """
+  SELECT doc, ln, CASE WHEN is_err = 1 THEN '>>' ELSE '  ' END AS marker, t FROM (
+    SELECT *, max(is_err) OVER (PARTITION BY doc ORDER BY ln RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near,
+              max(is_err) OVER (PARTITION BY doc) AS any_err
+    FROM (SELECT l.*, CASE WHEN e.doc IS NULL THEN 0 ELSE 1 END AS is_err
+          FROM doc_lines l LEFT JOIN l2 e ON e.doc = l.doc AND e.line_no = l.ln))
+  WHERE near = 1 OR (any_err = 0 AND ln <= 10)"""),
+    "repair_by_error_lines": _q(["l2", "doc_lines"], """
+  SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY ln) AS ln, ln AS old_ln, t FROM doc_lines l
+  WHERE NOT EXISTS (SELECT 1 FROM l2 e WHERE e.doc = l.doc AND e.line_no = l.ln)
+    AND NOT (l.doc IN (SELECT doc FROM l2)
+             AND NOT EXISTS (SELECT 1 FROM l2 e JOIN doc_lines x ON x.doc = e.doc AND x.ln = e.line_no
+                             WHERE e.doc = l.doc)
+             AND l.ln = (SELECT max(ln) FROM doc_lines x WHERE x.doc = l.doc))"""),
+    "pragma_extract": _q(["code_docs"], f"""
+  SELECT ok, nullif({strip("regexp_extract(code, '(?i)pragma\\s+solidity\\s+([^;]+);', 1)")}, '') AS expr
+  FROM code_docs"""),
+    "version_bounds": _q(["pragma_exprs"], f"""
+  SELECT p.id, b.tok_no, b.side, b.op, b.major, b.minor, b.patch FROM pragma_exprs p
+  JOIN ({_bounds_sql(False)}) b ON b.expr = p.expr"""),
+    "version_bounds_compat": _q(["pragma_exprs"], f"""
+  SELECT p.id, b.tok_no, b.side, b.op, b.major, b.minor, b.patch FROM pragma_exprs p
+  JOIN ({_bounds_sql(True)}) b ON b.expr = p.expr"""),
+    "resolve_version": _q(["pragma_exprs", "versions"], f"SELECT * FROM ({_resolve_sql(False)})"),
+    "resolve_version_compat": _q(["pragma_exprs", "versions"], f"SELECT * FROM ({_resolve_sql(True)})"),
+})

@@ -229,3 +229,67 @@ QUERIES.update({
     "clean_report": q_clean_report,
     "clean_corpus": q_clean_corpus,
 })
+
+
+# ---------------------------------------------------------------- diagnostics / versions
+from ..operators import diagnostics as G  # noqa: E402
+from ..operators import versions as V  # noqa: E402
+
+
+def _diag_lines(spark, sf):
+    """Clean code lines of the documents named by the diagnostics (doc = order key)."""
+    docs = X.diagnostics(spark, sf).select("doc").distinct()
+    lines = X.clean_lines(spark, sf).withColumnRenamed("ok", "doc")
+    return lines.join(docs, "doc", "left_semi")
+
+
+def _errors(spark, sf):
+    errs = G.error_lines(X.diagnostics(spark, sf))
+    counts = X.clean_lines(spark, sf).groupBy(F.col("ok").alias("doc")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return G.error_line_fallback(errs, counts)
+
+
+def q_error_line_extract(spark, sf):
+    return G.error_lines(X.diagnostics(spark, sf)).where(F.col("line_no").isNotNull()) \
+        .select("doc", "line_no").distinct()
+
+
+def q_error_line_fallback(spark, sf):
+    return _errors(spark, sf)
+
+
+def q_error_context(spark, sf):
+    return G.error_context(_diag_lines(spark, sf), _errors(spark, sf))
+
+
+def q_repair_by_error_lines(spark, sf):
+    errs = _errors(spark, sf).select("doc", F.col("line_no").alias("ln"))
+    return D.repair_by_error_lines(_diag_lines(spark, sf), errs, key="doc")
+
+
+def q_pragma_extract(spark, sf):
+    return X.code_docs(spark, sf).select("ok", V.pragma_expr(F.col("code")).alias("expr"))
+
+
+def _bounds(spark, sf, compat):
+    e = X.pragma_exprs(spark, sf)
+    return e.join(V.version_bounds(e, compat), "expr").select("id", "tok_no", "side", "op", "major", "minor", "patch")
+
+
+def _resolved(spark, sf, compat):
+    e = X.pragma_exprs(spark, sf)
+    r = V.resolve_version(e, X.versions(spark), compat)
+    return e.join(r, e["expr"].eqNullSafe(r["expr"])).select("id", "version")
+
+
+QUERIES.update({
+    "error_line_extract": q_error_line_extract,
+    "error_line_fallback": q_error_line_fallback,
+    "error_context": q_error_context,
+    "repair_by_error_lines": q_repair_by_error_lines,
+    "pragma_extract": q_pragma_extract,
+    "version_bounds": lambda spark, sf: _bounds(spark, sf, False),
+    "version_bounds_compat": lambda spark, sf: _bounds(spark, sf, True),
+    "resolve_version": lambda spark, sf: _resolved(spark, sf, False),
+    "resolve_version_compat": lambda spark, sf: _resolved(spark, sf, True),
+})
