@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import deps as D
 from ..operators import diff as E
 from ..operators import paths as P
@@ -65,7 +66,7 @@ def status_route(all_docs: DataFrame, pb: PathBuild, key: str = "ok") -> DataFra
 
     ``all_docs`` is (key, code). ``n_paths`` counts the paths produced.
     """
-    n_lines = F.size(F.split(F.col("code"), "\n", -1))
+    n_lines = T.line_count(F.col("code"))
     produced = pb.steps.select(key, "path_id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_paths"))
     d = all_docs.join(produced, key, "left")
     status = (F.when(F.col("code") == "", F.lit("empty_code"))

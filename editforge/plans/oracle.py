@@ -366,3 +366,154 @@ ORACLE.update({
     "resolve_version": _q(["pragma_exprs", "versions"], f"SELECT * FROM ({_resolve_sql(False)})"),
     "resolve_version_compat": _q(["pragma_exprs", "versions"], f"SELECT * FROM ({_resolve_sql(True)})"),
 })
+
+
+# ---------------------------------------------------------------- SFT, reports, sampling, I/O
+from ..operators.sft import SYSTEM_PROMPT, USER_PREFIX, USER_SUFFIX  # noqa: E402
+
+_ELIG = f"SELECT * FROM ({_records(CAP)}) WHERE original_line_no IS NOT NULL AND length(final_code) >= 20"
+_ONCE = f"""SELECT original_line_no, arg_min(path_id, path_id) AS path_id, arg_min(final_code, path_id) AS final_code
+  FROM ({_ELIG}) GROUP BY original_line_no"""
+_SFT = f"""SELECT e.*, {strip('r.instruction')} AS instruction FROM ({_ELIG}) e
+  JOIN responses r ON r.original_line_no = e.original_line_no"""
+
+
+def _edit_set(src):
+    return (f"SELECT original_line_no, path_id, steps_count, instruction, '' AS input, edit_sequence AS output "
+            f"FROM ({src})")
+
+
+def _states(cap):
+    return f"""
+  SELECT st.ok, st.path_id, st.state,
+         coalesce(string_agg(l.t, chr(10) ORDER BY l.ln) FILTER (WHERE s.ln IS NOT NULL), '') AS code
+  FROM (SELECT DISTINCT ok, path_id, CAST(k AS BIGINT) AS state FROM ({_capped(cap)}), range(0, m + 1) r(k)) st
+  LEFT JOIN ({_capped(cap)}) s ON s.ok = st.ok AND s.path_id = st.path_id AND s.step > st.state
+  LEFT JOIN lines_ok l ON l.ok = s.ok AND l.ln = s.ln
+  GROUP BY st.ok, st.path_id, st.state"""
+
+
+_STATUS = f"""
+  SELECT d.ok, CASE WHEN d.code = '' THEN 'empty_code'
+                    WHEN len({splitlines('d.code')}) < 6 THEN 'skipped_too_short'
+                    WHEN p.n IS NULL THEN 'failed_logic' ELSE 'success' END AS status,
+         coalesce(p.n, 0) AS n_paths
+  FROM clean_docs d LEFT JOIN (SELECT ok, count(DISTINCT path_id) AS n FROM steps GROUP BY ok) p ON p.ok = d.ok"""
+_CLOSE = "CASE WHEN coalesce({0}, '') = '' THEN '' ELSE {0} || chr(10) END"
+
+_Z2 = {
+    "z2_docs": (["meta_records"], f"""
+  SELECT min(id) AS ok, contract AS code FROM (
+    SELECT id, CASE WHEN body = '' THEN ''
+                    WHEN contains(lower(body), 'pragma solidity') THEN body
+                    ELSE 'pragma solidity ^' || coalesce(nullif(regexp_extract({_RAW_VER}, {sqlstr(_VER)}, 1), ''),
+                                                         '0.4.0') || ';' || chr(10) || body END AS contract
+    FROM (SELECT *, {normalise(strip_comments('code'))} AS body FROM meta_records))
+  WHERE contract <> '' GROUP BY contract"""),
+    "z2_lines": (["z2_docs"], """
+  SELECT ok, CAST(i AS BIGINT) AS ln, string_split(code, chr(10))[i] AS t
+  FROM z2_docs, range(1, len(string_split(code, chr(10))) + 1) r(i)"""),
+    "docs_ok": (["z2_lines"], "SELECT ok, count(*) AS n_lines FROM z2_lines GROUP BY ok HAVING count(*) >= 6"),
+    "lines_ok": (["z2_lines", "docs_ok"], "SELECT ok, ln, t FROM z2_lines WHERE ok IN (SELECT ok FROM docs_ok)"),
+}
+
+
+def _qz(body):
+    return with_ctes(["steps", "lines_ok", "responses"], body, extra=_Z2).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_PBJ = """
+  SELECT ok AS original_line_no,
+         to_json(list({{'path_id': path_id, 'initial_code': initial_code, 'final_code': final_code,
+                       'valid_snapshots': valid_snapshots, 'total_steps': total_steps}} ORDER BY path_id)) AS json
+  FROM (SELECT s.ok, s.path_id, m.initial_code, m.final_code, m.total_steps,
+               list(s.code ORDER BY s.state) AS valid_snapshots
+        FROM ({states}) s JOIN ({summary}) m ON m.ok = s.ok AND m.path_id = s.path_id
+        GROUP BY s.ok, s.path_id, m.initial_code, m.final_code, m.total_steps)
+  GROUP BY ok"""
+
+ORACLE.update({
+    "instruct_eligible": _q(["steps", "lines_ok"], f"SELECT original_line_no, path_id FROM ({_ELIG})", True),
+    "instruction_once": _q(["steps", "lines_ok"], _ONCE, True),
+    "prompt_table": _q(["steps", "lines_ok"], f"""
+  SELECT original_line_no,
+         to_json([{{'role': 'system', 'content': {sqlstr(SYSTEM_PROMPT)}}},
+                  {{'role': 'user', 'content': {sqlstr(USER_PREFIX)} || substr(final_code, 1, 4096)
+                                               || {sqlstr(USER_SUFFIX)}}}]) AS messages
+  FROM ({_ONCE})""", True),
+    "attach_instruction": _q(["steps", "lines_ok", "responses"],
+                             f"SELECT original_line_no, path_id, instruction FROM ({_SFT})", True),
+    "sft_edit_set": _q(["steps", "lines_ok", "responses"], _edit_set(_SFT), True),
+    "sft_control_set": _q(["steps", "lines_ok", "responses"], f"""
+  SELECT original_line_no, path_id, instruction, '' AS input, final_code AS output FROM ({_SFT})""", True),
+    "dual_sink": _q(["steps", "lines_ok", "responses"],
+                    f"SELECT count(*) AS n_edit, count(*) AS n_control, 0 AS key_sym_diff FROM ({_SFT})", True),
+    "instruct_report": _q(["steps", "lines_ok"], f"""
+  SELECT count(DISTINCT original_line_no) AS unique_contracts, count(DISTINCT original_line_no) AS calls,
+         count(*) - count(DISTINCT original_line_no) AS cache_hits FROM ({_ELIG})""", True),
+    "first_n_contracts": _q(["steps", "lines_ok"], f"""
+  SELECT original_line_no, path_id FROM (
+    SELECT *, dense_rank() OVER (ORDER BY original_line_no) AS c FROM ({_records(CAP)})) WHERE c <= 1000""", True),
+    "sample_exact": _q(["raw_records"], """
+  SELECT file_ord, line_no FROM raw_records
+  ORDER BY md5('42:' || file_ord || ':' || line_no), file_ord, line_no LIMIT 25"""),
+    "first_n_valid": _q(["cleaned"], "SELECT file_ord, line_no FROM cleaned WHERE reason = 'ok' "
+                                     "ORDER BY file_ord, line_no LIMIT 5"),
+    "changed_only": _q(["steps", "lines_ok"], f"""
+  SELECT q.ok, q.path_id, q.steps_count FROM ({_seqs(CAP)}) q JOIN ({_summary(CAP)}) m
+    ON m.ok = q.ok AND m.path_id = q.path_id WHERE q.steps_count > 0 AND m.total_steps >= 1""", True),
+    "status_route": _q(["steps", "lines_ok", "clean_docs"], _STATUS, True),
+    "status_report": _q(["steps", "lines_ok", "clean_docs"], f"""
+  SELECT k.status, coalesce(a.n_docs, 0) AS n_docs, coalesce(a.n_paths, 0) AS n_paths
+  FROM (VALUES ('success'), ('skipped_too_short'), ('failed_logic'), ('empty_code'), ('error')) k(status)
+  LEFT JOIN (SELECT status, count(*) AS n_docs, sum(n_paths) AS n_paths FROM ({_STATUS}) GROUP BY status) a
+    ON a.status = k.status""", True),
+    "diff_report": _q(["steps", "lines_ok"], f"""
+  SELECT t.n AS total, r.n AS processed, t.n - r.n AS skipped, 0 AS errors
+  FROM (SELECT count(*) AS n FROM (SELECT DISTINCT ok, path_id FROM steps)) t,
+       (SELECT count(*) AS n FROM ({_records(CAP)})) r""", True),
+    "adjacent_pairs": _q(["steps", "lines_ok"], f"""SELECT * FROM (
+  WITH st AS ({_states(CAP)}), mx AS (SELECT ok, path_id, max(state) AS m FROM st GROUP BY ok, path_id)
+  SELECT c.ok, c.path_id, mx.m - c.state AS fwd,
+         length({_CLOSE.format('p.code')}) AS prev_len, md5({_CLOSE.format('p.code')}) AS prev_md5,
+         length({_CLOSE.format('c.code')}) AS curr_len, md5({_CLOSE.format('c.code')}) AS curr_md5
+  FROM st c JOIN mx ON mx.ok = c.ok AND mx.path_id = c.path_id
+  JOIN st p ON p.ok = c.ok AND p.path_id = c.path_id AND p.state = c.state + 1)""", True),
+    "consecutive_dedup": _q(["steps", "lines_ok"], f"""
+  SELECT ok, path_id, state FROM (
+    SELECT *, lag(code) OVER (PARTITION BY ok, path_id ORDER BY state) AS prev FROM ({_states(CAP)}))
+  WHERE prev IS NULL OR prev <> code""", True),
+    "edit_sequence_tagged": _q(["steps", "lines_ok"], f"""
+  SELECT p.ok AS original_line_no, coalesce(q.edit_sequence, '') AS edit_sequence
+  FROM (SELECT DISTINCT ok, path_id FROM steps WHERE total_steps >= 1) p
+  LEFT JOIN ({_seqs(CAP, "chr(10) || '<|next_edit|>' || chr(10)")}) q ON q.ok = p.ok AND q.path_id = p.path_id""",
+                               True),
+    "snapshot_validity": _q(["steps", "edges"], f"""SELECT * FROM (
+  WITH s AS ({_capped(CAP)}),
+  st AS (SELECT DISTINCT ok, path_id, CAST(k AS BIGINT) AS state FROM s, range(0, m + 1) r(k)),
+  sz AS (SELECT st.ok, st.path_id, st.state, count(*) AS n_lines FROM st JOIN s
+           ON s.ok = st.ok AND s.path_id = st.path_id AND s.step > st.state GROUP BY ALL),
+  vi AS (SELECT st.ok, st.path_id, st.state, count(DISTINCT s.ln) AS violations FROM st
+           JOIN s ON s.ok = st.ok AND s.path_id = st.path_id AND s.step > st.state
+           JOIN edges e ON e.ok = s.ok AND e.ln = s.ln
+           JOIN s r ON r.ok = s.ok AND r.path_id = s.path_id AND r.ln = e.req AND r.step <= st.state
+         GROUP BY ALL)
+  SELECT st.ok, st.path_id, st.state, coalesce(sz.n_lines, 0) AS n_lines, coalesce(vi.violations, 0) AS violations
+  FROM st LEFT JOIN sz USING (ok, path_id, state) LEFT JOIN vi USING (ok, path_id, state))""", True),
+    "edit_corpus": _qz(f"SELECT * FROM ({_records(CAP)})"),
+    "sft_corpus": _qz(_edit_set(f"""SELECT e.*, {strip('r.instruction')} AS instruction FROM ({_ELIG}) e
+  JOIN responses r ON r.original_line_no = e.original_line_no""")),
+    "jsonl_scan": _q(["raw_lines"], f"SELECT file_ord, line_no, raw FROM raw_lines WHERE {strip('raw')} <> ''"),
+    "line_subset": _q(["raw_lines"], """
+  SELECT k.file_ord, k.line_no, CASE WHEN r.raw IS NULL THEN 'absent' WHEN json_valid(r.raw) THEN 'found'
+                                     ELSE 'malformed' END AS status
+  FROM (SELECT DISTINCT doc_id % 3 AS file_ord, doc_id % 500 + 1 AS line_no FROM labels) k
+  LEFT JOIN raw_lines r ON r.file_ord = k.file_ord AND r.line_no = k.line_no"""),
+    "jsonl_write": _q(["raw_records"], """
+  SELECT to_json({'file_ord': file_ord, 'line_no': line_no, 'contract_address': contract_address,
+                  'func_name': func_name, 'file_path': file_path}) AS json FROM raw_records"""),
+    "path_bundle": _q(["steps", "lines_ok"], _PBJ.format(states=_states(CAP), summary=_summary(CAP)), True),
+    "resume_append": _q(["done_keys"], """
+  SELECT o_orderkey AS original_line_no FROM orders
+  WHERE o_orderkey NOT IN (SELECT original_line_no FROM done_keys)"""),
+})

@@ -293,3 +293,212 @@ QUERIES.update({
     "resolve_version": lambda spark, sf: _resolved(spark, sf, False),
     "resolve_version_compat": lambda spark, sf: _resolved(spark, sf, True),
 })
+
+
+# ---------------------------------------------------------------- SFT, reports, sampling, I/O
+from ..operators import sft as S  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import jsonl as J  # noqa: E402
+from ..streaming import resume as R  # noqa: E402
+
+SAMPLE_N, SAMPLE_SEED = 25, 42
+FIRST_VALID_N = 5
+FIRST_CONTRACTS_N = 1000
+
+
+def _records(spark, sf):
+    return C.edit_records(_pb(spark, sf)).withColumn("path_id", F.col("path_id").cast("bigint"))
+
+
+def q_instruct_eligible(spark, sf):
+    return S.instruct_eligible(_records(spark, sf)).select("original_line_no", "path_id")
+
+
+def q_instruction_once(spark, sf):
+    return S.instruction_once(S.instruct_eligible(_records(spark, sf)))
+
+
+def q_prompt_table(spark, sf):
+    return S.prompt_table(_records(spark, sf))
+
+
+def _sft(spark, sf):
+    return S.attach_instruction(_records(spark, sf), X.responses(spark, sf))
+
+
+def q_attach_instruction(spark, sf):
+    return _sft(spark, sf).select("original_line_no", "path_id", "instruction")
+
+
+def q_sft_edit_set(spark, sf):
+    return S.sft_edit_set(_sft(spark, sf))
+
+
+def q_sft_control_set(spark, sf):
+    return S.sft_control_set(_sft(spark, sf))
+
+
+def q_dual_sink(spark, sf):
+    base = scratch_path(spark, "dual_sink")
+    return S.dual_sink(_sft(spark, sf), base + "/edit", base + "/control")
+
+
+def q_instruct_report(spark, sf):
+    return S.instruct_report(_records(spark, sf))
+
+
+def q_first_n_contracts(spark, sf):
+    r = _records(spark, sf)
+    return S.first_n_contracts(r, FIRST_CONTRACTS_N, ["original_line_no", "path_id"]).select(
+        "original_line_no", "path_id")
+
+
+def q_sample_exact(spark, sf):
+    return S.sample_exact(X.raw_records(spark, sf), SAMPLE_N, SAMPLE_SEED, "file_ord", "line_no").select(
+        "file_ord", "line_no")
+
+
+def q_first_n_valid(spark, sf):
+    c = _cleaned(spark, sf).where(F.col("reason") == "ok")
+    return S.first_n_valid(c, FIRST_VALID_N, "file_ord", "line_no").select("file_ord", "line_no")
+
+
+def q_changed_only(spark, sf):
+    pb = _pb(spark, sf)
+    seqs = E.edit_sequence(E.diff_hunks(pb.steps, pb.lines, pb.cap))
+    summ = P.path_summary(pb.steps, pb.lines, pb.cap).where(F.col("total_steps") >= 1)
+    return seqs.where(F.col("steps_count") > 0).join(summ, ["ok", "path_id"]).select(
+        "ok", F.col("path_id").cast("bigint").alias("path_id"), "steps_count")
+
+
+def q_status_route(spark, sf):
+    docs = X.clean_docs(spark, sf)
+    pb = C.build_paths(P.eligible_lines(docs), min_lines=None)
+    return C.status_route(docs, pb)
+
+
+def q_status_report(spark, sf):
+    return S.status_report(spark, q_status_route(spark, sf))
+
+
+def q_diff_report(spark, sf):
+    pb = _pb(spark, sf)
+    total = pb.steps.select("ok", "path_id").distinct()
+    done = C.edit_records(pb).select(F.col("original_line_no").alias("ok"), "path_id").withColumn("_d", F.lit(1))
+    j = total.join(done, ["ok", "path_id"], "left")
+    return j.agg(F.count(F.lit(1)).alias("total"), F.count("_d").alias("processed"),
+                 F.count_if(F.col("_d").isNull()).alias("skipped"), F.lit(0).cast("bigint").alias("errors"))
+
+
+def q_adjacent_pairs(spark, sf):
+    pb = _pb(spark, sf)
+    p = E.adjacent_pairs(P.snapshots(pb.steps, pb.lines, pb.cap))
+    return p.select("ok", F.col("path_id").cast("bigint").alias("path_id"), "fwd",
+                    F.length("prev").cast("bigint").alias("prev_len"), F.md5("prev").alias("prev_md5"),
+                    F.length("curr").cast("bigint").alias("curr_len"), F.md5("curr").alias("curr_md5"))
+
+
+def q_consecutive_dedup(spark, sf):
+    pb = _pb(spark, sf)
+    st = P.snapshots(pb.steps, pb.lines, pb.cap)
+    return S.consecutive_dedup(st.withColumn("h", F.md5("code")), ["ok", "path_id"], "state", "h").select(
+        "ok", F.col("path_id").cast("bigint").alias("path_id"), "state")
+
+
+def q_edit_sequence_tagged(spark, sf):
+    pb = _pb(spark, sf)
+    seqs = E.edit_sequence(E.diff_hunks(pb.steps, pb.lines, pb.cap), sep=E.TAGGED_SEPARATOR)
+    paths = pb.steps.select("ok", "path_id", "total_steps").distinct().where(F.col("total_steps") >= 1)
+    return paths.join(seqs, ["ok", "path_id"], "left").select(
+        F.col("ok").alias("original_line_no"), F.coalesce("edit_sequence", F.lit("")).alias("edit_sequence"))
+
+
+def q_snapshot_validity(spark, sf):
+    pb = _pb(spark, sf)
+    return D.snapshot_validity(pb.steps, pb.edges, pb.cap).withColumn("path_id", F.col("path_id").cast("bigint"))
+
+
+def _z2_docs(spark, sf):
+    """Z1-style cleaning of the code documents, header included, exact dedup (keep smallest id)."""
+    m = X.meta_records(spark, sf)
+    c = m.select("id", K.clean_code(F.col("code"), _raw_ver(m)).alias("contract")).where(F.col("contract") != "")
+    return c.groupBy("contract").agg(F.min("id").alias("ok")).select("ok", F.col("contract").alias("code"))
+
+
+def q_edit_corpus(spark, sf):
+    pb = C.build_paths(P.eligible_lines(_z2_docs(spark, sf)), min_lines=None)
+    return C.edit_records(pb).withColumn("path_id", F.col("path_id").cast("bigint"))
+
+
+def q_sft_corpus(spark, sf):
+    return S.sft_edit_set(S.attach_instruction(q_edit_corpus(spark, sf), X.responses(spark, sf)))
+
+
+def _stage_raw_lines(spark, sf):
+    """Write the raw_lines fixture as 3 JSONL sources (folders of ordered part files)."""
+    base = scratch_path(spark, "jsonl_scan")
+    rl = X.raw_lines(spark, sf).persist()
+    srcs = []
+    for i in range(3):
+        d = f"{base}/shard_{i}"
+        rl.where(F.col("file_ord") == i).orderBy("line_no").select(F.col("raw").alias("value")).write.text(d)
+        srcs.append(d)
+    rl.unpersist()
+    return srcs
+
+
+def q_jsonl_scan(spark, sf):
+    return J.jsonl_scan(spark, _stage_raw_lines(spark, sf))
+
+
+def q_line_subset(spark, sf):
+    keys = _table(spark, sf, "labels", "doc_id").select(
+        (F.col("doc_id") % 3).alias("file_ord"), (F.col("doc_id") % 500 + 1).alias("line_no"))
+    return J.line_subset(X.raw_lines(spark, sf), keys)
+
+
+def q_jsonl_write(spark, sf):
+    out = scratch_path(spark, "jsonl_write")
+    J.jsonl_write(X.raw_records(spark, sf).select("file_ord", "line_no", "contract_address", "func_name",
+                                                  "file_path"), out)
+    return spark.read.text(out).select(F.col("value").alias("json"))
+
+
+def q_path_bundle(spark, sf):
+    pb = _pb(spark, sf)
+    return J.path_bundle(P.snapshots(pb.steps, pb.lines, pb.cap), P.path_summary(pb.steps, pb.lines, pb.cap))
+
+
+def q_resume_append(spark, sf):
+    inputs = _table(spark, sf, "orders", "o_orderkey").select(F.col("o_orderkey").alias("original_line_no"))
+    return R.remaining(inputs, X.done_keys(spark, sf))
+
+
+QUERIES.update({
+    "instruct_eligible": q_instruct_eligible,
+    "instruction_once": q_instruction_once,
+    "prompt_table": q_prompt_table,
+    "attach_instruction": q_attach_instruction,
+    "sft_edit_set": q_sft_edit_set,
+    "sft_control_set": q_sft_control_set,
+    "dual_sink": q_dual_sink,
+    "instruct_report": q_instruct_report,
+    "first_n_contracts": q_first_n_contracts,
+    "sample_exact": q_sample_exact,
+    "first_n_valid": q_first_n_valid,
+    "changed_only": q_changed_only,
+    "status_route": q_status_route,
+    "status_report": q_status_report,
+    "diff_report": q_diff_report,
+    "adjacent_pairs": q_adjacent_pairs,
+    "consecutive_dedup": q_consecutive_dedup,
+    "edit_sequence_tagged": q_edit_sequence_tagged,
+    "snapshot_validity": q_snapshot_validity,
+    "edit_corpus": q_edit_corpus,
+    "sft_corpus": q_sft_corpus,
+    "jsonl_scan": q_jsonl_scan,
+    "line_subset": q_line_subset,
+    "jsonl_write": q_jsonl_write,
+    "path_bundle": q_path_bundle,
+    "resume_append": q_resume_append,
+})
