@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 # --- fixed values (must match the reference's behaviour) -------------------
 # Python's str.splitlines() terminators: \r\n \n \r \v \f \x1c \x1d \x1e \x85 U+2028 U+2029.
 SPLITLINES_RE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-# Python's str.strip()/rstrip() whitespace = Java (?U)\s plus \x1c-\x1f.
-TRAILING_WS_RE = "(?U)[\\s\\x1c-\\x1f]+$"
-LEADING_WS_RE = "(?U)^[\\s\\x1c-\\x1f]+"
+# Python's str.strip()/rstrip() whitespace: every code point with str.isspace()
+# (29 of them: \t \n \v \f \r \x1c-\x1f space \x85 \xa0 U+1680 U+2000-U+200A U+2028
+# U+2029 U+202F U+205F U+3000), derived by rule rather than listed.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# Whitespace left inside a line once every line break is a plain \n: the
+# Python whitespace set minus the characters that splitlines() breaks on.
+_INLINE_WS = "".join(ch for ch in PY_WHITESPACE if len(("a" + ch + "a").splitlines()) == 1) \
+    .replace("\\", "\\\\").replace("]", "\\]").replace("^", "\\^").replace("-", "\\-")
 # First d.d.d version in a text.
 VERSION_RE = "(\\d+\\.\\d+\\.\\d+)"
 # Comment stripping: group 1 keeps string literals, the rest (comments) is dropped.
@@ -31,13 +36,13 @@ DEFAULT_VERSION = "0.4.0"
 
 
 def rstrip_ws(c: Column) -> Column:
-    """Python ``str.rstrip()``."""
-    return F.regexp_replace(c, TRAILING_WS_RE, "")
+    """Python ``str.rstrip()`` (a character-set trim, no regex)."""
+    return F.rtrim(c, F.lit(PY_WHITESPACE))
 
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``."""
-    return F.regexp_replace(rstrip_ws(c), LEADING_WS_RE, "")
+    return F.trim(c, F.lit(PY_WHITESPACE))
 
 
 def nonblank(c: Column) -> Column:
@@ -52,10 +57,8 @@ def falsy_coalesce(*cols: Column) -> Column:
 
 def splitlines(c: Column) -> Column:
     """Python ``str.splitlines()`` as ARRAY<STRING> (a final terminator adds no line)."""
-    parts = F.split(c, SPLITLINES_RE, -1)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(
-        F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1))
-        .otherwise(parts))
+    body = F.regexp_replace(c, "(?:" + SPLITLINES_RE + ")\\z", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, SPLITLINES_RE, -1))
 
 
 def line_count(c: Column) -> Column:
@@ -73,9 +76,16 @@ def strip_comments(c: Column, compat: bool = False) -> Column:
 
 
 def normalise_lines(c: Column) -> Column:
-    """P5: right-strip each line, drop blank lines, join with ``\\n``."""
-    lines = F.transform(splitlines(c), rstrip_ws)
-    return F.array_join(F.filter(lines, nonblank), "\n")
+    """P5: right-strip each line, drop blank lines, join with ``\\n``.
+
+    Four code-generated regex passes over the whole text (no per-line
+    lambdas): unify line breaks, drop trailing blanks of each line, collapse
+    runs of breaks (blank lines), trim breaks at both ends.
+    """
+    x = F.regexp_replace(c, SPLITLINES_RE, "\n")
+    x = F.regexp_replace(x, "[" + _INLINE_WS + "]+(?=\n|\\z)", "")
+    x = F.regexp_replace(x, "\n{2,}", "\n")
+    return F.regexp_replace(x, "^\n+|\n+\\z", "")
 
 
 def ensure_header(code: Column, version: Column) -> Column:
@@ -121,3 +131,13 @@ def hash_pick(key: Column, n: Column) -> Column:
     """Deterministic pick in ``1..n`` from a text key (replaces random.randint)."""
     h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
     return F.lit(1) + F.pmod(h, n.cast("bigint"))
+
+
+def filter_once(df, cond: Column):
+    """``df.where(cond)`` for a condition on an expensive computed column.
+
+    Catalyst pushes a Filter below the projection that computes the column
+    and substitutes the expression, so it runs twice (once in the filter, once
+    in the projection). Filtering inside a generator keeps it to one.
+    """
+    return df.select("*", F.explode(F.when(cond, F.array(F.lit(0)))).alias("_keep")).drop("_keep")

@@ -77,18 +77,23 @@ def version_field(v: Column) -> Column:
     return T.falsy_coalesce(field(v, "compiler_version"), field(v, "original_meta.version"), field(v, "version"))
 
 
-def clean_code(code: Column, raw_ver: Column, compat: bool = False) -> Column:
-    """P4 -> P5 -> P6 (empty stays empty)."""
-    body = T.normalise_lines(T.strip_comments(code, compat))
-    return F.when(body == "", F.lit("")).otherwise(T.ensure_header(body, T.extract_version(raw_ver)))
+def clean_code(df: DataFrame, code: str, raw_ver: str, out: str = "contract", compat: bool = False) -> DataFrame:
+    """P4 -> P5 -> P6 into column ``out`` (empty stays empty).
+
+    The cleaned body gets its own projection: it is referenced several times
+    inside CASE branches, where code generation would evaluate it again.
+    """
+    d = df.withColumn("_body", T.normalise_lines(T.strip_comments(F.col(code), compat)))
+    d = d.withColumn(out, F.when(F.col("_body") == "", F.lit("")).otherwise(
+        T.ensure_header(F.col("_body"), T.extract_version(F.col(raw_ver)))))
+    return d.drop("_body")
 
 
 def clean_records(merged: DataFrame) -> DataFrame:
     """F1 + P1-P6 on merged records: (file_ord, line_no, contract, reason)."""
     code = code_field(merged)
     c = merged.select("file_ord", "line_no", code.alias("code"), version_field(F.col("v")).alias("raw_ver"))
-    c = c.withColumn("contract", F.when(F.col("code") == "", F.lit("")).otherwise(
-        clean_code(F.col("code"), F.col("raw_ver"))))
+    c = clean_code(c, "code", "raw_ver")
     return c.select("file_ord", "line_no", "contract",
                     F.when(F.col("code") == "", F.lit("no_code"))
                     .when(F.col("contract") == "", F.lit("empty_after_clean"))
@@ -101,8 +106,8 @@ def content_dedup(cleaned: DataFrame) -> DataFrame:
     Grouping on the text itself (not a 64-bit hash) so distinct texts never
     collide; the partial aggregate drops copies before the shuffle.
     """
-    ok = cleaned.where(F.col("reason") == "ok")
-    return (ok.groupBy("contract").agg(F.min(F.struct("file_ord", "line_no")).alias("first"))
+    first = F.min(F.when(F.col("reason") == "ok", F.struct("file_ord", "line_no")))
+    return (cleaned.groupBy("contract").agg(first.alias("first")).where(F.col("first").isNotNull())
             .select("contract", "first.file_ord", "first.line_no"))
 
 

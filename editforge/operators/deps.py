@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 # --- fixed values --------------------------------------------------------------
 LITERAL_RE = "\"(?:[^\"\\\\]++|\\\\.)*+\"|'(?:[^'\\\\]++|\\\\.)*+'"
@@ -96,20 +96,18 @@ def repair_closure(ranks: DataFrame, edges: DataFrame, key: str = "ok",
     to be routed to the ``failed_logic`` status, not emitted.
     """
     checkpoint_dir(ranks.sparkSession)
-    e = edges.select(key, "ln", "req").checkpoint()
-    cur = ranks.select(key, "path_id", "ln", F.col("rank").alias("removal"),
-                       F.lit(True).alias("changed")).checkpoint()
+    e = materialize(edges.select(key, "ln", "req"))
+    cur = materialize(ranks.select(key, "path_id", "ln", F.col("rank").alias("removal"),
+                                   F.lit(True).alias("changed")))
     for _ in range(max_rounds):
-        active = cur.where("changed").select(key, "path_id").distinct()
-        src = cur.join(active, [key, "path_id"], "left_semi") \
-            .select(key, "path_id", F.col("ln").alias("req"), F.col("removal").alias("r_req"))
-        prop = (e.join(src, [key, "req"])
+        # Semi-naive: only values lowered in the last round can lower others.
+        delta = cur.where("changed").select(key, "path_id", F.col("ln").alias("req"),
+                                            F.col("removal").alias("r_req"))
+        prop = (e.join(delta, [key, "req"])
                 .groupBy(key, "path_id", "ln").agg(F.min("r_req").alias("r_min")))
-        nxt = (cur.join(prop, [key, "path_id", "ln"], "left")
-               .select(key, "path_id", "ln",
-                       F.least("removal", F.coalesce("r_min", "removal")).alias("removal"),
-                       (F.coalesce(F.col("r_min"), F.col("removal")) < F.col("removal")).alias("changed"))
-               .checkpoint())
+        nxt = materialize(cur.join(prop, [key, "path_id", "ln"], "left").select(
+            key, "path_id", "ln", F.least("removal", F.coalesce("r_min", "removal")).alias("removal"),
+            (F.coalesce(F.col("r_min"), F.col("removal")) < F.col("removal")).alias("changed")))
         cur = nxt
         if cur.where("changed").limit(1).count() == 0:
             break

@@ -31,7 +31,7 @@ def _range(start0: Column, length: Column) -> Column:
 
 
 def _ordered_join(arr: Column, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(arr), lambda x: x["v"]), sep)
+    return F.array_join(F.sort_array(arr).getField("v"), sep)
 
 
 def diff_hunks(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS, key: str = "ok",

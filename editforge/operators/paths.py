@@ -33,12 +33,15 @@ def eligible_lines(docs: DataFrame, n: int = MIN_LINES, key: str = "ok", code: s
     """F1+F2 at document level, then one row per line: (key, ln, t, n_lines).
 
     ``docs`` holds normalised texts (P5: no blank lines, joined by ``\\n``), so
-    the line count is the size of the split and no aggregate is needed.
+    the line count is the size of the split and no aggregate is needed. The
+    size test sits inside the generator rather than in a Filter: a Filter
+    would be pushed below the projection and evaluate the cleaning
+    expressions of ``code`` twice.
     """
-    arr = F.split(F.col(code), "\n", -1)
-    d = docs.where(F.col(code) != "").select(key, arr.alias("_a")).where(F.size("_a") >= n)
-    return d.select(key, F.posexplode("_a").alias("_p", "t"), F.size("_a").cast("bigint").alias("n_lines")) \
-        .select(key, (F.col("_p") + 1).cast("bigint").alias("ln"), "t", "n_lines")
+    d = docs.select(key, F.split(F.col(code), "\n", -1).alias("_a"))
+    x = d.select(key, F.posexplode(F.when(F.size("_a") >= n, F.col("_a"))).alias("_p", "t"),
+                 F.size("_a").cast("bigint").alias("n_lines"))
+    return x.select(key, (F.col("_p") + 1).cast("bigint").alias("ln"), "t", "n_lines")
 
 
 def path_fanout(docs: DataFrame, n_paths: int = PATHS_PER_DOC, seed_base: int = SEED_BASE,
@@ -81,7 +84,7 @@ def path_summary(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS,
     """
     s = capped(steps, cap).join(lines.select(key, "ln", "t"), [key, "ln"])
     st = F.struct(F.col("ln").alias("k"), F.col("t").alias("v"))
-    join_sorted = lambda arr: F.array_join(F.transform(F.array_sort(arr), lambda x: x["v"]), "\n")
+    join_sorted = lambda arr: F.array_join(F.sort_array(arr).getField("v"), "\n")
     return s.groupBy(key, "path_id").agg(
         F.max("m").alias("total_steps"),
         join_sorted(F.collect_list(st)).alias("initial_code"),
@@ -96,8 +99,8 @@ def snapshots(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS,
         F.sequence(F.lit(0).cast("bigint"), F.least(F.col("step") - 1, F.col("m")))).alias("state"))
         .join(lines.select(key, "ln", "t"), [key, "ln"]))
     texts = per_line.groupBy(key, "path_id", "state").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ln").alias("k"), F.col("t").alias("v")))),
-                                 lambda x: x["v"]), "\n").alias("code"))
+        F.array_join(F.sort_array(F.collect_list(F.struct(F.col("ln").alias("k"), F.col("t").alias("v"))))
+                     .getField("v"), "\n").alias("code"))
     states = (s.groupBy(key, "path_id").agg(F.max("m").alias("m"))
               .select(key, "path_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("state")))
     return (states.join(texts, [key, "path_id", "state"], "left")
@@ -117,8 +120,7 @@ def path_diversity(steps: DataFrame, key: str = "ok") -> DataFrame:
     """
     fp = steps.groupBy(key, "path_id").agg(
         F.max("total_steps").alias("total_steps"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "step"))),
-                                       lambda x: F.concat_ws(":", x["ln"], x["step"])), ",")).alias("fp"))
+        F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("ln", "step"))).getField("step"), ",")).alias("fp"))
     return fp.groupBy(key).agg(
         F.when(F.count_distinct("total_steps") > 1, F.lit("steps_differ"))
         .when(F.count_distinct("fp") > 1, F.lit("states_differ"))

@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..operators import deps as D
 from ..operators import diff as E
 from ..operators import paths as P
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 
 @dataclass
@@ -42,14 +42,14 @@ def build_paths(lines: DataFrame, cap: int = P.MAX_DELETIONS, n_paths: int = P.P
     if min_lines is not None:
         docs = P.min_lines(lines, min_lines, key)
         lines = lines.join(docs.select(key), key, "left_semi")
-    kept = lines.select(key, "ln", "t").checkpoint()
+    kept = materialize(lines.select(key, "ln", "t"))
     docs = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_lines"))
     paths = P.path_fanout(docs, n_paths, key=key)
     ranks = P.deletion_order(kept, paths, key)
     edges = D.line_dependencies(kept, key)
     removal, unconverged = D.repair_closure(ranks, edges, key, max_rounds)
     removal = removal.join(unconverged, [key, "path_id"], "left_anti")
-    steps = P.steps_from_removal(removal, key).checkpoint()
+    steps = materialize(P.steps_from_removal(removal, key))
     return PathBuild(kept, docs, paths, ranks, edges, steps, unconverged, cap, key)
 
 

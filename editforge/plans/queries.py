@@ -156,7 +156,7 @@ def q_normalise_lines(spark, sf):
 
 def q_ensure_header(spark, sf):
     m = X.meta_records(spark, sf)
-    return m.select("id", K.clean_code(F.col("code"), _raw_ver(m)).alias("contract"))
+    return K.clean_code(m.withColumn("raw_ver", _raw_ver(m)), "code", "raw_ver").select("id", "contract")
 
 
 def q_code_hash(spark, sf):
@@ -189,7 +189,7 @@ def _cleaned(spark, sf):
 
 
 def q_drop_empty(spark, sf):
-    return _cleaned(spark, sf).where(F.col("reason") == "ok").select("file_ord", "line_no")
+    return T.filter_once(_cleaned(spark, sf), F.col("reason") == "ok").select("file_ord", "line_no")
 
 
 def q_content_dedup(spark, sf):
@@ -359,7 +359,7 @@ def q_sample_exact(spark, sf):
 
 
 def q_first_n_valid(spark, sf):
-    c = _cleaned(spark, sf).where(F.col("reason") == "ok")
+    c = T.filter_once(_cleaned(spark, sf), F.col("reason") == "ok")
     return S.first_n_valid(c, FIRST_VALID_N, "file_ord", "line_no").select("file_ord", "line_no")
 
 
@@ -421,8 +421,10 @@ def q_snapshot_validity(spark, sf):
 def _z2_docs(spark, sf):
     """Z1-style cleaning of the code documents, header included, exact dedup (keep smallest id)."""
     m = X.meta_records(spark, sf)
-    c = m.select("id", K.clean_code(F.col("code"), _raw_ver(m)).alias("contract")).where(F.col("contract") != "")
-    return c.groupBy("contract").agg(F.min("id").alias("ok")).select("ok", F.col("contract").alias("code"))
+    c = K.clean_code(m.withColumn("raw_ver", _raw_ver(m)), "code", "raw_ver").select("id", "contract")
+    # the emptiness test is applied after the aggregate, so the cleaning runs once
+    return (c.groupBy("contract").agg(F.min(F.when(F.col("contract") != "", F.col("id"))).alias("ok"))
+            .where(F.col("ok").isNotNull()).select("ok", F.col("contract").alias("code")))
 
 
 def q_edit_corpus(spark, sf):

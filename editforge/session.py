@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Local mode only: one JVM hosts the driver and all executor threads.
+LOCAL_CONF = {
+    "spark.driver.memory": "20g",
+}
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -26,6 +30,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -61,3 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a Parquet table in the shared checkpoint
+    folder and reading it back.
+
+    Columnar, compressed and durable: a lost executor does not lose it, and
+    the read-back scan has exact size statistics for AQE's join choices.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

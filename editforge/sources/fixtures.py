@@ -66,24 +66,25 @@ def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus",
                "l_shipdate", "l_extendedprice")
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
-                    "l_quantity", "l_returnflag", "l_linestatus")
-    per_order = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def item_lines(x, i):
-        part = x["l_partkey"].cast("string")
-        supp = x["l_suppkey"].cast("string")
-        return F.array(
-            F.concat(F.lit("  uint p"), part, F.lit(" = "), x["l_quantity"].cast("bigint").cast("string"),
-                     F.lit("; // "), x["l_returnflag"]),
-            F.when(x["l_returnflag"] == "R", F.concat(F.lit("  string s"), supp, F.lit(' = "http://x/'),
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+                                                 "l_extendedprice")
+    li = li.withColumn("item", F.row_number().over(w))
+    part = F.col("l_partkey").cast("string")
+    supp = F.col("l_suppkey").cast("string")
+    txt = F.concat_ws(   # up to four lines per item; concat_ws skips the absent (null) ones
+        "\n",
+        F.concat(F.lit("  uint p"), part, F.lit(" = "), F.col("l_quantity").cast("bigint").cast("string"),
+                 F.lit("; // "), F.col("l_returnflag")),
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("  string s"), supp, F.lit(' = "http://x/'),
                                                       supp, F.lit('";'))),
-            F.when(x["l_linestatus"] == "F", F.concat(F.lit("  function f"), (i + 1).cast("string"),
-                                                      F.lit("() { /* "), x["l_returnflag"])),
-            F.when(x["l_linestatus"] == "F", F.concat(F.lit("  */ total += p"), part, F.lit("; }"))))
-
-    body = F.array_join(F.flatten(F.transform("items", item_lines)), "\n")   # nulls are skipped
-    per_order = per_order.select(F.col("l_orderkey").alias("ok"), body.alias("body"))
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("  function f"), F.col("item").cast("string"),
+                                                      F.lit("() { /* "), F.col("l_returnflag"))),
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("  */ total += p"), part, F.lit("; }"))))
+    # Same key as the window above: the aggregate needs no further shuffle.
+    per_order = (li.groupBy("l_orderkey")
+                 .agg(F.array_join(F.sort_array(F.collect_list(F.struct("item", txt.alias("txt")))).getField("txt"),
+                                   "\n").alias("body"))
+                 .withColumnRenamed("l_orderkey", "ok"))
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     ok = F.col("o_orderkey")
     header = F.when(ok % 3 != 0, F.concat(
@@ -111,8 +112,8 @@ def documents_of(lines: DataFrame, key: str = "ok", ln: str = "ln", t: str = "t"
                  out: str = "code") -> DataFrame:
     """Lines -> one text per document (joined by ``\\n`` in line order)."""
     return lines.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ln).alias("k"), F.col(t).alias("v")))),
-                                 lambda x: x["v"]), "\n").alias(out))
+        F.array_join(F.sort_array(F.collect_list(F.struct(F.col(ln).alias("k"), F.col(t).alias("v"))))
+                     .getField("v"), "\n").alias(out))
 
 
 def meta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
