@@ -45,9 +45,11 @@ def _rows(lines: DataFrame, key: str) -> DataFrame:
     cnt = lambda ch: F.length("bt") - F.length(F.replace(F.col("bt"), F.lit(ch), F.lit("")))
     run = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     b = (b.withColumn("net", cnt("{") - cnt("}"))
+         .withColumn("decl", F.regexp_extract("bt", DECL_RE, 1))
          .withColumn("d_after", F.sum("net").over(run))
-         .withColumn("d_before", F.col("d_after") - F.col("net"))
-         .withColumn("decl", F.regexp_extract("bt", DECL_RE, 1)))
+         # names declared anywhere in the document (same window partition, whole frame)
+         .withColumn("declared", F.collect_set(F.nullif("decl", F.lit(""))).over(Window.partitionBy(key)))
+         .withColumn("d_before", F.col("d_after") - F.col("net")))
     row = lambda g, kind, flag: F.struct(g.alias("g"), F.lit(kind).alias("kind"), flag.alias("flag"))
     lvl = lambda lv: F.concat(F.lit("L"), lv.cast("string"))
     opens = F.transform(F.sequence(F.col("d_before") + 1, F.greatest(F.col("d_after"), F.col("d_before"))),
@@ -55,7 +57,9 @@ def _rows(lines: DataFrame, key: str) -> DataFrame:
     opens = F.when(F.col("net") > 0, opens).otherwise(F.array())
     member = F.transform(F.sequence(F.least(F.col("d_after") + 1, F.col("d_before")), F.col("d_before")),
                          lambda lv: row(lvl(lv), 1, lv > F.col("d_after")))
-    idents = F.transform(F.array_distinct(F.regexp_extract_all("bt", F.lit(IDENT_RE), 0)),
+    # only identifiers declared somewhere in the document can produce an edge
+    used = F.array_intersect(F.regexp_extract_all("bt", F.lit(IDENT_RE), 0), F.col("declared"))
+    idents = F.transform(used,
                          lambda nm: row(F.concat(F.lit("N"), nm), 2, nm == F.col("decl")))
     return b.select(key, "ln", F.explode(F.concat(opens, member, idents)).alias("r")) \
         .select(key, "ln", "r.g", "r.kind", "r.flag")

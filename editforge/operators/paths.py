@@ -95,9 +95,10 @@ def snapshots(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS,
               key: str = "ok") -> DataFrame:
     """(key, path_id, state, code) for states 0..m; state k = lines with step > k."""
     s = capped(steps, cap)
-    per_line = (s.select(key, "path_id", "ln", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.least(F.col("step") - 1, F.col("m")))).alias("state"))
-        .join(lines.select(key, "ln", "t"), [key, "ln"]))
+    # text is joined before the state expansion, so the expanded rows are shuffled once (by the aggregate)
+    per_line = (s.join(lines.select(key, "ln", "t"), [key, "ln"])
+                .select(key, "path_id", "ln", "t", F.explode(
+                    F.sequence(F.lit(0).cast("bigint"), F.least(F.col("step") - 1, F.col("m")))).alias("state")))
     texts = per_line.groupBy(key, "path_id", "state").agg(
         F.array_join(F.sort_array(F.collect_list(F.struct(F.col("ln").alias("k"), F.col("t").alias("v"))))
                      .getField("v"), "\n").alias("code"))

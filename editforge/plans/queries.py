@@ -237,15 +237,19 @@ from ..operators import versions as V  # noqa: E402
 
 
 def _diag_lines(spark, sf):
-    """Clean code lines of the documents named by the diagnostics (doc = order key)."""
-    docs = X.diagnostics(spark, sf).select("doc").distinct()
-    lines = X.clean_lines(spark, sf).withColumnRenamed("ok", "doc")
-    return lines.join(docs, "doc", "left_semi")
+    """Clean code lines of the documents named by the diagnostics (doc = order key).
+
+    The semi-join runs on whole documents before they are cleaned and split.
+    """
+    docs = X.diagnostics(spark, sf).select(F.col("doc").alias("ok")).distinct()
+    code = X.code_docs(spark, sf).join(docs, "ok", "left_semi")
+    clean = code.select("ok", T.normalise_lines(T.strip_comments(F.col("code"))).alias("code"))
+    return X.lines_of(clean).withColumnRenamed("ok", "doc")
 
 
 def _errors(spark, sf):
     errs = G.error_lines(X.diagnostics(spark, sf))
-    counts = X.clean_lines(spark, sf).groupBy(F.col("ok").alias("doc")).agg(F.count(F.lit(1)).alias("n_lines"))
+    counts = _diag_lines(spark, sf).groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"))
     return G.error_line_fallback(errs, counts)
 
 
