@@ -20,6 +20,8 @@ PY_WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # Python whitespace set minus the characters that splitlines() breaks on.
 _INLINE_WS = "".join(ch for ch in PY_WHITESPACE if len(("a" + ch + "a").splitlines()) == 1) \
     .replace("\\", "\\\\").replace("]", "\\]").replace("^", "\\^").replace("-", "\\-")
+_RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+_RARE_WS = "".join(ch for ch in PY_WHITESPACE if ch not in " \t" and len(("a" + ch + "a").splitlines()) == 1)
 # First d.d.d version in a text.
 VERSION_RE = "(\\d+\\.\\d+\\.\\d+)"
 # Comment stripping: group 1 keeps string literals, the rest (comments) is dropped.
@@ -75,17 +77,30 @@ def strip_comments(c: Column, compat: bool = False) -> Column:
     return F.regexp_replace(c, COMMENT_RE_COMPAT if compat else COMMENT_RE, "$1")
 
 
+def _has_any(c: Column, chars: str) -> Column:
+    return F.length(F.translate(c, chars, "")) < F.length(c)
+
+
+def _normalise(c: Column, breaks_re: str, inline_ws: str) -> Column:
+    x = F.regexp_replace(c, breaks_re, "\n") if breaks_re else c
+    x = F.regexp_replace(x, "[" + inline_ws + "]+(?=\n|\\z)", "")
+    x = F.regexp_replace(x, "\n{2,}", "\n")
+    return F.regexp_replace(x, "^\n+|\n+\\z", "")
+
+
 def normalise_lines(c: Column) -> Column:
     """P5: right-strip each line, drop blank lines, join with ``\\n``.
 
-    Four code-generated regex passes over the whole text (no per-line
-    lambdas): unify line breaks, drop trailing blanks of each line, collapse
-    runs of breaks (blank lines), trim breaks at both ends.
+    Code-generated regex passes over the whole text (no per-line lambdas):
+    unify line breaks, drop trailing blanks of each line, collapse runs of
+    breaks (blank lines), trim breaks at both ends. Texts holding none of the
+    rare break/space characters (checked with a cheap ``translate``) take an
+    ASCII-only path; the full Unicode class is several times slower.
+    Pass a column (not a costly expression): ``c`` is read in both branches.
     """
-    x = F.regexp_replace(c, SPLITLINES_RE, "\n")
-    x = F.regexp_replace(x, "[" + _INLINE_WS + "]+(?=\n|\\z)", "")
-    x = F.regexp_replace(x, "\n{2,}", "\n")
-    return F.regexp_replace(x, "^\n+|\n+\\z", "")
+    rare = _RARE_BREAKS + _RARE_WS
+    return F.when(_has_any(c, rare), _normalise(c, SPLITLINES_RE, _INLINE_WS)) \
+        .otherwise(_normalise(c, "", " \t"))
 
 
 def ensure_header(code: Column, version: Column) -> Column:

@@ -83,7 +83,8 @@ def clean_code(df: DataFrame, code: str, raw_ver: str, out: str = "contract", co
     The cleaned body gets its own projection: it is referenced several times
     inside CASE branches, where code generation would evaluate it again.
     """
-    d = df.withColumn("_body", T.normalise_lines(T.strip_comments(F.col(code), compat)))
+    d = df.withColumn("_body", T.strip_comments(F.col(code), compat))
+    d = d.withColumn("_body", T.normalise_lines(F.col("_body")))
     d = d.withColumn(out, F.when(F.col("_body") == "", F.lit("")).otherwise(
         T.ensure_header(F.col("_body"), T.extract_version(F.col(raw_ver)))))
     return d.drop("_body")

@@ -243,7 +243,8 @@ def _diag_lines(spark, sf):
     """
     docs = X.diagnostics(spark, sf).select(F.col("doc").alias("ok")).distinct()
     code = X.code_docs(spark, sf).join(docs, "ok", "left_semi")
-    clean = code.select("ok", T.normalise_lines(T.strip_comments(F.col("code"))).alias("code"))
+    clean = code.select("ok", T.strip_comments(F.col("code")).alias("code")) \
+        .select("ok", T.normalise_lines(F.col("code")).alias("code"))
     return X.lines_of(clean).withColumnRenamed("ok", "doc")
 
 

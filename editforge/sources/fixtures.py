@@ -131,7 +131,8 @@ def meta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ok, code): code documents after comment stripping (P4) and line normalisation (P5)."""
-    return code_docs(spark, sf_dir).select("ok", T.normalise_lines(T.strip_comments(F.col("code"))).alias("code"))
+    stripped = code_docs(spark, sf_dir).select("ok", T.strip_comments(F.col("code")).alias("code"))
+    return stripped.select("ok", T.normalise_lines(F.col("code")).alias("code"))
 
 
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
