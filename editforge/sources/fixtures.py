@@ -85,7 +85,9 @@ def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .agg(F.array_join(F.sort_array(F.collect_list(F.struct("item", txt.alias("txt")))).getField("txt"),
                                    "\n").alias("body"))
                  .withColumnRenamed("l_orderkey", "ok"))
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    # Hash-partitioned on the join key: the exchange a sort-merge join needs anyway;
+    # it also keeps the per-document text work spread when the other side is broadcast.
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").repartition("o_orderkey")
     ok = F.col("o_orderkey")
     header = F.when(ok % 3 != 0, F.concat(
         F.lit("pragma solidity ^0."), (F.lit(4) + F.col("o_custkey") % 3).cast("string"), F.lit("."),
