@@ -106,3 +106,11 @@ def test_resume_stream_rerun_adds_nothing(spark):
     R.resume_stream(spark, tmp + "/in", **kw)                       # same checkpoint: nothing new
     R.resume_stream(spark, tmp + "/in", **{**kw, "checkpoint": tmp + "/ck2"})   # fresh checkpoint: anti-join
     assert spark.read.parquet(tmp + "/out").count() == 50
+
+
+def test_first_n_contracts_large_n_path(spark, monkeypatch):
+    df = spark.createDataFrame([(i, (i * 7) % 50) for i in range(1, 301)], "pos bigint, original_line_no bigint")
+    small = sorted(r.pos for r in S.first_n_contracts(df, 20, ["pos"]).collect())
+    monkeypatch.setattr(S, "TOP_K_MAX", 1)
+    large = sorted(r.pos for r in S.first_n_contracts(df, 20, ["pos"]).collect())
+    assert small == large == list(range(1, 21))
