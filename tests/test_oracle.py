@@ -30,3 +30,15 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["original_line_no", "path_id", "final_code", "edit_sequence", "steps_count"]
     assert df.count() > 0
+
+
+def test_same_output_for_1_and_64_shuffle_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    digests = []
+    try:
+        for n in ("1", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            digests.append(spark_digest(entry.queries()["edit_records"](spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert digests[0] == digests[1]
