@@ -7,7 +7,7 @@ recursive CTE (reachability) instead of the Spark fixpoint loop, and hunks use
 
 from __future__ import annotations
 
-from .oracle_fixtures import CTE, DEPS, cte, sqlstr, with_ctes
+from .oracle_fixtures import cte, sqlstr, with_ctes
 
 CAP = 2000
 CAP_SMALL = 5
@@ -171,7 +171,7 @@ ORACLE = {
 
 
 # ---------------------------------------------------------------- merge / clean
-from .oracle_fixtures import normalise, rstrip, strip, strip_comments, splitlines  # noqa: E402
+from .oracle_fixtures import normalise, strip, strip_comments, splitlines  # noqa: E402
 
 
 def _js(f):

@@ -12,7 +12,6 @@ order or when failed inputs wrote nothing.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def remaining(inputs: DataFrame, done: DataFrame, key: str = "original_line_no") -> DataFrame:
