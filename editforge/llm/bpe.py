@@ -298,6 +298,7 @@ def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", outp
     """
     raw = df.sparkSession.sparkContext.broadcast(tokenizer_bytes(tokenizer or default_tokenizer()))
     kept = df.drop(output)
+    names = kept.columns
 
     def run(batches):
         pieces = own_merges(raw.value)
@@ -305,7 +306,7 @@ def encode(df: DataFrame, tokenizer: str | None = None, text: str = "text", outp
             ids = list(encode_texts(text_column(batch, text).to_pylist(), pieces, pieces.vocabulary.added))
             sizes = np.cumsum([0, *map(len, ids)])
             column = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept.columns), column], names=[*kept.columns, output])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), column], names=[*names, output])
 
     return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", `{output}` array<int>")
 
@@ -314,12 +315,13 @@ def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", output
     """``df`` with the text of each array of token ids in ``output``; a null array gives a null text, an unknown id is an error."""
     raw = df.sparkSession.sparkContext.broadcast(tokenizer_bytes(tokenizer or default_tokenizer()))
     kept = df.drop(output)
+    names = kept.columns
 
     def run(batches):
         decode = own_merges(raw.value).vocabulary.decode
         for batch in batches:
             texts = [None if x is None else decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept.columns), pa.array(texts, pa.string())], names=[*kept.columns, output])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, output])
 
     return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + f", `{output}` string")
 

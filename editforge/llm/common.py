@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editforge.session import materialize
@@ -133,6 +133,9 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("b").alias("id"), F.col("b").alias("component_id"))).distinct()
 
 
-def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
-    """How many groups hold ``rows`` rows at about ``each`` a group."""
-    return max(1, -(-rows // each))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it the first such name that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from editforge.llm import bpe, html_text, packing, url_filter
+from editforge.llm import bpe, html_text, line_dedup, ngram_join, packing, toxicity, url_filter
 
 QUERIES = {
     "op2_line_blocks": html_text.op2_line_blocks,
+    "op4_t_occurrence": ngram_join.op4_t_occurrence,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_best_two_fit": packing.op6_best_two_fit,
     "op7_bpe": bpe.op7_bpe,
+    "op9_winnowing": line_dedup.op9_winnowing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE = {
+    "op9_winnowing": line_dedup.op9_winnowing,
     "op10_url_filter": url_filter.OP10_SQL,
 }

@@ -23,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from editforge.session import materialize
+
 #: The rules of the registered query: rule text (host/path) and verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DEFAULT_VERDICT = "allow"
@@ -155,6 +157,7 @@ def _by_join(df: DataFrame, rules, url: str) -> DataFrame:
     """The same answer for rule sets too large to hand out: candidates are joined on their digest and text."""
     spark = df.sparkSession
     kept = df.drop("host", "path", "rule", "verdict").withColumn("_row", F.monotonically_increasing_id())
+    kept = materialize(kept, "urls")  # row numbers must not change between the two uses
     lengths = sorted({len(t) - t.index("/") for t, _ in rules})
     first = {}
     for t, v in rules:

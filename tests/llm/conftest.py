@@ -1,0 +1,9 @@
+import sys
+
+import pytest
+
+
+@pytest.fixture(autouse=True)
+def _workers_import_nothing(monkeypatch):
+    """Operators travel by value: they must not need the package on the workers."""
+    monkeypatch.setattr(sys, "dont_write_bytecode", True)
