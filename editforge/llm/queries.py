@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from editforge.llm import bpe, html_text, line_dedup, ngram_join, packing, toxicity, url_filter
+from editforge.llm import bpe, html_text, line_dedup, ngram_join, packing, toxicity, url_filter, vector_links
 
 QUERIES = {
     "op2_line_blocks": html_text.op2_line_blocks,
+    "op3_multi_index": vector_links.op3_multi_index,
     "op4_t_occurrence": ngram_join.op4_t_occurrence,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_best_two_fit": packing.op6_best_two_fit,
