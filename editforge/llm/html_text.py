@@ -1,8 +1,8 @@
 """Operator 2: main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one a block element. A line's weight is its
-text outside links; lines of page furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments) weigh nothing. Weights are
+text outside links; page furniture (menus, headers, footers, sidebars,
+notices, adverts, forms, reader comments) goes with the markup. Weights are
 summed over a sliding window of lines; a span surges where the sum passes a
 threshold and dives where it falls to nothing. The spans kept are those that
 hold the page's text.
@@ -147,8 +147,9 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     marked = any(inside and not f for _, _, f, inside in found)
     if marked:  # the page says where its article is: there every line surges, and all the rest weighs nothing
         weight, surge = [len(s) if inside and not f else 0 for s, _, f, inside in found], 0
-    else:
-        weight = [0 if f else w for _, w, f, _ in found]
+    else:  # page furniture is stripped like markup, so that it does not part what stands around it
+        found = [x for x in found if not x[2]]
+        weight = [w for _, w, _, _ in found]
     n = len(weight)
     block = [sum(weight[i: i + window]) for i in range(n)]
     spans, i = [], 0
@@ -164,7 +165,7 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
         else:
             i += 1
     if not spans:  # a page of little text: what is not furniture
-        return " ".join(s for (s, w, f, _) in found if w and not f)
+        return " ".join(s for s, w, _, _ in found if w)
     most = max(sum(weight[a:b]) for a, b in spans)
     kept = [(a, b) for a, b in spans if marked or sum(weight[a:b]) * 5 >= most]
     return " ".join(found[k][0] for a, b in kept for k in range(a, b) if weight[k])
