@@ -83,7 +83,8 @@ def _has_any(c: Column, chars: str) -> Column:
 
 def _normalise(c: Column, breaks_re: str, inline_ws: str) -> Column:
     x = F.regexp_replace(c, breaks_re, "\n") if breaks_re else c
-    x = F.regexp_replace(x, "[" + inline_ws + "]+(?=\n|\\z)", "")
+    # A run of blanks is tried once, where it begins: linear also on long runs inside a line.
+    x = F.regexp_replace(x, "(?<![" + inline_ws + "])[" + inline_ws + "]++(?=\n|\\z)", "")
     x = F.regexp_replace(x, "\n{2,}", "\n")
     return F.regexp_replace(x, "^\n+|\n+\\z", "")
 

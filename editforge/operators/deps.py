@@ -14,17 +14,17 @@ per nesting level (window ``last(.. ignore nulls)``), so no range join is needed
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, materialize
-
 # --- fixed values --------------------------------------------------------------
 LITERAL_RE = "\"(?:[^\"\\\\]++|\\\\.)*+\"|'(?:[^'\\\\]++|\\\\.)*+'"
 IDENT_RE = "[A-Za-z_][A-Za-z0-9_]*"
 DECL_RE = ("^\\s*(?:uint[0-9]*|int[0-9]*|string|address|bool|bytes[0-9]*|byte)\\b"
            "(?:\\s+(?:public|private|internal|constant|memory|storage|payable))*\\s+([A-Za-z_][A-Za-z0-9_]*)")
-MAX_REPAIR_ROUNDS = 50
 # --------------------------------------------------------------------------------
 
 
@@ -88,35 +88,63 @@ def line_dependencies(lines: DataFrame, key: str = "ok") -> DataFrame:
     return e.where(F.col("req").isNotNull() & (F.col("ln") != F.col("req"))).distinct()
 
 
-def repair_closure(ranks: DataFrame, edges: DataFrame, key: str = "ok",
-                   max_rounds: int = MAX_REPAIR_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def _least_reachable(rank, lines, reqs):
+    """Per line the least rank among it and all lines that it transitively requires.
+
+    ``lines`` requires ``reqs``, edge by edge (numpy arrays of positions). Only
+    lines that a round lowered can lower others in the next one; there is
+    no bound on rounds, and each lowers a line for good, so they end.
+    """
+    value, order = rank.copy(), np.argsort(reqs, kind="stable")
+    lines, reqs = lines[order], reqs[order]
+    first = np.searchsorted(reqs, np.arange(len(rank) + 1))
+    changed = np.unique(reqs)
+    while len(changed):
+        sizes = first[changed + 1] - first[changed]
+        upto = np.cumsum(sizes)
+        edge = np.repeat(first[changed] - (upto - sizes), sizes) + np.arange(upto[-1])
+        to, new = lines[edge], np.repeat(value[changed], sizes)
+        lower = new < value[to]
+        to, new = to[lower], new[lower]
+        np.minimum.at(value, to, new)
+        changed = np.unique(to)
+    return value
+
+
+def _closures(batches):
+    """Rows of one document and path each: ranks in line order, and the document's edges."""
+    for batch in batches:
+        sizes = np.asarray(pc.list_value_length(batch.column("ranks")))
+        rank = batch.column("ranks").flatten()
+        lns, ranks = np.asarray(rank.field("ln")), np.asarray(rank.field("rank"))
+        n_edges = np.asarray(pc.fill_null(pc.list_value_length(batch.column("edges")), 0))
+        edge = batch.column("edges").flatten()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        # Lines of all rows have one numbering: found by (row, line number).
+        span = max(1, int(lns.max(initial=0)) + 1)
+        place = row * span + lns
+        order = np.argsort(place, kind="stable")
+        spot = lambda f: order[np.searchsorted(place[order], np.repeat(np.arange(len(sizes)), n_edges) * span + np.asarray(edge.field(f)))]
+        value = _least_reachable(ranks, spot("ln"), spot("req")) if len(edge) else ranks
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column("path_id").take(at), pa.array(lns), pa.array(value)],
+                                         names=["key", "path_id", "ln", "removal"])
+
+
+def repair_closure(ranks: DataFrame, edges: DataFrame, key: str = "ok") -> DataFrame:
     """``removal = min(rank over the line and everything it transitively requires)``.
 
-    Iterates ``removal' = least(removal, min(removal[req]))`` to a fixpoint;
-    each round is one join + one partial aggregate, and its result is
-    checkpointed (reliable, in the shared checkpoint folder) to cut lineage.
-    Returns ``(removal, unconverged)``: paths still changing after
-    ``max_rounds`` are listed in ``unconverged`` (key, path_id) and are meant
-    to be routed to the ``failed_logic`` status, not emitted.
+    A document is one input record, so its lines and edges are brought to
+    one row per path and the fixpoint is found there, in vectorised rounds over
+    all rows of an Arrow batch: chains of any length, one shuffle by document,
+    no job per round. Returns (key, path_id, ln, removal) for every rank.
     """
-    checkpoint_dir(ranks.sparkSession)
-    e = materialize(edges.select(key, "ln", "req"))
-    cur = materialize(ranks.select(key, "path_id", "ln", F.col("rank").alias("removal"),
-                                   F.lit(True).alias("changed")))
-    for _ in range(max_rounds):
-        # Semi-naive: only values lowered in the last round can lower others.
-        delta = cur.where("changed").select(key, "path_id", F.col("ln").alias("req"),
-                                            F.col("removal").alias("r_req"))
-        prop = (e.join(delta, [key, "req"])
-                .groupBy(key, "path_id", "ln").agg(F.min("r_req").alias("r_min")))
-        nxt = materialize(cur.join(prop, [key, "path_id", "ln"], "left").select(
-            key, "path_id", "ln", F.least("removal", F.coalesce("r_min", "removal")).alias("removal"),
-            (F.coalesce(F.col("r_min"), F.col("removal")) < F.col("removal")).alias("changed")))
-        cur = nxt
-        if cur.where("changed").limit(1).count() == 0:
-            break
-    unconverged = cur.where("changed").select(key, "path_id").distinct()
-    return cur.select(key, "path_id", "ln", "removal"), unconverged
+    kind = lambda c: ranks.schema[c].dataType.simpleString()
+    per_path = ranks.groupBy(key, "path_id").agg(F.collect_list(F.struct(F.col("ln").cast("bigint").alias("ln"), F.col("rank").cast("bigint").alias("rank"))).alias("ranks"))
+    per_doc = edges.groupBy(key).agg(F.collect_list(F.struct(F.col("ln").cast("bigint").alias("ln"), F.col("req").cast("bigint").alias("req"))).alias("edges"))
+    rows = per_path.join(per_doc, key, "left").select(key, "path_id", "ranks", "edges")
+    return (rows.mapInArrow(_closures, f"key {kind(key)}, path_id {kind('path_id')}, ln bigint, removal bigint")
+            .withColumnRenamed("key", key))
 
 
 def repair_by_error_lines(lines: DataFrame, errors: DataFrame, key: str = "ok") -> DataFrame:
@@ -138,28 +166,28 @@ def repair_by_error_lines(lines: DataFrame, errors: DataFrame, key: str = "ok")
     return kept.select(key, F.row_number().over(w).cast("bigint").alias("ln"), F.col("ln").alias("old_ln"), "t")
 
 
-def snapshot_validity(steps: DataFrame, edges: DataFrame, cap: int, key: str = "ok") -> DataFrame:
+def snapshot_validity(steps: DataFrame, edges: DataFrame, cap: int | None = None, key: str = "ok") -> DataFrame:
     """Per recorded state, number of lines and of lines whose requirement is gone.
 
     A line in state k (``step > k``) violates when some ``req`` has ``step <= k``;
     that is ``k`` in ``[step(req), step(line))``. Expected 0 for every state
     (a self-check of B4); state 0 is the input itself.
     """
-    s = steps.withColumn("m", F.least("total_steps", F.lit(cap)))
+    s = steps.withColumn("m", F.col("total_steps") if cap is None else F.least("total_steps", F.lit(cap)))
     req = s.select(key, "path_id", F.col("ln").alias("req"), F.col("step").alias("req_step"))
-    viol = (
-            edges.join(s.select(key, "path_id", "ln", "step", "m"), [key, "ln"])
-            .join(req, [key, "path_id", "req"])
-            .where(F.col("req_step") < F.least(F.col("step"), F.col("m") + 1))
-            .select(key, "path_id", "ln", F.explode(F.sequence(
-                F.col("req_step"), F.least(F.col("step") - 1, F.col("m")))).alias("state"))
-            .distinct()
+    # One interval of bad states per line, from its first lost requirement on; only bad lines are expanded.
+    bad = (edges.join(s.select(key, "path_id", "ln", "step", "m"), [key, "ln"]).join(req, [key, "path_id", "req"])
+           .where(F.col("req_step") < F.least(F.col("step"), F.col("m") + 1))
+           .groupBy(key, "path_id", "ln", "step", "m").agg(F.min("req_step").alias("since")))
+    viol = (bad.select(key, "path_id", F.explode(F.sequence(F.col("since"), F.least(F.col("step") - 1, F.col("m")))).alias("state"))
             .groupBy(key, "path_id", "state").agg(F.count(F.lit(1)).alias("violations")))
-    sizes = (s.select(key, "path_id", "m", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                                F.least(F.col("step") - 1, F.col("m")))).alias("state"))
-             .groupBy(key, "path_id", "state").agg(F.count(F.lit(1)).alias("n_lines")))
-    states = (s.groupBy(key, "path_id").agg(F.max("m").alias("m"))
-              .select(key, "path_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("state")))
-    return (states.join(sizes, [key, "path_id", "state"], "left").join(viol, [key, "path_id", "state"], "left")
-            .select(key, "path_id", "state", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+    # Lines left in a state: all but those of the steps up to it.
+    gone = s.groupBy(key, "path_id", F.col("step").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    totals = s.groupBy(key, "path_id").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("total"))
+    states = totals.select(key, "path_id", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("state"))
+    run = Window.partitionBy(key, "path_id").orderBy("state").rowsBetween(Window.unboundedPreceding, 0)
+    sized = (states.join(gone, [key, "path_id", "state"], "left")
+             .withColumn("n_lines", F.col("total") - F.sum(F.coalesce("n", F.lit(0))).over(run)))
+    return (sized.join(viol, [key, "path_id", "state"], "left")
+            .select(key, "path_id", "state", F.col("n_lines").cast("bigint").alias("n_lines"),
                     F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .paths import MAX_DELETIONS, capped
+from .paths import capped
 
 # --- fixed values ----------------------------------------------------------------
 CONTEXT = 3
@@ -34,7 +34,7 @@ def _ordered_join(arr: Column, sep: str) -> Column:
     return F.array_join(F.sort_array(arr).getField("v"), sep)
 
 
-def diff_hunks(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS, key: str = "ok",
+def diff_hunks(steps: DataFrame, lines: DataFrame, cap: int | None = None, key: str = "ok",
                context: int = CONTEXT, compat: bool = False) -> DataFrame:
     """(key, path_id, fwd, diff) with one unified-diff text per forward step.
 

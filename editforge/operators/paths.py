@@ -70,12 +70,16 @@ def steps_from_removal(removal: DataFrame, key: str = "ok") -> DataFrame:
             .withColumn("total_steps", F.max("step").over(Window.partitionBy(key, "path_id"))))
 
 
-def capped(steps: DataFrame, cap: int = MAX_DELETIONS) -> DataFrame:
-    """``m = min(total_steps, cap)`` recorded transitions per path."""
-    return steps.withColumn("m", F.least(F.col("total_steps"), F.lit(cap)).cast("bigint"))
+def capped(steps: DataFrame, cap: int | None = None) -> DataFrame:
+    """``m = min(total_steps, cap)`` recorded transitions per path; without a cap all of them.
+
+    The reference's setting is ``MAX_DELETIONS``.
+    """
+    m = F.col("total_steps") if cap is None else F.least(F.col("total_steps"), F.lit(cap))
+    return steps.withColumn("m", m.cast("bigint"))
 
 
-def path_summary(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS,
+def path_summary(steps: DataFrame, lines: DataFrame, cap: int | None = None,
                  key: str = "ok") -> DataFrame:
     """(key, path_id, total_steps, initial_code, final_code) per path.
 
@@ -91,7 +95,7 @@ def path_summary(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS,
         join_sorted(F.collect_list(F.when(F.col("step") > F.col("m"), st))).alias("final_code"))
 
 
-def snapshots(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS,
+def snapshots(steps: DataFrame, lines: DataFrame, cap: int | None = None,
               key: str = "ok") -> DataFrame:
     """(key, path_id, state, code) for states 0..m; state k = lines with step > k."""
     s = capped(steps, cap)
@@ -108,20 +112,21 @@ def snapshots(steps: DataFrame, lines: DataFrame, cap: int = MAX_DELETIONS,
             .select(key, "path_id", "state", F.coalesce(F.col("code"), F.lit("")).alias("code")))
 
 
-def path_lengths(steps: DataFrame, cap: int = MAX_DELETIONS, key: str = "ok") -> DataFrame:
+def path_lengths(steps: DataFrame, cap: int | None = None, key: str = "ok") -> DataFrame:
     """total_steps per path."""
     return capped(steps, cap).groupBy(key, "path_id").agg(F.max("m").alias("total_steps"))
 
 
-def path_diversity(steps: DataFrame, key: str = "ok") -> DataFrame:
-    """Per document, 'steps_differ' / 'states_differ' / 'identical' over its paths.
+def path_diversity(steps: DataFrame, cap: int | None = None, key: str = "ok") -> DataFrame:
+    """Per document, 'steps_differ' / 'states_differ' / 'identical' over its paths' recorded states.
 
-    A path's states are fingerprinted by md5 of its line->step list, so no
-    snapshot arrays are compared.
+    A path's states are fingerprinted by md5 of its line->step list (steps
+    past the last recorded state are one), so no snapshot arrays are compared.
     """
-    fp = steps.groupBy(key, "path_id").agg(
-        F.max("total_steps").alias("total_steps"),
-        F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("ln", "step"))).getField("step"), ",")).alias("fp"))
+    shown = F.least(F.col("step"), F.col("m") + 1)
+    fp = capped(steps, cap).withColumn("shown", shown).groupBy(key, "path_id").agg(
+        F.max("m").alias("total_steps"),
+        F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("ln", "shown"))).getField("shown"), ",")).alias("fp"))
     return fp.groupBy(key).agg(
         F.when(F.count_distinct("total_steps") > 1, F.lit("steps_differ"))
         .when(F.count_distinct("fp") > 1, F.lit("states_differ"))

@@ -41,18 +41,22 @@ def instruction_once(records: DataFrame) -> DataFrame:
             .select("original_line_no", "r.path_id", "r.final_code"))
 
 
-def prompt_messages(code: Column, system_prompt: str = SYSTEM_PROMPT) -> Column:
-    """The chat messages as a JSON array string."""
-    user = F.concat(F.lit(USER_PREFIX), F.substring(code, 1, PROMPT_CHARS), F.lit(USER_SUFFIX))
+def prompt_messages(code: Column, system_prompt: str = SYSTEM_PROMPT, max_chars: int | None = None) -> Column:
+    """The chat messages as a JSON array string.
+
+    The whole code goes in; the reference cuts it at ``PROMPT_CHARS`` (``max_chars``).
+    """
+    shown = code if max_chars is None else F.substring(code, 1, max_chars)
+    user = F.concat(F.lit(USER_PREFIX), shown, F.lit(USER_SUFFIX))
     msgs = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")),
                    F.struct(F.lit("user").alias("role"), user.alias("content")))
     return F.to_json(msgs)
 
 
-def prompt_table(records: DataFrame) -> DataFrame:
+def prompt_table(records: DataFrame, max_chars: int | None = None) -> DataFrame:
     """P15 over D5: (original_line_no, messages) one prompt per contract."""
     once = instruction_once(instruct_eligible(records))
-    return once.select("original_line_no", prompt_messages(F.col("final_code")).alias("messages"))
+    return once.select("original_line_no", prompt_messages(F.col("final_code"), max_chars=max_chars).alias("messages"))
 
 
 def attach_instruction(records: DataFrame, responses: DataFrame) -> DataFrame:

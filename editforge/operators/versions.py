@@ -9,10 +9,9 @@ from ..functions import text as T
 
 # --- fixed values ------------------------------------------------------------------
 PRAGMA_RE = "(?i)pragma\\s+solidity\\s+([^;]+);"
-CARET_RE = "^\\^(\\d+)\\.(\\d+)\\.(\\d+)"
+CARET_RE = "^\\^v?(\\d+)(?:\\.(\\d+))?(?:\\.(\\d+))?$"
 BARE_RE = "^(\\d+)\\.(\\d+)\\.(\\d+)$"
-OP_RE = "^(>=|<=|>|<|=)(\\d+)\\.(\\d+)\\.(\\d+)"
-CATALOGUE_BROADCAST_MAX = 100_000   # a compiler catalogue is a few hundred releases
+OP_RE = "^(>=|<=|>|<|=)\\s*(\\d+)\\.(\\d+)\\.(\\d+)"
 # -------------------------------------------------------------------------------------
 
 
@@ -24,26 +23,28 @@ def pragma_expr(code) -> F.Column:
 def version_bounds(exprs: DataFrame, compat: bool = False) -> DataFrame:
     """L4: (expr, tok_no, side, op, major, minor, patch) for distinct ``expr``.
 
-    ``^a.b.c`` gives ``>= a.b.c`` and ``< a.(b+1).0``; a bare version is ``=``.
-    Default: ``=v`` is an exact lower bound and ``>= v`` (spaced) is read as
-    ``>=v``. compat: like the reference, ``=v`` lands on the upper side where it
-    is never tested, and a spaced operator leaves the bare version exact.
+    ``^a[.b[.c]]`` gives ``>= a.b.c`` and ``< a.(b+1).0``; a bare version is
+    ``=``; an expression with a caret token that is no version has no bounds at
+    all (the newest version serves it); other unknown tokens are passed over.
+    Default: ``=v`` is an exact lower bound and spaced operators (``>= v``,
+    ``^ v``) are read as if joined. compat: like the reference, ``=v`` lands on the
+    upper side where it is never tested, and a spaced operator stands alone.
     """
     e = exprs.select("expr").where(F.col("expr").isNotNull()).distinct()
-    src = F.col("expr") if compat else F.regexp_replace("expr", "(>=|<=|>|<|=)\\s+", "$1")
-    toks = e.select("expr", F.posexplode(F.split(T.strip_ws(src), "\\s+")).alias("tok_no", "tok"))
-    g = lambda pat, i: F.regexp_extract("tok", pat, i)
+    src = F.col("expr") if compat else F.regexp_replace("expr", "(>=|<=|>|<|=|\\^)\\s+", "$1")
+    tokens = F.split(T.strip_ws(src), "\\s+")
+    unread = F.exists("tokens", lambda t: t.startswith("^") & ~t.rlike(CARET_RE))
+    e = e.withColumn("tokens", tokens).select("expr", F.when(unread, F.array().cast("array<string>")).otherwise(F.col("tokens")).alias("tokens"))
+    toks = e.select("expr", F.posexplode("tokens").alias("tok_no", "tok"))
     caret, bare, op = F.col("tok").rlike(CARET_RE), F.col("tok").rlike(BARE_RE), F.col("tok").rlike(OP_RE)
-    v = lambda pat, o=0: F.struct(*[g(pat, i + o).cast("int").alias(n)
-                                    for i, n in ((1, "major"), (2, "minor"), (3, "patch"))])
-    opname = g(OP_RE, 1)
+    part = lambda pat, i: F.coalesce(F.nullif(F.regexp_extract("tok", pat, i), F.lit("")).cast("int"), F.lit(0))
+    v = lambda pat, o=0: F.struct(*[part(pat, i + o).alias(n) for i, n in ((1, "major"), (2, "minor"), (3, "patch"))])
     lower_ops = ["=", ">=", ">"] if not compat else [">=", ">"]
     b = lambda side, o, ver: F.struct(F.lit(side).alias("side"), o.alias("op"), ver.alias("v"))
-    up_v = F.struct(g(CARET_RE, 1).cast("int").alias("major"), (g(CARET_RE, 2).cast("int") + 1).alias("minor"),
-                    F.lit(0).alias("patch"))
+    up_v = F.struct(part(CARET_RE, 1).alias("major"), (part(CARET_RE, 2) + 1).alias("minor"), F.lit(0).alias("patch"))
     bounds = (F.when(caret, F.array(b("lower", F.lit(">="), v(CARET_RE)), b("upper", F.lit("<"), up_v)))
               .when(bare, F.array(b("lower", F.lit("="), v(BARE_RE))))
-              .when(op, F.array(b(None, opname, v(OP_RE, 1))))
+              .when(op, F.array(b(None, F.regexp_extract("tok", OP_RE, 1), v(OP_RE, 1))))
               .otherwise(F.array()))
     out = toks.select("expr", "tok_no", F.explode(bounds).alias("b"))
     side = F.coalesce(F.col("b.side"), F.when(F.col("b.op").isin(*lower_ops), F.lit("lower"))
@@ -56,26 +57,20 @@ def resolve_version(exprs: DataFrame, catalogue: DataFrame, compat: bool = False
     """(expr, version) = highest catalogue version meeting every bound;
     the newest when there is no pragma, no match or no usable bound.
 
-    Resolved once per distinct ``expr`` with a conditional join against the
-    catalogue, broadcast only after its row count is checked.
+    Resolved once per distinct ``expr``. The catalogue (a few hundred releases)
+    is one array value, a scalar subquery; no join pairs it with expressions.
     """
-    cat = catalogue.select(F.struct("major", "minor", "patch").alias("cv"))
-    n_cat = cat.count()
-    if n_cat == 0:
-        raise ValueError("empty compiler catalogue")
-    top = cat.agg(F.max("cv").alias("newest")).first()["newest"]   # one row
-    newest = F.struct(F.lit(top["major"]).alias("major"), F.lit(top["minor"]).alias("minor"),
-                      F.lit(top["patch"]).alias("patch"))
+    known = catalogue.agg(F.collect_set(F.struct("major", "minor", "patch")).alias("known")).scalar()
     bounds = version_bounds(exprs, compat)
     tested = bounds if not compat else bounds.where(~((F.col("side") == "upper") & (F.col("op") == "=")))
-    tested = tested.select("expr", "tok_no", "side", "op", F.struct("major", "minor", "patch").alias("bv"))
-    n_bounds = tested.groupBy("expr").agg(F.count(F.lit(1)).alias("n"))
-    cv, bv, op = F.col("cv"), F.col("bv"), F.col("op")
-    ok = (((op == ">=") & (cv >= bv)) | ((op == ">") & (cv > bv)) | ((op == "=") & (cv == bv))
-          | ((op == "<=") & (cv <= bv)) | ((op == "<") & (cv < bv)))
-    c = F.broadcast(cat) if n_cat <= CATALOGUE_BROADCAST_MAX else cat
-    sat = tested.join(c, ok).groupBy("expr", "cv").agg(F.count(F.lit(1)).alias("k"))
-    best = sat.join(n_bounds, "expr").where(F.col("k") == F.col("n")).groupBy("expr").agg(F.max("cv").alias("best"))
-    e = exprs.select("expr").distinct()
-    resolved = e.join(best, "expr", "left").select("expr", F.coalesce(F.col("best"), newest).alias("v"))
+    per_expr = tested.groupBy("expr").agg(F.collect_list(F.struct("op", F.struct("major", "minor", "patch").alias("v"))).alias("bounds"))
+
+    def meets(cv):
+        return F.forall("bounds", lambda b: ((b["op"] == ">=") & (cv >= b["v"])) | ((b["op"] == ">") & (cv > b["v"])) | ((b["op"] == "=") & (cv == b["v"]))
+                        | ((b["op"] == "<=") & (cv <= b["v"])) | ((b["op"] == "<") & (cv < b["v"])))
+
+    e = exprs.select("expr").distinct().join(per_expr, "expr", "left").withColumn("known", known)
+    best = F.array_max(F.filter("known", meets))
+    resolved = e.select("expr", F.coalesce(F.when(F.col("bounds").isNotNull(), best), F.array_max("known"),
+                                           F.raise_error(F.lit("empty compiler catalogue"))).alias("v"))
     return resolved.select("expr", F.concat_ws(".", "v.major", "v.minor", "v.patch").alias("version"))

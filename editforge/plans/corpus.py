@@ -28,14 +28,12 @@ class PathBuild:
     ranks: DataFrame        # (key, path_id, ln, rank)
     edges: DataFrame        # (key, ln, req)
     steps: DataFrame        # (key, path_id, ln, removal, step, total_steps)
-    unconverged: DataFrame  # (key, path_id) routed to failed_logic
-    cap: int
+    cap: int | None         # most recorded transitions of a path; None: all
     key: str
 
 
-def build_paths(lines: DataFrame, cap: int = P.MAX_DELETIONS, n_paths: int = P.PATHS_PER_DOC,
-                min_lines: int | None = P.MIN_LINES, key: str = "ok",
-                max_rounds: int = D.MAX_REPAIR_ROUNDS) -> PathBuild:
+def build_paths(lines: DataFrame, cap: int | None = None, n_paths: int = P.PATHS_PER_DOC,
+                min_lines: int | None = P.MIN_LINES, key: str = "ok") -> PathBuild:
     """``lines`` (key, ln, t); pass ``min_lines=None`` when F2 was applied already
     (``paths.eligible_lines``), which avoids an aggregate and a semi-join."""
     checkpoint_dir(lines.sparkSession)
@@ -47,10 +45,8 @@ def build_paths(lines: DataFrame, cap: int = P.MAX_DELETIONS, n_paths: int = P.P
     paths = P.path_fanout(docs, n_paths, key=key)
     ranks = P.deletion_order(kept, paths, key)
     edges = D.line_dependencies(kept, key)
-    removal, unconverged = D.repair_closure(ranks, edges, key, max_rounds)
-    removal = removal.join(unconverged, [key, "path_id"], "left_anti")
-    steps = materialize(P.steps_from_removal(removal, key))
-    return PathBuild(kept, docs, paths, ranks, edges, steps, unconverged, cap, key)
+    steps = materialize(P.steps_from_removal(D.repair_closure(ranks, edges, key), key))
+    return PathBuild(kept, docs, paths, ranks, edges, steps, cap, key)
 
 
 def edit_records(pb: PathBuild, sep: str = E.JOIN_SEPARATOR, compat: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from .oracle_fixtures import cte, sqlstr, with_ctes
 
-CAP = 2000
+CAP = 1 << 40   # no cap
 CAP_SMALL = 5
 
 WS = r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -157,11 +157,11 @@ ORACLE = {
                    True),
     "path_lengths": _q(["steps"], f"SELECT ok, path_id, max(m) AS total_steps FROM ({_capped(CAP)}) GROUP BY ok, path_id",
                        True),
-    "path_diversity": _q(["steps"], """
+    "path_diversity": _q(["steps"], f"""
   SELECT ok, CASE WHEN count(DISTINCT total_steps) > 1 THEN 'steps_differ'
                   WHEN count(DISTINCT fp) > 1 THEN 'states_differ' ELSE 'identical' END AS verdict
-  FROM (SELECT ok, path_id, max(total_steps) AS total_steps,
-               md5(string_agg(ln || ':' || step, ',' ORDER BY ln)) AS fp FROM steps GROUP BY ok, path_id)
+  FROM (SELECT ok, path_id, max(least(total_steps, {CAP})) AS total_steps,
+               md5(string_agg(ln || ':' || least(step, {CAP} + 1), ',' ORDER BY ln)) AS fp FROM steps GROUP BY ok, path_id)
   GROUP BY ok""", True),
     "diff_hunks": _q(["steps", "lines_ok"], f"SELECT ok, path_id, fwd, diff FROM ({_diffs(CAP)})", True),
     "edit_sequence": _q(["steps", "lines_ok"], f"SELECT ok, path_id, edit_sequence, steps_count FROM ({_seqs(CAP)})",
@@ -299,15 +299,18 @@ cte("l2", ["l1", "clean_lines"], """
 
 
 def _bounds_sql(compat):
-    src = "expr" if compat else "regexp_replace(expr, '(>=|<=|>|<|=)\\s+', '\\1', 'g')"
+    src = "expr" if compat else "regexp_replace(expr, '(>=|<=|>|<|=|\\^)\\s+', '\\1', 'g')"
     lower_ops = "('>=', '>')" if compat else "('=', '>=', '>')"
-    caret, bare, op = r"^\^(\d+)\.(\d+)\.(\d+)", r"^(\d+)\.(\d+)\.(\d+)$", r"^(>=|<=|>|<|=)(\d+)\.(\d+)\.(\d+)"
-    g = lambda pat, i: f"CAST(regexp_extract(tok, {sqlstr(pat)}, {i}) AS INTEGER)"
+    # A caret's version has one to three parts; missing ones are 0. What else follows a caret is no version.
+    caret, bare, op = r"^\^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?$", r"^(\d+)\.(\d+)\.(\d+)$", r"^(>=|<=|>|<|=)\s*(\d+)\.(\d+)\.(\d+)"
+    g = lambda pat, i: f"CAST(coalesce(nullif(regexp_extract(tok, {sqlstr(pat)}, {i}), ''), '0') AS INTEGER)"
     return f"""
-  WITH toks AS (
+  WITH every_tok AS (
     SELECT expr, CAST(i - 1 AS BIGINT) AS tok_no, arr[i] AS tok
     FROM (SELECT expr, regexp_split_to_array({strip(src)}, '\\s+') AS arr
-          FROM (SELECT DISTINCT expr FROM pragma_exprs WHERE expr IS NOT NULL)), range(1, len(arr) + 1) r(i))
+          FROM (SELECT DISTINCT expr FROM pragma_exprs WHERE expr IS NOT NULL)), range(1, len(arr) + 1) r(i)),
+  toks AS (SELECT * FROM every_tok WHERE expr NOT IN (
+    SELECT expr FROM every_tok WHERE starts_with(tok, '^') AND NOT regexp_matches(tok, {sqlstr(caret)})))
   SELECT expr, tok_no, 'lower' AS side, '>=' AS op, {g(caret, 1)} AS major, {g(caret, 2)} AS minor, {g(caret, 3)} AS patch
   FROM toks WHERE regexp_matches(tok, {sqlstr(caret)})
   UNION ALL
@@ -438,7 +441,7 @@ ORACLE.update({
     "prompt_table": _q(["steps", "lines_ok"], f"""
   SELECT original_line_no,
          to_json([{{'role': 'system', 'content': {sqlstr(SYSTEM_PROMPT)}}},
-                  {{'role': 'user', 'content': {sqlstr(USER_PREFIX)} || substr(final_code, 1, 4096)
+                  {{'role': 'user', 'content': {sqlstr(USER_PREFIX)} || final_code
                                                || {sqlstr(USER_SUFFIX)}}}]) AS messages
   FROM ({_ONCE})""", True),
     "attach_instruction": _q(["steps", "lines_ok", "responses"],
@@ -490,14 +493,17 @@ ORACLE.update({
                                True),
     "snapshot_validity": _q(["steps", "edges"], f"""SELECT * FROM (
   WITH s AS ({_capped(CAP)}),
-  st AS (SELECT DISTINCT ok, path_id, CAST(k AS BIGINT) AS state FROM s, range(0, m + 1) r(k)),
-  sz AS (SELECT st.ok, st.path_id, st.state, count(*) AS n_lines FROM st JOIN s
-           ON s.ok = st.ok AND s.path_id = st.path_id AND s.step > st.state GROUP BY ALL),
-  vi AS (SELECT st.ok, st.path_id, st.state, count(DISTINCT s.ln) AS violations FROM st
-           JOIN s ON s.ok = st.ok AND s.path_id = st.path_id AND s.step > st.state
-           JOIN edges e ON e.ok = s.ok AND e.ln = s.ln
-           JOIN s r ON r.ok = s.ok AND r.path_id = s.path_id AND r.ln = e.req AND r.step <= st.state
-         GROUP BY ALL)
+  st AS (SELECT ok, path_id, CAST(k AS BIGINT) AS state FROM (SELECT DISTINCT ok, path_id, m FROM s), range(0, m + 1) r(k)),
+  gone AS (SELECT ok, path_id, step, count(*) AS n FROM s GROUP BY ALL),
+  sz AS (SELECT st.ok, st.path_id, st.state, t.n - CAST(sum(coalesce(g.n, 0)) OVER (PARTITION BY st.ok, st.path_id ORDER BY st.state) AS BIGINT) AS n_lines
+         FROM st JOIN (SELECT ok, path_id, count(*) AS n FROM s GROUP BY ALL) t ON t.ok = st.ok AND t.path_id = st.path_id
+         LEFT JOIN gone g ON g.ok = st.ok AND g.path_id = st.path_id AND g.step = st.state),
+  bad AS (SELECT s.ok, s.path_id, s.ln, s.step, s.m, min(r.step) AS since FROM s
+            JOIN edges e ON e.ok = s.ok AND e.ln = s.ln
+            JOIN s r ON r.ok = s.ok AND r.path_id = s.path_id AND r.ln = e.req AND r.step < s.step
+          GROUP BY ALL),
+  vi AS (SELECT ok, path_id, CAST(k AS BIGINT) AS state, count(*) AS violations
+         FROM bad, range(since, least(step, m + 1)) r(k) GROUP BY ALL)
   SELECT st.ok, st.path_id, st.state, coalesce(sz.n_lines, 0) AS n_lines, coalesce(vi.violations, 0) AS violations
   FROM st LEFT JOIN sz USING (ok, path_id, state) LEFT JOIN vi USING (ok, path_id, state))""", True),
     "edit_corpus": _qz(f"SELECT * FROM ({_records(CAP)})"),

@@ -124,7 +124,7 @@ cte("clean_lines", ["clean_docs"], """
 cte("pragma_exprs", [], """
   SELECT c_custkey AS id,
          (['^0.4.3', '0.4.11', '>=0.4.2 <0.6.0', '>=0.4.0', '<=0.5.3', '~0.4.1', '=0.4.9', '>= 0.4.5', '^9.9.9',
-           NULL])[c_custkey % 10 + 1] AS expr
+           NULL, '^0.4', '^0', '^0.4.3-nightly', '^ 0.4.3', '0.4.*', '>=0.4.22 <0.9.0'])[c_custkey % 16 + 1] AS expr
   FROM customer""")
 
 cte("versions", [], """
@@ -144,7 +144,7 @@ cte("diagnostics", [], """
 cte("responses", [], """
   SELECT o_orderkey AS original_line_no, f.instruction
   FROM orders JOIN (SELECT conv_id, arg_min(text, turn) AS instruction FROM conversations
-                    WHERE role = 'assistant' GROUP BY conv_id) f ON o_orderkey % 100 = f.conv_id""")
+                    WHERE role = 'assistant' GROUP BY conv_id) f ON o_orderkey % (SELECT max(conv_id) + 1 FROM conversations) = f.conv_id""")
 
 cte("done_keys", [], "SELECT o_orderkey AS original_line_no FROM orders WHERE o_orderkey % 5 = 0")
 

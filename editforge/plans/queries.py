@@ -21,7 +21,7 @@ def _eligible(spark: SparkSession, sf: str):
     return P.eligible_lines(X.clean_docs(spark, sf))
 
 
-def _pb(spark: SparkSession, sf: str, cap: int = P.MAX_DELETIONS) -> C.PathBuild:
+def _pb(spark: SparkSession, sf: str, cap: int | None = None) -> C.PathBuild:
     return C.build_paths(_eligible(spark, sf), cap=cap, min_lines=None)
 
 
@@ -68,7 +68,8 @@ def q_path_lengths(spark, sf):
 
 
 def q_path_diversity(spark, sf):
-    return P.path_diversity(_pb(spark, sf).steps)
+    pb = _pb(spark, sf)
+    return P.path_diversity(pb.steps, pb.cap)
 
 
 def q_diff_hunks(spark, sf):

@@ -15,7 +15,8 @@ from .tables import table
 
 # --- fixed values: the fixture definitions ----------------------------------
 PRAGMA_EXPRS = ["^0.4.3", "0.4.11", ">=0.4.2 <0.6.0", ">=0.4.0", "<=0.5.3",
-                "~0.4.1", "=0.4.9", ">= 0.4.5", "^9.9.9", None]   # by c_custkey % 10
+                "~0.4.1", "=0.4.9", ">= 0.4.5", "^9.9.9", None,
+                "^0.4", "^0", "^0.4.3-nightly", "^ 0.4.3", "0.4.*", ">=0.4.22 <0.9.0"]   # by c_custkey % 16
 CATALOGUE = [(0, 4, 26), (0, 5, 17), (0, 6, 12)]                  # (major, minor, last patch)
 # -----------------------------------------------------------------------------
 
@@ -147,7 +148,7 @@ def pragma_exprs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer", "c_custkey")
     choices = F.array(*[F.lit(e).cast("string") for e in PRAGMA_EXPRS])
     return c.select(F.col("c_custkey").alias("id"),
-                    F.element_at(choices, (F.col("c_custkey") % 10 + 1).cast("int")).alias("expr"))
+                    F.element_at(choices, (F.col("c_custkey") % len(PRAGMA_EXPRS) + 1).cast("int")).alias("expr"))
 
 
 def versions(spark: SparkSession) -> DataFrame:
@@ -173,14 +174,14 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(original_line_no, instruction): first assistant turn of conversation ok % 100."""
+    """(original_line_no, instruction): first assistant turn of the conversation that the order
+    key leaves when divided by the number of conversations."""
     conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    # Only conversations 0..99 can match ``o_orderkey % 100``: a proven bound of 100 rows.
-    first = (conv.where((F.col("role") == "assistant") & F.col("conv_id").between(0, 99))
-             .groupBy("conv_id").agg(F.min_by("text", "turn").alias("instruction")))
+    n = conv.agg(F.max("conv_id") + 1).scalar()
+    first = conv.where(F.col("role") == "assistant").groupBy("conv_id").agg(F.min_by("text", "turn").alias("instruction"))
     o = table(spark, sf_dir, "orders", "o_orderkey")
-    return (o.join(F.broadcast(first), (F.col("o_orderkey") % 100) == F.col("conv_id"))
-            .select(F.col("o_orderkey").alias("original_line_no"), "instruction"))
+    return (o.select(F.col("o_orderkey").alias("original_line_no"), (F.col("o_orderkey") % n).alias("conv_id"))
+            .join(first, "conv_id").select("original_line_no", "instruction"))
 
 
 def done_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,7 +66,6 @@ def test_closure_equals_sequential_loop(spark):
     for e in pb.edges.collect():
         edges.setdefault(e.ok, {}).setdefault(e.ln, set()).add(e.req)
     got = {(r.ok, r.path_id, r.ln): r.step for r in pb.steps.collect()}
-    assert pb.unconverged.count() == 0
     for ok, ls in docs.items():
         for path in range(3):
             rank = {ln: ranks[(ok, path, ln)] for ln in range(1, len(ls) + 1)}
