@@ -2,15 +2,14 @@
 
 Deletion paths only remove lines, so the forward sequence (empty -> full)
 only inserts. Forward step ``j`` (1..m) adds the lines with
-``step = m - j + 1``; its text is ``lines with step >= m - j + 1``. Inside
-``(doc, path, j)`` ordered by line number, a row is shown when an added row is
-within 3 positions (the unified-diff context); a hunk is a run of shown rows
-(gaps and islands). Only integers travel through the windows; line text is
-joined to the shown rows at the end.
+``step = m - j + 1``; its text is ``lines with step >= m - j + 1``. A line is
+shown when an added line is within 3 positions (the unified-diff context); a
+hunk is a run of shown lines.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,59 +22,110 @@ TAGGED_SEPARATOR = "\n<|next_edit|>\n"
 # -----------------------------------------------------------------------------------
 
 
-def _range(start0: Column, length: Column) -> Column:
+def _range(start0: int, length: int) -> str:
     """Unified-diff range text: ``s``, ``s,l`` or ``s-1,0`` (1-based s)."""
-    return (F.when(length == 1, (start0 + 1).cast("string"))
-            .when(length == 0, F.concat(start0.cast("string"), F.lit(",0")))
-            .otherwise(F.concat((start0 + 1).cast("string"), F.lit(","), length.cast("string"))))
+    return f"{start0 + 1}" if length == 1 else f"{start0},0" if length == 0 else f"{start0 + 1},{length}"
 
 
 def _ordered_join(arr: Column, sep: str) -> Column:
     return F.array_join(F.sort_array(arr).getField("v"), sep)
 
 
+def _path_hunks(steps: list[int], texts: list[str], m: int, context: int, compat: bool):
+    """(forward step, diff) of one path; ``steps`` and ``texts`` are in line order.
+
+    States only shrink, so the lines left are a doubly linked list that the
+    steps empty one after the other; a count tree gives a line's number among
+    those left. A step costs its own lines and their context, not the state.
+    """
+    n = len(steps)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    tree = [i & -i for i in range(n + 1)]
+    by_step: dict[int, list[int]] = {}
+    for i, s in enumerate(steps):
+        if s <= m:
+            by_step.setdefault(s, []).append(i)
+    for s in range(1, m + 1):
+        added = by_step.get(s, [])
+        hunks, shown, done = [], [], 0  # done: lines of this step shown in earlier hunks
+        for i in added:
+            lead, j = [], before[i]
+            while j >= 0 and len(lead) < context and (not shown or j > shown[-1]):
+                lead.append(j)
+                j = before[j]
+            if shown and i > shown[-1] != j:  # a gap to what is shown already
+                hunks.append(shown)
+                shown = []
+            shown += reversed(lead)
+            if not shown or shown[-1] < i:
+                shown.append(i)
+            j, k = after[i], 0
+            while j < n and k < context:
+                if j > shown[-1]:
+                    shown.append(j)
+                j, k = after[j], k + 1
+        if shown:
+            hunks.append(shown)
+        parts = []
+        for rows in hunks:
+            at, i = 0, rows[0]  # lines left before the hunk
+            while i > 0:
+                at += tree[i]
+                i &= i - 1
+            new = sum(steps[r] == s for r in rows)
+            parts.append(f"@@ -{_range(at - done, len(rows) - new)} +{_range(at, len(rows))} @@")
+            parts += [("+" if steps[r] == s else " ") + texts[r] for r in rows if not (compat and steps[r] == s and texts[r].startswith("++"))]
+            done += new
+        if parts:
+            yield m - s + 1, "\n".join(parts)
+        for i in added:
+            p, q = before[i], after[i]
+            if p >= 0:
+                after[p] = q
+            if q < n:
+                before[q] = p
+            i += 1
+            while i <= n:
+                tree[i] -= 1
+                i += i & -i
+
+
+def _batch_hunks(context: int, compat: bool):
+    def run(batches):
+        for batch in batches:
+            row, fwds, diffs, size = [], [], [], 0
+            for r, (lines, m) in enumerate(zip(batch.column("lines"), batch.column("m").to_pylist())):
+                lines = sorted(lines.as_py(), key=lambda x: x["ln"])
+                for fwd, diff in _path_hunks([x["step"] for x in lines], [x["t"] for x in lines], m, context, compat):
+                    row.append(r), fwds.append(fwd), diffs.append(diff)
+                    size += len(diff)
+                    if size > 1 << 24:
+                        yield _hunk_rows(batch, row, fwds, diffs)
+                        row, fwds, diffs, size = [], [], [], 0
+            yield _hunk_rows(batch, row, fwds, diffs)
+    return run
+
+
+def _hunk_rows(batch, row, fwds, diffs):
+    at = pa.array(row, pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column("path_id").take(at), pa.array(fwds, pa.int64()), pa.array(diffs, pa.string())],
+                                      names=["key", "path_id", "fwd", "diff"])
+
+
 def diff_hunks(steps: DataFrame, lines: DataFrame, cap: int | None = None, key: str = "ok",
                context: int = CONTEXT, compat: bool = False) -> DataFrame:
     """(key, path_id, fwd, diff) with one unified-diff text per forward step.
 
+    One row per path holds its lines (a document is one input record); the
+    hunks of all its steps come from one walk over them, O(n log n).
     ``compat=True`` also drops added lines that start with ``++`` (the reference
     filters every diff line starting ``+++``/``---`` to remove file headers).
     """
-    s = capped(steps, cap).where(F.col("m") >= 1)
-    x = s.select(key, "path_id", "ln", "step", "m",
-                 F.explode(F.sequence(F.greatest(F.lit(1).cast("bigint"), F.col("m") - F.col("step") + 1),
-                                      F.col("m"))).alias("fwd"))
-    x = x.withColumn("added", (F.col("step") == F.col("m") - F.col("fwd") + 1).cast("int"))
-    # Every frame below shares partition (key, path_id, fwd) and order ln: one sort serves all.
-    w = Window.partitionBy(key, "path_id", "fwd").orderBy("ln")
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    x = (x.withColumn("pos", F.row_number().over(w))
-         .withColumn("near", F.max("added").over(w.rowsBetween(-context, context)))
-         .withColumn("added_before", F.coalesce(F.sum("added").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                F.lit(0)))
-         .withColumn("added_from", F.sum("added").over(ahead))
-         .withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy(key, "path_id", "fwd"))))
-    gap = F.col("near") == 0
-    x = (x.withColumn("start", (F.col("near") == 1) & (F.lag("near", 1, 0).over(w) == 0))
-         .withColumn("next_gap", F.min(F.when(gap, F.col("pos"))).over(ahead))
-         # suffix sums never grow along ln, so the first gap row ahead holds the largest one
-         .withColumn("added_after_hunk", F.max(F.when(gap, F.col("added_from"))).over(ahead)))
-    # Header fields, known on the first row of each hunk (difflib range format).
-    n_new = F.coalesce(F.col("next_gap") - 1, F.col("n_rows")) - F.col("pos") + 1
-    n_add = F.col("added_from") - F.coalesce(F.col("added_after_hunk"), F.lit(0))
-    i1 = F.col("pos") - 1 - F.col("added_before")
-    header = F.concat(F.lit("@@ -"), _range(i1, n_new - n_add), F.lit(" +"), _range(F.col("pos") - 1, n_new),
-                      F.lit(" @@\n"))
-    shown = x.where(F.col("near") == 1).select(
-        key, "path_id", "fwd", "ln", "pos", "added", F.when(F.col("start"), header).otherwise(F.lit("")).alias("hdr"))
-    shown = shown.join(lines.select(key, "ln", "t"), [key, "ln"])
-    keep = ~((F.col("added") == 1) & F.col("t").startswith("++")) if compat else F.lit(True)
-    body = F.concat(F.when(F.col("added") == 1, F.lit("+")).otherwise(F.lit(" ")), F.col("t"))
-    # compat drops the line but keeps its hunk's header (collect_list skips the nulls)
-    text = (F.when(keep, F.concat(F.col("hdr"), body))
-            .when(F.col("hdr") != "", F.regexp_replace("hdr", "\n\\z", "")))
-    item = F.when(text.isNotNull(), F.struct(F.col("pos").alias("k"), text.alias("v")))
-    return shown.groupBy(key, "path_id", "fwd").agg(_ordered_join(F.collect_list(item), "\n").alias("diff"))
+    s = capped(steps, cap).where(F.col("m") >= 1).join(lines.select(key, "ln", "t"), [key, "ln"])
+    per_path = s.groupBy(key, "path_id").agg(F.max("m").alias("m"), F.collect_list(F.struct("ln", "step", "t")).alias("lines"))
+    kind = lambda c: steps.schema[c].dataType.simpleString()
+    return (per_path.select(key, "path_id", "m", "lines")
+            .mapInArrow(_batch_hunks(context, compat), f"key {kind(key)}, path_id {kind('path_id')}, fwd bigint, diff string").withColumnRenamed("key", key))
 
 
 def edit_sequence(diffs: DataFrame, key: str = "ok", sep: str = JOIN_SEPARATOR) -> DataFrame:

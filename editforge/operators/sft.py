@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 # --- fixed values (reference settings and prompt text) --------------------------------
 PROMPT_CHARS = 4096
@@ -81,12 +82,9 @@ def dual_sink(sft: DataFrame, edit_path: str, control_path: str) -> DataFrame:
     """Two row-aligned JSONL outputs from one computation; returns the invariant row
     (n_edit, n_control, key_sym_diff) read back from what was written."""
     from ..sources import jsonl
-    base = sft.persist()
-    try:
-        jsonl.jsonl_write(sft_edit_set(base), edit_path)
-        jsonl.jsonl_write(sft_control_set(base), control_path)
-    finally:
-        base.unpersist()
+    base = materialize(sft, "sft")   # computed once, read by both sinks; a lost executor loses nothing
+    jsonl.jsonl_write(sft_edit_set(base), edit_path)
+    jsonl.jsonl_write(sft_control_set(base), control_path)
     spark = sft.sparkSession
     schema = "original_line_no bigint, path_id bigint"
     a = spark.read.schema(schema).json(edit_path).withColumn("_a", F.lit(1))

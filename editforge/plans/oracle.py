@@ -425,6 +425,22 @@ def _qz(body):
     return with_ctes(["steps", "lines_ok", "responses"], body, extra=_Z2).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+_VALIDITY = f"""SELECT * FROM (
+  WITH s AS ({_capped(CAP)}),
+  st AS (SELECT ok, path_id, CAST(k AS BIGINT) AS state FROM (SELECT DISTINCT ok, path_id, m FROM s), range(0, m + 1) r(k)),
+  gone AS (SELECT ok, path_id, step, count(*) AS n FROM s GROUP BY ALL),
+  sz AS (SELECT st.ok, st.path_id, st.state, t.n - CAST(sum(coalesce(g.n, 0)) OVER (PARTITION BY st.ok, st.path_id ORDER BY st.state) AS BIGINT) AS n_lines
+         FROM st JOIN (SELECT ok, path_id, count(*) AS n FROM s GROUP BY ALL) t ON t.ok = st.ok AND t.path_id = st.path_id
+         LEFT JOIN gone g ON g.ok = st.ok AND g.path_id = st.path_id AND g.step = st.state),
+  bad AS (SELECT s.ok, s.path_id, s.ln, s.step, s.m, min(r.step) AS since FROM s
+            JOIN edges e ON e.ok = s.ok AND e.ln = s.ln
+            JOIN s r ON r.ok = s.ok AND r.path_id = s.path_id AND r.ln = e.req AND r.step < s.step
+          GROUP BY ALL),
+  vi AS (SELECT ok, path_id, CAST(k AS BIGINT) AS state, count(*) AS violations
+         FROM bad, range(since, least(step, m + 1)) r(k) GROUP BY ALL)
+  SELECT st.ok, st.path_id, st.state, coalesce(sz.n_lines, 0) AS n_lines, coalesce(vi.violations, 0) AS violations
+  FROM st LEFT JOIN sz USING (ok, path_id, state) LEFT JOIN vi USING (ok, path_id, state))"""
+
 _PBJ = """
   SELECT ok AS original_line_no,
          to_json(list({{'path_id': path_id, 'initial_code': initial_code, 'final_code': final_code,
@@ -491,21 +507,7 @@ ORACLE.update({
   FROM (SELECT DISTINCT ok, path_id FROM steps WHERE total_steps >= 1) p
   LEFT JOIN ({_seqs(CAP, "chr(10) || '<|next_edit|>' || chr(10)")}) q ON q.ok = p.ok AND q.path_id = p.path_id""",
                                True),
-    "snapshot_validity": _q(["steps", "edges"], f"""SELECT * FROM (
-  WITH s AS ({_capped(CAP)}),
-  st AS (SELECT ok, path_id, CAST(k AS BIGINT) AS state FROM (SELECT DISTINCT ok, path_id, m FROM s), range(0, m + 1) r(k)),
-  gone AS (SELECT ok, path_id, step, count(*) AS n FROM s GROUP BY ALL),
-  sz AS (SELECT st.ok, st.path_id, st.state, t.n - CAST(sum(coalesce(g.n, 0)) OVER (PARTITION BY st.ok, st.path_id ORDER BY st.state) AS BIGINT) AS n_lines
-         FROM st JOIN (SELECT ok, path_id, count(*) AS n FROM s GROUP BY ALL) t ON t.ok = st.ok AND t.path_id = st.path_id
-         LEFT JOIN gone g ON g.ok = st.ok AND g.path_id = st.path_id AND g.step = st.state),
-  bad AS (SELECT s.ok, s.path_id, s.ln, s.step, s.m, min(r.step) AS since FROM s
-            JOIN edges e ON e.ok = s.ok AND e.ln = s.ln
-            JOIN s r ON r.ok = s.ok AND r.path_id = s.path_id AND r.ln = e.req AND r.step < s.step
-          GROUP BY ALL),
-  vi AS (SELECT ok, path_id, CAST(k AS BIGINT) AS state, count(*) AS violations
-         FROM bad, range(since, least(step, m + 1)) r(k) GROUP BY ALL)
-  SELECT st.ok, st.path_id, st.state, coalesce(sz.n_lines, 0) AS n_lines, coalesce(vi.violations, 0) AS violations
-  FROM st LEFT JOIN sz USING (ok, path_id, state) LEFT JOIN vi USING (ok, path_id, state))""", True),
+    "snapshot_validity": _q(["steps", "edges"], _VALIDITY, True),
     "edit_corpus": _qz(f"SELECT * FROM ({_records(CAP)})"),
     "sft_corpus": _qz(_edit_set(f"""SELECT e.*, {strip('r.instruction')} AS instruction FROM ({_ELIG}) e
   JOIN responses r ON r.original_line_no = e.original_line_no""")),
@@ -523,3 +525,27 @@ ORACLE.update({
   SELECT o_orderkey AS original_line_no FROM orders
   WHERE o_orderkey NOT IN (SELECT original_line_no FROM done_keys)"""),
 })
+
+# The same plans over one long document per text of ``documents``.
+_LONG = {
+    "long_lines": ([], """
+  SELECT doc_id AS ok, CAST(2 * i - 1 + k AS BIGINT) AS ln,
+         CASE WHEN k = 1 THEN 'string s' || (i - 1) || ' = "' || md5(string_split(text, chr(10))[i]) || '";'
+              WHEN i = 1 THEN 'uint v0 = 1;' ELSE 'uint v' || (i - 1) || ' = v' || (i - 2) || ';' END AS t
+  FROM documents, range(1, len(string_split(text, chr(10))) + 1) r(i), range(0, 2) q(k)"""),
+    "docs_ok": (["long_lines"], "SELECT ok, count(*) AS n_lines FROM long_lines GROUP BY ok HAVING count(*) >= 6"),
+    "lines_ok": (["long_lines", "docs_ok"], "SELECT ok, ln, t FROM long_lines WHERE ok IN (SELECT ok FROM docs_ok)"),
+}
+
+
+def _long(names, body):
+    """A recursive query's SQL with its documents replaced by the long ones."""
+    return with_ctes(names, body, extra=_LONG).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLE.update({
+    "resume_stream": "SELECT o_orderkey AS original_line_no, CASE WHEN o_orderkey % 5 = 0 THEN 'first' ELSE 'second' END AS run FROM orders",
+    "repair_closure_long": _long(["steps"], "SELECT ok, path_id, ln, removal, step FROM steps"),
+    "edit_records_long": _long(["steps", "lines_ok"], f"SELECT * FROM ({_records(CAP)})"),
+    "snapshot_validity_long": _long(["steps", "edges"], _VALIDITY),
+})

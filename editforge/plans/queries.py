@@ -303,7 +303,7 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- SFT, reports, sampling, I/O
 from ..operators import sft as S  # noqa: E402
-from ..session import scratch_path  # noqa: E402
+from ..session import materialize, scratch_path  # noqa: E402
 from ..sources import jsonl as J  # noqa: E402
 from ..streaming import resume as R  # noqa: E402
 
@@ -445,13 +445,12 @@ def q_sft_corpus(spark, sf):
 def _stage_raw_lines(spark, sf):
     """Write the raw_lines fixture as 3 JSONL sources (folders of ordered part files)."""
     base = scratch_path(spark, "jsonl_scan")
-    rl = X.raw_lines(spark, sf).persist()
+    rl = materialize(X.raw_lines(spark, sf), "raw_lines")
     srcs = []
     for i in range(3):
         d = f"{base}/shard_{i}"
         rl.where(F.col("file_ord") == i).orderBy("line_no").select(F.col("raw").alias("value")).write.text(d)
         srcs.append(d)
-    rl.unpersist()
     return srcs
 
 
@@ -482,7 +481,34 @@ def q_resume_append(spark, sf):
     return R.remaining(inputs, X.done_keys(spark, sf))
 
 
+def q_repair_closure_long(spark, sf):
+    pb = C.build_paths(X.long_lines(spark, sf))
+    return pb.steps.select("ok", F.col("path_id").cast("bigint").alias("path_id"), "ln", "removal", "step")
+
+
+def q_edit_records_long(spark, sf):
+    return C.edit_records(C.build_paths(X.long_lines(spark, sf))).withColumn("path_id", F.col("path_id").cast("bigint"))
+
+
+def q_snapshot_validity_long(spark, sf):
+    pb = C.build_paths(X.long_lines(spark, sf))
+    return D.snapshot_validity(pb.steps, pb.edges, pb.cap).withColumn("path_id", F.col("path_id").cast("bigint"))
+
+
+def q_resume_stream(spark, sf):
+    """An interrupted run, every fifth order done, that a file stream goes on with."""
+    base = scratch_path(spark, "resume")
+    _table(spark, sf, "orders", "o_orderkey").select(F.col("o_orderkey").alias("original_line_no")).write.parquet(base + "/in")
+    X.done_keys(spark, sf).withColumn("run", F.lit("first")).write.parquet(base + "/out")
+    R.resume_stream(spark, base + "/in", "original_line_no bigint", base + "/out", base + "/state", lambda df: df.withColumn("run", F.lit("second")))
+    return spark.read.parquet(base + "/out")
+
+
 QUERIES.update({
+    "resume_stream": q_resume_stream,
+    "repair_closure_long": q_repair_closure_long,
+    "edit_records_long": q_edit_records_long,
+    "snapshot_validity_long": q_snapshot_validity_long,
     "instruct_eligible": q_instruct_eligible,
     "instruction_once": q_instruction_once,
     "prompt_table": q_prompt_table,

@@ -187,3 +187,16 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def done_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", "o_orderkey")
     return o.where(F.col("o_orderkey") % 5 == 0).select(F.col("o_orderkey").alias("original_line_no"))
+
+
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ok, ln, t): one code-shaped document per text of ``documents``, two lines per line of the
+    text: a declaration that uses the one before (so requirements chain through the whole
+    document) and one that stands alone."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    d = d.select(F.col("doc_id").alias("ok"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    i, prev = F.col("i").cast("string"), (F.col("i") - 1).cast("string")
+    chained = F.when(F.col("i") == 0, F.lit("uint v0 = 1;")).otherwise(F.concat(F.lit("uint v"), i, F.lit(" = v"), prev, F.lit(";")))
+    alone = F.concat(F.lit("string s"), i, F.lit(' = "'), F.md5("line"), F.lit('";'))
+    return d.select("ok", F.posexplode(F.array(chained, alone)).alias("k", "t"), "i").select(
+        "ok", (F.col("i") * 2 + F.col("k") + 1).cast("bigint").alias("ln"), "t")

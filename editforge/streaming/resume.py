@@ -11,6 +11,7 @@ order or when failed inputs wrote nothing.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,20 +24,24 @@ def resume_stream(spark: SparkSession, input_dir: str, schema: str, out_dir: str
     """Process every input file once; append results whose ``key`` is not yet in ``out_dir``.
 
     ``transform`` maps a batch DataFrame of inputs to result rows carrying ``key``.
-    Blocks until all files present at start are processed (AvailableNow).
+    Repeats of a key inside a batch are processed once. Only a missing output
+    folder means "no output yet"; any other failure to read it ends the stream,
+    since going on would append finished rows again. Blocks until all files present
+    at start are processed (AvailableNow).
     """
     stream = spark.readStream.schema(schema).parquet(input_dir)
 
     def _batch(df: DataFrame, epoch_id: int) -> None:
+        df = df.dropDuplicates([key])
         try:
-            done = spark.read.parquet(out_dir).select(key)
-        except Exception:   # first batch: no output yet
+            done = spark.read.schema(f"`{key}` {df.schema[key].dataType.simpleString()}").parquet(out_dir)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             done = None
         todo = df if done is None else remaining(df, done, key)
-        out = transform(todo)
-        out.write.mode("append").parquet(out_dir)
+        transform(todo).write.mode("append").parquet(out_dir)
 
     q = (stream.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-

@@ -193,3 +193,41 @@ def test_step_cap_leaves_final_code(spark):
             assert r.total_steps == 2 and r.final_code != ""
         else:
             assert r.total_steps == full[(r.ok, r.path_id)] and r.final_code == ""
+
+
+def _same_hunks(spark, docs, **options):
+    from plain_hunks import plain_diff_hunks
+    pb = C.build_paths(_lines_df(spark, docs))
+    got = E.diff_hunks(pb.steps, pb.lines, **options).collect()
+    want = plain_diff_hunks(pb.steps, pb.lines, **options).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_hunks_equal_plain_form_on_random_documents(spark):
+    rnd = random.Random(17)
+    docs = {k: [rnd.choice([f"uint a{k}_{i} = 1;", "++x;", "}", "{", f"f(a{k}_{rnd.randrange(i + 1)});", "plain"]) for i in range(rnd.randint(6, 30))] for k in range(500)}
+    _same_hunks(spark, docs)
+    _same_hunks(spark, {k: docs[k] for k in range(60)}, compat=True)
+    _same_hunks(spark, {k: docs[k] for k in range(60)}, cap=4)
+    _same_hunks(spark, {k: docs[k] for k in range(60)}, context=1)
+
+
+def test_long_chain_keeps_its_paths(spark):
+    chain = ["uint v0 = 1;"] + [f"uint v{i} = v{i - 1};" for i in range(1, 200)]
+    pb = C.build_paths(_lines_df(spark, {1: chain}))
+    ranks = {(r.path_id, r.ln): r.rank for r in pb.ranks.collect()}
+    got = {(r.path_id, r.ln): r.removal for r in pb.steps.collect()}
+    assert {p for p, _ in got} == {0, 1, 2} and len(got) == 600
+    for path in range(3):
+        least = 10 ** 9
+        for ln in range(1, 201):
+            least = min(least, ranks[path, ln])
+            assert got[path, ln] == least
+
+
+def test_long_document_gives_few_rows(spark):
+    lines = [f'string s{i} = "x";' for i in range(2000)]
+    pb = C.build_paths(_lines_df(spark, {1: lines}), n_paths=1)
+    diffs = E.diff_hunks(pb.steps, pb.lines).collect()
+    assert len(diffs) == 2000   # one independent line a step, no state is written out
+    assert sum(d["diff"].count("\n") for d in diffs) <= 2000 * 8

@@ -60,3 +60,14 @@ def test_stable_key_and_hash(spark):
     assert got[0] == "addr:0xab::fn:f"
     assert got[1] == "file:p.sol::fn:f"
     assert got[2] == "codehash:" + hashlib.sha256("code\nx".encode()).hexdigest()
+
+
+def test_normalise_is_linear_in_long_blank_runs(spark):
+    import time
+    from editforge.functions import text as T
+    text = "a" + " " * 1_000_000 + "b  \n\n" + "\u00a0" * 1000 + "\nc"
+    df = spark.createDataFrame([(text,), ("x \t y\t \n z",)], "c string").select(T.normalise_lines(F.col("c")).alias("c"))
+    t0 = time.time()
+    got = [r[0] for r in df.collect()]
+    assert time.time() - t0 < 20
+    assert got == ["a" + " " * 1_000_000 + "b\nc", "x \t y\n z"]
