@@ -37,6 +37,10 @@ def bad_record_route(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rejects
 
 
+#: Lines of a file come before those of the next one in one numbering.
+PLACE = 1 << 40
+
+
 def reject_examples(rejects: DataFrame, n: int = 20) -> DataFrame:
     """The first ``n`` rejects as ``file:line`` (a report: the limit is the feature)."""
     return (rejects.orderBy("file_ord", "line_no").limit(n)
@@ -105,11 +109,12 @@ def content_dedup(cleaned: DataFrame) -> DataFrame:
     """D3 (+P7): one row per exact cleaned text, first in input order -> (contract, file_ord, line_no).
 
     Grouping on the text itself (not a 64-bit hash) so distinct texts never
-    collide; the partial aggregate drops copies before the shuffle.
+    collide. The place is one number (files below 2^23, lines below 2^40), so a
+    hash aggregate drops copies before the shuffle, without sorting texts.
     """
-    first = F.min(F.when(F.col("reason") == "ok", F.struct("file_ord", "line_no")))
-    return (cleaned.groupBy("contract").agg(first.alias("first")).where(F.col("first").isNotNull())
-            .select("contract", "first.file_ord", "first.line_no"))
+    place = F.col("file_ord").cast("bigint") * PLACE + F.col("line_no")
+    return (cleaned.groupBy("contract").agg(F.min(F.when(F.col("reason") == "ok", place)).alias("first")).where(F.col("first").isNotNull())
+            .select("contract", F.expr(f"first div {PLACE}").alias("file_ord"), (F.col("first") % PLACE).alias("line_no")))
 
 
 def merge_report(parsed: DataFrame, merged_count_col: str = "key") -> DataFrame:

@@ -20,7 +20,7 @@ DEFAULT_CONF = {
 }
 # Local mode only: one JVM hosts the driver and all executor threads.
 LOCAL_CONF = {
-    "spark.driver.memory": "20g",
+    "spark.driver.memory": "8g",
 }
 
 
