@@ -549,3 +549,27 @@ ORACLE.update({
     "edit_records_long": _long(["steps", "lines_ok"], f"SELECT * FROM ({_records(CAP)})"),
     "snapshot_validity_long": _long(["steps", "edges"], _VALIDITY),
 })
+
+# The whole chain from the JSONL shards on; a contract's key is its line in the cleaned file.
+_CHAIN = {
+    "chain_docs": (["dedup"], "SELECT row_number() OVER (ORDER BY file_ord, line_no) AS ok, contract AS code FROM dedup"),
+    "chain_lines": (["chain_docs"], """
+  SELECT ok, CAST(i AS BIGINT) AS ln, string_split(code, chr(10))[i] AS t
+  FROM chain_docs, range(1, len(string_split(code, chr(10))) + 1) r(i)"""),
+    "docs_ok": (["chain_lines"], "SELECT ok, count(*) AS n_lines FROM chain_lines GROUP BY ok HAVING count(*) >= 6"),
+    "lines_ok": (["chain_lines", "docs_ok"], "SELECT ok, ln, t FROM chain_lines WHERE ok IN (SELECT ok FROM docs_ok)"),
+}
+
+
+def _chain(body):
+    return with_ctes(["steps", "lines_ok", "responses"], body, extra=_CHAIN).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_CHAIN_SFT = f"""SELECT e.*, {strip('r.instruction')} AS instruction FROM ({_ELIG}) e
+  JOIN responses r ON r.original_line_no = e.original_line_no"""
+ORACLE.update({
+    "chain_edits": _chain(f"SELECT * FROM ({_records(CAP)})"),
+    "chain_sft": _chain(_edit_set(_CHAIN_SFT)),
+    "chain_sft_control": _chain(f"""
+  SELECT original_line_no, path_id, instruction, '' AS input, final_code AS output FROM ({_CHAIN_SFT})"""),
+})

@@ -64,7 +64,7 @@ cte("raw_records", [], """
          doc_id,
          CASE WHEN doc_id % 4 < 2 THEN '0x' || substr(md5(text), 1, 8) END AS contract_address,
          CASE WHEN doc_id % 4 IN (0, 2) THEN 'f_' || lang END AS func_name,
-         CASE WHEN doc_id % 4 >= 2 THEN 'src/' || source || '.sol' END AS file_path,
+         CASE WHEN doc_id % 4 >= 2 THEN 'src/' || source || '/' || (doc_id // 64) || '.sol' END AS file_path,
          text AS class_code
   FROM documents""")
 
@@ -73,12 +73,14 @@ cte("raw_json", ["raw_records"], f"""
             || ',"file_path":' || {jq('file_path')} || ',"class_code":' || {jq('class_code')} || '}}' AS json
   FROM raw_records""")
 
-cte("raw_lines", ["raw_json"], """
-  SELECT file_ord, line_no,
-         CASE WHEN doc_id % 77 = 0 THEN ''
-              WHEN doc_id % 50 = 0 THEN substr(json, 1, length(json) // 2)
-              ELSE json END AS raw
-  FROM raw_json""")
+cte("raw_lines", ["raw_json"], f"""
+  SELECT file_ord, row_number() OVER (PARTITION BY file_ord ORDER BY doc_id, k) AS line_no, raw FROM (
+    SELECT file_ord, doc_id, 0 AS k, json AS raw FROM raw_json
+    UNION ALL SELECT file_ord, doc_id, 1, '' FROM raw_json WHERE doc_id % 77 = 0
+    UNION ALL SELECT file_ord, doc_id, 2, substr(json, 1, length(json) // 2) FROM raw_json WHERE doc_id % 50 = 0
+    UNION ALL SELECT file_ord, doc_id, 3, '{{"func_code":' || {jq('class_code')} || ',"contract":' || {jq("'C' || doc_id")}
+                     || ',"class_code":"","original_meta":{{"version":"v0.5.' || (doc_id % 10) || '"}}}}' FROM raw_json WHERE doc_id % 40 = 0
+    UNION ALL SELECT file_ord, doc_id, 4, '{{"class_code":"// a comment","version":"0.6.1"}}' FROM raw_json WHERE doc_id % 90 = 0)""")
 
 cte("li_items", [], """
   SELECT *, row_number() OVER (PARTITION BY l_orderkey

@@ -454,6 +454,29 @@ def _stage_raw_lines(spark, sf):
     return srcs
 
 
+def _chain_docs(spark, sf):
+    """Z1 as one chain: JSONL shards, S1, S2, D1, P1-P6, D3, written as the cleaned JSONL (P7, S4) and
+    scanned again, so that a contract's key is its physical line there."""
+    good, _ = K.bad_record_route(J.jsonl_scan(spark, _stage_raw_lines(spark, sf)))
+    merged = K.merge_keep(K.merge_key(K.with_fields(good)).drop("raw"), "first")
+    out = scratch_path(spark, "cleaned")
+    J.jsonl_write(K.content_dedup(K.clean_records(merged)).orderBy("file_ord", "line_no").select("contract"), out)
+    return J.jsonl_scan(spark, [out]).select(F.col("line_no").alias("ok"), K.field(F.parse_json("raw"), "contract").alias("code"))
+
+
+def _chain_records(spark, sf):
+    pb = C.build_paths(P.eligible_lines(_chain_docs(spark, sf)), min_lines=None)
+    return C.edit_records(pb).withColumn("path_id", F.col("path_id").cast("bigint"))
+
+
+def q_chain_sft(spark, sf):
+    return S.sft_edit_set(S.attach_instruction(_chain_records(spark, sf), X.responses(spark, sf)))
+
+
+def q_chain_sft_control(spark, sf):
+    return S.sft_control_set(S.attach_instruction(_chain_records(spark, sf), X.responses(spark, sf)))
+
+
 def q_jsonl_scan(spark, sf):
     return J.jsonl_scan(spark, _stage_raw_lines(spark, sf))
 
@@ -505,6 +528,9 @@ def q_resume_stream(spark, sf):
 
 
 QUERIES.update({
+    "chain_edits": _chain_records,
+    "chain_sft": q_chain_sft,
+    "chain_sft_control": q_chain_sft_control,
     "resume_stream": q_resume_stream,
     "repair_closure_long": q_repair_closure_long,
     "edit_records_long": q_edit_records_long,

@@ -29,7 +29,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 3).alias("file_ord"), "doc_id",
         F.when(m4 < 2, F.concat(F.lit("0x"), F.substring(F.md5("text"), 1, 8))).alias("contract_address"),
         F.when(m4.isin(0, 2), F.concat(F.lit("f_"), F.col("lang"))).alias("func_name"),
-        F.when(m4 >= 2, F.concat(F.lit("src/"), F.col("source"), F.lit(".sol"))).alias("file_path"),
+        F.when(m4 >= 2, F.concat(F.lit("src/"), F.col("source"), F.lit("/"), F.expr("doc_id div 64").cast("string"),
+                                 F.lit(".sol"))).alias("file_path"),
         F.col("text").alias("class_code"))
     d = block_row_number(d, ["file_ord"], ["doc_id"], F.col("doc_id"), out="line_no")
     return d.select("file_ord", "line_no", "doc_id", "contract_address", "func_name",
@@ -46,13 +47,18 @@ def record_json(df: DataFrame) -> DataFrame:
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_ord, line_no, raw): JSONL text lines, some blank, some truncated."""
+    """(file_ord, line_no, raw): JSONL text lines. Every record has its line; behind some stand
+    a blank line, the record cut in half, and the record under other field names."""
     r = record_json(raw_records(spark, sf_dir))
-    raw = (F.when(F.col("doc_id") % 77 == 0, F.lit(""))
-           .when(F.col("doc_id") % 50 == 0,
-                 F.expr("substring(json, 1, length(json) div 2)"))
-           .otherwise(F.col("json")))
-    return r.select("file_ord", "line_no", raw.alias("raw"))
+    other = F.concat(F.lit('{"func_code":'), T.json_quote(F.col("class_code")), F.lit(',"contract":'), T.json_quote(F.concat(F.lit("C"), F.col("doc_id").cast("string"))),
+                     F.lit(',"class_code":"","original_meta":{"version":"v0.5.'), (F.col("doc_id") % 10).cast("string"), F.lit('"}}'))
+    some = F.array(F.col("json"), F.when(F.col("doc_id") % 77 == 0, F.lit("")),
+                   F.when(F.col("doc_id") % 50 == 0, F.expr("substring(json, 1, length(json) div 2)")),
+                   F.when(F.col("doc_id") % 40 == 0, other),
+                   F.when(F.col("doc_id") % 90 == 0, F.lit('{"class_code":"// a comment","version":"0.6.1"}')))
+    rows = r.select("file_ord", "doc_id", F.posexplode(some).alias("k", "raw")).where(F.col("raw").isNotNull())
+    numbered = block_row_number(rows, ["file_ord"], ["doc_id", "k"], F.col("doc_id"), out="line_no")
+    return numbered.select("file_ord", "line_no", "raw")
 
 
 def code_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ SF = os.environ.get("EDITFORGE_ORACLE_SF", "/root/testdata/sf0.001")
 QUICK = ["clean_corpus", "merge_report", "stable_key", "edit_records", "diff_hunks", "error_line_fallback",
          "resolve_version_compat", "version_bounds", "prompt_table", "sft_control_set", "jsonl_scan",
          "status_report", "first_n_contracts", "path_bundle", "repair_closure_long", "edit_records_long",
-         "snapshot_validity_long", "resolve_version", "resume_stream", "dual_sink"]
+         "snapshot_validity_long", "resolve_version", "resume_stream", "dual_sink", "chain_sft"]
 KEYS = sorted(set(entry.queries()) & set(entry.oracle_sql())) if os.environ.get("EDITFORGE_ORACLE_ALL") else QUICK
 
 
