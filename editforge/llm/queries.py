@@ -18,7 +18,5 @@ QUERIES = {
 }
 
 ORACLE = {
-    "op8_block_max": search.op8_block_max,
-    "op9_winnowing": line_dedup.op9_winnowing,
     "op10_url_filter": url_filter.OP10_SQL,
 }
