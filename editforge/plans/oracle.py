@@ -514,7 +514,7 @@ ORACLE.update({
     "jsonl_scan": _q(["raw_lines"], f"SELECT file_ord, line_no, raw FROM raw_lines WHERE {strip('raw')} <> ''"),
     "line_subset": _q(["raw_lines"], """
   SELECT k.file_ord, k.line_no, CASE WHEN r.raw IS NULL THEN 'absent' WHEN json_valid(r.raw) THEN 'found'
-                                     ELSE 'malformed' END AS status
+                                     ELSE 'malformed' END AS status, r.raw
   FROM (SELECT DISTINCT doc_id % 3 AS file_ord, doc_id % 500 + 1 AS line_no FROM labels) k
   LEFT JOIN raw_lines r ON r.file_ord = k.file_ord AND r.line_no = k.line_no"""),
     "jsonl_write": _q(["raw_records"], """
