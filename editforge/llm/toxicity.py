@@ -201,7 +201,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
     terms, df = F.col("term"), F.col("n1") + F.col("n0")
     part = lambda n, rate: F.when(n > 0, n * F.log(n / (df * rate))).otherwise(0.0)
     gain = part(F.col("n1"), base) + part(F.col("n0"), 1 - base)
-    least = float(np.log(max(2, counted.count()))) + 1
+    least = float(np.log(max(2, counted.where("n1 + n0 >= 3").count()))) + 0.5
     told = (counted.where(terms.isNotNull()).withColumn("gain", gain).where(F.col("gain") >= least)
             .where(F.col("n1") > df * min(1.0, 2 * base)).orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect())
     numbers = {r[0]: i for i, r in enumerate(told)}
