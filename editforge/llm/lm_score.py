@@ -209,10 +209,9 @@ def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Score
                                                           pa.array(np.full(len(at[a: a + 20_000]), trainer.tokens, np.int64))], names=["at", "value", "tokens"])
 
             learnt = (mine.mapInArrow(train, "at int, value double, tokens long").groupBy("at")
-                      .agg((F.sum("value") / F.sum("tokens")).alias("value")).toLocalIterator())  # SIZE rows
+                      .agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow())  # SIZE rows
             flat = flat.copy()
-            for row in learnt:
-                flat[row["at"]] = row["value"]
+            flat[np.asarray(learnt["at"])] = np.asarray(learnt["value"])
     return Scorer(keys, order, flat, max(1, kinds - len(top)))
 
 
