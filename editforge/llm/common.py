@@ -105,25 +105,51 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def _forest(batches):
+    """Of the edges of a task: each id's link to the least id they join it to."""
+    a, b = [], []
+    for batch in batches:
+        a.append(np.asarray(batch.column("a"))), b.append(np.asarray(batch.column("b")))
+    if not a or not sum(map(len, a)):
+        return
+    ids, at = np.unique(np.concatenate(a + b), return_inverse=True)
+    a, b = at[: len(at) // 2], at[len(at) // 2:]
+    root = np.arange(len(ids))
+    while True:  # hook the larger root to the smaller, then shorten all paths
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    for i in range(0, len(own), 100_000):
+        part = own[i: i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(ids[root[part]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest id that links reach, by the large-star / small-star rounds.
+    """Smallest id that links reach, by rounds of pointing at the least neighbour.
 
     ``edges`` has long columns a, b. Returns (id, component_id) for every id
-    of an edge. Every round is joins and aggregates; its result is a table in
-    the shared folder, and only the number of changed rows comes back.
+    of an edge. A round is large star and small star, as joins and aggregates,
+    and then the forest of what each task holds; its result is a table
+    in the shared folder, and only a digest of it comes back.
     """
-    both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, mark = materialize(both, "edges"), None
+    now = materialize(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), "edges")
+    mark = None
     while True:
         # Large star: every larger neighbour is linked to the least of the neighbourhood.
         sides = now.union(now.select("b", "a"))
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: the smaller neighbours of an id are linked to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
-                 .union(low.select("a", F.col("m").alias("b"))).distinct())
-        now = materialize(small, "edges")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
+        now = materialize(small.mapInArrow(_forest, "a long, b long").distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark:
             break
