@@ -22,6 +22,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,16 @@ from editforge.session import materialize
 
 #: Defaults for near-duplicates: five words, similarity 0.8.
 N_WORDS, NUM, DEN = 5, 8, 10
-#: Counters of the frequency sketch: a fixed size, whatever the input.
-CELLS = 1 << 17
-#: Bins of a set's histogram, whose distance bounds the symmetric difference.
-BINS = 64
+#: Cells of the table of frequent shingles: a fixed size, whatever the input.
+CELLS = 1 << 22
+#: Bins of a set's two histograms, whose distances bound the symmetric difference from below.
+BINS, FINE_BINS = 64, 512
+#: Pairs (of two ids) that are sent to every executor; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Rows of one list that a task is meant to hold; lists that look longer are dealt over several.
 LIST_ROWS = 100_000
-#: Members of a list that share a head in the first round.
-BLOCK = 64
+#: Members of a list that share a head in the first round, and rows on a side of a block of pairs in the second.
+BLOCK, PAIR_ROWS = 64, 2048
 
 
 def least_overlap(a, b, num: int, den: int):
@@ -61,47 +64,57 @@ def _sets(batches, text: str, n: int):
                 yield batch, at + r, shingle_set(h[first[r]: first[r + 1]], n)
 
 
-def _sketch(text: str, n: int):
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)
+
+
+def _histogram(s: np.ndarray, bins: int) -> bytes:
+    """Shingles by the low bits of their hash, at most 255 a bin: clipping only lowers a distance."""
+    return np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _frequent(text: str, n: int):
+    """Cells of shingles that a task meets far more often than cells are met on average, with their counts."""
     def run(batches):
-        total, held, size = np.zeros(CELLS, np.int64), [], 0
+        total, held, size = np.zeros(CELLS, np.int32), [], 0
         for _, _, s in _sets(batches, text, n):
-            held.append((s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64))
+            held.append(_cell(s))
             size += len(s)
-            if size > 1 << 20:
-                total += np.bincount(np.concatenate(held), minlength=CELLS)
+            if size > 1 << 21:
+                total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
                 held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=CELLS)
-        cell = np.flatnonzero(total)
+            total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
+        mean = total.mean()
+        cell = np.flatnonzero(total > mean + 4 * mean ** 0.5 + 3)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=["cell", "count"])
     return run
 
 
-def _describe(key: str, text: str, n: int, num: int, den: int, counts):
-    """Per row: set size, 128-bit digest of the set, histogram, and the short lists' shingles with the parts their lists are dealt over."""
+def _describe(key: str, text: str, n: int, num: int, den: int, sent):
+    """Per row: set size, 128-bit digest of the set, histogram, and the short lists' shingles with the parts their lists are dealt over.
+
+    ``sent``: for each cell the bit length of how often its shingles were counted. Any
+    order of shingles gives right results; this one puts frequent ones last.
+    """
     def run(batches):
-        table = counts.value
-        level = np.zeros(CELLS, np.uint64)
-        mean = max(1, int(table.mean()))
-        for i, v in enumerate((table // (2 * mean)).tolist()):
-            level[i] = v.bit_length()
-        shift = np.uint64(64 - CELLS.bit_length() + 1)
+        level = sent.value
         out, size = [], 0
 
         def block():
             cols = list(zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
-                pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))],
-                names=["id", "n", "sig1", "sig2", "bins", "marks", "parts"])
+                pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))],
+                names=["id", "n", "sig1", "sig2", "bins", "fine", "marks", "parts"])
 
         for batch, row, s in _sets(batches, text, n):
             a = len(s)
             least = -(-num * a // den)
-            cell = (s >> shift).astype(np.int64)
-            order = np.lexsort((s, level[cell]))[: a - least + 1]
-            parts = np.minimum(np.where(level[cell[order]] > 1, table[cell[order]] // LIST_ROWS, 0) + 1, 1 << 20)
+            rank = level[_cell(s)]
+            order = np.lexsort((s, rank))[: a - least + 1]
+            parts = np.maximum((np.int64(1) << rank[order].astype(np.int64)) // (2 * LIST_ROWS), 1)
             out.append((batch.column(key)[row].as_py(), a, int(mix64(s).sum().astype(np.int64)), int(np.bitwise_xor.reduce(mix64(s ^ np.uint64(0x5BD1E995))).astype(np.int64)) if a else 0,
-                        np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes(),
+                        _histogram(s, BINS), _histogram(s, FINE_BINS),
                         s[order].view(np.int64), parts.astype(np.int32)))
             size += len(order)
             if size > 100_000:
@@ -168,7 +181,7 @@ def _bounded(num: int, den: int):
     """Pairs whose histograms leave the similarity possible."""
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int32) for c in ("bins_a", "bins_b"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, FINE_BINS).astype(np.int16) for c in ("fine_a", "fine_b"))
             na, nb = np.asarray(b.column("na")), np.asarray(b.column("nb"))
             keep = np.abs(x - y).sum(axis=1) <= na + nb - 2 * least_overlap(na, nb, num, den)
             yield b.select(["a", "b"]).filter(pa.array(keep))
@@ -229,28 +242,63 @@ def _try(n: int, num: int, den: int):
 
 
 def _across(num: int, den: int):
-    """Rows come sorted by mark, n, id: pairs of one list whose documents lie in different groups and whose sizes fit."""
+    """Rows come sorted by root and block: first the histograms of the block's documents (mark null), then its
+    lists. Pairs of a list, across the block's two sides (or within the one), whose documents lie in different
+    groups and whose sizes and histograms leave the similarity possible; each once a block."""
     def run(batches):
-        mark, groups = None, {}
-        a_out, b_out = [], []
+        held = None
         for batch in batches:
-            for m, i, n, c in zip(*(batch.column(x).to_pylist() for x in ("mark", "id", "n", "comp"))):
-                if m != mark:
-                    mark, groups = m, {}
-                for other, (ids, sizes) in groups.items():
-                    if other != c:
-                        at = np.searchsorted(sizes, -(-num * n // den)) if len(sizes) > 8 else next((k for k, s in enumerate(sizes) if s * den >= num * n), len(sizes))
-                        for j in ids[at:]:
-                            a_out.append(min(i, j)), b_out.append(max(i, j))
-                ids, sizes = groups.setdefault(c, ([], []))
-                ids.append(i), sizes.append(n)
-                if len(a_out) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-                    a_out, b_out = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            key = [np.asarray(t[c]) for c in ("root", "x", "y")]
+            new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))).tolist()
+            for a, z in zip(new, new[1:]):
+                yield from _block_pairs(t.slice(a, z - a), num, den)
+            held = t.slice(new[-1]).to_batches()[0]
+        if held is not None:
+            yield from _block_pairs(pa.Table.from_batches([held]), num, den)
+
     return run
 
 
+def _block_pairs(t, num: int, den: int):
+    """All pairs of the lists of one block, one distance between rows after the other for all lists at once."""
+    known = pc.is_null(t["mark"])
+    head, t = t.filter(known), t.filter(pc.invert(known))
+    size = t.num_rows
+    if size < 2:
+        return
+    order = np.argsort(np.asarray(head["id"]))
+    every = np.asarray(head["id"])[order]
+    bins = np.frombuffer(b"".join(head["bins"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
+    ids, n, comp, side, mark = (np.asarray(t[c]) for c in ("id", "n", "comp", "side", "mark"))
+    doc = np.searchsorted(every, ids)
+    one = t["x"][0].as_py() == t["y"][0].as_py()
+    starts = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
+    stop = np.append(starts[1:], size)
+    end = np.repeat(stop, stop - starts)  # of the row's list
+    rows, apart, parts, held = np.arange(size), 1, [], 0
+    while True:
+        rows = rows[rows + apart < end[rows]]
+        if not len(rows):
+            break
+        j = rows + apart
+        keep = (comp[rows] != comp[j]) & (one | (side[rows] != side[j])) & (np.minimum(n[rows], n[j]) * den >= np.maximum(n[rows], n[j]) * num)
+        i, j = doc[rows[keep]], doc[j[keep]]
+        parts.append(np.minimum(i, j) * len(every) + np.maximum(i, j))
+        held, apart = held + len(i), apart + 1
+        if held > 1 << 23:  # the lists of a family repeat its pairs
+            parts = [np.unique(np.concatenate(parts))]
+            held = len(parts[0]) // 2
+    found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    size_of = np.zeros(len(every), np.int64)
+    size_of[doc] = n
+    for a in range(0, len(found), 1 << 17):
+        i, j = found[a: a + (1 << 17)] // len(every), found[a: a + (1 << 17)] % len(every)
+        apart = np.abs(bins[i].astype(np.int16) - bins[j]).sum(axis=1)
+        keep = apart <= size_of[i] + size_of[j] - 2 * least_overlap(size_of[i], size_of[j], num, den)
+        yield pa.RecordBatch.from_arrays([pa.array(every[i[keep]]), pa.array(every[j[keep]])], names=["a", "b"])
+
+
 def similar_documents(documents: DataFrame, n_words: int = N_WORDS, num: int = NUM, den: int = DEN, key: str = "doc_id",
                       text: str = "text") -> DataFrame:
     """One row per row of ``documents``: key, n_shingles, component_id.
@@ -265,13 +313,13 @@ def similar_documents(documents: DataFrame, n_words: int = N_WORDS, num: int = N
     spark = documents.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    cells = rows.select("text").mapInArrow(_sketch("text", n_words), "cell int, count long").groupBy("cell").agg(F.sum("count").alias("count"))
-    table = np.zeros(CELLS, np.int64)
-    for r in cells.toLocalIterator():  # CELLS rows at most
-        table[r["cell"]] = r["count"]
-    counts = spark.sparkContext.broadcast(table)
-    meta = materialize(rows.mapInArrow(_describe("id", "text", n_words, num, den, counts),
-                                       "id long, n long, sig1 long, sig2 long, bins binary, marks array<long>, parts array<int>"), "sets")
+    cells = (rows.select("text").mapInArrow(_frequent("text", n_words), "cell int, count long").groupBy("cell").agg(F.sum("count").alias("count"))
+             .select("cell", F.ceil(F.log2(F.col("count") + 1)).cast("tinyint").alias("level")).toArrow())  # CELLS rows at most
+    level = np.zeros(CELLS, np.uint8)
+    level[np.asarray(cells["cell"])] = np.asarray(cells["level"])
+    sent = spark.sparkContext.broadcast(level)
+    meta = materialize(rows.mapInArrow(_describe("id", "text", n_words, num, den, sent),
+                                       "id long, n long, sig1 long, sig2 long, bins binary, fine binary, marks array<long>, parts array<int>"), "sets")
     same = ["n", "sig1", "sig2"]
     live = meta.where("n > 0 and id is not null")
     # Equal sets are one class, whose least id stands for it.
@@ -287,23 +335,34 @@ def similar_documents(documents: DataFrame, n_words: int = N_WORDS, num: int = N
     leads = lists.where("lead").groupBy("mark").agg(F.min_by("id", F.struct("n", "id")).alias("x"), F.count("*").alias("k")).where("k > 1")
     near = near.union(lists.where("lead").join(leads, "mark").where("x <> id").select("id", "x"))
     near = near.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    bins = live.dropDuplicates(["id"]).select("id", "n", "bins")
-    # Documents of lists of more than one are the only ones whose texts are looked at again.
-    texts = materialize(rows.where("id is not null").join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    bins = materialize(reps.select("id", "n", "bins", "fine"), "bins")
+    texts = rows.where("id is not null")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        left = bins.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("bins_a"))
-        right = bins.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bins_b"))
+        left = bins.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fine_a"))
+        right = bins.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fine_b"))
         possible = materialize(pairs.join(left, "a").join(right, "b").where(fits(F.col("na"), F.col("nb"))).mapInArrow(_bounded(num, den), "a long, b long"), name)
         wanted = possible.select("a", F.col("b").alias("id")).union(possible.select("a", F.col("a").alias("id")).distinct())
-        return materialize(wanted.join(texts, "id").groupBy("a").applyInPandas(_try(n_words, num, den), "a long, b long"), name + "-links")
+        # Few pairs find their texts where these lie; more pairs meet them in a shuffle by document.
+        few = possible.count() <= BROADCAST_ROWS
+        return materialize(texts.join(F.broadcast(wanted) if few else wanted, "id").groupBy("a").applyInPandas(_try(n_words, num, den), "a long, b long"), name + "-links")
 
     first = links(near, "near")
     groups = components(first)
     # Second round: lists that still hold more than one group, and only pairs across groups.
     grouped = lists.select("mark", "id", "n").join(groups, "id", "left").select("mark", "id", "n", F.coalesce("component_id", "id").alias("comp"))
     mixed = grouped.groupBy("mark").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("mark")
-    across = (grouped.join(mixed, "mark", "left_semi").repartition(n_parts, "mark").sortWithinPartitions("mark", "n", "id")
+    lists2 = materialize(grouped.join(mixed, "mark", "left_semi"), "mixed")
+    # Rows of a list are cut into blocks; every two blocks meet once. Lists of one family of copies mostly hold
+    # its least document: by that root they come together, so that a pair is looked at once and not once a list.
+    blocks = lists2.groupBy("mark").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("k"), F.min("id").alias("root"))
+    dealt = (lists2.join(blocks, "mark").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+             .select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "mark",
+                     (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "comp", F.lit(None).cast("binary").alias("bins")))
+    shapes = dealt.select("root", "x", "y", "id").distinct().join(bins.select("id", "bins"), "id").select(
+        "root", "x", "y", F.lit(None).cast("long").alias("mark"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("comp"), "bins")
+    across = (dealt.union(shapes).repartition(n_parts, "root", "x", "y").sortWithinPartitions("root", "x", "y", F.asc_nulls_first("mark"), "side", "id")
               .mapInArrow(_across(num, den), "a long, b long").distinct().join(near, ["a", "b"], "left_anti"))
     second = links(across, "across")
     final = components(first.union(second)) if second.take(1) else groups
