@@ -2,17 +2,20 @@
 
 Shared passages begin and end anywhere, so a line here is not what stands
 between two line breaks but the LINE_WORDS words that begin at a word; every
-word begins one. Of every WINDOW neighbouring line hashes the least is a
-fingerprint, so two equal runs of LINE_WORDS + WINDOW - 1 words have one
-in common. Fingerprints are joined on their first place, neighbouring matches
-are one run, a run is extended both ways as long as the words agree, and the
-later place of a run of MIN_WORDS or more is deleted.
+word begins one. Of the neighbouring line hashes of MIN_WORDS words the least is a
+fingerprint, so each run of MIN_WORDS words is told by one, and equal runs by
+equal ones at the same place in them. A fingerprint's stretch is what the runs
+it tells cover together. Places of equal stretches hold the same runs: the
+first stays, the others are deleted. Where the places of a fingerprint differ
+in their stretches, the first place of each is compared run by run, so that an
+earlier place that shares fewer than MIN_WORDS words hides no other.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,186 +24,201 @@ from editforge.session import materialize
 
 LINE_WORDS = 32
 MIN_WORDS = 50
-#: So that a run of MIN_WORDS always holds a fingerprint.
-WINDOW = MIN_WORDS - LINE_WORDS + 1
-#: A run's first and last fingerprints are less than this far from its ends.
-REACH = WINDOW - 1
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def line_hashes(h: np.ndarray, k: int = LINE_WORDS) -> np.ndarray:
-    """Hash of the k words that begin at each word, for all but the last k - 1."""
-    n = len(h)
-    if n < k:
-        return np.zeros(0, np.uint64)
-    power, inverse = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-    power[0] = inverse[0] = 1
-    np.multiply.accumulate(power, out=power)
-    np.multiply.accumulate(inverse, out=inverse)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * power, out=total[1:])
-    return mix64((total[k:] - total[:-k]) * inverse[: n - k + 1])
+class Sums:
+    """Hashes of any run of words, from running sums over their hashes."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        power, self.inverse = np.full(n, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+        power[:1] = self.inverse[0] = 1
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(self.inverse, out=self.inverse)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * power, out=self.total[1:])
+
+    def lines(self, k: int = LINE_WORDS) -> np.ndarray:
+        """Hash of the k words that begin at each word, for all but the last k - 1."""
+        if len(self.total) <= k:
+            return np.zeros(0, np.uint64)
+        return mix64((self.total[k:] - self.total[:-k]) * self.inverse[: len(self.total) - k])
+
+    def runs(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hash of the words from each start to its stop."""
+        return mix64((self.total[stop] - self.total[start]) * self.inverse[start])
+
 
+def _window(min_words: int) -> int:
+    """So many neighbouring lines that a run of ``min_words`` always holds a fingerprint."""
+    return max(1, min_words - LINE_WORDS + 1)
 
-def fingerprints(lines: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places of the window minima (of equal ones the leftmost) among the line hashes of several texts.
 
-    ``first``: the first word of each text, and the end of the last one.
+def fingerprints(lines: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS):
+    """(place, start, stop) of the window minima (of equal ones the leftmost) among the line hashes of several texts.
+
+    ``first``: the first word of each text, and the end of the last one. From
+    start to stop reach the runs of ``min_words`` words that the place is the minimum of.
     """
-    n = len(lines)
-    if n < WINDOW:
-        return np.zeros(0, np.int64)
+    window = _window(min_words)
+    n, none = len(lines), np.zeros(0, np.int64)
+    if n < window:
+        return none, none, none
     bits = np.uint64(int(n).bit_length())
     least = ((lines >> bits) << bits) | np.arange(n, dtype=np.uint64)
     width = 1
-    while width * 2 <= WINDOW:
+    while width * 2 <= window:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    rest = WINDOW - width
+    rest = window - width
     if rest:
         least = np.minimum(least[: len(least) - rest], least[rest:])
-    # Windows that lie within one text: of its w words, w - MIN_WORDS + 1 begin one.
-    size = np.maximum(np.diff(first) - MIN_WORDS + 1, 0)
-    begin = np.repeat(first[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return np.unique(least[begin] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # Windows that lie within one text: of its w words, w - min_words + 1 begin one.
+    begin = _each(first[:-1], np.maximum(np.diff(first) - min_words + 1, 0))
+    if not len(begin):
+        return none, none, none
+    place = (least[begin] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    new = np.flatnonzero(np.diff(place, prepend=-1))  # places never fall from window to window
+    return place[new], begin[new], begin[np.append(new[1:], len(begin)) - 1] + min_words
 
 
-def _selected(batches, key: str, text: str):
-    """Fingerprints, ids and places of all texts of a task."""
-    out = []
-    for batch in batches:
-        ids = np.asarray(batch.column(key).cast(pa.int64()))
-        for row, n, data, offsets in chunks(text_column(batch, text)):
-            h, first, _, _ = words(data, offsets, lower=False)
-            lines = line_hashes(h)
-            at = fingerprints(lines, first)
-            doc = np.searchsorted(first, at, "right") - 1
-            out.append((lines[at].view(np.int64), ids[row + doc], (at - first[doc]).astype(np.int32)))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return tuple(np.concatenate(x) for x in zip(*out))
+def _each(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ``size`` numbers from each start on."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-MATCH = "mark long, doc long, pos int, doc0 long, pos0 int"
+#: A place where the words from start to stop, hashed to run, stand; done: they stand earlier too.
+PLACE = "mark long, run long, doc long, start int, stop int, done boolean"
+NAMES = ["mark", "run", "doc", "start", "stop", "done"]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+SPAN = "array<struct<start: int, stop: int, run: long>>"
 
 
-def _emit(columns, names, step: int = 50_000):
+def _emit(columns, step: int = 50_000):
     for a in range(0, len(columns[0]), step):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a: a + step]) for c in columns], names=names)
-
+        yield pa.RecordBatch.from_arrays([pa.array(c[a: a + step], t) for c, t in zip(columns, TYPES)], names=NAMES)
 
-def _local_matches(key: str, text: str):
-    """Per task: later places of a fingerprint with their first place in the task, and the first places (doc0 null)."""
-    def run(batches):
-        mark, doc, pos = _selected(batches, key, text)
-        order = np.lexsort((pos, doc, mark))
-        mark, doc, pos = mark[order], doc[order], pos[order]
-        new = np.ones(len(mark), bool)
-        new[1:] = mark[1:] != mark[:-1]
-        lead = np.flatnonzero(new)
-        source = np.repeat(lead, np.diff(np.append(lead, len(mark))))
-        # The same place may come twice, when a row repeats: it is not a copy of itself.
-        later = ~new & ((doc != doc[source]) | (pos != pos[source]))
-        names = ["mark", "doc", "pos", "doc0", "pos0"]
-        yield from _emit([mark[later], doc[later], pos[later], doc[source[later]], pos[source[later]]], names)
-        for a in range(0, len(lead), 50_000):
-            i = lead[a: a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(mark[i]), pa.array(doc[i]), pa.array(pos[i]), pa.nulls(len(i), pa.int64()),
-                                              pa.nulls(len(i), pa.int32())], names=names)
-    return run
 
+def _classes(mark, run, doc, start, min_words: int):
+    """Of sorted places: (which begin a mark's run, which repeat its first place, which stand there twice).
 
-def _global_matches(batches):
-    """Rows come sorted by mark, doc, pos, those without a source before the others of no mark: later ones get the first as their source."""
-    held = None
-    for batch in batches:
-        mark, doc, pos = (np.asarray(batch.column(c)) for c in ("mark", "doc", "pos"))
-        done = np.asarray(batch.column("doc0").is_valid())
-        doc0 = np.asarray(batch.column("doc0").fill_null(0)).copy()
-        pos0 = np.asarray(batch.column("pos0").fill_null(0)).copy()
-        todo = np.flatnonzero(~done)
-        if len(todo):
-            m, d, p = mark[todo], doc[todo], pos[todo]
-            new = np.ones(len(m), bool)
-            new[1:] = m[1:] != m[:-1]
-            carried = held is not None and m[0] == held[0]
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
-            d0, p0 = d[lead], p[lead]
-            if carried:
-                same = lead == 0
-                d0[same], p0[same] = held[1], held[2]
-            held = (m[-1], d0[-1], p0[-1])
-            doc0[todo], pos0[todo] = d0, p0
-        found = (doc0 != doc) | (pos0 != pos)
-        if found.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (mark, doc, pos, doc0, pos0)], names=["mark", "doc", "pos", "doc0", "pos0"])
-
-
-def _runs(batches):
-    """Matches of a document, on one diagonal and no farther apart than a window, are one run (in words)."""
-    for batch in batches:
-        out = []
-        for doc, matches in zip(batch.column("doc").to_pylist(), batch.column("matches").to_pylist()):
-            held: dict = {}  # by diagonal: first and last place, mark of the first
-            for pos, doc0, pos0, mark in sorted((m["pos"], m["doc0"], m["pos0"], m["mark"]) for m in matches):
-                if doc0 == doc and pos - pos0 < MIN_WORDS:
-                    continue  # overlaps its own source
-                k = (doc0, pos - pos0)
-                if k in held and pos - held[k][1] <= WINDOW:
-                    held[k][1] = pos
-                    continue
-                if k in held:
-                    out.append((doc, held[k][0], held[k][1] + LINE_WORDS, doc0, held[k][0] - k[1], held[k][2]))
-                held[k] = [pos, pos, mark]
-            out += [(doc, v[0], v[1] + LINE_WORDS, k[0], v[0] - k[1], v[2]) for k, v in held.items()]
-        cols = list(zip(*out)) if out else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))],
-                                         names=["doc", "start", "stop", "doc0", "start0", "mark"])
-
-
-def _contexts(text: str, key: str, asked: str):
-    """The hashes of REACH words before and after the places asked for, of documents that hold a run first."""
+    The same place comes twice when a row repeats: it is not a copy of itself,
+    nor is a place that overlaps the first one.
+    """
+    new, twice = np.ones(len(mark), bool), np.zeros(len(mark), bool)
+    new[1:] = (mark[1:] != mark[:-1]) | (run[1:] != run[:-1])
+    twice[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+    lead = np.flatnonzero(new)
+    lead = np.repeat(lead, np.diff(np.append(lead, len(mark))))
+    return new, ~new & ~twice & ((doc != doc[lead]) | (start - start[lead] >= min_words)), twice
+
+
+def _of_task(places, min_words: int):
+    """Places of a task, those done that repeat one of it."""
+    places = [np.concatenate(x) for x in zip(*places)]
+    if not places:
+        return
+    order = np.lexsort(places[3::-1])
+    places = [x[order] for x in places]
+    _, done, twice = _classes(*places[:4], min_words)
+    yield from _emit([x[~twice] for x in (*places, done)])
+
+
+def _stretches(key: str, text: str, min_words: int):
+    """Stretches of all fingerprints."""
+    def places(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(key).cast(pa.int64()))
+            for row, n, data, offsets in chunks(text_column(batch, text)):
+                h, first, _, _ = words(data, offsets, lower=False)
+                sums = Sums(h)
+                lines = sums.lines(min(LINE_WORDS, min_words))
+                at, start, stop = fingerprints(lines, first, min_words)
+                doc = np.searchsorted(first, at, "right") - 1
+                yield (lines[at].view(np.int64), sums.runs(start, stop).view(np.int64), ids[row + doc],
+                       (start - first[doc]).astype(np.int32), (stop - first[doc]).astype(np.int32))
+    return lambda batches: _of_task(places(batches), min_words)
+
+
+def _lists(column: pa.Array):
+    """(length of each list, the fields of all their elements) of a column of lists of structures."""
+    flat = column.flatten()
+    return np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64), [np.asarray(x) for x in flat.flatten()]
+
+
+def _windows(key: str, text: str, asked: str, min_words: int):
+    """Every run of ``min_words`` words in the stretches asked for."""
+    def places(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(key).cast(pa.int64()))
+            size, (start, stop) = _lists(batch.column(asked))
+            ends = np.concatenate([[0], np.cumsum(size)])
+            for row, n, data, offsets in chunks(text_column(batch, text)):
+                h, first, _, _ = words(data, offsets, lower=False)
+                here = slice(ends[row], ends[row + n])
+                doc = np.repeat(np.arange(n), size[row: row + n])
+                inside = stop[here] <= np.diff(first)[doc]  # else found in another row of this id
+                doc, a, b = doc[inside], start[here][inside], stop[here][inside]
+                count = b - a - min_words + 1
+                at, doc = _each(first[doc] + a, count), np.repeat(doc, count)
+                run, place = Sums(h).runs(at, at + min_words).view(np.int64), (at - first[doc]).astype(np.int32)
+                yield run, run, ids[row + doc], place, place + np.int32(min_words)
+    return lambda batches: _of_task(places(batches), min_words)
+
+
+def _settle(min_words: int):
+    """Rows come sorted by done, mark, run, doc, start: out come the places done, and of marks with several runs the others."""
     def run(batches):
+        held, told, several = None, 0, False  # of the last mark: places still needed, how many of them went out, whether it has several runs
         for batch in batches:
-            out = []
-            texts = text_column(batch, text)
-            for r, (doc, places) in enumerate(zip(batch.column(key).to_pylist(), batch.column(asked).to_pylist())):
-                data = np.frombuffer(texts[r].as_py().encode(), np.uint8)
-                h = words(data, np.array([0, len(data)]), lower=False)[0].view(np.int64)
-                out += [(doc, at, h[max(0, at - REACH): at].tolist(), h[at: at + REACH].tolist()) for at in places if at <= len(h)]
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
-                                             names=["doc0", "at", "before", "after"])
+            rows = [np.asarray(batch.column(c)) for c in NAMES[:5]]
+            old = np.asarray(batch.column("done").cast(pa.int8())).astype(bool)
+            yield from _emit([*(x[old] for x in rows), old[old]])
+            rows = [x[~old] for x in rows]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            mark, _, doc, start, _ = rows
+            new, done, twice = _classes(*rows[:4], min_words)
+            edge = np.ones(len(mark), bool)
+            edge[1:] = mark[1:] != mark[:-1]
+            of = np.cumsum(edge) - 1
+            many = np.bincount(of, new) > 1
+            many[0] |= several
+            rest = ~done & ~twice
+            last = of == of[-1]
+            open_ = rest & many[of]
+            open_[:told] = False
+            out = done | open_
+            yield from _emit([*(x[out] for x in rows), done[out]])
+            several = bool(many[-1])
+            if several:  # the first place of the run that may go on
+                keep, told = np.flatnonzero(new)[-1:], 1
+            else:
+                keep, told = np.flatnonzero(rest & last), 0
+            held = [x[keep] for x in rows]
     return run
 
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """How many values two arrays have in common from their beginning."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+def _repeats(places: DataFrame, n: int, min_words: int) -> DataFrame:
+    """The tasks' places meet by their mark; those done already go by their document."""
+    return (places.repartition(n, F.when(F.col("done"), F.xxhash64("doc")).otherwise(F.col("mark")))
+            .sortWithinPartitions("done", "mark", "run", "doc", "start").mapInArrow(_settle(min_words), PLACE))
 
 
-def delete(text: str, runs, min_words: int = MIN_WORDS):
-    """(text without the runs, its words before, word spans deleted).
-
-    A run: start, stop, mark, and the words that stand before and after it at its first place.
-    """
+def delete(text: str, starts: np.ndarray, stops: np.ndarray, runs: np.ndarray):
+    """(text without the words from starts to stops, its words before, word spans deleted); runs: the hashes of what is deleted."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    h, _, starts, ends = words(data, np.array([0, len(data)]), lower=False)
+    h, _, first, last = words(data, np.array([0, len(data)]), lower=False)
     n = len(h)
-    signed, lines = h.view(np.int64), line_hashes(h).view(np.int64)
-    gone = np.zeros(n + 1, bool)
-    for run in runs:
-        a, b = run["start"], run["stop"]
-        if b > n or a >= len(lines) or lines[a] != run["mark"]:
-            continue  # found in another row of this id
-        left = agreeing(signed[max(0, a - REACH): a][::-1], np.array(run["before"][::-1], np.int64))
-        right = agreeing(signed[b: b + REACH], np.array(run["after"], np.int64))
-        if b + right - (a - left) >= min_words:
-            gone[a - left: b + right] = True
+    inside = stops <= n
+    starts, stops, runs = starts[inside], stops[inside], runs[inside]
+    same = Sums(h).runs(starts, stops).view(np.int64) == runs  # else found in another row of this id
+    gone = np.cumsum(np.bincount(starts[same], minlength=n + 1) - np.bincount(stops[same], minlength=n + 1)) > 0
     if not gone.any():
         return text, n, []
     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[:n].astype(np.int8), [0]])))
@@ -208,11 +226,11 @@ def delete(text: str, runs, min_words: int = MIN_WORDS):
     parts, at = [], 0
     for a, b in spans:
         if b < n:
-            parts.append(raw[at: starts[a]])
-            at = starts[b]
+            parts.append(raw[at: first[a]])
+            at = first[b]
         else:  # up to the last word: what white space follows it stays
-            parts.append(raw[at: ends[a - 1] if a else 0])
-            at = ends[b - 1] if a else len(raw)
+            parts.append(raw[at: last[a - 1] if a else 0])
+            at = last[b - 1] if a else len(raw)
     parts.append(raw[at:])
     return b"".join(parts).decode(), n, spans
 
@@ -220,11 +238,11 @@ def delete(text: str, runs, min_words: int = MIN_WORDS):
 def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``documents`` with repeated runs deleted from their texts, and n_words, removed (word spans) appended.
 
-    Of equal runs the first by (key, place) stays. Documents of fewer than
-    MIN_WORDS words cannot hold a run and stay as they are, as do null texts
+    Of equal runs of ``min_words`` words the first by (key, place) stays.
+    Documents of fewer words cannot hold a run and stay as they are, as do null texts
     and rows with a null key (removed is then empty). Rows that repeat with
     their key are one document, treated alike; a repeat within a document
-    must begin MIN_WORDS after its first place. Columns named n_words or
+    must begin ``min_words`` after its first place. Columns named n_words or
     removed are replaced; an empty table stays empty.
     """
     documents = documents.drop("n_words", "removed")
@@ -232,32 +250,26 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     at_doc, at_runs, at_asked = fresh(documents, "_doc"), fresh(documents, "_runs"), fresh(documents, "_asked")
     known = documents.where(F.col(key).isNotNull())
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = known.select(F.col(key).cast("long").alias(key), text).mapInArrow(_local_matches(key, text), MATCH)
-    # First places of the tasks meet by their mark, what is matched already goes by its document.
-    matches = (rows.repartition(n, F.when(F.col("doc0").isNull(), F.col("mark")).otherwise(F.xxhash64("doc")))
-               .sortWithinPartitions(F.col("doc0").isNotNull(), "mark", "doc", "pos").mapInArrow(_global_matches, MATCH))
-    runs = materialize(matches.groupBy("doc").agg(F.collect_list(F.struct("pos", "doc0", "pos0", "mark")).alias("matches"))
-                       .mapInArrow(_runs, "doc long, start int, stop int, doc0 long, start0 int, mark long"), "runs")
-    runs = runs.withColumn("stop0", F.expr("start0 + stop - start"))
-    asked = (runs.select("doc0", F.col("start0").alias("at")).union(runs.select("doc0", "stop0")).distinct()
-             .groupBy("doc0").agg(F.collect_list("at").alias(at_asked)).withColumnRenamed("doc0", at_doc))
-    around = (known.join(asked, F.col(key) == F.col(at_doc)).drop(at_doc)
-              .mapInArrow(_contexts(text, key, at_asked), "doc0 long, at int, before array<long>, after array<long>").dropDuplicates(["doc0", "at"]))
-    whole = (runs.join(around.select("doc0", F.col("at").alias("start0"), "before"), ["doc0", "start0"])
-             .join(around.select("doc0", F.col("at").alias("stop0"), "after"), ["doc0", "stop0"])
-             .groupBy(F.col("doc").alias(at_doc)).agg(F.collect_list(F.struct("start", "stop", "mark", "before", "after")).alias(at_runs)))
+    stretches = known.select(F.col(key).cast("long").alias(key), text).mapInArrow(_stretches(key, text, min_words), PLACE)
+    found = materialize(_repeats(stretches, n, min_words).drop("mark"), "runs")
+    asked = (found.where("not done").groupBy(F.col("doc").alias(at_doc)).agg(F.collect_list(F.struct("start", "stop")).alias(at_asked)))
+    windows = (known.join(asked, F.col(key) == F.col(at_doc)).select(F.col(key).cast("long").alias(key), text, at_asked)
+               .mapInArrow(_windows(key, text, at_asked, min_words), PLACE))
+    whole = (found.where("done").union(_repeats(windows, n, min_words).drop("mark"))
+             .groupBy(F.col("doc").alias(at_doc)).agg(F.collect_list(F.struct("start", "stop", "run")).alias(at_runs)))
     joined = known.join(whole, F.col(key) == F.col(at_doc), "left").drop(at_doc)
 
     def run(batches):
         for batch in batches:
             texts, counts, spans = [], [], []
-            found = batch.column(at_runs).to_pylist()
-            for t, r in zip(batch.column(text), found):
+            size, found = _lists(batch.column(at_runs))
+            ends = np.concatenate([[0], np.cumsum(size)])
+            for i, t in enumerate(batch.column(text)):
                 t = t.as_py()
-                if t is None or not r:
+                if t is None or not size[i]:
                     texts.append(t), counts.append(len(_split(t))), spans.append([])
                     continue
-                t, k, s = delete(t, r, min_words)
+                t, k, s = delete(t, *(x[ends[i]: ends[i + 1]] for x in found))
                 texts.append(t), counts.append(k), spans.append([{"start": a, "stop": b} for a, b in s])
             out = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*out, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))],
@@ -265,7 +277,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", n_words long, removed array<struct<start: int, stop: int>>"
     done = joined.mapInArrow(run, fields)
-    loose = documents.where(F.col(key).isNull()).withColumn(at_runs, F.lit(None).cast("array<struct<start: int, stop: int, mark: long, before: array<long>, after: array<long>>>"))
+    loose = documents.where(F.col(key).isNull()).withColumn(at_runs, F.lit(None).cast(SPAN))
     return done.union(loose.mapInArrow(run, fields))
 
 

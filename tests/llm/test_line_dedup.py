@@ -84,3 +84,38 @@ def test_edges(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "x y", 5, "r", 1)], "doc_id long, text string, n_words int, removed string, _doc int")
     assert remove_repeats(df).collect()[0]["n_words"] == 2
+
+
+def test_earlier_places_of_part_of_a_run_hide_no_whole_one(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(32, 50):  # beginnings and ends too short to count stand before the whole passage
+        p = text(52)
+        rows += [(10 * k, p[:k]), (10 * k + 1, text(20) + p[-k:]), (10 * k + 2, text(5) + p + text(7)), (10 * k + 3, text(9) + p)]
+    for d in range(20):  # edited copies, then two whole ones
+        p = text(200)
+        for i in range(4):
+            q = list(p)
+            for at in range(rng.randrange(40), 200, 45):
+                q[at] = f"edit{i}_{at}"
+            rows.append((1000 + 10 * d + 4 + i, q))
+        rows += [(1000 + 10 * d + 8, p + text(10)), (1000 + 10 * d + 9, text(3) + p)]
+    rows = [(d, " ".join(t)) for d, t in rows]
+    for (d, t), gone in (want := brute_force(rows)).items():
+        assert len(gone) >= 50 or d % 10 not in (3, 9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (df.coalesce(1), df.repartition(3), df.repartition(16), df.orderBy(df.doc_id.desc())):
+        got = {r["doc_id"]: spans(r["removed"]) for r in remove_repeats(parts).collect()}
+        assert got == {d: gone for (d, _), gone in want.items()}
+
+
+def test_other_lengths_of_runs(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for least in (20, 70):
+        p = text(least)
+        rows = [(1, p[:-1]), (2, text(3) + p), (3, p + text(4)), (4, p[1:])]
+        df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+        got = {r["doc_id"]: spans(r["removed"]) for r in remove_repeats(df, min_words=least).collect()}
+        assert got == {1: set(), 2: set(), 3: set(range(least)), 4: set()}
