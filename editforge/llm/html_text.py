@@ -5,7 +5,9 @@ text outside links; page furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments) goes with the markup. Weights are
 summed over a sliding window of lines; a span surges where the sum passes a
 threshold and dives where it falls to nothing. The spans kept are those that
-hold the page's text.
+hold the page's text; inside an article element text weighs more. Where names
+of furniture leave little of a page, names around most of its text are not
+believed, and then none is.
 """
 
 from __future__ import annotations
@@ -39,19 +41,22 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Words in class, id, role or itemprop that mark the article.
 ARTICLE = {"article", "articlebody", "main", "post", "story", "entry"}
 
+#: Weight of text inside an article element.
+ARTICLE_WEIGHT = 5
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 MARKS = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def hints(attributes: str) -> tuple[bool, bool]:
-    """(page furniture, article) as class, id, role, itemprop say."""
-    furniture = article = False
+def hints(attributes: str) -> tuple[bool, bool, bool]:
+    """(page furniture, article) as class, id, role, itemprop say, and whether the element is hidden."""
+    furniture = article = hidden = False
     for name, value in MARKS.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" and not value or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            furniture = True
+            hidden = True
         elif name in ("class", "id", "role", "itemprop"):
             for token in value.split():
                 parts = [p.lower() for p in PARTS.findall(token)]
@@ -62,14 +67,19 @@ def hints(attributes: str) -> tuple[bool, bool]:
                     furniture = True
                 elif wrapped and len(parts) == 1 or "".join(parts) in ("articlebody", "maincontent", "postcontent", "entrycontent", "articlecontent"):
                     article = True
-    return furniture, article
+    return furniture, article, hidden
+
 
+def lines(page: str) -> tuple[list[tuple[str, int, int, bool]], list[tuple[int, bool]]]:
+    """(text, length outside links, number of the innermost element of furniture, inside an article element) for each line of a page.
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, length outside links, furniture, inside an article element) for each line of a page."""
+    The second list tells of each such element (0: none) the number of the one
+    around it, and whether only a name makes it furniture.
+    """
     out, text, open_tags = [], [], []  # open_tags: (name, furniture from here on, article from here on)
-    linked = links = 0
-    furniture = article = False
+    marks = [(0, False)]
+    linked = links = furniture = 0
+    article = False
 
     def flush():
         nonlocal text, linked
@@ -104,7 +114,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             depth = next((d for d in range(len(open_tags) - 1, -1, -1) if open_tags[d][0] == name), None)
             if depth is not None:
                 del open_tags[depth:]
-                furniture, article = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
+                furniture, article = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (0, False)
             elif name == "p":
                 flush()
             continue
@@ -129,30 +139,35 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             depth = next((d for d in range(len(open_tags) - 1, -1, -1) if open_tags[d][0] in BLOCKS), None)
             if depth is not None and open_tags[depth][0] == "p":
                 del open_tags[depth:]
-                furniture, article = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
-        marked, body = hints(m.group(3)) if name not in ("html", "body") else (False, False)
+                furniture, article = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (0, False)
+        marked, body, hidden = hints(m.group(3)) if name not in ("html", "body") else (False, False, False)
         begins = name in ("article", "main") or body and not marked
-        furniture = furniture or marked and name != "article" or name in FURNITURE or name == "header" and not article
+        if not hidden and (name == "main" or name == "article" and not marked) and named(marks, furniture):
+            furniture = 0  # what names around it say is about the page, not about its text
+        fixed = hidden or name in FURNITURE and name != "form" or name == "header" and not article
+        if fixed or name == "form" or marked and name not in ("article", "main"):
+            marks.append((furniture, not fixed))
+            furniture = len(marks) - 1
         article = (article or begins) and not (furniture and not article)
         open_tags.append((name, furniture, article))
     flush()
-    return out
+    return out, marks
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
-    """The main text of one page: the kept lines, joined by a blank."""
-    if not page:
-        return ""
-    found = lines(page)
-    marked = any(inside and not f for _, _, f, inside in found)
-    if marked:  # the page says where its article is: there every line surges, and all the rest weighs nothing
-        weight, surge = [len(s) if inside and not f else 0 for s, _, f, inside in found], 0
-    else:  # page furniture is stripped like markup, so that it does not part what stands around it
-        found = [x for x in found if not x[2]]
-        weight = [w for _, w, _, _ in found]
+def named(marks: list[tuple[int, bool]], at: int) -> bool:
+    """Whether only names make an element and those around it furniture."""
+    while at:
+        if not marks[at][1]:
+            return False
+        at = marks[at][0]
+    return True
+
+
+def spans(weight: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """Spans of lines from a surge point to the dive point after it."""
     n = len(weight)
     block = [sum(weight[i: i + window]) for i in range(n)]
-    spans, i = [], 0
+    out, i = [], 0
     while i < n:
         if block[i] > surge and weight[i]:  # surge point
             j = i
@@ -160,15 +175,53 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
                 j += 1
             while j > i and not weight[j - 1]:
                 j -= 1
-            spans.append((i, j))
+            out.append((i, j))
             i = max(j, i + 1)
         else:
             i += 1
-    if not spans:  # a page of little text: what is not furniture
-        return " ".join(s for s, w, _, _ in found if w)
-    most = max(sum(weight[a:b]) for a, b in spans)
-    kept = [(a, b) for a, b in spans if marked or sum(weight[a:b]) * 5 >= most]
-    return " ".join(found[k][0] for a, b in kept for k in range(a, b) if weight[k])
+    return out
+
+
+def kept(found: list[tuple[str, int, bool, bool]], window: int, surge: int) -> list[int]:
+    """Numbers of the lines (text, weight, furniture, inside an article element) that are main text."""
+    article = [len(s) if inside and not f else 0 for s, _, f, inside in found]
+    whole = sum(article) * ARTICLE_WEIGHT
+    # Furniture is stripped like markup, so that it does not part what stands around it.
+    clear = [k for k, (_, _, f, _) in enumerate(found) if not f]
+    weight = [0 if article[k] else found[k][1] for k in clear]
+    others = [(sum(weight[a:b]), a, b) for a, b in spans(weight, window, surge)]
+    most = max([whole, *(w for w, _, _ in others)])
+    if not most:  # a page of little text: what is not furniture
+        return [k for k in clear if found[k][1]]
+    out = {k for k, w in enumerate(article) if w} if whole * 5 >= most else set()
+    out.update(clear[i] for w, a, b in others if w * 5 >= most for i in range(a, b) if weight[i])
+    return sorted(out)
+
+
+def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
+    """The main text of one page: the kept lines, joined by a blank."""
+    if not page:
+        return ""
+    found, marks = lines(page)
+    held = [0] * len(marks)  # text outside links in each element of furniture
+    for _, w, f, _ in found:
+        held[f] += w
+    for f in range(len(marks) - 1, 0, -1):
+        held[marks[f][0]] += held[f]
+    fixed = [False] * len(marks)
+    for f in range(1, len(marks)):
+        fixed[f] = fixed[marks[f][0]] or not marks[f][1]
+    whole = sum(w for _, w, f, _ in found if not fixed[f])
+    believed = (lambda f: True, lambda f: held[f] * 2 < held[0], lambda f: False)  # all names, none around most of the text, no names
+    for names in believed:
+        furniture = [False] * len(marks)
+        for f in range(1, len(marks)):
+            furniture[f] = furniture[marks[f][0]] or not marks[f][1] or names(f)
+        rows = [(s, w, furniture[f], inside) for s, w, f, inside in found]
+        out = kept(rows, window, surge)
+        if sum(found[k][1] for k in out) * 10 >= whole:
+            break
+    return " ".join(found[k][0] for k in out)
 
 
 def extract(df: DataFrame, html: str = "html", output: str = "text", **options) -> DataFrame:
@@ -179,15 +232,15 @@ def extract(df: DataFrame, html: str = "html", output: str = "text", **options)
     nothing is cut or capped. Equal pages give equal texts; a column already
     named ``output`` is replaced; an empty table stays empty.
     """
-    kept = [c for c in df.columns if c not in (html, output)]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept)
+    columns = [c for c in df.columns if c not in (html, output)]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in columns)
 
     def run(batches):
         for batch in batches:
             texts = [main_text(x.as_py(), **options) for x in batch.column(html)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, output])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string())], names=[*columns, output])
 
-    return df.select(*kept, html).mapInArrow(run, f"{fields}, `{output}` string")
+    return df.select(*columns, html).mapInArrow(run, f"{fields}, `{output}` string")
 
 
 def op2_line_blocks(spark, sf_dir):

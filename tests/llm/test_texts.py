@@ -115,6 +115,26 @@ def test_main_text(opening, closing):
     assert html_text.main_text(PAGE % (opening, closing)) == TEXT
 
 
+LONG = " ".join(f"Sentence {i} of the long text that this page is about." for i in range(12))
+MENU = "<div class='cookie-notice'>We use cookies.</div><nav><a href='/'>Home</a></nav>"
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='has-sidebar'><article><p>%s</p></article></div>", "<div id='page-header-layout'><p>%s</p></div>", "<main class='with-sidebar'><p>%s</p></main>",
+    "<form id='aspnetForm'><div><p>%s</p></div></form>", "<form><div class='has-sidebar'><p>%s</p></div></form>", "<div class='search'><main><p>%s</p></main></div>",
+    "<p>%s</p><article class='post'>A teaser</article>", "<div class='story'>Read on</div><div class='content'><p>%s</p></div>"])
+def test_names_take_no_text_away(page):
+    for wrapped in (page, page.replace("%s", "%s" + MENU), MENU + page):
+        assert html_text.main_text(f"<html><body>{wrapped % LONG}</body></html>") == LONG
+
+
+def test_named_furniture_stays_out():
+    side = "<div class='comments'><article class='comment'><p>A reader says something long about what the writer wrote, at length.</p></article></div>"
+    hidden = "<div style='display:none'><main>Not shown to anyone</main></div><main hidden>Nor this</main>"
+    assert html_text.main_text(f"<article><p>{LONG}</p></article>{side}{hidden}") == LONG
+    assert html_text.main_text(f"<p>{LONG}</p>{side}{hidden}") == LONG
+
+
 def test_html_edges(spark):
     pages = ["", None, "plain text only", "<p>", "<article><p>a<p>b", "<!-- <p>x</p>", "<script>x", "<p title='>'>q</p>", "&lt;b&gt;", "<nav>" * 3000 + "x"]
     df = spark.createDataFrame([(i, p, "u", "old") for i, p in enumerate(pages)], "page_id long, html string, url string, text string")
