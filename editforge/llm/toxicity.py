@@ -6,7 +6,9 @@ from every document. The nearest examples by exact cosine are found through an
 inverted index with the largest weight of every block of examples: blocks are
 visited from the highest upper bound down, until no block can hold a nearer
 example. Votes weighted by nearness give a score, calibrated by
-leaving each example out in turn; the nearest examples are the evidence.
+leaving each example out in turn; the nearest examples are the evidence. A text
+without a telling term is a vector over all words of the sample instead, held
+against the examples that have no telling term either.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,11 +126,34 @@ class Examples:
         return places, found
 
 
+class Whole:
+    """Labelled vectors over all words, with the examples of each word; every cosine is worked out."""
+
+    def __init__(self, numbers: dict[str, int], idf: np.ndarray, ids, labels, sizes, terms, counts):
+        self.numbers, self.idf, self.ids, self.labels = numbers, idf, ids, labels
+        row = np.repeat(np.arange(len(ids)), sizes)
+        weights = (1 + np.log(counts)) * idf[terms]
+        weights /= np.sqrt(np.bincount(row, weights ** 2, len(ids)))[row]
+        at = np.argsort(terms, kind="stable")
+        self.post, self.weights = row[at].astype(np.int32), weights[at].astype(np.float32)
+        self.ends = np.searchsorted(terms[at], np.arange(len(idf) + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS):
+        """(places, cosines) of the k examples of highest cosine above 0, ties by smaller id."""
+        found = np.zeros(len(self.ids))
+        for a, b, w in zip(self.ends[terms].tolist(), self.ends[terms + 1].tolist(), weights.tolist()):
+            found[self.post[a:b]] += w * self.weights[a:b]
+        least = np.partition(found, -k)[-k] - 1e-6 if len(found) > k else 0.0
+        places = np.flatnonzero((found > 0) & (found >= least))
+        places = places[np.lexsort((self.ids[places], -np.round(found[places], 6)))[:k]]
+        return places, np.minimum(found[places], 1.0)
+
+
 class Model:
     """What a fit has learnt: bounded by MAX_TERMS and FIT_ROWS, whatever the input."""
 
-    def __init__(self, numbers, idf, examples: Examples, base: float, empty: float, knots=None):
-        self.numbers, self.idf, self.examples, self.base, self.empty, self.knots = numbers, idf, examples, base, empty, knots
+    def __init__(self, numbers, idf, examples: Examples, base: float, empty: float, knots=None, whole: Whole | None = None):
+        self.numbers, self.idf, self.examples, self.base, self.empty, self.knots, self.whole = numbers, idf, examples, base, empty, knots, whole
 
     def vector(self, counts: dict[int, int]):
         return unit(counts, self.idf)
@@ -157,6 +183,13 @@ class Model:
         vote, places, cosines = self.vote(terms, weights)
         return float(np.interp(vote, *self.knots)) if self.knots else vote, places, cosines
 
+    def score_whole(self, counts: dict[int, int]):
+        """The same for a text without a telling term, by the counts of all its words; a near copy outweighs all that is merely like it."""
+        terms, weights = unit(counts, self.whole.idf)
+        places, cosines = self.whole.nearest(terms, weights)
+        near = cosines ** 2 / (1.01 - cosines ** 2)
+        return float((near @ self.whole.labels[places] + PRIOR_WEIGHT * self.empty) / (near.sum() + PRIOR_WEIGHT)), places, cosines
+
 
 def unit(counts: dict[int, int], idf: np.ndarray):
     """(term numbers in order, weights) of a TF-IDF vector of length 1."""
@@ -197,23 +230,32 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
     if not n1 + n0:
         return Model({}, np.zeros(0), Examples([], [], [], 0), 0.5, 0.5)
     base = (n1 + 0.5) / (n1 + n0 + 1)
+    # Telling: among its documents the odds of the label are more than double, whatever the base rate.
     # Gain of the labels' likelihood when a term's documents have a rate of their own; it must exceed what the best of so many terms gets by chance.
     terms, df = F.col("term"), F.col("n1") + F.col("n0")
     part = lambda n, rate: F.when(n > 0, n * F.log(n / (df * rate))).otherwise(0.0)
     gain = part(F.col("n1"), base) + part(F.col("n0"), 1 - base)
     least = float(np.log(max(2, counted.where("n1 + n0 >= 3").count()))) + 0.5
     told = (counted.where(terms.isNotNull()).withColumn("gain", gain).where(F.col("gain") >= least)
-            .where(F.col("n1") > df * min(1.0, 2 * base)).orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect())
+            .where(F.col("n1") * (1 - base) > 2 * base * F.col("n0")).orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect())
     numbers = {r[0]: i for i, r in enumerate(told)}
+    names = np.asarray(counted.where(terms.isNotNull() & ~terms.endswith("*")).select("term").orderBy("term").toArrow()["term"])  # of at most fit_rows texts
+    everything = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names.tolist())})
 
     def vectors(batches):
         seen, df, n = Terms(numbers), np.zeros(len(numbers), np.int64), 0
+        every = Terms(everything.value)
+        df_every = np.zeros(len(every.numbers), np.int64)
         ids, ys, ts, cs = [], [], [], []
         for batch in batches:
             n += batch.num_rows
             for i, y, t in zip(batch.column("_id").to_pylist(), batch.column("_y").to_pylist(), text_column(batch, text)):
-                counts = seen.count(t.as_py())
+                t = t.as_py()
+                counts, words = seen.count(t), every.count(t)
                 df[list(counts)] += 1
+                df_every[list(words)] += 1
+                if y is not None and not counts:
+                    ids.append(i), ys.append(-2 - bool(y)), ts.append(list(words)), cs.append(list(words.values()))
                 if y is not None:
                     ids.append(i), ys.append(y), ts.append(list(counts)), cs.append(list(counts.values()))
         here = np.flatnonzero(df)
@@ -221,6 +263,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
         ys += [-1] * (len(here) + 1)
         ts += [[t] for t in here.tolist()] + [[]]
         cs += [[c] for c in df[here].tolist()] + [[n]]
+        here = np.flatnonzero(df_every)
+        ids.append(None), ys.append(-4), ts.append(here), cs.append(df_every[here])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(ts, pa.list_(pa.int32())),
                                           pa.array(cs, pa.list_(pa.int64()))], names=["id", "y", "terms", "counts"])
 
@@ -239,14 +283,23 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
     # Of texts without any telling term the base rate is learnt too, with one row's weight of doubt.
     model = Model(numbers, idf, examples, base, ((empty[0] or 0) + base) / (empty[1] + 1))
     model.calibrate()
+    pairs = seen.where("y = -4").select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).groupBy("p.terms").agg(F.sum("p.counts").alias("n")).toArrow()
+    df = np.zeros(len(names))
+    df[np.asarray(pairs["terms"])] = np.asarray(pairs["n"])
+    plain = seen.where("y in (-2, -3) and size(terms) > 0").orderBy("id", F.desc("y")).toArrow().combine_chunks()  # at most fit_rows
+    if len(plain):
+        lists = [pc.list_flatten(plain[c]).to_numpy() for c in ("terms", "counts")]
+        model.whole = Whole(everything.value, np.log((n_docs + 1) / (df + 1)) + 1, plain["id"].to_numpy(), -2.0 - plain["y"].to_numpy(),
+                            pc.list_value_length(plain["terms"]).to_numpy(), *lists)
     return model
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` with score, predicted, evidence (nearest examples: id, label, cosine).
 
-    Columns of those names are replaced. Null and empty texts, and texts
-    without any telling term, get the rate of such texts; equal texts get equal
+    Columns of those names are replaced. Texts without any telling
+    term are held against labelled ones of that kind by all their words; null
+    and empty texts, and those without a known word, get the rate of that kind; equal texts get equal
     scores; an empty table stays empty.
     """
     kept = documents.drop("score", "predicted", "evidence")
@@ -256,17 +309,26 @@ def score(documents: DataFrame, model: Model, text: str = "text", threshold: flo
     def run(batches):
         m = sent.value
         terms, known = Terms(m.numbers), {}
+        every = Terms(m.whole.numbers) if m.whole else None
+
+        def shown(examples, places, cosines):
+            return [{"id": int(examples.ids[p]), "label": int(examples.labels[p]), "cosine": float(c)} for p, c in zip(places[:3].tolist(), cosines[:3].tolist())]
         for batch in batches:
             scores, evidence = [], []
             for t in text_column(batch, text):
                 counts = terms.count(t.as_py())
+                words = every.count(t.as_py()) if every is not None and not counts else None
+                if words:
+                    s, places, cosines = m.score_whole(words)
+                    scores.append(s)
+                    evidence.append(shown(m.whole, places, cosines))
+                    continue
                 key = tuple(sorted(counts.items()))
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
                     s, places, cosines = m.score(counts)
-                    known[key] = s, [{"id": int(m.examples.ids[p]), "label": int(m.examples.labels[p]), "cosine": float(c)}
-                                     for p, c in zip(places[:3].tolist(), cosines[:3].tolist())]
+                    known[key] = s, shown(m.examples, places, cosines)
                 scores.append(known[key][0])
                 evidence.append(known[key][1])
             yield pa.RecordBatch.from_arrays(

@@ -71,6 +71,27 @@ def test_held_out_labels_change_nothing(spark):
     assert score(labels) == score(other)
 
 
+def test_balanced_labels_and_copies_without_telling_terms(spark):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(600):  # half of the labelled rows are toxic
+        words = [f"clean{rng.randrange(300)}x" for _ in range(rng.randint(20, 100))] + ["vileword"] * (i % 2)
+        docs.append((i, " ".join(words), 0, ""))
+        labels.append((i, i % 2))
+    rare = lambda d: " ".join(f"rare{d}n{k}" for k in range(30))
+    learnt = [d for d in range(1000, 1100) if zlib.crc32(str(d).encode()) % 4 != 2][:6]
+    for n, d in enumerate(learnt):  # toxic and clean ones of words that stand nowhere else, and a copy of each
+        docs += [(d, rare(d), 0, ""), (d + 1000, rare(d), 0, "")]
+        labels.append((d, n % 2))
+    documents, labels = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(documents, toxicity.fit(documents, labels)).collect()}
+    for i in range(600):
+        if zlib.crc32(str(i).encode()) % 4 == 2:
+            assert got[i]["predicted"] == i % 2, (i, got[i]["score"])
+    for n, d in enumerate(learnt):
+        assert got[d + 1000]["predicted"] == n % 2 and got[d + 1000]["evidence"][0]["id"] == d and got[d + 1000]["evidence"][0]["cosine"] > 0.999
+
+
 def test_without_labels_or_rows(spark):
     documents, labels = labelled(spark, 20)
     assert {r["score"] for r in toxicity.score(documents, toxicity.fit(documents, labels.limit(0))).collect()} == {0.5}
