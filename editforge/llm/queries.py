@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from editforge.llm import bpe, html_text, line_dedup, lm_score, ngram_join, packing, search, toxicity, url_filter, vector_links
+from editforge.llm import alignment, bpe, html_text, line_dedup, lm_score, ngram_join, packing, search, toxicity, url_filter, vector_links, vector_search, whitening
 
 QUERIES = {
     "op1_pseudo_likelihood": lm_score.op1_pseudo_likelihood,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_block_max": search.op8_block_max,
     "op9_winnowing": line_dedup.op9_winnowing,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_one_bit_codes": vector_search.op11_one_bit_codes,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_lockstep": alignment.op13_lockstep,
 }
 
 ORACLE = {
