@@ -39,6 +39,8 @@ ESTIMATES = 1 << 21
 
 def matrix(arrays, dims: int) -> np.ndarray:
     """Vectors as rows of one width in double precision; shorter ones get zeros."""
+    if isinstance(arrays, pa.Array) and (np.asarray(arrays.value_lengths()) == dims).all():
+        return np.asarray(arrays.flatten(), np.float64).reshape(-1, dims)
     rows = arrays.to_pylist() if isinstance(arrays, (pa.Array, pa.ChunkedArray)) else list(arrays)
     out = np.zeros((len(rows), dims))
     for i, r in enumerate(rows):

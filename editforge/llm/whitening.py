@@ -109,11 +109,7 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grid(batch: pa.RecordBatch, name: str, dims: int) -> np.ndarray:
-    rows = batch.column(name).to_pylist()
-    out = np.zeros((len(rows), dims), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+    return np.asarray(batch.column(name).flatten(), np.int64).reshape(-1, dims)
 
 
 def _decimal(values) -> pa.Array:
