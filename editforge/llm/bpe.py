@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from editforge.llm.common import mix64, text_column
+from editforge.llm.common import text_column
 
-#: Pieces a worker remembers before it starts afresh.
-REMEMBERED = 1_200_000
+#: Pieces, and characters of them, that a worker remembers before it starts afresh.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 1 << 23
 #: Code points handled at once.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Endings after an apostrophe that the pre-tokenizer's pattern splits off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -155,30 +155,20 @@ def piece_bounds(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_BASE, _M = 0x5851F42D4C957F2D, 1 << 64
-
-
 class Pieces:
-    """Token ids of the pieces a worker has met, by the hash of the piece."""
+    """Token ids of the pieces a worker has met, looked up by the piece itself."""
 
     def __init__(self, merge):
         self.merge = merge
         self.clear()
-        self.power = self.inverse = np.ones(0, np.uint64)
 
     def clear(self):
-        self.entry, self.used = {}, 0
+        self.entry, self.used, self.chars = {}, 0, 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.int32)
 
-    def powers(self, n: int):
-        if len(self.power) < n:
-            p, q = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, _M), np.uint64)
-            p[0] = q[0] = 1
-            self.power, self.inverse = np.multiply.accumulate(p), np.multiply.accumulate(q)
-        return self.power[:n], self.inverse[:n]
-
-    def _add(self, keys: list[int], found: list[list[int]]):
+    def _add(self, keys: list[str]):
+        found = self.merge(keys)
         have, flat = len(self.entry), [i for ids in found for i in ids]
         while have + len(keys) > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
@@ -189,11 +179,12 @@ class Pieces:
         self.start[have: have + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used: self.used + len(flat)] = flat
         self.used += len(flat)
+        self.chars += sum(map(len, keys))
         self.entry.update(zip(keys, range(have, have + len(keys))))
 
     def encode(self, texts: list[str]):
         """(ids of all texts one after the other, number of ids of each text)."""
-        if len(self.entry) > REMEMBERED:
+        if len(self.entry) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.clear()
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -201,18 +192,13 @@ class Pieces:
         starts = piece_bounds(points, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        ends = np.append(starts[1:], len(points))
-        power, inverse = self.powers(len(points))
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        keys = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        entry, unique = self.entry, unique.tolist()
-        missing = [i for i, k in enumerate(unique) if k not in entry]
-        if missing:
-            where = first[missing]
-            self._add([unique[i] for i in missing], self.merge([whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]))
-        places = np.fromiter(map(entry.__getitem__, unique), np.int64, len(unique))[back]
+        at = starts.tolist()
+        cut = [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)])]
+        places = list(map(self.entry.get, cut))
+        if None in places:
+            self._add(list({c for c, p in zip(cut, places) if p is None}))
+            places = map(self.entry.__getitem__, cut)
+        places = np.fromiter(places, np.int64, len(cut))
         sizes = self.size[places].astype(np.int64)
         upto = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.start[places] - (upto - sizes), sizes) + np.arange(upto[-1])]

@@ -12,9 +12,6 @@ from editforge.session import materialize
 
 #: Bytes of text that are turned into numpy arrays at once.
 CHUNK_BYTES = 1 << 21
-_BASE = 0x9E3779B97F4A7C15 | 1
-_M64 = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,6 +30,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def scattered(n: int, seed: int) -> np.ndarray:
+    """n fixed 64-bit values without a pattern."""
+    return mix64(mix64(np.arange(n, dtype=np.uint64) + np.uint64(seed)) + np.uint64(0x9E3779B97F4A7C15))
+
+
+#: A value for each byte, and a weight for each place in a word (grown when a longer word comes).
+_BYTES = scattered(256, 1 << 40)
+_PLACES = [scattered(1 << 12, 1 << 41)]
+
+
+def places(n: int) -> np.ndarray:
+    """Weights of the first n places of a word."""
+    if n > len(_PLACES[0]):
+        _PLACES[0] = scattered(1 << (n - 1).bit_length(), 1 << 41)
+    return _PLACES[0]
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A column as 64-bit-offset strings; null becomes empty."""
     return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
@@ -61,8 +75,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     """Words (runs of bytes other than ASCII white space) of the texts of a chunk.
 
     Returns (hash per word, first word of each text, byte start, byte end).
-    The hash is a polynomial of the bytes modulo 2^64, scrambled together with
-    the length.
+    The hash is a sum of byte values times weights of their places modulo 2^64,
+    scrambled together with the length. Weights have no pattern: powers of a base
+    would give some pairs of long words the same sum whatever the base.
     """
     n = len(data)
     if n == 0:
@@ -79,17 +94,15 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     after[-1] = False
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    power = np.full(n, _BASE, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    value = (LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-    value *= power
+    begin = np.zeros(n, np.int64)
+    begin[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(begin)
+    longest = int((ends - starts).max()) if len(starts) else 0
+    value = _BYTES[LOWER[data] if lower else data]
+    value *= places(longest)[np.minimum(place, max(longest - 1, 0))]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=total[1:])
-    inverse = np.full(n, _INVERSE, np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    h = (total[ends] - total[starts]) * inverse[starts]
+    h = total[ends] - total[starts]
     h = mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return h, np.searchsorted(starts, offsets), starts, ends
 

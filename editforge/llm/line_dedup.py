@@ -24,8 +24,35 @@ from editforge.session import materialize
 
 LINE_WORDS = 32
 MIN_WORDS = 50
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Hashes of runs are polynomials modulo this prime; modulo a power of two some long runs would meet whatever the base.
+PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x1342543DE82EF95
+
+
+def times(a: np.ndarray, b) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it: products of halves of 30 and 31 bits."""
+    low, u = np.uint64((1 << 31) - 1), np.uint64
+    a1, a0, b1, b0 = a >> u(31), a & low, b >> u(31), b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << u(1)) + (middle >> u(30)) + ((middle & u((1 << 30) - 1)) << u(31)) + a0 * b0)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+_POWERS: dict = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... of n places at least, kept between calls."""
+    p = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(p) < n:
+        p = np.concatenate([p, times(p, np.uint64(pow(base, len(p), int(PRIME))))])
+    if len(p) <= 1 << 22:
+        _POWERS[base] = p
+    return p
 
 
 class Sums:
@@ -33,22 +60,25 @@ class Sums:
 
     def __init__(self, h: np.ndarray):
         n = len(h)
-        power, self.inverse = np.full(n, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
-        power[:1] = self.inverse[0] = 1
-        np.multiply.accumulate(power, out=power)
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        self.inverse = powers(pow(_BASE, -1, int(PRIME)), n + 1)
+        value, low = times(reduced(h), powers(_BASE, n)[:n]), np.uint64((1 << 31) - 1)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * power, out=self.total[1:])
+        high = reduced(np.cumsum(value >> np.uint64(31)))
+        self.total[1:] = reduced(times(high, np.uint64(1 << 31)) + reduced(np.cumsum(value & low)))
+
+    def between(self, start, stop, inverse) -> np.ndarray:
+        return mix64(times(reduced(self.total[stop] + PRIME - self.total[start]), inverse))
 
     def lines(self, k: int = LINE_WORDS) -> np.ndarray:
         """Hash of the k words that begin at each word, for all but the last k - 1."""
         if len(self.total) <= k:
             return np.zeros(0, np.uint64)
-        return mix64((self.total[k:] - self.total[:-k]) * self.inverse[: len(self.total) - k])
+        n = len(self.total) - k
+        return self.between(slice(n), slice(k, n + k), self.inverse[:n])
 
     def runs(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hash of the words from each start to its stop."""
-        return mix64((self.total[stop] - self.total[start]) * self.inverse[start])
+        return self.between(start, stop, self.inverse[start])
 
 
 def _window(min_words: int) -> int:
