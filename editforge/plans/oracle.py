@@ -491,6 +491,21 @@ ORACLE.update({
   SELECT t.n AS total, r.n AS processed, t.n - r.n AS skipped, 0 AS errors
   FROM (SELECT count(*) AS n FROM (SELECT DISTINCT ok, path_id FROM steps)) t,
        (SELECT count(*) AS n FROM ({_records(CAP)})) r""", True),
+    "text_diff": _q(["steps", "lines_ok"], f"""SELECT * FROM (
+  WITH st AS (SELECT *, CASE WHEN code = '' THEN 0 ELSE len(string_split(code, chr(10))) END AS n FROM ({_states(CAP)})),
+       mx AS (SELECT ok, path_id, max(state) AS m FROM st GROUP BY ok, path_id)
+  SELECT c.ok, c.path_id, mx.m - c.state AS fwd, c.n - p.n AS added, 0 AS removed, md5(c.code) AS replayed_md5
+  FROM st c JOIN mx ON mx.ok = c.ok AND mx.path_id = c.path_id
+  JOIN st p ON p.ok = c.ok AND p.path_id = c.path_id AND p.state = c.state + 1)""", True),
+    "text_diff_cleaned": _q(["code_docs", "clean_docs"], """
+  SELECT r.ok, CASE WHEN c.code = '' THEN 0 ELSE len(string_split(c.code, chr(10))) END - CASE WHEN r.code = '' THEN 0 ELSE len(string_split(r.code, chr(10))) END AS net,
+         r.code <> c.code AS changed, md5(c.code) AS replayed_md5, 0 AS bad_hunk
+  FROM code_docs r JOIN clean_docs c ON c.ok = r.ok"""),
+    "replay_records": _q(["steps", "lines_ok"], f"""
+  SELECT original_line_no, path_id, md5(final_code) AS replayed_md5, steps_count AS steps, 0 AS bad_hunk FROM ({_records(CAP)})""", True),
+    "replay_damaged": _q(["steps", "lines_ok"], f"""
+  SELECT original_line_no, path_id, n_hunks, 1 + original_line_no % n_hunks AS bad_hunk FROM (
+    SELECT original_line_no, path_id, len(string_split(chr(10) || edit_sequence, chr(10) || '@@ -')) - 1 AS n_hunks FROM ({_records(CAP)}))""", True),
     "adjacent_pairs": _q(["steps", "lines_ok"], f"""SELECT * FROM (
   WITH st AS ({_states(CAP)}), mx AS (SELECT ok, path_id, max(state) AS m FROM st GROUP BY ok, path_id)
   SELECT c.ok, c.path_id, mx.m - c.state AS fwd,

@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..operators import deps as D
 from ..operators import diff as E
 from ..operators import paths as P
+from ..operators import replay as RP
+from ..operators import textdiff as TD
 from ..sources import fixtures as X
 from ..sources.tables import table as _table
 from . import corpus as C
@@ -404,6 +406,38 @@ def q_adjacent_pairs(spark, sf):
                     F.length("curr").cast("bigint").alias("curr_len"), F.md5("curr").alias("curr_md5"))
 
 
+def q_text_diff(spark, sf):
+    """E1 on P13's pairs as two texts each, and its replay on the earlier one."""
+    pb = _pb(spark, sf)
+    pairs = E.adjacent_pairs(P.snapshots(pb.steps, pb.lines, pb.cap))
+    done = RP.replay(TD.text_diff(pairs, strip=False), "diff", start="prev")
+    return done.select("ok", F.col("path_id").cast("bigint").alias("path_id"), "fwd", "added", "removed", F.md5("replayed").alias("replayed_md5"))
+
+
+def q_text_diff_cleaned(spark, sf):
+    """E1 from each document as written to the document as cleaned, and its replay."""
+    raw = X.code_docs(spark, sf).withColumnRenamed("code", "prev")
+    pairs = raw.join(X.clean_docs(spark, sf).withColumnRenamed("code", "curr"), "ok")
+    done = RP.replay(TD.text_diff(pairs, strip=False), "diff", start="prev")
+    return done.select("ok", (F.col("added") - F.col("removed")).alias("net"), (F.col("diff") != "").alias("changed"), F.md5("replayed").alias("replayed_md5"),
+                       F.coalesce("bad_hunk", F.lit(0)).alias("bad_hunk"))
+
+
+def q_replay_records(spark, sf):
+    return RP.replay(_records(spark, sf)).select("original_line_no", F.col("path_id").cast("bigint").alias("path_id"), F.md5("replayed").alias("replayed_md5"), "steps",
+                                                 F.coalesce("bad_hunk", F.lit(0)).alias("bad_hunk"))
+
+
+def q_replay_damaged(spark, sf):
+    """Every record with one hunk, the (1 + line number mod hunks)th, moved out of its text."""
+    parts = F.split(F.concat(F.lit("\n"), "edit_sequence"), "\n@@ -")
+    r = _records(spark, sf).select("original_line_no", "path_id", parts.alias("parts")).withColumn("n_hunks", (F.size("parts") - 1).cast("bigint"))
+    at = 1 + F.col("original_line_no") % F.col("n_hunks")
+    moved = F.transform("parts", lambda x, i: F.when(i == at, F.regexp_replace(x, r"^([0-9,]+ \+)", "$199999")).otherwise(x))
+    damaged = r.select("original_line_no", "path_id", "n_hunks", F.substring(F.array_join(moved, "\n@@ -"), 2, 1 << 30).alias("edit_sequence"))
+    return RP.replay(damaged).select("original_line_no", F.col("path_id").cast("bigint").alias("path_id"), "n_hunks", "bad_hunk")
+
+
 def q_consecutive_dedup(spark, sf):
     pb = _pb(spark, sf)
     st = P.snapshots(pb.steps, pb.lines, pb.cap)
@@ -551,6 +585,10 @@ QUERIES.update({
     "status_report": q_status_report,
     "diff_report": q_diff_report,
     "adjacent_pairs": q_adjacent_pairs,
+    "text_diff": q_text_diff,
+    "text_diff_cleaned": q_text_diff_cleaned,
+    "replay_records": q_replay_records,
+    "replay_damaged": q_replay_damaged,
     "consecutive_dedup": q_consecutive_dedup,
     "edit_sequence_tagged": q_edit_sequence_tagged,
     "snapshot_validity": q_snapshot_validity,
