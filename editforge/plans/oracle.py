@@ -340,7 +340,20 @@ def _resolve_sql(compat):
   SELECT id, (n // 1000000) || '.' || ((n // 1000) % 1000) || '.' || (n % 1000) AS version FROM res"""
 
 
+_SCAN = """SELECT * FROM (
+  WITH RECURSIVE st AS (
+    SELECT doc, pos, CAST(0 AS BIGINT) AS state FROM diag_x WHERE pos = 1
+    UNION ALL
+    SELECT b.doc, b.pos + 1, CAST(CASE WHEN s.state > 0 AND b.loc IS NULL THEN s.state - 1 WHEN b.hdr THEN 4 ELSE 0 END AS BIGINT)
+    FROM st s JOIN diag_x b ON b.doc = s.doc AND b.pos = s.pos),
+  found AS (
+    SELECT b.*, s.state, first_value(b.loc IGNORE NULLS) OVER (PARTITION BY b.doc ORDER BY b.pos ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS ahead
+    FROM diag_x b JOIN st s ON s.doc = b.doc AND s.pos = b.pos)
+  SELECT doc, pos, CASE WHEN hdr THEN 'header' ELSE 'inline' END AS kind, CASE WHEN hdr THEN ahead ELSE inl END AS line_no
+  FROM found WHERE (state = 0 OR loc IS NOT NULL) AND (hdr OR inl IS NOT NULL))"""
+
 ORACLE.update({
+    "error_line_extract_compat": _q(["diag_x"], _SCAN),
     "error_line_extract": _q(["l1"], "SELECT DISTINCT doc, line_no FROM l1 WHERE line_no IS NOT NULL"),
     "error_line_fallback": _q(["l2"], "SELECT doc, line_no FROM l2"),
     "error_context": _q(["l2", "doc_lines"], """

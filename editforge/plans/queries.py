@@ -10,6 +10,7 @@ from ..operators import deps as D
 from ..operators import diff as E
 from ..operators import paths as P
 from ..operators import replay as RP
+from ..operators import scan as SC
 from ..operators import textdiff as TD
 from ..sources import fixtures as X
 from ..sources.tables import table as _table
@@ -262,6 +263,11 @@ def q_error_line_extract(spark, sf):
         .select("doc", "line_no").distinct()
 
 
+def q_error_line_extract_compat(spark, sf):
+    """L1 as the sequential scanner reads it; blocks of 64 lines, so that the logs of the tables span several."""
+    return SC.scan_errors(X.diagnostics(spark, sf), block=64, fan=4)
+
+
 def q_error_line_fallback(spark, sf):
     return _errors(spark, sf)
 
@@ -292,6 +298,7 @@ def _resolved(spark, sf, compat):
 
 QUERIES.update({
     "error_line_extract": q_error_line_extract,
+    "error_line_extract_compat": q_error_line_extract_compat,
     "error_line_fallback": q_error_line_fallback,
     "error_context": q_error_context,
     "repair_by_error_lines": q_repair_by_error_lines,
