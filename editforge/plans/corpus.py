@@ -8,6 +8,7 @@ removal, step, total_steps) plus the lines text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from ..functions import text as T
 from ..operators import deps as D
 from ..operators import diff as E
 from ..operators import paths as P
+from ..operators import repair as R
 from ..session import checkpoint_dir, materialize
 
 
@@ -33,9 +35,15 @@ class PathBuild:
 
 
 def build_paths(lines: DataFrame, cap: int | None = None, n_paths: int = P.PATHS_PER_DOC,
-                min_lines: int | None = P.MIN_LINES, key: str = "ok") -> PathBuild:
+                min_lines: int | None = P.MIN_LINES, key: str = "ok",
+                rule: Callable[[DataFrame, str], DataFrame] = D.line_dependencies,
+                compat: bool = False, max_passes: int | None = R.MAX_PASSES) -> PathBuild:
     """``lines`` (key, ln, t); pass ``min_lines=None`` when F2 was applied already
-    (``paths.eligible_lines``), which avoids an aggregate and a semi-join."""
+    (``paths.eligible_lines``), which avoids an aggregate and a semi-join.
+
+    ``rule`` is the checker (B3): any function of (lines, key) that returns the
+    requirements (key, ln, req). ``compat`` follows the sequential loop turn by turn: protection
+    passes from a lost header to the next, and repair after a deletion ends after ``max_passes`` passes."""
     checkpoint_dir(lines.sparkSession)
     if min_lines is not None:
         docs = P.min_lines(lines, min_lines, key)
@@ -44,8 +52,9 @@ def build_paths(lines: DataFrame, cap: int | None = None, n_paths: int = P.PATHS
     docs = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_lines"))
     paths = P.path_fanout(docs, n_paths, key=key)
     ranks = P.deletion_order(kept, paths, key)
-    edges = D.line_dependencies(kept, key)
-    steps = materialize(P.steps_from_removal(D.repair_closure(ranks, edges, key), key))
+    edges = rule(kept, key)
+    steps = R.repair_turns(kept, ranks, edges, max_passes, key) if compat else P.steps_from_removal(D.repair_closure(ranks, edges, key), key)
+    steps = materialize(steps)
     return PathBuild(kept, docs, paths, ranks, edges, steps, cap, key)
 
 
