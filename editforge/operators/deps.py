@@ -175,19 +175,19 @@ def snapshot_validity(steps: DataFrame, edges: DataFrame, cap: int | None = None
     """
     s = steps.withColumn("m", F.col("total_steps") if cap is None else F.least("total_steps", F.lit(cap)))
     req = s.select(key, "path_id", F.col("ln").alias("req"), F.col("step").alias("req_step"))
-    # One interval of bad states per line, from its first lost requirement on; only bad lines are expanded.
+    # One interval of bad states per line, from its first lost requirement on.
     bad = (edges.join(s.select(key, "path_id", "ln", "step", "m"), [key, "ln"]).join(req, [key, "path_id", "req"])
            .where(F.col("req_step") < F.least(F.col("step"), F.col("m") + 1))
            .groupBy(key, "path_id", "ln", "step", "m").agg(F.min("req_step").alias("since")))
-    viol = (bad.select(key, "path_id", F.explode(F.sequence(F.col("since"), F.least(F.col("step") - 1, F.col("m")))).alias("state"))
-            .groupBy(key, "path_id", "state").agg(F.count(F.lit(1)).alias("violations")))
+    # Bad states run from that one to the line's last: one more at the first, one less behind the last, and a running sum over states.
+    change = lambda at, d: bad.select(key, "path_id", F.least(at, F.col("m") + 1).alias("state"), F.lit(d).alias("d"))
+    change = change(F.col("since"), 1).union(change(F.col("step"), -1)).groupBy(key, "path_id", "state").agg(F.sum("d").alias("d"))
     # Lines left in a state: all but those of the steps up to it.
     gone = s.groupBy(key, "path_id", F.col("step").alias("state")).agg(F.count(F.lit(1)).alias("n"))
     totals = s.groupBy(key, "path_id").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("total"))
     states = totals.select(key, "path_id", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("state"))
     run = Window.partitionBy(key, "path_id").orderBy("state").rowsBetween(Window.unboundedPreceding, 0)
     sized = (states.join(gone, [key, "path_id", "state"], "left")
-             .withColumn("n_lines", F.col("total") - F.sum(F.coalesce("n", F.lit(0))).over(run)))
-    return (sized.join(viol, [key, "path_id", "state"], "left")
-            .select(key, "path_id", "state", F.col("n_lines").cast("bigint").alias("n_lines"),
-                    F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations")))
+             .join(change, [key, "path_id", "state"], "left"))
+    return sized.select(key, "path_id", "state", (F.col("total") - F.sum(F.coalesce("n", F.lit(0))).over(run)).cast("bigint").alias("n_lines"),
+                        F.sum(F.coalesce("d", F.lit(0))).over(run).cast("bigint").alias("violations"))

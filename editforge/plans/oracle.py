@@ -438,8 +438,8 @@ def _qz(body):
     return with_ctes(["steps", "lines_ok", "responses"], body, extra=_Z2).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-_VALIDITY = f"""SELECT * FROM (
-  WITH s AS ({_capped(CAP)}),
+_VALIDITY = """SELECT * FROM (
+  WITH s AS MATERIALIZED ({s}),
   st AS (SELECT ok, path_id, CAST(k AS BIGINT) AS state FROM (SELECT DISTINCT ok, path_id, m FROM s), range(0, m + 1) r(k)),
   gone AS (SELECT ok, path_id, step, count(*) AS n FROM s GROUP BY ALL),
   sz AS (SELECT st.ok, st.path_id, st.state, t.n - CAST(sum(coalesce(g.n, 0)) OVER (PARTITION BY st.ok, st.path_id ORDER BY st.state) AS BIGINT) AS n_lines
@@ -454,6 +454,64 @@ _VALIDITY = f"""SELECT * FROM (
   SELECT st.ok, st.path_id, st.state, coalesce(sz.n_lines, 0) AS n_lines, coalesce(vi.violations, 0) AS violations
   FROM st LEFT JOIN sz USING (ok, path_id, state) LEFT JOIN vi USING (ok, path_id, state))"""
 
+_LATE = "SELECT * REPLACE (CASE WHEN ln % 4 = 0 THEN least(step + 2, total_steps + 1) ELSE step END AS step), total_steps AS m FROM steps"
+
+_SCOPED = {
+    "scoped_lines": (["clean_lines"], """
+  SELECT ok, row_number() OVER (PARTITION BY ok ORDER BY ln, k) AS ln, t FROM (
+    SELECT ok, ln, k, parts[k] AS t FROM (
+      SELECT ok, ln, CASE WHEN contains(t, 'function f')
+                          THEN list_filter(['  function g' || ln || '() {', CASE WHEN ln % 2 = 0 THEN '    uint total = 1;' END,
+                                            '    total += ' || regexp_extract(t, '(p[0-9]+);', 1) || ';', '  }'], lambda x: x IS NOT NULL)
+                          WHEN starts_with(t, 'contract C') THEN [t, '  uint total = 0;'] ELSE [t] END AS parts
+      FROM clean_lines), range(1, len(parts) + 1) r(k))"""),
+    "docs_ok": (["scoped_lines"], "SELECT ok, count(*) AS n_lines FROM scoped_lines GROUP BY ok HAVING count(*) >= 6"),
+    "lines_ok": (["scoped_lines", "docs_ok"], "SELECT ok, ln, t FROM scoped_lines WHERE ok IN (SELECT ok FROM docs_ok)"),
+    "scoped_edges": (["ident_decl", "depth", "block_found"], f"""
+  SELECT u.ok, u.ln, arg_max(d.req, d.scope * 1000 + d.level) AS req FROM
+    (SELECT DISTINCT ok, ln, decl, unnest(regexp_extract_all(bt, {sqlstr(IDENT_RE)})) AS name FROM ident_decl) u
+  JOIN (SELECT i.ok, i.decl AS name, h.d_before AS level, coalesce(b.o, 0) AS scope, min(i.ln) AS req
+        FROM ident_decl i JOIN depth h ON h.ok = i.ok AND h.ln = i.ln
+        LEFT JOIN block_found b ON b.ok = i.ok AND b.ln = i.ln AND b.level = h.d_before
+        WHERE i.decl <> '' GROUP BY ALL) d ON d.ok = u.ok AND d.name = u.name
+  LEFT JOIN (SELECT ok, level, o, min(ln) AS close FROM block_found WHERE closes GROUP BY ALL) c ON c.ok = d.ok AND c.level = d.level AND c.o = d.scope
+  WHERE u.name <> u.decl AND (d.scope = 0 OR d.scope < u.ln AND u.ln <= coalesce(c.close, 1 << 40))
+  GROUP BY u.ok, u.ln, u.name"""),
+    "edges": (["block_found", "scoped_edges"], """
+  SELECT DISTINCT ok, ln, req FROM (
+    SELECT ok, ln, o AS req FROM block_found
+    UNION ALL SELECT ok, o, ln FROM block_found WHERE closes
+    UNION ALL SELECT ok, ln, req FROM scoped_edges) WHERE ln <> req"""),
+}
+
+# Two headers: where repair takes the first before the second goes, the second is last from then on.
+_HANDOVER = {
+    "header_lines": (["clean_lines"], """
+  SELECT ok, row_number() OVER (PARTITION BY ok ORDER BY ln, k) AS ln, t FROM (
+    SELECT ok, ln, 0 AS k, t FROM clean_lines WHERE NOT starts_with(t, 'pragma solidity')
+    UNION ALL
+    SELECT ok, 0, k, h FROM clean_lines, (VALUES (0, 'library L {'), (1, '  pragma solidity ^0.4.9;'), (2, '  uint h = 1;'), (3, '}'), (4, 'pragma solidity ^0.5.0;')) v(k, h)
+    WHERE ln = 1)"""),
+    "docs_ok": (["header_lines"], "SELECT ok, count(*) AS n_lines FROM header_lines GROUP BY ok HAVING count(*) >= 6"),
+    "lines_ok": (["header_lines", "docs_ok"], "SELECT ok, ln, t FROM header_lines WHERE ok IN (SELECT ok FROM docs_ok)"),
+    "ranks2": (["removal", "ranks", "docs_ok"], """
+  SELECT k.ok, k.path_id, k.ln, CASE WHEN k.ln = 5 AND a.removal < d.n_lines AND b.removal > a.removal THEN d.n_lines + 1 ELSE k.rank END AS rank
+  FROM ranks k JOIN docs_ok d ON d.ok = k.ok
+  JOIN removal a ON a.ok = k.ok AND a.path_id = k.path_id AND a.ln = 2
+  JOIN removal b ON b.ok = k.ok AND b.path_id = k.path_id AND b.ln = 5"""),
+    "removal2": (["ranks2", "reach"], """
+  SELECT k.ok, k.path_id, k.ln, least(k.rank, coalesce(min(r2.rank), k.rank)) AS removal
+  FROM ranks2 k
+  LEFT JOIN reach r ON r.ok = k.ok AND r.ln = k.ln
+  LEFT JOIN ranks2 r2 ON r2.ok = r.ok AND r2.path_id = k.path_id AND r2.ln = r.req
+  GROUP BY k.ok, k.path_id, k.ln, k.rank"""),
+}
+
+
+def _qx(names, body, extra):
+    return with_ctes(names, body, extra=extra).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 _PBJ = """
   SELECT ok AS original_line_no,
          to_json(list({{'path_id': path_id, 'initial_code': initial_code, 'final_code': final_code,
@@ -465,6 +523,13 @@ _PBJ = """
   GROUP BY ok"""
 
 ORACLE.update({
+    "line_dependencies_scoped": _qx(["edges"], "SELECT ok, ln, req FROM edges", {k: v for k, v in _SCOPED.items()} | {
+        "docs_ok": (["scoped_lines"], "SELECT ok, count(*) AS n_lines FROM scoped_lines GROUP BY ok")}),
+    "repair_closure_scoped": _qx(["steps"], "SELECT ok, path_id, ln, removal, step FROM steps", _SCOPED),
+    "header_handover": _qx(["removal2"], """
+  SELECT ok, path_id, ln, step, max(step) OVER (PARTITION BY ok, path_id) AS total_steps FROM (
+    SELECT *, dense_rank() OVER (PARTITION BY ok, path_id ORDER BY removal) AS step FROM removal2)""", _HANDOVER),
+    "snapshot_validity_damaged": _q(["steps", "edges"], _VALIDITY.replace("{s}", _LATE), True),
     "instruct_eligible": _q(["steps", "lines_ok"], f"SELECT original_line_no, path_id FROM ({_ELIG})", True),
     "instruction_once": _q(["steps", "lines_ok"], _ONCE, True),
     "prompt_table": _q(["steps", "lines_ok"], f"""
@@ -535,7 +600,7 @@ ORACLE.update({
   FROM (SELECT DISTINCT ok, path_id FROM steps WHERE total_steps >= 1) p
   LEFT JOIN ({_seqs(CAP, "chr(10) || '<|next_edit|>' || chr(10)")}) q ON q.ok = p.ok AND q.path_id = p.path_id""",
                                True),
-    "snapshot_validity": _q(["steps", "edges"], _VALIDITY, True),
+    "snapshot_validity": _q(["steps", "edges"], _VALIDITY.replace("{s}", _capped(CAP)), True),
     "edit_corpus": _qz(f"SELECT * FROM ({_records(CAP)})"),
     "sft_corpus": _qz(_edit_set(f"""SELECT e.*, {strip('r.instruction')} AS instruction FROM ({_ELIG}) e
   JOIN responses r ON r.original_line_no = e.original_line_no""")),
@@ -575,7 +640,7 @@ ORACLE.update({
     "resume_stream": "SELECT o_orderkey AS original_line_no, CASE WHEN o_orderkey % 5 = 0 THEN 'first' ELSE 'second' END AS run FROM orders",
     "repair_closure_long": _long(["steps"], "SELECT ok, path_id, ln, removal, step FROM steps"),
     "edit_records_long": _long(["steps", "lines_ok"], f"SELECT * FROM ({_records(CAP)})"),
-    "snapshot_validity_long": _long(["steps", "edges"], _VALIDITY),
+    "snapshot_validity_long": _long(["steps", "edges"], _VALIDITY.replace("{s}", _capped(CAP))),
 })
 
 # The whole chain from the JSONL shards on; a contract's key is its line in the cleaned file.

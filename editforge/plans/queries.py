@@ -11,6 +11,7 @@ from ..operators import diff as E
 from ..operators import paths as P
 from ..operators import replay as RP
 from ..operators import scan as SC
+from ..operators import scopes as SP
 from ..operators import textdiff as TD
 from ..sources import fixtures as X
 from ..sources.tables import table as _table
@@ -559,6 +560,35 @@ def q_snapshot_validity_long(spark, sf):
     return D.snapshot_validity(pb.steps, pb.edges, pb.cap).withColumn("path_id", F.col("path_id").cast("bigint"))
 
 
+def q_line_dependencies_scoped(spark, sf):
+    return SP.scoped_dependencies(X.scoped_lines(spark, sf))
+
+
+def q_repair_closure_scoped(spark, sf):
+    """Paths built with the scope rule as the checker."""
+    pb = C.build_paths(X.scoped_lines(spark, sf), rule=SP.scoped_dependencies)
+    return pb.steps.select("ok", F.col("path_id").cast("bigint").alias("path_id"), "ln", "removal", "step")
+
+
+def q_header_handover(spark, sf):
+    """Paths of documents whose first header goes with the block around it; the second is protected from then on."""
+    pb = C.build_paths(X.header_lines(spark, sf), compat=True, max_passes=None)
+    return pb.steps.select("ok", F.col("path_id").cast("bigint").alias("path_id"), "ln", "step", "total_steps")
+
+
+def q_repair_passes_long(spark, sf):
+    """Whole documents, whose requirements chain, with the reference's bound of 50 passes a deletion."""
+    pb = C.build_paths(X.long_lines(spark, sf), compat=True)
+    return pb.steps.select("ok", F.col("path_id").cast("bigint").alias("path_id"), "ln", F.col("removal").alias("turn"), "step", "total_steps")
+
+
+def q_snapshot_validity_damaged(spark, sf):
+    """L7 on steps that B4 did not make: every line that is the fourth of four goes two steps later than it should."""
+    pb = _pb(spark, sf)
+    late = pb.steps.withColumn("step", F.when(F.col("ln") % 4 == 0, F.least(F.col("step") + 2, F.col("total_steps") + 1)).otherwise(F.col("step")))
+    return D.snapshot_validity(late, pb.edges, pb.cap).withColumn("path_id", F.col("path_id").cast("bigint"))
+
+
 def q_resume_stream(spark, sf):
     """An interrupted run, every fifth order done, that a file stream goes on with."""
     base = scratch_path(spark, "resume")
@@ -573,6 +603,11 @@ QUERIES.update({
     "chain_sft": q_chain_sft,
     "chain_sft_control": q_chain_sft_control,
     "resume_stream": q_resume_stream,
+    "line_dependencies_scoped": q_line_dependencies_scoped,
+    "repair_closure_scoped": q_repair_closure_scoped,
+    "header_handover": q_header_handover,
+    "repair_passes_long": q_repair_passes_long,
+    "snapshot_validity_damaged": q_snapshot_validity_damaged,
     "repair_closure_long": q_repair_closure_long,
     "edit_records_long": q_edit_records_long,
     "snapshot_validity_long": q_snapshot_validity_long,

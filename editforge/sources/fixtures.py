@@ -206,3 +206,34 @@ def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     alone = F.concat(F.lit("string s"), i, F.lit(' = "'), F.md5("line"), F.lit('";'))
     return d.select("ok", F.posexplode(F.array(chained, alone)).alias("k", "t"), "i").select(
         "ok", (F.col("i") * 2 + F.col("k") + 1).cast("bigint").alias("ln"), "t")
+
+
+def _renumbered(rows: DataFrame) -> DataFrame:
+    """(ok, ln, t) from (ok, ln, k, t): lines numbered anew in the order of (ln, k)."""
+    w = Window.partitionBy("ok").orderBy("ln", "k")
+    return rows.select("ok", F.row_number().over(w).cast("bigint").alias("new"), "t").withColumnRenamed("new", "ln")
+
+
+def scoped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ok, ln, t): the cleaned code with ``total`` declared in the contract and, on every other line that has a
+    function, in the function as well; functions have a line of their own for each statement."""
+    c = clean_lines(spark, sf_dir)
+    used = F.regexp_extract("t", "(p[0-9]+);", 1)
+    function = F.array_compact(F.array(
+        F.concat(F.lit("  function g"), F.col("ln").cast("string"), F.lit("() {")), F.when(F.col("ln") % 2 == 0, F.lit("    uint total = 1;")),
+        F.concat(F.lit("    total += "), used, F.lit(";")), F.lit("  }")))
+    parts = (F.when(F.contains("t", F.lit("function f")), function)
+             .when(F.startswith("t", F.lit("contract C")), F.array(F.col("t"), F.lit("  uint total = 0;"))).otherwise(F.array("t")))
+    return _renumbered(c.select("ok", "ln", F.posexplode(parts).alias("k", "t")))
+
+
+#: Lines before a document that has its header inside a block and another one behind it.
+TWO_HEADERS = ["library L {", "  pragma solidity ^0.4.9;", "  uint h = 1;", "}", "pragma solidity ^0.5.0;"]
+
+
+def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ok, ln, t): the cleaned code without its header behind ``TWO_HEADERS``."""
+    c = clean_lines(spark, sf_dir)
+    body = c.where(~F.startswith("t", F.lit("pragma solidity"))).select("ok", "ln", F.lit(0).alias("k"), "t")
+    head = c.where("ln = 1").select("ok", F.lit(0).cast("bigint").alias("ln"), F.posexplode(F.array(*map(F.lit, TWO_HEADERS))).alias("k", "t"))
+    return _renumbered(body.union(head))

@@ -115,3 +115,19 @@ def test_paths_of_the_loop_make_records_that_replay(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "ok long, ln long, t string, req long, path_id int, rank long")
     assert repair_turns(none, none, none).count() == 0
+
+
+def test_violations_of_damaged_steps_equal_a_plain_count(spark):
+    rng = random.Random(11)
+    steps, edges = [], []
+    for ok in range(20):
+        n, m = rng.randint(1, 12), rng.randint(1, 8)
+        steps += [(ok, 0, ln, rng.randint(1, m + 1), m) for ln in range(1, n + 1)]
+        edges += [(ok, ln, r) for ln in range(1, n + 1) for r in rng.sample(range(1, n + 1), rng.randint(0, min(2, n))) if r != ln]
+    got = D.snapshot_validity(spark.createDataFrame(steps, "ok long, path_id int, ln long, step long, total_steps long"), spark.createDataFrame(edges, "ok long, ln long, req long")).collect()
+    step = {(ok, ln): s for ok, _, ln, s, _ in steps}
+    for r in got:
+        here = {ln for (ok, ln), s in step.items() if ok == r["ok"] and s > r["state"]}
+        assert r["n_lines"] == len(here)
+        assert r["violations"] == len({ln for ok, ln, q in edges if ok == r["ok"] and ln in here and q not in here})
+    assert len(got) == sum({ok: m + 1 for ok, _, _, _, m in steps}.values()) and any(r["violations"] for r in got)
