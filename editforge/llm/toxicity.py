@@ -8,13 +8,15 @@ visited from the highest upper bound down, until no block can hold a nearer
 example. Votes weighted by nearness give a score, calibrated by
 leaving each example out in turn; the nearest examples are the evidence. A text
 without a telling term is a vector over all words of the sample instead, held
-against the examples that have no telling term either.
+by the same search against the examples that have no telling term either; of
+these only ones at a cosine of MIN_COSINE or more vote.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,12 @@ BLOCK = 32
 THRESHOLD = 0.3
 #: Weight of the base rate among the votes.
 PRIOR_WEIGHT = 0.25
-REMEMBERED = 500_000
+#: Least cosine of an example that votes on a text by all its words.
+MIN_COSINE = 0.5
+#: Share of all index entries that belong to common words: a block is bounded by the length of their part of a vector instead of by word.
+COMMON = 0.3
+#: Tokens, and votes on equal counts, that a worker remembers.
+REMEMBERED, VOTES = 200_000, 5_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -50,25 +57,41 @@ def word_terms(token: str) -> tuple[str, ...]:
 
 
 class Terms(dict):
-    """Numbers of the chosen terms that a token holds, worked out once a token."""
+    """Numbers of the terms that a token holds, worked out once a token: telling terms first, then all words of the sample."""
 
-    def __init__(self, numbers: dict[str, int]):
+    def __init__(self, told: dict[str, int], words: dict[str, int]):
         super().__init__()
-        self.numbers = numbers
+        self.told, self.words, self.n_told = told, words, len(told)
+        self.heads = {t[: PREFIXES[0]] for t in told if t.endswith("*")}
 
     def __missing__(self, token):
         if len(self) > REMEMBERED:
             self.clear()
-        out = self[token] = tuple(self.numbers[t] for t in word_terms(token) if t in self.numbers)
+        words, told, heads, out = self.words, self.told, self.heads, ()
+        for w in (token,) if token.isalnum() else _WORD.findall(token):
+            if w in words:
+                out += (self.n_told + words[w],)
+                if w in told:  # a telling word is one of the sample
+                    out += (told[w],)
+            if w[: PREFIXES[0]] in heads:
+                out += tuple(told[h] for k in PREFIXES if len(w) > k and (h := w[:k] + "*") in told)
+        self[token] = out
         return out
 
-    def count(self, text: str) -> dict[int, int]:
-        """Number of times each chosen term occurs in a text."""
-        out: dict[int, int] = {}
-        for token, n in Counter(text.lower().split()).items():
-            for t in self[token]:
-                out[t] = out.get(t, 0) + n
-        return out
+    def held(self, text: str):
+        """Numbers of the terms a text holds, each once."""
+        return set().union(*map(self.__getitem__, set(text.lower().split())))
+
+    def count(self, text: str):
+        """(telling terms, times), (words, times) of a text, in order of number."""
+        tokens = Counter(text.lower().split())
+        lists = [*map(self.__getitem__, tokens)]
+        terms = np.fromiter(chain.from_iterable(lists), np.int64)
+        times = np.repeat(np.fromiter(tokens.values(), np.int64, len(tokens)), np.fromiter(map(len, lists), np.int64, len(lists)))
+        terms, at = np.unique(terms, return_inverse=True)
+        times = np.bincount(at, times, len(terms))
+        split = int(np.searchsorted(terms, self.n_told))
+        return (terms[:split], times[:split]), (terms[split:] - self.n_told, times[split:])
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -76,87 +99,102 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _spread(first, size):
+    """first[i], first[i] + 1, ... size[i] of them, for all i."""
+    upto = np.cumsum(size)
+    return np.repeat(first - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class Examples:
-    """Labelled vectors, rows sorted so that like ones share a block."""
-
-    def __init__(self, ids, labels, rows, n_terms: int):
-        """rows: for each example its term numbers and their weights (unit length)."""
-        order = sorted(range(len(ids)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), labels[i], ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.labels = np.array([labels[i] for i in order], np.float64)
-        self.ends = np.cumsum([0, *(len(rows[i][0]) for i in order)])
-        self.terms = np.concatenate([np.zeros(0, np.int64), *(rows[i][0] for i in order)]).astype(np.int64)
-        self.weights = np.concatenate([np.zeros(0), *(rows[i][1] for i in order)])
-        self.n_terms = n_terms
+    """Labelled vectors, rows sorted so that like ones share a block.
+
+    A vector's cosine with any row of a block is at most the sum over its
+    words of its weight times the block's largest; over the ``common`` words,
+    whose sums are loose and costly, the product of the lengths of both parts bounds it.
+    In blocks that may hold a near example the same is done row by row with the row's own
+    weights, and only rows that still may be near are multiplied out.
+    """
+
+    def __init__(self, ids, labels, sizes, terms, weights, n_terms: int, least: float = 0.0, common: float = 0.0):
+        """``sizes``: number of terms of each example; ``terms`` and ``weights`` of all of them (rows of unit length), terms in order. Examples below ``least`` are not found."""
+        ids, sizes, terms = (np.asarray(x, np.int64) for x in (ids, sizes, terms))
+        labels, weights = np.asarray(labels, np.float64), np.asarray(weights, np.float64)
+        self.least, self.n_terms = least, n_terms
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        heaviest = np.lexsort((terms, -weights, row))[ends[:-1]] if len(terms) else np.zeros(0, np.int64)
+        order = np.lexsort((ids, labels, terms[heaviest])) if len(ids) else np.zeros(0, np.int64)
+        flat = _spread(ends[order], sizes[order])
+        self.ids, self.labels = ids[order], labels[order]
+        self.ends = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
+        self.terms, self.weights = terms[flat].astype(np.int32), weights[flat]
+        self.n_blocks = -(-len(ids) // BLOCK)
+        df = np.bincount(self.terms, minlength=n_terms)
+        by_df = np.argsort(-df, kind="stable")
+        self.common = np.zeros(n_terms, bool)
+        self.common[by_df[: int(np.searchsorted(np.cumsum(df[by_df]), common * len(self.terms), "right"))]] = True
         # Inverted index: for each term its blocks, and the largest weight in each.
-        block = np.repeat(np.arange(len(order)), np.diff(self.ends)) // BLOCK
-        self.n_blocks = -(-len(order) // BLOCK)
-        key = self.terms * max(1, self.n_blocks) + block
+        row = np.repeat(np.arange(len(order)), np.diff(self.ends))
+        self.part = np.sqrt(np.bincount(row, np.where(self.common[self.terms], self.weights, 0) ** 2, len(order)))
+        self.longest = np.array([self.part[i: i + BLOCK].max() for i in range(0, len(order), BLOCK)])
+        rare = np.flatnonzero(~self.common[self.terms])
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.row, self.row_weight = row[rare].astype(np.int32), self.weights[rare]
+        self.row_ends = np.searchsorted(self.terms[rare], np.arange(n_terms + 1))
+        key = self.terms[rare].astype(np.int64) * max(1, self.n_blocks) + row[rare] // BLOCK
         at = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.diff(key[at], prepend=-1))
-        self.post_block = block[at][first]
-        self.post_max = np.maximum.reduceat(self.weights[at], first) if len(first) else np.zeros(0)
-        self.post_ends = np.searchsorted(self.terms[at][first], np.arange(n_terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1):
-        """(places, cosines) of the k examples of highest cosine above 0, ties by smaller id; ``but``: a place left out."""
-        bound = np.zeros(self.n_blocks)
-        dense = np.zeros(self.n_terms)
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            a, b = self.post_ends[t], self.post_ends[t + 1]
-            bound[self.post_block[a:b]] += w * self.post_max[a:b]
-            dense[t] = w
-        order = np.argsort(-bound, kind="stable")
-        places, found, least, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + 1e-9 >= least:
-            new, scores = [], []
-            for b in order[at: at + 8].tolist():
-                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-                a, z = self.ends[lo], self.ends[hi]
-                scores.append(np.add.reduceat(self.weights[a:z] * dense[self.terms[a:z]], self.ends[lo:hi] - a))
-                new.append(np.arange(lo, hi))
-            at += 8
-            places, found = np.concatenate([places, *new]), np.concatenate([found, *scores])
-            good = (found > 0) & (places != but)
+        self.post_block = (key[at][first] % max(1, self.n_blocks)).astype(np.int32)
+        self.post_max = np.maximum.reduceat(self.weights[rare][at], first) if len(first) else np.zeros(0)
+        self.post_ends = np.searchsorted(key[at][first], np.arange(n_terms + 1) * max(1, self.n_blocks))
+        self.dense = None
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1):
+        """(places, cosines) of the k examples of highest cosine above 0 and from ``least`` on, ties by smaller id; ``but``: a place left out."""
+        if self.dense is None:
+            self.dense = np.zeros(self.n_terms)
+        rare = ~self.common[terms]
+        a = self.post_ends[terms[rare]]
+        size = self.post_ends[terms[rare] + 1] - a
+        at = _spread(a, size)
+        bound = np.bincount(self.post_block[at], np.repeat(weights[rare], size) * self.post_max[at], self.n_blocks)
+        bound = bound + self.longest * np.sqrt((weights[~rare] ** 2).sum())
+        floor = max(self.least - 1e-9, 0.0)
+        live = (bound > 0) & (bound + 1e-9 >= floor)
+        if not live.any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        a = self.row_ends[terms[rare]]
+        size = self.row_ends[terms[rare] + 1] - a
+        at = _spread(a, size)
+        bound = np.bincount(self.row[at], np.repeat(weights[rare], size) * self.row_weight[at], len(self.ids))
+        bound = bound + self.part * np.sqrt((weights[~rare] ** 2).sum())
+        order = np.flatnonzero(np.repeat(live, BLOCK)[: len(bound)] & (bound > 0) & (bound + 1e-9 >= floor))
+        order = order[np.argsort(-bound[order], kind="stable")]
+        self.dense[terms] = weights
+        places, found, at = np.zeros(0, np.int64), np.zeros(0), 0
+        while at < len(order) and bound[order[at]] + 1e-9 >= floor:
+            new = order[at: at + 2 * BLOCK]
+            size = self.ends[new + 1] - self.ends[new]
+            flat = _spread(self.ends[new], size)
+            scores = np.add.reduceat(self.weights[flat] * self.dense[self.terms[flat]], np.cumsum(size) - size)
+            at += 2 * BLOCK
+            places, found = np.concatenate([places, new]), np.concatenate([found, scores])
+            good = (found > 0) & (found >= floor) & (places != but)
             places, found = places[good], found[good]
             best = np.lexsort((self.ids[places], -np.round(found, 12)))[:k]
             places, found = places[best], found[best]
             if len(found) == k:
-                least = found[-1]
-        return places, found
-
-
-class Whole:
-    """Labelled vectors over all words, with the examples of each word; every cosine is worked out."""
-
-    def __init__(self, numbers: dict[str, int], idf: np.ndarray, ids, labels, sizes, terms, counts):
-        self.numbers, self.idf, self.ids, self.labels = numbers, idf, ids, labels
-        row = np.repeat(np.arange(len(ids)), sizes)
-        weights = (1 + np.log(counts)) * idf[terms]
-        weights /= np.sqrt(np.bincount(row, weights ** 2, len(ids)))[row]
-        at = np.argsort(terms, kind="stable")
-        self.post, self.weights = row[at].astype(np.int32), weights[at].astype(np.float32)
-        self.ends = np.searchsorted(terms[at], np.arange(len(idf) + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS):
-        """(places, cosines) of the k examples of highest cosine above 0, ties by smaller id."""
-        found = np.zeros(len(self.ids))
-        for a, b, w in zip(self.ends[terms].tolist(), self.ends[terms + 1].tolist(), weights.tolist()):
-            found[self.post[a:b]] += w * self.weights[a:b]
-        least = np.partition(found, -k)[-k] - 1e-6 if len(found) > k else 0.0
-        places = np.flatnonzero((found > 0) & (found >= least))
-        places = places[np.lexsort((self.ids[places], -np.round(found[places], 6)))[:k]]
-        return places, np.minimum(found[places], 1.0)
+                floor = max(floor, found[-1])
+        self.dense[terms] = 0
+        return places, np.minimum(found, 1.0)
 
 
 class Model:
     """What a fit has learnt: bounded by MAX_TERMS and FIT_ROWS, whatever the input."""
 
-    def __init__(self, numbers, idf, examples: Examples, base: float, empty: float, knots=None, whole: Whole | None = None):
-        self.numbers, self.idf, self.examples, self.base, self.empty, self.knots, self.whole = numbers, idf, examples, base, empty, knots, whole
-
-    def vector(self, counts: dict[int, int]):
-        return unit(counts, self.idf)
+    def __init__(self, numbers, idf, examples: Examples, base: float, empty: float, knots=None, words=None, word_idf=None, whole: Examples | None = None):
+        self.numbers, self.idf, self.examples, self.base, self.empty, self.knots = numbers, idf, examples, base, empty, knots
+        self.words, self.word_idf, self.whole = words or {}, word_idf, whole
 
     def vote(self, terms, weights, k: int = NEIGHBOURS, but: int = -1):
         places, cosines = self.examples.nearest(terms, weights, k, but)
@@ -175,29 +213,31 @@ class Model:
                 blocks[-1] = [x + y for x, y in zip(blocks[-1], last)]
         self.knots = (np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + self.base) / (b[2] + 1) for b in blocks])) if blocks else None
 
-    def score(self, counts: dict[int, int]):
-        """(score, evidence places, their cosines) of a text's term counts."""
-        terms, weights = self.vector(counts)
-        if not len(terms) or not len(self.examples.ids):
-            return self.empty, np.zeros(0, np.int64), np.zeros(0)
-        vote, places, cosines = self.vote(terms, weights)
+    def score(self, terms, times):
+        """(score, evidence places, their cosines) of a text's counts of telling terms."""
+        vote, places, cosines = self.vote(*unit(terms, times, self.idf))
         return float(np.interp(vote, *self.knots)) if self.knots else vote, places, cosines
 
-    def score_whole(self, counts: dict[int, int]):
+    def score_whole(self, terms, times):
         """The same for a text without a telling term, by the counts of all its words; a near copy outweighs all that is merely like it."""
-        terms, weights = unit(counts, self.whole.idf)
-        places, cosines = self.whole.nearest(terms, weights)
+        if not len(terms) or self.whole is None:
+            return self.empty, np.zeros(0, np.int64), np.zeros(0)
+        places, cosines = self.whole.nearest(*unit(terms, times, self.word_idf))
         near = cosines ** 2 / (1.01 - cosines ** 2)
         return float((near @ self.whole.labels[places] + PRIOR_WEIGHT * self.empty) / (near.sum() + PRIOR_WEIGHT)), places, cosines
 
 
-def unit(counts: dict[int, int], idf: np.ndarray):
-    """(term numbers in order, weights) of a TF-IDF vector of length 1."""
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    terms = np.array(sorted(counts), np.int64)
-    weights = (1 + np.log([counts[t] for t in terms.tolist()])) * idf[terms]
-    return terms, weights / np.sqrt(weights @ weights)
+def unit(terms, times, idf: np.ndarray):
+    """(term numbers, weights) of a TF-IDF vector of length 1."""
+    weights = (1 + np.log(times)) * idf[terms]
+    return terms, weights / np.sqrt(weights @ weights) if len(terms) else weights
+
+
+def units(sizes, terms, times, idf: np.ndarray) -> np.ndarray:
+    """Weights of many TF-IDF vectors of length 1, laid one after the other."""
+    weights = (1 + np.log(times)) * idf[terms]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return weights / np.sqrt(np.bincount(row, weights ** 2, len(sizes)))[row]
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
@@ -228,7 +268,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
     whole = counted.where("term is null").agg(F.sum("n1"), F.sum("n0")).first()
     n1, n0 = whole[0] or 0, whole[1] or 0
     if not n1 + n0:
-        return Model({}, np.zeros(0), Examples([], [], [], 0), 0.5, 0.5)
+        return Model({}, np.zeros(0), Examples([], [], [], [], [], 0), 0.5, 0.5)
     base = (n1 + 0.5) / (n1 + n0 + 1)
     # Telling: among its documents the odds of the label are more than double, whatever the base rate.
     # Gain of the labels' likelihood when a term's documents have a rate of their own; it must exceed what the best of so many terms gets by chance.
@@ -240,57 +280,59 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
             .where(F.col("n1") * (1 - base) > 2 * base * F.col("n0")).orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect())
     numbers = {r[0]: i for i, r in enumerate(told)}
     names = np.asarray(counted.where(terms.isNotNull() & ~terms.endswith("*")).select("term").orderBy("term").toArrow()["term"])  # of at most fit_rows texts
-    everything = documents.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names.tolist())})
+    words = {t: i for i, t in enumerate(names.tolist())}
+    everything = documents.sparkSession.sparkContext.broadcast(words)
+    n_told = len(numbers)
 
     def vectors(batches):
-        seen, df, n = Terms(numbers), np.zeros(len(numbers), np.int64), 0
-        every = Terms(everything.value)
-        df_every = np.zeros(len(every.numbers), np.int64)
-        ids, ys, ts, cs = [], [], [], []
+        known = Terms(numbers, everything.value)
+        df, n = np.zeros(n_told + len(known.words), np.int64), 0
         for batch in batches:
             n += batch.num_rows
+            ids, ys, ts, cs, held = [], [], [], [], []
             for i, y, t in zip(batch.column("_id").to_pylist(), batch.column("_y").to_pylist(), text_column(batch, text)):
                 t = t.as_py()
-                counts, words = seen.count(t), every.count(t)
-                df[list(counts)] += 1
-                df_every[list(words)] += 1
-                if y is not None and not counts:
-                    ids.append(i), ys.append(-2 - bool(y)), ts.append(list(words)), cs.append(list(words.values()))
-                if y is not None:
-                    ids.append(i), ys.append(y), ts.append(list(counts)), cs.append(list(counts.values()))
+                if y is None:
+                    held.extend(known.held(t))
+                else:
+                    told, every = known.count(t)
+                    held += [*told[0].tolist(), *(every[0] + n_told).tolist()]
+                    ids.append(i), ys.append(y), ts.append(told[0]), cs.append(told[1])
+                    if not len(told[0]):
+                        ids.append(i), ys.append(-2 - bool(y)), ts.append(every[0]), cs.append(every[1])
+                if len(held) > 1 << 20:
+                    df += np.bincount(held, minlength=len(df))
+                    held = []
+            df += np.bincount(np.array(held, np.int64), minlength=len(df))
+            yield rows_of(ids, ys, ts, cs)
         here = np.flatnonzero(df)
-        ids += [None] * (len(here) + 1)
-        ys += [-1] * (len(here) + 1)
-        ts += [[t] for t in here.tolist()] + [[]]
-        cs += [[c] for c in df[here].tolist()] + [[n]]
-        here = np.flatnonzero(df_every)
-        ids.append(None), ys.append(-4), ts.append(here), cs.append(df_every[here])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(ts, pa.list_(pa.int32())),
-                                          pa.array(cs, pa.list_(pa.int64()))], names=["id", "y", "terms", "counts"])
+        yield rows_of([None, None], [-1, -4], [here, []], [df[here], [n]])
+
+    def rows_of(ids, ys, ts, cs):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([np.asarray(t, np.int32) for t in ts], pa.list_(pa.int32())),
+                                           pa.array([np.asarray(c, np.int64) for c in cs], pa.list_(pa.int64()))], names=["id", "y", "terms", "counts"])
 
     seen = materialize(texts.mapInArrow(vectors, "id long, y int, terms array<int>, counts array<long>"), "vectors")
-    df = np.zeros(len(numbers))
-    n_docs = 0
-    for t, c in seen.where("y = -1").select(F.get("terms", F.lit(0)).alias("t"), F.element_at("counts", -1).alias("c")).groupBy("t").agg(F.sum("c")).collect():
-        if t is None:
-            n_docs = c
-        else:
-            df[t] = c
+    n_docs = seen.where("y = -4").agg(F.sum(F.element_at("counts", 1))).first()[0]
+    pairs = seen.where("y = -1").select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).groupBy("p.terms").agg(F.sum("p.counts").alias("n")).toArrow()
+    df = np.zeros(n_told + len(names))  # a row a term of at most fit_rows texts
+    df[np.asarray(pairs["terms"])] = np.asarray(pairs["n"])
     idf = np.log((n_docs + 1) / (df + 1)) + 1
+
+    def examples(condition: str, idf, **how):
+        rows = seen.where(condition).where("size(terms) > 0").orderBy("id", "y").toArrow().combine_chunks()  # at most fit_rows
+        if not len(rows):
+            return Examples([], [], [], [], [], len(idf), **how)
+        sizes = pc.list_value_length(rows["terms"]).to_numpy()
+        terms, times = (pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "counts"))
+        y = rows["y"].to_numpy()
+        return Examples(rows["id"].to_numpy(), np.where(y < 0, -2 - y, y), sizes, terms, units(sizes, terms, times, idf), len(idf), **how)
+
     empty = seen.where("y >= 0 and size(terms) = 0").agg(F.sum("y"), F.count("*")).first()
-    rows = seen.where("y >= 0 and size(terms) > 0").orderBy("id", "y").collect()  # at most fit_rows
-    examples = Examples([r["id"] for r in rows], [r["y"] for r in rows], [unit(dict(zip(r["terms"], r["counts"])), idf) for r in rows], len(numbers))
     # Of texts without any telling term the base rate is learnt too, with one row's weight of doubt.
-    model = Model(numbers, idf, examples, base, ((empty[0] or 0) + base) / (empty[1] + 1))
+    model = Model(numbers, idf[:n_told], examples("y >= 0", idf[:n_told]), base, ((empty[0] or 0) + base) / (empty[1] + 1), None, words, idf[n_told:],
+                  examples("y in (-2, -3)", idf[n_told:], least=MIN_COSINE, common=COMMON))
     model.calibrate()
-    pairs = seen.where("y = -4").select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).groupBy("p.terms").agg(F.sum("p.counts").alias("n")).toArrow()
-    df = np.zeros(len(names))
-    df[np.asarray(pairs["terms"])] = np.asarray(pairs["n"])
-    plain = seen.where("y in (-2, -3) and size(terms) > 0").orderBy("id", F.desc("y")).toArrow().combine_chunks()  # at most fit_rows
-    if len(plain):
-        lists = [pc.list_flatten(plain[c]).to_numpy() for c in ("terms", "counts")]
-        model.whole = Whole(everything.value, np.log((n_docs + 1) / (df + 1)) + 1, plain["id"].to_numpy(), -2.0 - plain["y"].to_numpy(),
-                            pc.list_value_length(plain["terms"]).to_numpy(), *lists)
     return model
 
 
@@ -299,42 +341,38 @@ def score(documents: DataFrame, model: Model, text: str = "text", threshold: flo
 
     Columns of those names are replaced. Texts without any telling
     term are held against labelled ones of that kind by all their words; null
-    and empty texts, and those without a known word, get the rate of that kind; equal texts get equal
+    and empty texts, and those that no such example is near, get the rate of that kind; equal texts get equal
     scores; an empty table stays empty.
     """
     kept = documents.drop("score", "predicted", "evidence")
     names = kept.columns
     sent = documents.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_ROWS and MAX_TERMS
 
+    def shown(examples, s, places, cosines):
+        return s, [{"id": int(examples.ids[p]), "label": int(examples.labels[p]), "cosine": float(c)} for p, c in zip(places[:3].tolist(), cosines[:3].tolist())]
+
     def run(batches):
         m = sent.value
-        terms, known = Terms(m.numbers), {}
-        every = Terms(m.whole.numbers) if m.whole else None
-
-        def shown(examples, places, cosines):
-            return [{"id": int(examples.ids[p]), "label": int(examples.labels[p]), "cosine": float(c)} for p, c in zip(places[:3].tolist(), cosines[:3].tolist())]
-        for batch in batches:
-            scores, evidence = [], []
-            for t in text_column(batch, text):
-                counts = terms.count(t.as_py())
-                words = every.count(t.as_py()) if every is not None and not counts else None
-                if words:
-                    s, places, cosines = m.score_whole(words)
-                    scores.append(s)
-                    evidence.append(shown(m.whole, places, cosines))
-                    continue
-                key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    s, places, cosines = m.score(counts)
-                    known[key] = s, shown(m.examples, places, cosines)
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
-                 pa.array(evidence, pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])))],
-                names=[*names, "score", "predicted", "evidence"])
+        terms, voted = Terms(m.numbers, m.words), {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch, out = whole.slice(at, 1000), []
+                for t in text_column(batch, text):
+                    told, every = terms.count(t.as_py())
+                    if not len(told[0]):
+                        out.append(shown(m.whole, *m.score_whole(*every)))
+                        continue
+                    key = (told[0].tobytes(), told[1].tobytes())
+                    if key not in voted:
+                        if len(voted) > VOTES:
+                            voted.clear()
+                        voted[key] = shown(m.examples, *m.score(*told))
+                    out.append(voted[key])
+                scores, evidence = [s for s, _ in out], [e for _, e in out]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in names), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
+                     pa.array(evidence, pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())])))],
+                    names=[*names, "score", "predicted", "evidence"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(run, f"{fields}, score double, predicted int, evidence array<struct<id: bigint, label: int, cosine: double>>")

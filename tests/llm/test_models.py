@@ -4,29 +4,34 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from editforge.llm import lm_score, toxicity
 
 SCHEMA = "doc_id long, text string, score int, evidence string"
 
 
-def test_nearest_equals_all_cosines():
+@pytest.mark.parametrize("least,common", [(0.0, 0.0), (0.0, 0.6), (0.5, 0.5), (0.9, 1.0)])
+def test_nearest_equals_all_cosines(least, common):
     rng = np.random.default_rng(0)
     rows = []
     for _ in range(500):
         terms = np.unique(rng.zipf(1.5, rng.integers(1, 12)) % 60)
         w = rng.random(len(terms)) + 0.05
         rows.append((terms.astype(np.int64), w / np.sqrt(w @ w)))
-    e = toxicity.Examples(list(range(500)), rng.integers(0, 2, 500).tolist(), rows, 60)
+    rows[40:60] = rows[:20]  # ties
+    e = toxicity.Examples(list(range(500)), rng.integers(0, 2, 500).tolist(), [len(t) for t, _ in rows], np.concatenate([t for t, _ in rows]),
+                          np.concatenate([w for _, w in rows]), 60, least, common)
     dense = np.zeros((500, 60))
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
     for i in range(0, 500, 7):
         places, cosines = e.nearest(*rows[i], 16)
         cos = dense @ dense[i]
-        want = sorted((-round(c, 12), j) for j, c in enumerate(cos) if c > 0)[:16]
+        want = sorted((-round(min(c, 1.0), 12), j) for j, c in enumerate(cos) if c > 0 and c >= least - 1e-9)[:16]
         assert [-round(c, 12) for c in cosines.tolist()] == [c for c, _ in want]
-        assert {int(e.ids[p]) for p, c in zip(places, cosines) if -round(c, 12) < want[-1][0]} == {j for c, j in want if c < want[-1][0]}
+        if want:
+            assert {int(e.ids[p]) for p, c in zip(places, cosines) if -round(c, 12) < want[-1][0]} == {j for c, j in want if c < want[-1][0]}
 
 
 def labelled(spark, n=900):

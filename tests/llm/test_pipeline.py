@@ -13,29 +13,39 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain_scores(model, texts):
-    """Scores by comparing every text with every example."""
-    e = model.examples
-    dense = np.zeros((len(e.ids), e.n_terms))
-    for i, (a, b) in enumerate(zip(e.ends[:-1], e.ends[1:])):
-        dense[i, e.terms[a:b]] = e.weights[a:b]
+    """Scores by comparing every text with every example: by its telling terms, else by all its words."""
+    def rows(e):
+        out = np.zeros((len(e.ids), e.n_terms))
+        for i, (a, b) in enumerate(zip(e.ends[:-1], e.ends[1:])):
+            out[i, e.terms[a:b]] = e.weights[a:b]
+        return out
+
+    def nearest(e, dense, counts, idf):
+        q = np.zeros(e.n_terms)
+        for t, n in counts.items():
+            q[t] = (1 + np.log(n)) * idf[t]
+        cos = np.minimum(dense @ (q / np.sqrt(q @ q)), 1.0)
+        best = [i for i in np.lexsort((e.ids, -np.round(cos, 12))) if cos[i] > 0 and cos[i] >= e.least - 1e-9][: toxicity.NEIGHBOURS]
+        return cos[best] ** 2, e.labels[best]
+    told, whole = rows(model.examples), rows(model.whole)
     out = []
     for t in texts:
-        counts: dict = {}
+        counts, words = {}, {}
         for token in (t or "").lower().split():
             for s in toxicity.word_terms(token):
                 if s in model.numbers:
                     counts[model.numbers[s]] = counts.get(model.numbers[s], 0) + 1
-        terms, weights = model.vector(counts)
-        if not len(terms) or not len(e.ids):
+                if s in model.words:
+                    words[model.words[s]] = words.get(model.words[s], 0) + 1
+        if counts:
+            near, label = nearest(model.examples, told, counts, model.idf)
+            out.append(float(np.interp((near @ label + toxicity.PRIOR_WEIGHT * model.base) / (near.sum() + toxicity.PRIOR_WEIGHT), *model.knots)))
+        elif words:
+            near, label = nearest(model.whole, whole, words, model.word_idf)
+            near = near / (1.01 - near)
+            out.append(float((near @ label + toxicity.PRIOR_WEIGHT * model.empty) / (near.sum() + toxicity.PRIOR_WEIGHT)))
+        else:
             out.append(model.empty)
-            continue
-        q = np.zeros(e.n_terms)
-        q[terms] = weights
-        cos = dense @ q
-        best = [i for i in np.lexsort((e.ids, -np.round(cos, 12))) if cos[i] > 0][: toxicity.NEIGHBOURS]
-        near = cos[best] ** 2
-        vote = (near @ e.labels[best] + toxicity.PRIOR_WEIGHT * model.base) / (near.sum() + toxicity.PRIOR_WEIGHT)
-        out.append(float(np.interp(vote, *model.knots)))
     return out
 
 
@@ -48,6 +58,8 @@ def test_stages(spark):
     rows = {r["doc_id"]: r for r in docs.collect()}
     model = toxicity.fit(docs, labels)
     scores = dict(zip(rows, plain_scores(model, [r["text"] for r in rows.values()])))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all(abs(got[d] - scores[d]) < 1e-9 for d in rows)
     names, stages = zip(*corpus_pipeline.STAGES)
     assert names == ("toxicity", "line_dedup", "ngram_join", "packing")
 
