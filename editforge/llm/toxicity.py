@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as digest
 
 from editforge.llm.common import text_column
 from editforge.session import materialize
@@ -43,8 +44,10 @@ MIN_COSINE = 0.5
 #: Share of all index entries that belong to common words: a block is bounded by the length of their part of a vector instead of by word.
 COMMON = 0.3
 #: Tokens, and votes on equal counts, that a worker remembers.
-REMEMBERED, VOTES = 200_000, 5_000
+REMEMBERED, VOTES = 100_000, 5_000
 _WORD = re.compile(r"[^\W_]+")
+#: Marks around a word, of which no word is made.
+MARKS = "_.,;:!?()[]\"'"
 
 
 def word_terms(token: str) -> tuple[str, ...]:
@@ -56,42 +59,77 @@ def word_terms(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def word_keys(words) -> np.ndarray:
+    """Sorted 64-bit digests of words; a word's number is its digest's place."""
+    return np.unique(np.fromiter(map(digest, words), np.uint64))
+
+
 class Terms(dict):
-    """Numbers of the terms that a token holds, worked out once a token: telling terms first, then all words of the sample."""
+    """Of a token that is more than one plain word: numbers of its telling terms and digests of its words, worked out once a token.
 
-    def __init__(self, told: dict[str, int], words: dict[str, int]):
+    Words of the sample are a sorted array of digests and not a dictionary, which would take ten times the memory.
+    """
+
+    def __init__(self, told: dict[str, int], keys: np.ndarray):
         super().__init__()
-        self.told, self.words, self.n_told = told, words, len(told)
-        self.heads = {t[: PREFIXES[0]] for t in told if t.endswith("*")}
+        self.told, self.keys, self.n_told = told, keys, len(told)
+        self.heads = {t[: PREFIXES[0]] for t in told}
+        #: Telling beginnings by length.
+        self.stems = [(k, stems) for k in PREFIXES if (stems := {t[:-1]: i for t, i in told.items() if t.endswith("*") and len(t) == k + 1})]
 
     def __missing__(self, token):
         if len(self) > REMEMBERED:
             self.clear()
-        words, told, heads, out = self.words, self.told, self.heads, ()
-        for w in (token,) if token.isalnum() else _WORD.findall(token):
-            if w in words:
-                out += (self.n_told + words[w],)
-                if w in told:  # a telling word is one of the sample
-                    out += (told[w],)
-            if w[: PREFIXES[0]] in heads:
-                out += tuple(told[h] for k in PREFIXES if len(w) > k and (h := w[:k] + "*") in told)
-        self[token] = out
+        bare, told = token.strip(MARKS), ()
+        words = (bare,) if bare.isalnum() else _WORD.findall(token)
+        for w in words:
+            if w[: PREFIXES[0]] in self.heads:
+                if w in self.told:
+                    told += (self.told[w],)
+                told += tuple(stems[w[:k]] for k, stems in self.stems if len(w) > k and w[:k] in stems)
+        out = self[token] = told, tuple(map(digest, words))
         return out
 
-    def held(self, text: str):
-        """Numbers of the terms a text holds, each once."""
-        return set().union(*map(self.__getitem__, set(text.lower().split())))
-
-    def count(self, text: str):
-        """(telling terms, times), (words, times) of a text, in order of number."""
+    def _parted(self, tokens):
+        """(tokens that are one word and no telling term, the others)."""
+        heads, short, plain, mixed = self.heads, PREFIXES[0], [], []
+        for t in tokens:
+            (mixed if t[:short] in heads or not t.isalnum() else plain).append(t)
+        return plain, mixed
+
+    def _numbers(self, digests: list[int]):
+        """(numbers of the words of the sample among digests, which ones they are)."""
+        digests = np.array(digests, np.uint64)
+        at = np.searchsorted(self.keys, digests)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == digests[hit]
+        return at[hit], hit
+
+    def held(self, text: str) -> np.ndarray:
+        """Numbers of the terms a text holds, each once: telling terms, then words."""
+        plain, mixed = self._parted(set(text.lower().split()))
+        entries = [*map(self.__getitem__, mixed)]
+        told = {i for t, _ in entries for i in t}
+        words, _ = self._numbers([*map(digest, plain), *(w for _, ws in entries for w in ws)])
+        return np.concatenate([np.fromiter(told, np.int64, len(told)), np.unique(words) + self.n_told])
+
+    def count(self, text: str, both: bool = False):
+        """(telling terms, times), (words, times) of a text, in order of number; words only of a text without telling terms, or of ``both``."""
         tokens = Counter(text.lower().split())
-        lists = [*map(self.__getitem__, tokens)]
-        terms = np.fromiter(chain.from_iterable(lists), np.int64)
-        times = np.repeat(np.fromiter(tokens.values(), np.int64, len(tokens)), np.fromiter(map(len, lists), np.int64, len(lists)))
-        terms, at = np.unique(terms, return_inverse=True)
-        times = np.bincount(at, times, len(terms))
-        split = int(np.searchsorted(terms, self.n_told))
-        return (terms[:split], times[:split]), (terms[split:] - self.n_told, times[split:])
+        plain, mixed = self._parted(tokens)
+        entries = [*map(self.__getitem__, mixed)]
+        told: dict[int, int] = {}
+        for token, (numbers, _) in zip(mixed, entries):
+            for i in numbers:
+                told[i] = told.get(i, 0) + tokens[token]
+        terms = np.array(sorted(told), np.int64)
+        told = terms, np.array([told[i] for i in terms.tolist()], np.float64)
+        if len(terms) and not both:
+            return told, (terms[:0], terms[:0])
+        words, hit = self._numbers([*map(digest, plain), *(w for _, ws in entries for w in ws)])
+        times = np.array([*map(tokens.__getitem__, plain), *(tokens[t] for t, (_, ws) in zip(mixed, entries) for _ in ws)], np.int64)[hit]
+        words, at = np.unique(words, return_inverse=True)
+        return told, (words, np.bincount(at, times, len(words)))
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -194,7 +232,7 @@ class Model:
 
     def __init__(self, numbers, idf, examples: Examples, base: float, empty: float, knots=None, words=None, word_idf=None, whole: Examples | None = None):
         self.numbers, self.idf, self.examples, self.base, self.empty, self.knots = numbers, idf, examples, base, empty, knots
-        self.words, self.word_idf, self.whole = words or {}, word_idf, whole
+        self.words, self.word_idf, self.whole = np.zeros(0, np.uint64) if words is None else words, word_idf, whole
 
     def vote(self, terms, weights, k: int = NEIGHBOURS, but: int = -1):
         places, cosines = self.examples.nearest(terms, weights, k, but)
@@ -279,31 +317,33 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
     told = (counted.where(terms.isNotNull()).withColumn("gain", gain).where(F.col("gain") >= least)
             .where(F.col("n1") * (1 - base) > 2 * base * F.col("n0")).orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect())
     numbers = {r[0]: i for i, r in enumerate(told)}
-    names = np.asarray(counted.where(terms.isNotNull() & ~terms.endswith("*")).select("term").orderBy("term").toArrow()["term"])  # of at most fit_rows texts
-    words = {t: i for i, t in enumerate(names.tolist())}
-    everything = documents.sparkSession.sparkContext.broadcast(words)
+    names = counted.where(terms.isNotNull() & ~terms.endswith("*")).select("term").toArrow()["term"]  # of at most fit_rows texts
+    words = word_keys(n for part in names.iterchunks() for n in part.to_pylist())
+    del names
+    everything = documents.sparkSession.sparkContext.broadcast(words)  # eight bytes a word of at most fit_rows texts
     n_told = len(numbers)
 
     def vectors(batches):
         known = Terms(numbers, everything.value)
-        df, n = np.zeros(n_told + len(known.words), np.int64), 0
+        df, n = np.zeros(n_told + len(known.keys), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            ids, ys, ts, cs, held = [], [], [], [], []
+            ids, ys, ts, cs, held, size = [], [], [], [], [np.zeros(0, np.int64)], 0
             for i, y, t in zip(batch.column("_id").to_pylist(), batch.column("_y").to_pylist(), text_column(batch, text)):
                 t = t.as_py()
                 if y is None:
-                    held.extend(known.held(t))
+                    held.append(known.held(t))
                 else:
-                    told, every = known.count(t)
-                    held += [*told[0].tolist(), *(every[0] + n_told).tolist()]
+                    told, every = known.count(t, both=True)
+                    held += [told[0], every[0] + n_told]
                     ids.append(i), ys.append(y), ts.append(told[0]), cs.append(told[1])
                     if not len(told[0]):
                         ids.append(i), ys.append(-2 - bool(y)), ts.append(every[0]), cs.append(every[1])
-                if len(held) > 1 << 20:
-                    df += np.bincount(held, minlength=len(df))
-                    held = []
-            df += np.bincount(np.array(held, np.int64), minlength=len(df))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    df += np.bincount(np.concatenate(held), minlength=len(df))
+                    held, size = [np.zeros(0, np.int64)], 0
+            df += np.bincount(np.concatenate(held), minlength=len(df))
             yield rows_of(ids, ys, ts, cs)
         here = np.flatnonzero(df)
         yield rows_of([None, None], [-1, -4], [here, []], [df[here], [n]])
@@ -315,7 +355,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
     seen = materialize(texts.mapInArrow(vectors, "id long, y int, terms array<int>, counts array<long>"), "vectors")
     n_docs = seen.where("y = -4").agg(F.sum(F.element_at("counts", 1))).first()[0]
     pairs = seen.where("y = -1").select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).groupBy("p.terms").agg(F.sum("p.counts").alias("n")).toArrow()
-    df = np.zeros(n_told + len(names))  # a row a term of at most fit_rows texts
+    df = np.zeros(n_told + len(words))  # a row a term of at most fit_rows texts
     df[np.asarray(pairs["terms"])] = np.asarray(pairs["n"])
     idf = np.log((n_docs + 1) / (df + 1)) + 1
 

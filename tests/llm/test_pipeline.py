@@ -28,6 +28,7 @@ def plain_scores(model, texts):
         best = [i for i in np.lexsort((e.ids, -np.round(cos, 12))) if cos[i] > 0 and cos[i] >= e.least - 1e-9][: toxicity.NEIGHBOURS]
         return cos[best] ** 2, e.labels[best]
     told, whole = rows(model.examples), rows(model.whole)
+    number = {k: i for i, k in enumerate(model.words.tolist())}
     out = []
     for t in texts:
         counts, words = {}, {}
@@ -35,8 +36,8 @@ def plain_scores(model, texts):
             for s in toxicity.word_terms(token):
                 if s in model.numbers:
                     counts[model.numbers[s]] = counts.get(model.numbers[s], 0) + 1
-                if s in model.words:
-                    words[model.words[s]] = words.get(model.words[s], 0) + 1
+                if not s.endswith("*") and (w := number.get(toxicity.digest(s))) is not None:
+                    words[w] = words.get(w, 0) + 1
         if counts:
             near, label = nearest(model.examples, told, counts, model.idf)
             out.append(float(np.interp((near @ label + toxicity.PRIOR_WEIGHT * model.base) / (near.sum() + toxicity.PRIOR_WEIGHT), *model.knots)))
