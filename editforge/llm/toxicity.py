@@ -23,9 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest as digest
 
-from editforge.llm.common import text_column
+from editforge.llm.common import chunks, mix64, places, text_column
 from editforge.session import materialize
 
 #: Largest number of labelled rows that terms and examples are taken from (least hash of the id first).
@@ -43,11 +42,9 @@ PRIOR_WEIGHT = 0.25
 MIN_COSINE = 0.5
 #: Share of all index entries that belong to common words: a block is bounded by the length of their part of a vector instead of by word.
 COMMON = 0.3
-#: Tokens, and votes on equal counts, that a worker remembers.
-REMEMBERED, VOTES = 100_000, 5_000
+#: Votes on equal counts that a worker remembers.
+VOTES = 5_000
 _WORD = re.compile(r"[^\W_]+")
-#: Marks around a word, of which no word is made.
-MARKS = "_.,;:!?()[]\"'"
 
 
 def word_terms(token: str) -> tuple[str, ...]:
@@ -59,77 +56,159 @@ def word_terms(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def word_keys(words) -> np.ndarray:
-    """Sorted 64-bit digests of words; a word's number is its digest's place."""
-    return np.unique(np.fromiter(map(digest, words), np.uint64))
-
-
-class Terms(dict):
-    """Of a token that is more than one plain word: numbers of its telling terms and digests of its words, worked out once a token.
-
-    Words of the sample are a sorted array of digests and not a dictionary, which would take ten times the memory.
-    """
+#: Characters whose words are looked up at once; longer texts are cut between words.
+PIECE = 1 << 19
+_GAP = re.compile(r"[\W_]")
+_LETTERS: list = []
+
+
+def letters() -> np.ndarray:
+    """Of every code point, whether it is part of a word; made once a worker."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000))
+    return _LETTERS[0]
+
+
+class Found:
+    """Words (runs of letters and digits) of lowered texts, as 64-bit hashes of them and of their beginnings."""
+
+    def __init__(self, texts: list[str]):
+        points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        solid = letters()[points]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]])))
+        start, self.size = edge[::2], edge[1::2] - edge[::2]
+        #: Number of each word's text.
+        self.text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+        self.first = np.cumsum(self.size) - self.size
+        points = points[solid]
+        place = np.arange(len(points)) - np.repeat(self.first, self.size)
+        value = mix64(points + np.uint64(1 << 42)) * places(int(self.size.max(initial=0)))[place]
+        self.total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(value, out=self.total[1:])
+
+    def _hash(self, words, size, salt: int):
+        first = self.first[words]
+        return mix64(self.total[first + size] - self.total[first] + (np.atleast_1d(size).astype(np.uint64) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93))
+
+    def whole(self, words=slice(None)) -> np.ndarray:
+        return self._hash(words, self.size[words], 0)
+
+    def heads(self, k: int, words=slice(None)) -> np.ndarray:
+        """Hashes of the first k characters of words that have as many."""
+        return self._hash(words, k, 1 << 32)
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    """Sorted hashes of words; a word's number is its hash's place."""
+    return np.unique(np.concatenate([Found(w).whole() for _, w in _pieces(words)] or [np.zeros(0, np.uint64)]))
+
+
+def _pieces(texts):
+    """(their numbers, lowered texts) of about PIECE characters together; longer texts come in several pieces."""
+    numbers, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        t, at = t.lower(), 0
+        while at < len(t):
+            gap = _GAP.search(t, at + PIECE) if len(t) - at > PIECE else None
+            end = gap.start() if gap else len(t)
+            numbers.append(i), held.append(t[at:end])
+            size += end - at
+            at = end
+            if size >= PIECE:
+                yield np.array(numbers), held
+                numbers, held, size = [], [], 0
+    if held:
+        yield np.array(numbers), held
+
+
+class Keys:
+    """Numbers of hashes, by binary search in a sorted array."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray | None = None):
+        order = np.argsort(keys)
+        self.keys, self.numbers = (keys, None) if numbers is None else (keys[order], numbers[order])
+
+    def find(self, hashes: np.ndarray):
+        """(which of the hashes are keys, their numbers)."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        hit = np.flatnonzero(self.keys[at] == hashes)
+        return hit, at[hit] if self.numbers is None else self.numbers[at[hit]]
+
+
+class Counts:
+    """Terms of several texts: ``sizes`` of each text, then numbers and times of all, in order."""
+
+    def __init__(self, pairs: list, n_texts: int, n_terms: int):
+        """``pairs``: (text, number) of occurrences, piece by piece, already counted."""
+        n_terms = max(1, n_terms)
+        keys, times = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64)), *pairs))
+        keys, at = np.unique(keys, return_inverse=True)
+        self.times = np.bincount(at, times, len(keys)).astype(np.int64)
+        self.numbers = keys % n_terms
+        self.ends = np.searchsorted(keys, np.arange(n_texts + 1) * n_terms)
+
+    def of(self, i: int):
+        here = slice(self.ends[i], self.ends[i + 1])
+        return self.numbers[here], self.times[here]
+
+
+class Terms:
+    """Counts the telling terms and the words of texts, all words of a piece at once."""
 
     def __init__(self, told: dict[str, int], keys: np.ndarray):
-        super().__init__()
-        self.told, self.keys, self.n_told = told, keys, len(told)
-        self.heads = {t[: PREFIXES[0]] for t in told}
-        #: Telling beginnings by length.
-        self.stems = [(k, stems) for k in PREFIXES if (stems := {t[:-1]: i for t, i in told.items() if t.endswith("*") and len(t) == k + 1})]
-
-    def __missing__(self, token):
-        if len(self) > REMEMBERED:
-            self.clear()
-        bare, told = token.strip(MARKS), ()
-        words = (bare,) if bare.isalnum() else _WORD.findall(token)
-        for w in words:
-            if w[: PREFIXES[0]] in self.heads:
-                if w in self.told:
-                    told += (self.told[w],)
-                told += tuple(stems[w[:k]] for k, stems in self.stems if len(w) > k and w[:k] in stems)
-        out = self[token] = told, tuple(map(digest, words))
-        return out
-
-    def _parted(self, tokens):
-        """(tokens that are one word and no telling term, the others)."""
-        heads, short, plain, mixed = self.heads, PREFIXES[0], [], []
-        for t in tokens:
-            (mixed if t[:short] in heads or not t.isalnum() else plain).append(t)
-        return plain, mixed
-
-    def _numbers(self, digests: list[int]):
-        """(numbers of the words of the sample among digests, which ones they are)."""
-        digests = np.array(digests, np.uint64)
-        at = np.searchsorted(self.keys, digests)
-        hit = at < len(self.keys)
-        hit[hit] = self.keys[at[hit]] == digests[hit]
-        return at[hit], hit
-
-    def held(self, text: str) -> np.ndarray:
-        """Numbers of the terms a text holds, each once: telling terms, then words."""
-        plain, mixed = self._parted(set(text.lower().split()))
-        entries = [*map(self.__getitem__, mixed)]
-        told = {i for t, _ in entries for i in t}
-        words, _ = self._numbers([*map(digest, plain), *(w for _, ws in entries for w in ws)])
-        return np.concatenate([np.fromiter(told, np.int64, len(told)), np.unique(words) + self.n_told])
-
-    def count(self, text: str, both: bool = False):
-        """(telling terms, times), (words, times) of a text, in order of number; words only of a text without telling terms, or of ``both``."""
-        tokens = Counter(text.lower().split())
-        plain, mixed = self._parted(tokens)
-        entries = [*map(self.__getitem__, mixed)]
-        told: dict[int, int] = {}
-        for token, (numbers, _) in zip(mixed, entries):
-            for i in numbers:
-                told[i] = told.get(i, 0) + tokens[token]
-        terms = np.array(sorted(told), np.int64)
-        told = terms, np.array([told[i] for i in terms.tolist()], np.float64)
-        if len(terms) and not both:
-            return told, (terms[:0], terms[:0])
-        words, hit = self._numbers([*map(digest, plain), *(w for _, ws in entries for w in ws)])
-        times = np.array([*map(tokens.__getitem__, plain), *(tokens[t] for t, (_, ws) in zip(mixed, entries) for _ in ws)], np.int64)[hit]
-        words, at = np.unique(words, return_inverse=True)
-        return told, (words, np.bincount(at, times, len(words)))
+        self.n_told, self.words = len(told), Keys(keys)
+        self.told = self._told([(t, i) for t, i in told.items() if not t.endswith("*")], None)
+        self.heads = {k: self._told([(t[:-1], i) for t, i in told.items() if t.endswith("*") and len(t) == k + 1], k) for k in PREFIXES}
+        # Of every telling term the first characters, which most words do not have.
+        short = {t[: PREFIXES[0]] for t in told if len(t) >= PREFIXES[0]}
+        self.likely = self._told([(t, 0) for t in sorted(short)], PREFIXES[0])
+
+    @staticmethod
+    def _told(terms, k):
+        found = Found([t for t, _ in terms])
+        return Keys(found.whole() if k is None else found.heads(k), np.array([i for _, i in terms], np.int64))
+
+    def _of_piece(self, found: Found):
+        """(places of words, numbers of telling terms)."""
+        short = np.flatnonzero(found.size < PREFIXES[0])
+        long = np.flatnonzero(found.size >= PREFIXES[0])
+        likely = np.concatenate([short, long[self.likely.find(found.heads(PREFIXES[0], long))[0]]])
+        hit, number = self.told.find(found.whole(likely))
+        out = [(likely[hit], number)]
+        for k, keys in self.heads.items():
+            longer = likely[found.size[likely] > k]
+            hit, number = keys.find(found.heads(k, longer))
+            out.append((longer[hit], number))
+        return (np.concatenate(x) for x in zip(*out))
+
+    def count(self, texts: list[str], every: bool = False) -> tuple[Counts, Counts]:
+        """Counts of telling terms, and of words; the latter only of texts without telling terms, or of ``every`` text."""
+        n, told, words = len(texts), [], []
+        n_told, n_words = max(1, self.n_told), max(1, len(self.words.keys))
+        wanted, pieces = np.ones(n, bool), list(_pieces(texts))
+
+        def add_words():
+            at = np.flatnonzero(wanted[numbers[found.text]])
+            hit, number = self.words.find(found.whole(at))
+            words.append(np.unique(numbers[found.text[at[hit]]] * n_words + number, return_counts=True))
+
+        for numbers, piece in pieces:
+            found = Found(piece)
+            at, number = self._of_piece(found)
+            told.append(np.unique(numbers[found.text[at]] * n_told + number, return_counts=True))
+            if every:
+                add_words()
+        told = Counts(told, n, n_told)
+        if not every:
+            wanted = np.diff(told.ends) == 0
+            for numbers, piece in pieces:
+                if wanted[numbers].any():
+                    found = found if len(pieces) == 1 else Found(piece)
+                    add_words()
+        return told, Counts(words, n, n_words)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -318,33 +397,31 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
             .where(F.col("n1") * (1 - base) > 2 * base * F.col("n0")).orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect())
     numbers = {r[0]: i for i, r in enumerate(told)}
     names = counted.where(terms.isNotNull() & ~terms.endswith("*")).select("term").toArrow()["term"]  # of at most fit_rows texts
-    words = word_keys(n for part in names.iterchunks() for n in part.to_pylist())
+    words = word_keys(names.to_pylist())
     del names
     everything = documents.sparkSession.sparkContext.broadcast(words)  # eight bytes a word of at most fit_rows texts
     n_told = len(numbers)
 
     def vectors(batches):
         known = Terms(numbers, everything.value)
-        df, n = np.zeros(n_told + len(known.keys), np.int64), 0
+        df, n = np.zeros(n_told + len(known.words.keys), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            ids, ys, ts, cs, held, size = [], [], [], [], [np.zeros(0, np.int64)], 0
-            for i, y, t in zip(batch.column("_id").to_pylist(), batch.column("_y").to_pylist(), text_column(batch, text)):
-                t = t.as_py()
-                if y is None:
-                    held.append(known.held(t))
-                else:
-                    told, every = known.count(t, both=True)
-                    held += [told[0], every[0] + n_told]
-                    ids.append(i), ys.append(y), ts.append(told[0]), cs.append(told[1])
-                    if not len(told[0]):
-                        ids.append(i), ys.append(-2 - bool(y)), ts.append(every[0]), cs.append(every[1])
-                size += len(held[-1])
-                if size > 1 << 20:
-                    df += np.bincount(np.concatenate(held), minlength=len(df))
-                    held, size = [np.zeros(0, np.int64)], 0
-            df += np.bincount(np.concatenate(held), minlength=len(df))
-            yield rows_of(ids, ys, ts, cs)
+            for row, rows, _, _ in chunks(text_column(batch, text), PIECE):
+                part = batch.slice(row, rows)
+                told, every = known.count(text_column(part, text).to_pylist(), every=True)
+                df[:n_told] += np.bincount(told.numbers, minlength=n_told)[:n_told]
+                df[n_told:] += np.bincount(every.numbers, minlength=len(df) - n_told)[: len(df) - n_told]
+                ids, ys, ts, cs = [], [], [], []
+                for j, (i, y) in enumerate(zip(part.column("_id").to_pylist(), part.column("_y").to_pylist())):
+                    if y is None:
+                        continue
+                    t, c = told.of(j)
+                    ids.append(i), ys.append(y), ts.append(t), cs.append(c)
+                    if not len(t):
+                        t, c = every.of(j)
+                        ids.append(i), ys.append(-2 - bool(y)), ts.append(t), cs.append(c)
+                yield rows_of(ids, ys, ts, cs)
         here = np.flatnonzero(df)
         yield rows_of([None, None], [-1, -4], [here, []], [df[here], [n]])
 
@@ -395,12 +472,13 @@ def score(documents: DataFrame, model: Model, text: str = "text", threshold: flo
         m = sent.value
         terms, voted = Terms(m.numbers, m.words), {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch, out = whole.slice(at, 1000), []
-                for t in text_column(batch, text):
-                    told, every = terms.count(t.as_py())
+            for row, rows, _, _ in chunks(text_column(whole, text), PIECE):
+                batch, out = whole.slice(row, rows), []
+                telling, every = terms.count(text_column(batch, text).to_pylist())
+                for i in range(batch.num_rows):
+                    told = telling.of(i)
                     if not len(told[0]):
-                        out.append(shown(m.whole, *m.score_whole(*every)))
+                        out.append(shown(m.whole, *m.score_whole(*every.of(i))))
                         continue
                     key = (told[0].tobytes(), told[1].tobytes())
                     if key not in voted:

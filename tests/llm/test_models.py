@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,3 +148,26 @@ def test_probabilities_sum_to_one_and_gradient_is_right():
     for _ in range(20):
         t.step(ids)
     assert lm_score.log_probabilities(t.p, ids).sum() > before
+
+
+def test_terms_of_pieces(monkeypatch):
+    """Counts of whole pieces equal those word by word, whatever the piece."""
+    rnd = random.Random(3)
+    some = ["toxic", "tox", "abc", "straße", "字字", "istanbul", "a1b2c3d4e5", "longerword"]
+    texts = [" ".join(rnd.choice(some) + rnd.choice(["", ".", "_x", "字。字", "\u00a0"]) for _ in range(rnd.randint(0, 60))) for _ in range(80)]
+    texts += ["", "İSTANBUL ΟΔΟΣ a_b__c 12ab１２ \u3000x", "x" * 5000 + " " + "y" * 9, "toxic " * 500]
+    split = [[s for token in t.lower().split() for s in toxicity.word_terms(token)] for t in texts]
+    vocabulary = sorted({s for ss in split for s in ss})
+    told = {t: i for i, t in enumerate(rnd.sample(vocabulary, len(vocabulary) // 3))}
+    plain = [s for s in vocabulary if not s.endswith("*")][::2]
+    keys = toxicity.word_keys(plain)
+    number = {w: int(np.searchsorted(keys, toxicity.Found([w]).whole()[0])) for w in plain}
+    assert len(keys) == len(plain)
+    for piece in (1 << 19, 50):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        for every in (True, False):
+            telling, words = toxicity.Terms(told, keys).count(texts, every)
+            for i, ss in enumerate(split):
+                want = Counter(told[s] for s in ss if s in told)
+                assert dict(zip(*(x.tolist() for x in telling.of(i)))) == want
+                assert dict(zip(*(x.tolist() for x in words.of(i)))) == (Counter(number[s] for s in ss if s in number) if every or not want else {})

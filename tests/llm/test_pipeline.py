@@ -1,5 +1,7 @@
 """The pipeline's stages, each against brute force on what the stage before kept."""
 
+import functools
+
 import numpy as np
 from test_line_dedup import brute_force as repeats
 from test_ngram_join import brute_force as groups
@@ -29,6 +31,7 @@ def plain_scores(model, texts):
         return cos[best] ** 2, e.labels[best]
     told, whole = rows(model.examples), rows(model.whole)
     number = {k: i for i, k in enumerate(model.words.tolist())}
+    key = functools.cache(lambda word: int(toxicity.Found([word]).whole()[0]))
     out = []
     for t in texts:
         counts, words = {}, {}
@@ -36,7 +39,7 @@ def plain_scores(model, texts):
             for s in toxicity.word_terms(token):
                 if s in model.numbers:
                     counts[model.numbers[s]] = counts.get(model.numbers[s], 0) + 1
-                if not s.endswith("*") and (w := number.get(toxicity.digest(s))) is not None:
+                if not s.endswith("*") and (w := number.get(key(s))) is not None:
                     words[w] = words.get(w, 0) + 1
         if counts:
             near, label = nearest(model.examples, told, counts, model.idf)
