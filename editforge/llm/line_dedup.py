@@ -24,6 +24,8 @@ from editforge.session import materialize
 
 LINE_WORDS = 32
 MIN_WORDS = 50
+#: Rows whose texts are rewritten at once.
+ROWS = 1000
 #: Hashes of runs are polynomials modulo this prime; modulo a power of two some long runs would meet whatever the base.
 PRIME = np.uint64((1 << 61) - 1)
 _BASE = 0x1342543DE82EF95
@@ -290,7 +292,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     joined = known.join(whole, F.col(key) == F.col(at_doc), "left").drop(at_doc)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts, counts, spans = [], [], []
             size, found = _lists(batch.column(at_runs))
             ends = np.concatenate([[0], np.cumsum(size)])
