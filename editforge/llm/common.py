@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +49,17 @@ def places(n: int) -> np.ndarray:
     return _PLACES[0]
 
 
+def tidy(run):
+    """``run``; what its tasks freed goes back to the system then, because Python workers live on through later stages."""
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return wrapped
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A column as 64-bit-offset strings; null becomes empty."""
     return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
@@ -94,12 +107,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     after[-1] = False
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    begin = np.zeros(n, np.int64)
-    begin[starts] = starts
-    place = np.arange(n) - np.maximum.accumulate(begin)
+    place = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
+    place[starts] = starts
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(n, dtype=place.dtype), place, out=place)
     longest = int((ends - starts).max()) if len(starts) else 0
     value = _BYTES[LOWER[data] if lower else data]
-    value *= places(longest)[np.minimum(place, max(longest - 1, 0))]
+    value *= places(longest)[np.minimum(place, max(longest - 1, 0), out=place)]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=total[1:])
     h = total[ends] - total[starts]

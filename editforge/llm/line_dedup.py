@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editforge.llm.common import chunks, fresh, mix64, text_column, words
+from editforge.llm.common import chunks, fresh, mix64, text_column, tidy, words
 from editforge.session import materialize
 
 LINE_WORDS = 32
@@ -238,7 +238,7 @@ def _settle(min_words: int):
 def _repeats(places: DataFrame, n: int, min_words: int) -> DataFrame:
     """The tasks' places meet by their mark; those done already go by their document."""
     return (places.repartition(n, F.when(F.col("done"), F.xxhash64("doc")).otherwise(F.col("mark")))
-            .sortWithinPartitions("done", "mark", "run", "doc", "start").mapInArrow(_settle(min_words), PLACE))
+            .sortWithinPartitions("done", "mark", "run", "doc", "start").mapInArrow(tidy(_settle(min_words)), PLACE))
 
 
 def delete(text: str, starts: np.ndarray, stops: np.ndarray, runs: np.ndarray):
@@ -282,11 +282,11 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     at_doc, at_runs, at_asked = fresh(documents, "_doc"), fresh(documents, "_runs"), fresh(documents, "_asked")
     known = documents.where(F.col(key).isNotNull())
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stretches = known.select(F.col(key).cast("long").alias(key), text).mapInArrow(_stretches(key, text, min_words), PLACE)
+    stretches = known.select(F.col(key).cast("long").alias(key), text).mapInArrow(tidy(_stretches(key, text, min_words)), PLACE)
     found = materialize(_repeats(stretches, n, min_words).drop("mark"), "runs")
     asked = (found.where("not done").groupBy(F.col("doc").alias(at_doc)).agg(F.collect_list(F.struct("start", "stop")).alias(at_asked)))
     windows = (known.join(asked, F.col(key) == F.col(at_doc)).select(F.col(key).cast("long").alias(key), text, at_asked)
-               .mapInArrow(_windows(key, text, at_asked, min_words), PLACE))
+               .mapInArrow(tidy(_windows(key, text, at_asked, min_words)), PLACE))
     whole = (found.where("done").union(_repeats(windows, n, min_words).drop("mark"))
              .groupBy(F.col("doc").alias(at_doc)).agg(F.collect_list(F.struct("start", "stop", "run")).alias(at_runs)))
     joined = known.join(whole, F.col(key) == F.col(at_doc), "left").drop(at_doc)
@@ -308,7 +308,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
                                              names=[*columns, "n_words", "removed"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", n_words long, removed array<struct<start: int, stop: int>>"
-    done = joined.mapInArrow(run, fields)
+    done = joined.mapInArrow(tidy(run), fields)
     loose = documents.where(F.col(key).isNull()).withColumn(at_runs, F.lit(None).cast(SPAN))
     return done.union(loose.mapInArrow(run, fields))
 

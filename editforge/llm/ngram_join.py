@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editforge.llm.common import chunks, components, mix64, shingles, text_column, words
+from editforge.llm.common import chunks, components, mix64, shingles, text_column, tidy, words
 from editforge.session import materialize
 
 #: Defaults for near-duplicates: five words, similarity 0.8.
@@ -76,15 +76,9 @@ def _histogram(s: np.ndarray, bins: int) -> bytes:
 def _frequent(text: str, n: int):
     """Cells of shingles that a task meets far more often than cells are met on average, with their counts."""
     def run(batches):
-        total, held, size = np.zeros(CELLS, np.int32), [], 0
+        total = np.zeros(CELLS, np.int32)
         for _, _, s in _sets(batches, text, n):
-            held.append(_cell(s))
-            size += len(s)
-            if size > 1 << 21:
-                total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
-                held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.int32)
+            np.add.at(total, _cell(s), np.int32(1))
         mean = total.mean()
         cell = np.flatnonzero(total > mean + 4 * mean ** 0.5 + 3)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell], pa.int64())], names=["cell", "count"])
@@ -313,12 +307,12 @@ def similar_documents(documents: DataFrame, n_words: int = N_WORDS, num: int = N
     spark = documents.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    cells = (rows.select("text").mapInArrow(_frequent("text", n_words), "cell int, count long").groupBy("cell").agg(F.sum("count").alias("count"))
+    cells = (rows.select("text").mapInArrow(tidy(_frequent("text", n_words)), "cell int, count long").groupBy("cell").agg(F.sum("count").alias("count"))
              .select("cell", F.ceil(F.log2(F.col("count") + 1)).cast("tinyint").alias("level")).toArrow())  # CELLS rows at most
     level = np.zeros(CELLS, np.uint8)
     level[np.asarray(cells["cell"])] = np.asarray(cells["level"])
     sent = spark.sparkContext.broadcast(level)
-    meta = materialize(rows.mapInArrow(_describe("id", "text", n_words, num, den, sent),
+    meta = materialize(rows.mapInArrow(tidy(_describe("id", "text", n_words, num, den, sent)),
                                        "id long, n long, sig1 long, sig2 long, bins binary, fine binary, marks array<long>, parts array<int>"), "sets")
     same = ["n", "sig1", "sig2"]
     live = meta.where("n > 0 and id is not null")

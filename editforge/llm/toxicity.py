@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editforge.llm.common import chunks, mix64, places, text_column
+from editforge.llm.common import chunks, mix64, places, text_column, tidy
 from editforge.session import materialize
 
 #: Largest number of labelled rows that terms and examples are taken from (least hash of the id first).
@@ -380,7 +380,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
         yield pa.RecordBatch.from_pydict({"term": pa.array([*names, None], pa.string()), "n1": pa.array([*(toxic[n] for n in names), rows[1]], pa.int64()),
                                           "n0": pa.array([*(clean[n] for n in names), rows[0]], pa.int64())})
 
-    counted = materialize(texts.where("_y is not null").mapInArrow(count_terms, "term string, n1 long, n0 long")
+    counted = materialize(texts.where("_y is not null").mapInArrow(tidy(count_terms), "term string, n1 long, n0 long")
                           .groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "terms")
     whole = counted.where("term is null").agg(F.sum("n1"), F.sum("n0")).first()
     n1, n0 = whole[0] or 0, whole[1] or 0
@@ -429,7 +429,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", key: str
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([np.asarray(t, np.int32) for t in ts], pa.list_(pa.int32())),
                                            pa.array([np.asarray(c, np.int64) for c in cs], pa.list_(pa.int64()))], names=["id", "y", "terms", "counts"])
 
-    seen = materialize(texts.mapInArrow(vectors, "id long, y int, terms array<int>, counts array<long>"), "vectors")
+    seen = materialize(texts.mapInArrow(tidy(vectors), "id long, y int, terms array<int>, counts array<long>"), "vectors")
     n_docs = seen.where("y = -4").agg(F.sum(F.element_at("counts", 1))).first()[0]
     pairs = seen.where("y = -1").select(F.explode(F.arrays_zip("terms", "counts")).alias("p")).groupBy("p.terms").agg(F.sum("p.counts").alias("n")).toArrow()
     df = np.zeros(n_told + len(words))  # a row a term of at most fit_rows texts
@@ -493,7 +493,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", threshold: flo
                     names=[*names, "score", "predicted", "evidence"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, score double, predicted int, evidence array<struct<id: bigint, label: int, cosine: double>>")
+    return kept.mapInArrow(tidy(run), f"{fields}, score double, predicted int, evidence array<struct<id: bigint, label: int, cosine: double>>")
 
 
 def op5_toxicity(spark, sf_dir):
