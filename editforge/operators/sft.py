@@ -126,44 +126,18 @@ def first_n_valid(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-TOP_K_MAX = 100_000   # above this, the cut-off is found by range partitions instead of a top-k
-
-
-def _kth_smallest(keys: DataFrame, col: str, k: int):
-    """The k-th smallest (1-based) value of a unique column, without a single-partition sort.
-
-    Range-partition the values, count each partition (one row per partition
-    to the driver), then rank inside the one partition that holds rank k.
-    """
-    parts = max(2, keys.sparkSession.sparkContext.defaultParallelism * 4)
-    r = keys.repartitionByRange(parts, col).withColumn("_pid", F.spark_partition_id())
-    counts = sorted((row["_pid"], row["n"]) for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    before = 0
-    for pid, n in counts:
-        if before + n >= k:
-            w = Window.partitionBy("_pid").orderBy(col)
-            hit = r.where(F.col("_pid") == pid).withColumn("_rk", F.row_number().over(w))
-            return hit.where(F.col("_rk") == k - before).first()[col]
-        before += n
-    return None
-
-
 def first_n_contracts(df: DataFrame, n: int, order: list[str], contract: str = "original_line_no") -> DataFrame:
     """M3: rows before the first row of the (n+1)-th distinct contract, in ``order``.
 
     Later rows of already seen contracts are dropped too (the reference stops
-    reading there). Only the cut-off position (one value) reaches the driver:
-    no cut when there are at most ``n`` contracts, a bounded top-k for moderate
-    ``n``, range-partition selection beyond that.
+    reading there). Spark's top-n finds the cut-off position, the one value
+    that reaches the driver; with at most ``n`` contracts there is no cut.
     """
     first = df.groupBy(contract).agg(F.min(F.struct(*order)).alias("p"))
-    if first.count() <= n:
+    found = first.orderBy("p").limit(n + 1).agg(F.count("*").alias("n"), F.max("p").alias("cut")).first()
+    if found["n"] <= n:
         return df
-    if n + 1 <= TOP_K_MAX:
-        cut = first.orderBy("p").limit(n + 1).agg(F.max("p").alias("cut")).first()["cut"]
-    else:
-        cut = _kth_smallest(first.select("p"), "p", n + 1)
-    lit = F.struct(*[F.lit(cut[i]).cast(df.schema[c].dataType).alias(c) for i, c in enumerate(order)])
+    lit = F.struct(*[F.lit(found["cut"][i]).cast(df.schema[c].dataType).alias(c) for i, c in enumerate(order)])
     return df.where(F.struct(*order) < lit)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import deps as D
 from ..operators import diff as E
+from ..operators import errors as X
 from ..operators import paths as P
 from ..operators import repair as R
 from ..session import checkpoint_dir, materialize
@@ -66,16 +67,23 @@ def edit_records(pb: PathBuild, sep: str = E.JOIN_SEPARATOR, compat: bool = Fals
     return E.edit_records(seqs, summary, pb.key)
 
 
-def status_route(all_docs: DataFrame, pb: PathBuild, key: str = "ok") -> DataFrame:
-    """one status per input document, precedence empty -> short -> failed -> success.
+def status_route(all_docs: DataFrame, pb: PathBuild | None = None, key: str = "ok", n_paths: int = P.PATHS_PER_DOC) -> DataFrame:
+    """one status per input document, precedence error -> empty -> short -> failed -> success.
 
-    ``all_docs`` is (key, code). ``n_paths`` counts the paths produced.
+    ``all_docs`` is (key, code) and, from the error channel, ``error``. ``n_paths`` counts the
+    paths that ``pb`` holds; a document with some of its paths only is an error as well. Without ``pb`` every
+    eligible document counts as having all its paths, as the default build makes them: no shuffle then.
     """
+    docs = all_docs if "error" in all_docs.columns else all_docs.withColumn("error", F.lit(None).cast("string"))
     n_lines = T.line_count(F.col("code"))
-    produced = pb.steps.select(key, "path_id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_paths"))
-    d = all_docs.join(produced, key, "left")
-    status = (F.when(F.col("code") == "", F.lit("empty_code"))
+    if pb is None:
+        whole = F.col("error").isNull() & (F.col("code") != "") & (n_lines >= P.MIN_LINES)
+        d = docs.withColumn("n_paths", F.when(whole, F.lit(n_paths)).otherwise(F.lit(0)).cast("bigint"))
+    else:
+        d = X.missing_paths(docs, pb.steps, F.lit(n_paths), key)
+    status = (F.when(F.col("error").isNotNull(), F.lit("error"))
+              .when(F.col("code") == "", F.lit("empty_code"))
               .when(n_lines < P.MIN_LINES, F.lit("skipped_too_short"))
-              .when(F.col("n_paths").isNull(), F.lit("failed_logic"))
+              .when(F.col("n_paths") == 0, F.lit("failed_logic"))
               .otherwise(F.lit("success")))
-    return d.select(key, status.alias("status"), F.coalesce("n_paths", F.lit(0)).cast("bigint").alias("n_paths"))
+    return d.select(key, status.alias("status"), "n_paths")

@@ -410,11 +410,12 @@ def _states(cap):
 
 
 _STATUS = f"""
-  SELECT d.ok, CASE WHEN d.code = '' THEN 'empty_code'
+  SELECT d.ok, CASE WHEN d.error IS NOT NULL THEN 'error' WHEN d.code = '' THEN 'empty_code'
                     WHEN len({splitlines('d.code')}) < 6 THEN 'skipped_too_short'
                     WHEN p.n IS NULL THEN 'failed_logic' ELSE 'success' END AS status,
-         coalesce(p.n, 0) AS n_paths
-  FROM clean_docs d LEFT JOIN (SELECT ok, count(DISTINCT path_id) AS n FROM steps GROUP BY ok) p ON p.ok = d.ok"""
+         CASE WHEN d.error IS NULL AND d.code <> '' THEN coalesce(p.n, 0) ELSE 0 END AS n_paths
+  FROM status_parsed d LEFT JOIN (SELECT ok, count(DISTINCT path_id) AS n FROM steps GROUP BY ok) p ON p.ok = d.ok"""
+_SOUND = "(SELECT ok FROM status_parsed WHERE error IS NULL AND code <> '')"
 _CLOSE = "CASE WHEN coalesce({0}, '') = '' THEN '' ELSE {0} || chr(10) END"
 
 _Z2 = {
@@ -559,16 +560,18 @@ ORACLE.update({
     "changed_only": _q(["steps", "lines_ok"], f"""
   SELECT q.ok, q.path_id, q.steps_count FROM ({_seqs(CAP)}) q JOIN ({_summary(CAP)}) m
     ON m.ok = q.ok AND m.path_id = q.path_id WHERE q.steps_count > 0 AND m.total_steps >= 1""", True),
-    "status_route": _q(["steps", "lines_ok", "clean_docs"], _STATUS, True),
-    "status_report": _q(["steps", "lines_ok", "clean_docs"], f"""
+    "status_route": _q(["steps", "lines_ok", "status_parsed"], _STATUS, True),
+    "error_channel": _q(["status_parsed"], "SELECT ok, error FROM status_parsed WHERE error IS NOT NULL"),
+    "status_report": _q(["steps", "lines_ok", "status_parsed"], f"""
   SELECT k.status, coalesce(a.n_docs, 0) AS n_docs, coalesce(a.n_paths, 0) AS n_paths
   FROM (VALUES ('success'), ('skipped_too_short'), ('failed_logic'), ('empty_code'), ('error')) k(status)
   LEFT JOIN (SELECT status, count(*) AS n_docs, sum(n_paths) AS n_paths FROM ({_STATUS}) GROUP BY status) a
     ON a.status = k.status""", True),
-    "diff_report": _q(["steps", "lines_ok"], f"""
-  SELECT t.n AS total, r.n AS processed, t.n - r.n AS skipped, 0 AS errors
-  FROM (SELECT count(*) AS n FROM (SELECT DISTINCT ok, path_id FROM steps)) t,
-       (SELECT count(*) AS n FROM ({_records(CAP)})) r""", True),
+    "diff_report": _q(["steps", "lines_ok", "status_parsed"], f"""
+  SELECT t.n + e.n AS total, r.n AS processed, t.n - r.n AS skipped, e.n AS errors
+  FROM (SELECT count(*) AS n FROM (SELECT DISTINCT ok, path_id FROM steps WHERE ok IN {_SOUND})) t,
+       (SELECT count(*) AS n FROM ({_records(CAP)}) WHERE original_line_no IN {_SOUND}) r,
+       (SELECT count(*) AS n FROM status_parsed WHERE error IS NOT NULL) e""", True),
     "text_diff": _q(["steps", "lines_ok"], f"""SELECT * FROM (
   WITH st AS (SELECT *, CASE WHEN code = '' THEN 0 ELSE len(string_split(code, chr(10))) END AS n FROM ({_states(CAP)})),
        mx AS (SELECT ok, path_id, max(state) AS m FROM st GROUP BY ok, path_id)

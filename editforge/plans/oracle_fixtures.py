@@ -118,6 +118,18 @@ cte("meta_records", ["code_docs"], """
 cte("clean_docs", ["code_docs"], f"""
   SELECT ok, {normalise(strip_comments('code'))} AS code FROM code_docs""")
 
+cte("status_lines", ["clean_docs"], f"""
+  SELECT ok, CASE WHEN ok % 97 = 0 THEN substr(line, 1, length(line) // 2)
+                  WHEN ok % 101 = 0 THEN '{{"contract":' || ok || '}}'
+                  WHEN ok % 103 = 0 THEN '[' || q || ']'
+                  WHEN ok % 107 = 0 THEN '{{"contract":null}}'
+                  WHEN ok % 109 = 0 THEN '{{"other":1}}' ELSE line END AS raw
+  FROM (SELECT ok, {jq('code')} AS q, '{{"contract":' || {jq('code')} || '}}' AS line FROM clean_docs)""")
+cte("status_parsed", ["status_lines"], """
+  SELECT ok, raw, error, CASE WHEN error IS NULL THEN coalesce(json_extract_string(raw, '$.contract'), '') END AS code
+  FROM (SELECT ok, raw, CASE WHEN NOT json_valid(raw) THEN 'bad_json' WHEN json_type(raw) <> 'OBJECT' THEN 'not_object'
+                             WHEN json_type(raw, '$.contract') <> 'VARCHAR' THEN 'not_text' END AS error FROM status_lines)""")
+
 cte("clean_lines", ["clean_docs"], """
   SELECT ok, CAST(i AS BIGINT) AS ln, string_split(code, chr(10))[i] AS t
   FROM clean_docs, range(1, len(string_split(code, chr(10))) + 1) r(i)

@@ -110,6 +110,7 @@ QUERIES = {
 
 # ---------------------------------------------------------------- merge / clean
 from ..operators import clean as K  # noqa: E402
+from ..operators import errors as ER  # noqa: E402
 
 RECORD_COLS = ["key", "file_ord", "line_no", "contract_address", "func_name", "file_path", "class_code"]
 
@@ -387,23 +388,34 @@ def q_changed_only(spark, sf):
         "ok", F.col("path_id").cast("bigint").alias("path_id"), "steps_count")
 
 
+def _status_docs(spark, sf):
+    return ER.read_code(X.status_lines(spark, sf)).select("ok", "code", "error")
+
+
+def _status_build(spark, sf):
+    """(documents with their errors, paths of those without)."""
+    docs = materialize(_status_docs(spark, sf), "status_docs")
+    return docs, C.build_paths(P.eligible_lines(docs.where("error is null")), min_lines=None)
+
+
 def q_status_route(spark, sf):
-    docs = X.clean_docs(spark, sf)
-    pb = C.build_paths(P.eligible_lines(docs), min_lines=None)
-    return C.status_route(docs, pb)
+    return C.status_route(*_status_build(spark, sf))
 
 
 def q_status_report(spark, sf):
-    return S.status_report(spark, q_status_route(spark, sf))
+    return S.status_report(spark, C.status_route(_status_docs(spark, sf)))
+
+
+def q_error_channel(spark, sf):
+    """Errors by line, written and counted in one job, then read back."""
+    out = scratch_path(spark, "errors")
+    ER.counted_write(_status_docs(spark, sf), out)
+    return spark.read.parquet(out).where("error is not null").select("ok", "error")
 
 
 def q_diff_report(spark, sf):
-    pb = _pb(spark, sf)
-    total = pb.steps.select("ok", "path_id").distinct()
-    done = C.edit_records(pb).select(F.col("original_line_no").alias("ok"), "path_id").withColumn("_d", F.lit(1))
-    j = total.join(done, ["ok", "path_id"], "left")
-    return j.agg(F.count(F.lit(1)).alias("total"), F.count("_d").alias("processed"),
-                 F.count_if(F.col("_d").isNull()).alias("skipped"), F.lit(0).cast("bigint").alias("errors"))
+    docs, pb = _status_build(spark, sf)
+    return ER.diff_report(docs, pb.steps, C.edit_records(pb))
 
 
 def q_adjacent_pairs(spark, sf):
@@ -625,6 +637,7 @@ QUERIES.update({
     "changed_only": q_changed_only,
     "status_route": q_status_route,
     "status_report": q_status_report,
+    "error_channel": q_error_channel,
     "diff_report": q_diff_report,
     "adjacent_pairs": q_adjacent_pairs,
     "text_diff": q_text_diff,
