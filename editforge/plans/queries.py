@@ -389,7 +389,7 @@ def q_changed_only(spark, sf):
 
 
 def _status_docs(spark, sf):
-    return ER.read_code(X.status_lines(spark, sf)).select("ok", "code", "error")
+    return ER.read_code(materialize(X.status_lines(spark, sf), "status_lines")).select("ok", "code", "error")
 
 
 def _status_build(spark, sf):

@@ -146,14 +146,16 @@ def clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ok, raw): clean_docs as JSONL; some lines are cut in half, hold a number, a list or null in place of the text, or lack it."""
-    d, ok, quoted = clean_docs(spark, sf_dir), F.col("ok"), T.json_quote(F.col("code"))
-    line = F.concat(F.lit('{"contract":'), quoted, F.lit("}"))
-    raw = (F.when(ok % 97 == 0, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int")))
-           .when(ok % 101 == 0, F.concat(F.lit('{"contract":'), ok.cast("string"), F.lit("}")))
-           .when(ok % 103 == 0, F.concat(F.lit("["), quoted, F.lit("]")))
-           .when(ok % 107 == 0, F.lit('{"contract":null}'))
-           .when(ok % 109 == 0, F.lit('{"other":1}')).otherwise(line))
-    return d.select("ok", raw.alias("raw"))
+    d, ok = clean_docs(spark, sf_dir), F.col("ok")
+    # Inside the function the text is a variable: its cleaning is worked out once.
+    def raw(quoted):
+        line = F.concat(F.lit('{"contract":'), quoted, F.lit("}"))
+        return (F.when(ok % 97 == 0, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int")))
+                .when(ok % 101 == 0, F.concat(F.lit('{"contract":'), ok.cast("string"), F.lit("}")))
+                .when(ok % 103 == 0, F.concat(F.lit("["), quoted, F.lit("]")))
+                .when(ok % 107 == 0, F.lit('{"contract":null}'))
+                .when(ok % 109 == 0, F.lit('{"other":1}')).otherwise(line))
+    return d.select("ok", F.element_at(F.transform(F.array(T.json_quote(F.col("code"))), raw), 1).alias("raw"))
 
 
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
