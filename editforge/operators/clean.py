@@ -52,6 +52,13 @@ def with_fields(good: DataFrame, names=("contract_address", "func_name", "file_p
     return good.select("*", *[field(F.col("v"), n).alias(n) for n in names])
 
 
+def merge_key_of(df: DataFrame) -> Column:
+    """P9 read from the VARIANT of parsed records."""
+    v = F.col("v")
+    return T.stable_key(field(v, "contract_address"), field(v, "func_name"), field(v, "file_path"),
+                        T.falsy_coalesce(field(v, "class_code"), field(v, "func_code")))
+
+
 def merge_key(df: DataFrame) -> DataFrame:
     """P9 on parsed records (class_code, then func_code for the hash)."""
     return df.withColumn("key", T.stable_key(F.col("contract_address"), F.col("func_name"), F.col("file_path"),

@@ -641,6 +641,9 @@ def _long(names, body):
 
 ORACLE.update({
     "resume_stream": "SELECT o_orderkey AS original_line_no, CASE WHEN o_orderkey % 5 = 0 THEN 'first' ELSE 'second' END AS run FROM orders",
+    "resume_jsonl": with_ctes(["parsed", "keyed"], """
+  SELECT DISTINCT 'done' AS kind, key AS value FROM keyed
+  UNION ALL SELECT status, raw FROM parsed, range(0, CASE WHEN file_ord = 1 THEN 2 ELSE 1 END) WHERE status IN ('bad_json', 'not_object')"""),
     "repair_closure_long": _long(["steps"], "SELECT ok, path_id, ln, removal, step FROM steps"),
     "edit_records_long": _long(["steps", "lines_ok"], f"SELECT * FROM ({_records(CAP)})"),
     "snapshot_validity_long": _long(["steps", "edges"], _VALIDITY.replace("{s}", _capped(CAP))),

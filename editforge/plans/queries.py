@@ -610,7 +610,20 @@ def q_resume_stream(spark, sf):
     return spark.read.parquet(base + "/out")
 
 
+def q_resume_jsonl(spark, sf):
+    """JSONL shards in two runs, the second with a shard that the first has done: each key once, each reject of either run."""
+    base = scratch_path(spark, "resume")
+    raw = materialize(X.raw_lines(spark, sf), "raw_lines")
+    for shards in ((0, 1), (1, 2)):
+        raw.where(F.col("file_ord").isin(*shards)).select("raw").write.mode("append").text(base + "/in")
+        R.resume_jsonl(spark, base + "/in", base + "/out", base + "/rejects", base + "/state",
+                       K.merge_key_of, lambda new: new.select("key"))
+    done = spark.read.parquet(base + "/out").select(F.lit("done").alias("kind"), F.col("key").alias("value"))
+    return done.union(spark.read.parquet(base + "/rejects").select(F.col("reason"), F.col("raw")))
+
+
 QUERIES.update({
+    "resume_jsonl": q_resume_jsonl,
     "chain_edits": _chain_records,
     "chain_sft": q_chain_sft,
     "chain_sft_control": q_chain_sft_control,

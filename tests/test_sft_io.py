@@ -112,3 +112,63 @@ def test_first_n_contracts_counts_contracts_not_rows(spark):
     df = spark.createDataFrame([(i, (i * 7) % 50) for i in range(1, 301)], "pos bigint, original_line_no bigint")
     assert sorted(r.pos for r in S.first_n_contracts(df, 20, ["pos"]).collect()) == list(range(1, 21))
     assert S.first_n_contracts(df, 50, ["pos"]).count() == 300 and S.first_n_contracts(df.limit(0), 5, ["pos"]).count() == 0
+
+
+def _resume_once(spark, tmp, transform, **kw):
+    R.resume_jsonl(spark, tmp + "/in", tmp + "/out", tmp + "/bad", tmp + "/state",
+                   key=lambda d: K.field(F.col("v"), "id"), transform=transform, **kw)
+
+
+def _lines_file(tmp, name, lines):
+    os.makedirs(tmp + "/in", exist_ok=True)
+    with open(f"{tmp}/in/{name}", "w") as f:
+        f.write("".join(line + "\n" for line in lines))
+
+
+def test_resume_jsonl_goes_on_after_a_failure_and_ignores_repeats(spark):
+    tmp = tempfile.mkdtemp(prefix="editforge-test-")
+    files = {f"{i}.jsonl": [json.dumps({"id": str(i * 10 + k), "x": k}) for k in range(12)] + ['{"id": ', "[1]", "[1]", '{"no": 1}', "", '{"id": null}']
+             for i in range(4)}   # ids of neighbouring files overlap by two
+    for name, lines in files.items():
+        _lines_file(tmp, name, lines)
+    calls = []
+
+    def failing(new):
+        calls.append(1)
+        if len(calls) == 3:   # the rejects of this batch are written, its results are not
+            raise RuntimeError("lost driver")
+        return new.withColumn("n", F.length("raw"))
+
+    try:
+        _resume_once(spark, tmp, failing, files_per_batch=1)
+        raise AssertionError("the third batch must fail")
+    except Exception as e:
+        assert "lost driver" in str(e)
+    assert spark.read.parquet(tmp + "/out").count() < 42
+    _lines_file(tmp, "copy.jsonl", files["0.jsonl"] + files["3.jsonl"][:3])   # a file that repeats finished keys comes in between
+    _resume_once(spark, tmp, failing, files_per_batch=1)
+    out = spark.read.parquet(tmp + "/out").collect()
+    assert sorted(int(r.key) for r in out) == list(range(42)) and all(r.n == len(r.raw) for r in out)
+    bad = [(r.reason, r.raw) for r in spark.read.parquet(tmp + "/bad").collect()]
+    assert sorted(bad) == sorted(5 * [("bad_json", '{"id": '), ("not_object", "[1]"), ("not_object", "[1]"), ("no_key", '{"no": 1}'), ("no_key", '{"id": null}')])
+    _resume_once(spark, tmp, failing)   # nothing new
+    assert spark.read.parquet(tmp + "/out").count() == 42 and spark.read.parquet(tmp + "/bad").count() == 25
+
+
+def test_resume_jsonl_does_not_read_its_output(spark):
+    """Output that nobody can read any more does not stop a later batch; output without its state does."""
+    tmp = tempfile.mkdtemp(prefix="editforge-test-")
+    _lines_file(tmp, "a", ['{"id": "1"}', '{"id": "2"}'])
+    _resume_once(spark, tmp, lambda new: new.select("key"))
+    for name in os.listdir(tmp + "/out/batch=0"):
+        if name.endswith(".parquet"):
+            with open(f"{tmp}/out/batch=0/{name}", "wb") as f:
+                f.write(b"damaged")
+    _lines_file(tmp, "b", ['{"id": "2"}', '{"id": "3"}'])
+    _resume_once(spark, tmp, lambda new: new.select("key"))
+    assert [r.key for r in spark.read.parquet(tmp + "/out/batch=1").collect()] == ["3"]
+    try:
+        R.resume_jsonl(spark, tmp + "/in", tmp + "/out", tmp + "/bad", tmp + "/other", key=lambda d: K.field(F.col("v"), "id"), transform=lambda d: d)
+        raise AssertionError("a new state beside old output must be refused")
+    except ValueError:
+        pass
