@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -135,6 +136,44 @@ def test_named_furniture_stays_out():
     assert html_text.main_text(f"<p>{LONG}</p>{side}{hidden}") == LONG
 
 
+PROSE = "All the long text of this paragraph goes on and on, without a link, for more than a hundred characters, as prose does."
+LINK = "<p><a href=x>%s</a></p>"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>{p}</p><p class='notice-board'>N {p}</p><p id='search-for-meaning'>S {p}</p></article>", "{p} N {p} S {p}"),
+    ("<div class='content'><p>{p}</p><div class='legal'>G {p}</div><section id='related-work'>R {p}</section></div>", "{p} G {p} R {p}"),
+    ("<article><p>{p}</p><div class='related'><a href=x>One</a> <a href=y>Two</a></div><div class='comments'><p>C {p}</p></div></article>", "{p}"),
+    ("<div class='notice'>N {p}</div><div class='search'>S {p}</div><div class='content'><p>{p} {p}</p><p>{p}</p></div>", "{p} {p} {p}"),
+    ("<div><p>{p}</p>" + LINK % "A paragraph that is one link" + "<p>{p}</p></div>", "{p} A paragraph that is one link {p}"),
+    ("<div><p>{p} {p} {p} {p}</p>" + LINK % "linked line" + "<p>A closing paragraph of forty characters.</p></div>", "{p} {p} {p} {p} linked line A closing paragraph of forty characters."),
+    ("<ul><li><a href=x>Home</a></li></ul><div><h2><a href=x>Linked heading</a></h2><p>{p} {p}</p></div>" + LINK % "Next page", "Linked heading {p} {p}"),
+])
+def test_lines_of_a_container_belong_together(page, want):
+    assert html_text.main_text("<html><body>" + page.format(p=PROSE) + "</body></html>") == want.format(p=PROSE)
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<a ">" ' * 150_000, "<a<a" * 200_000, "<svg>" * 100_000, "<div>" * 80_000 + "</span></b></p>" * 50_000,
+                                  "<span class=x>" * 30_000 + "<p></p>" * 60_000, "<form><main>" * 40_000, "<b '>" * 100_000 + '"'])
+def test_hostile_pages_take_linear_time(page):
+    begun = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begun < 10
+
+
+def test_ends_of_tags_equal_the_pattern():
+    rng = random.Random(5)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<a ", "<b>", '"', "'", ">", "x", " ", "</a>", "<!-- -->", "=", "</ "]) for _ in range(rng.randrange(25)))
+        want, seek = [], 0
+        while m := html_text.OPENING.search(page, seek):
+            t = m.group(1) is not None and html_text.TAG.match(page, m.end())
+            seek = t.end() if t else m.end()
+            if t:
+                want.append((m.start(), seek, m.group(1), t.group(1).lower(), t.group(2)))
+        assert [t for t in html_text.tags(page) if t[3]] == want
+
+
 def test_html_edges(spark):
     pages = ["", None, "plain text only", "<p>", "<article><p>a<p>b", "<!-- <p>x</p>", "<script>x", "<p title='>'>q</p>", "&lt;b&gt;", "<nav>" * 3000 + "x"]
     df = spark.createDataFrame([(i, p, "u", "old") for i, p in enumerate(pages)], "page_id long, html string, url string, text string")
