@@ -6,11 +6,14 @@ and a two-level softmax (class of 64, place in the class) gives the
 probability. A document's score is the sum of its tokens' conditional
 log-probabilities, each token left out of its own context.
 
-Word counts cover every document. Training passes over every document once, in
+Word counts cover every document. The network tells the commonest words and one
+entry for all others apart; each of the others has its own share in that entry,
+by its count in the corpus, which a join on the table of all words brings to the
+documents: what is gathered grows with the corpus. Training passes over every document once, in
 rounds: each round every task trains the current network on its share of its
 documents, and the networks are averaged, weighted by tokens, by a Spark
-aggregate over parameters. Only the vocabulary and the network, both of fixed
-size, come to the driver.
+aggregate over parameters. Only the network's vocabulary and the network, both of
+fixed size, come to the driver; the table of all words stays in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editforge.llm.common import chunks, text_column, words
+from editforge.llm.common import chunks, fresh, text_column, tidy, words
 from editforge.session import materialize
 
 #: Classes, and words a class: the vocabulary is their product, its last entry all other words.
@@ -149,7 +152,7 @@ def token_ids(h: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarray
 
 
 def streams(batches, text: str, keys, places):
-    """(batch, first row, rows, token stream with REACH fillers around each text, first token of each text, end of the last)."""
+    """(batch, first row, rows, token stream with REACH fillers around each text, first token of each text and end of the last, word hashes)."""
     for batch in batches:
         for row, n, data, offsets in chunks(text_column(batch, text)):
             h, first, _, _ = words(data, offsets)
@@ -157,14 +160,14 @@ def streams(batches, text: str, keys, places):
             shift = REACH * (np.arange(n) + 1)
             out = np.full(len(ids) + REACH * (n + 1), VOCABULARY, np.int64)
             out[np.arange(len(ids)) + np.repeat(shift, np.diff(first))] = ids
-            yield batch, row, n, out, first
+            yield batch, row, n, out, first, h
 
 
 class Scorer:
-    """What training has learnt: a vocabulary and a network of fixed size."""
+    """What training has learnt: the network and its vocabulary, and the table (word, count) of all words."""
 
-    def __init__(self, keys, places, flat, other_words: int):
-        self.keys, self.places, self.flat, self.other_words = keys, places, flat, other_words
+    def __init__(self, keys, places, flat, counted: DataFrame, others: int):
+        self.keys, self.places, self.flat, self.counted, self.others = keys, places, flat, counted, others
 
 
 def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Scorer:
@@ -199,7 +202,7 @@ def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Score
             def train(batches, sent=sent):
                 keys, places, flat = sent.value
                 trainer = Trainer(flat)
-                for _, _, _, ids, _ in streams(batches, "text", keys, places):
+                for _, _, _, ids, *_ in streams(batches, "text", keys, places):
                     for a in range(0, len(ids) - 2 * REACH, BATCH):
                         trainer.step(ids[a: a + BATCH + 2 * REACH])
                 if trainer.tokens:
@@ -212,37 +215,64 @@ def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Score
                       .agg((F.sum("value") / F.sum("tokens")).alias("value")).toArrow())  # SIZE rows
             flat = flat.copy()
             flat[np.asarray(learnt["at"])] = np.asarray(learnt["value"])
-    return Scorer(keys, order, flat, max(1, kinds - len(top)))
+    # One part more for a word that the corpus does not hold.
+    return Scorer(keys, order, flat, counted, int(share[-1]) + kinds - len(top) + 1)
 
 
 def score(documents: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     """``documents`` with n_tokens, log_prob (the sum) and mean_log_prob.
 
-    Words outside the vocabulary share its last entry evenly. A text
-    without words (null, empty, blank) has no token, a sum of 0 and a null mean.
-    Equal texts get equal scores up to rounding; columns of those names are
-    replaced; an empty table stays empty.
+    A word outside the network's vocabulary has the probability of the entry for
+    others times its share among them, (count + 1) / (their tokens + their kinds + 1);
+    a word that the corpus does not hold counts 0. A text without words (null,
+    empty, blank) has no token, a sum of 0 and a null mean. Equal texts get equal
+    scores, whatever their key; columns of those names are replaced; an empty table
+    stays empty. Texts are scored where they lie: only their digests, sums and words
+    outside the vocabulary are shuffled, and the columns that the caller goes on to use.
     """
+    spark = documents.sparkSession
     kept = documents.drop("n_tokens", "log_prob", "mean_log_prob")
-    names = kept.columns
-    sent = documents.sparkSession.sparkContext.broadcast(scorer)
+    key = fresh(kept, "_digest")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+    sent = spark.sparkContext.broadcast((scorer.keys, scorer.places, scorer.flat))
 
+    @tidy
     def run(batches):
-        s = sent.value
-        p, other = unpack(s.flat), np.log(s.other_words)
-        for batch in batches:
-            n_tokens, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for _, row, n, ids, first in streams([batch], text, s.keys, s.places):
-                logs = log_probabilities(p, ids) - np.where(ids == VOCABULARY - 1, other, 0)
-                total = np.concatenate([[0], np.cumsum(logs)])
-                a = first[:-1] + REACH * (np.arange(n) + 1)
-                size = np.diff(first)
-                n_tokens[row: row + n], sums[row: row + n] = size, np.where(size > 0, total[a + size] - total[a], 0)
-            mean = pa.array(sums / np.maximum(n_tokens, 1), mask=n_tokens == 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_tokens), pa.array(sums), mean],
-                                             names=[*names, "n_tokens", "log_prob", "mean_log_prob"])
-
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", n_tokens long, log_prob double, mean_log_prob double")
+        keys, places, flat = sent.value
+        p = unpack(flat)
+        for batch, row, n, ids, first, h in streams(batches, "text", keys, places):
+            logs = log_probabilities(p, ids)
+            total = np.concatenate([[0], np.cumsum(logs)])
+            shift = REACH * (np.arange(n) + 1)
+            a, size = first[:-1] + shift, np.diff(first)
+            sums = np.where(size > 0, total[a + size] - total[a], 0)
+            owner = np.repeat(np.arange(n), size)
+            other = ids[np.arange(len(h)) + np.repeat(shift, size)] == VOCABULARY - 1
+            owner, word = owner[other], h[other]
+            order = np.lexsort((word, owner))
+            owner, word = owner[order], word[order]
+            begins = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])]) if len(word) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[begins, len(word)]) if len(word) else begins
+            digests = batch.column("digest")
+            yield pa.RecordBatch.from_arrays([digests.slice(row, n), pa.nulls(n, pa.int64()), pa.array(size.astype(np.int64)), pa.array(sums)], names=NAMES)
+            for i in range(0, len(begins), 100_000):
+                part = begins[i: i + 100_000]
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(owner[part] + row)), pa.array(word[part].view(np.int64)), pa.array(times[i: i + 100_000].astype(np.int64)),
+                                                  pa.nulls(len(part), pa.float64())], names=NAMES)
+
+    NAMES = ["digest", "word", "n", "log_prob"]
+    # A row without a word stands for a text: n tokens, the network's sum. The others: n times a word outside the vocabulary.
+    found = documents.select(digest.alias("digest"), F.col(text).alias("text")).mapInArrow(run, "digest binary, word long, n long, log_prob double")
+    found = materialize(found, "scored")
+    share = F.log((F.coalesce("count", F.lit(0)) + 1) / F.lit(float(scorer.others)))
+    words_of = (found.where("word is not null").groupBy("word", "digest").agg(F.sum("n").alias("n"))
+                .join(scorer.counted, "word", "left").groupBy("digest").agg(F.sum(F.col("n") * share).alias("rest")))
+    # Copies of a text add their words up as they add up their sums.
+    texts = (found.where("word is null").groupBy("digest").agg(F.count("*").alias("copies"), F.max("n").alias("n_tokens"), F.max("log_prob").alias("inner"))
+             .join(words_of, "digest", "left")
+             .select(F.col("digest").alias(key), "n_tokens", (F.col("inner") + F.coalesce(F.col("rest") / F.col("copies"), F.lit(0.0))).alias("log_prob")))
+    return (kept.withColumn(key, digest).join(texts, key).drop(key)
+            .withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))))
 
 
 def op1_pseudo_likelihood(spark, sf_dir):

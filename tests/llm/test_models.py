@@ -130,6 +130,52 @@ def test_pseudo_likelihood_learns_order(spark):
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
 
 
+def plain_sum(scorer, counts, words):
+    """A document's sum, token by token; ``counts`` are those of the corpus by word hash."""
+    p = {k: v.astype(float) for k, v in lm_score.unpack(scorer.flat).items()}
+    number = dict(zip(scorer.keys.tolist(), scorer.places.tolist()))
+    rest, edge = lm_score.VOCABULARY - 1, [lm_score.VOCABULARY] * lm_score.REACH
+    ids = edge + [number.get(w, rest) for w in words] + edge
+    others = sum(n + 1 for w, n in counts.items() if w not in number) + 1
+    total = 0.0
+    for i, w in enumerate(words):
+        at = i + lm_score.REACH
+        around = [ids[at + o] for o in range(-lm_score.REACH, lm_score.REACH + 1) if o]
+        h = np.tanh(p["bias"] + sum(p["embed"][t] * p["place"][k] for k, t in enumerate(around)))
+        c, j = divmod(ids[at], lm_score.CLASSES)
+        one, two = h @ p["w1"] + p["b1"], (h + p["shift"][c]) @ p["w2"] + p["b2"][c]
+        total += one[c] - np.log(np.exp(one).sum()) + two[j] - np.log(np.exp(two).sum())
+        if ids[at] == rest:
+            total += np.log((counts.get(w, 0) + 1) / others)
+    return total
+
+
+def test_sums_equal_a_plain_recomputation(spark):
+    """Words beyond the network's vocabulary score by their own counts, seen or unseen, in copies too."""
+    rng = random.Random(6)
+    common, rare = [f"c{i}" for i in range(4200)], [f"r{i}" for i in range(3000)]
+    texts = [" ".join(common) + " " + " ".join(common)]
+    texts += [" ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    texts += texts[1:40] + ["", None, "  "]
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    fitted = lm_score.fit(df)
+    hashes = lambda t: lm_score.words(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0, len(b)])))((t or "").encode()))[0].tolist()
+    counts = Counter(w for t in texts for w in hashes(t))
+    asked = texts[1:] + ["unseen words " + texts[3], "r1 " * 50]
+    new = spark.createDataFrame([(i if i % 9 else None, t, i, "x") for i, t in enumerate(asked)], SCHEMA).withColumnRenamed("evidence", "_digest")
+    got = {r["score"]: r for r in lm_score.score(new, fitted).collect()}
+    assert len(got) == len(asked) and got[0]["_digest"] == "x"
+    for i, t in enumerate(asked):
+        words = hashes(t)
+        assert got[i]["n_tokens"] == len(words)
+        assert abs(got[i]["log_prob"] - plain_sum(fitted, counts, words)) < 1e-3 * (1 + len(words))
+    once, often = Counter(counts), [w for w in rare if 0 < counts[hashes(w)[0]]]
+    few, many = min(often, key=lambda w: once[hashes(w)[0]]), max(often, key=lambda w: once[hashes(w)[0]])
+    pair = spark.createDataFrame([(0, few, 0, ""), (1, many, 0, "")], SCHEMA)
+    scores = {r["doc_id"]: r["log_prob"] for r in lm_score.score(pair, fitted).collect()}
+    assert scores[1] > scores[0]   # alike in their context, told apart by the corpus
+
+
 def test_probabilities_sum_to_one_and_gradient_is_right():
     rng = np.random.default_rng(0)
     flat = lm_score.start(rng.random(lm_score.VOCABULARY) * 100)
