@@ -8,12 +8,14 @@ log-probabilities, each token left out of its own context.
 
 Word counts cover every document. The network tells the commonest words and one
 entry for all others apart; each of the others has its own share in that entry,
-by its count in the corpus, which a join on the table of all words brings to the
+by its count in the corpus. Counts of the commonest of these (a bounded number)
+are sent to the tasks, and a join on the table of all words brings the rest to the
 documents: what is gathered grows with the corpus. Training passes over every document once, in
 rounds: each round every task trains the current network on its share of its
 documents, and the networks are averaged, weighted by tokens, by a Spark
-aggregate over parameters. Only the network's vocabulary and the network, both of
-fixed size, come to the driver; the table of all words stays in the shared folder.
+aggregate over parameters. Only the network, its vocabulary and the counts to be
+sent, all of bounded size, come to the driver; the table of all words stays in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ REACH, WIDTH = 3, 16
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.15
+#: At most so many words with their counts are sent to the tasks; counts of all others come by a join.
+HELD = 1 << 19
 SHAPES = {"embed": (VOCABULARY + 1, WIDTH), "place": (2 * REACH, WIDTH), "bias": (WIDTH,), "w1": (WIDTH, CLASSES), "b1": (CLASSES,),
           "shift": (CLASSES, WIDTH), "w2": (WIDTH, CLASSES), "b2": (CLASSES, CLASSES)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -164,10 +168,27 @@ def streams(batches, text: str, keys, places):
 
 
 class Scorer:
-    """What training has learnt: the network and its vocabulary, and the table (word, count) of all words."""
-
-    def __init__(self, keys, places, flat, counted: DataFrame, others: int):
-        self.keys, self.places, self.flat, self.counted, self.others = keys, places, flat, counted, others
+    """What training has learnt: the network and its vocabulary, the table (word, count) of all words, and its commonest rows."""
+
+    def __init__(self, keys, places, flat, counted: DataFrame, others: int, held: tuple[np.ndarray, np.ndarray]):
+        self.keys, self.places, self.flat, self.counted, self.others, self.held = keys, places, flat, counted, others, held
+
+
+def commonest(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the words whose count lies above a bound that at most HELD words pass."""
+    level = F.floor(F.log2("count") * 8)
+    bound, total = None, 0
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # some 500 levels at most
+        total += r["count"]
+        if total > HELD:
+            break
+        bound = r["level"]
+    if bound is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counted.where(level >= bound).toArrow()
+    keys = np.asarray(found["word"]).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.asarray(found["count"])[order]
 
 
 def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Scorer:
@@ -216,7 +237,7 @@ def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Score
             flat = flat.copy()
             flat[np.asarray(learnt["at"])] = np.asarray(learnt["value"])
     # One part more for a word that the corpus does not hold.
-    return Scorer(keys, order, flat, counted, int(share[-1]) + kinds - len(top) + 1)
+    return Scorer(keys, order, flat, counted, int(share[-1]) + kinds - len(top) + 1, commonest(counted))
 
 
 def score(documents: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
@@ -227,19 +248,19 @@ def score(documents: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame
     a word that the corpus does not hold counts 0. A text without words (null,
     empty, blank) has no token, a sum of 0 and a null mean. Equal texts get equal
     scores, whatever their key; columns of those names are replaced; an empty table
-    stays empty. Texts are scored where they lie: only their digests, sums and words
-    outside the vocabulary are shuffled, and the columns that the caller goes on to use.
+    stays empty. Texts are scored where they lie: only their digests, sums and rare
+    words are shuffled, and the columns that the caller goes on to use.
     """
     spark = documents.sparkSession
     kept = documents.drop("n_tokens", "log_prob", "mean_log_prob")
     key = fresh(kept, "_digest")
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
-    sent = spark.sparkContext.broadcast((scorer.keys, scorer.places, scorer.flat))
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)), 1, 16)
+    sent = spark.sparkContext.broadcast((scorer.keys, scorer.places, scorer.flat, scorer.held, scorer.others))
 
     @tidy
     def run(batches):
-        keys, places, flat = sent.value
-        p = unpack(flat)
+        keys, places, flat, (known, counts), others = sent.value
+        p, own = unpack(flat), np.log((counts + 1) / others)
         for batch, row, n, ids, first, h in streams(batches, "text", keys, places):
             logs = log_probabilities(p, ids)
             total = np.concatenate([[0], np.cumsum(logs)])
@@ -249,6 +270,11 @@ def score(documents: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame
             owner = np.repeat(np.arange(n), size)
             other = ids[np.arange(len(h)) + np.repeat(shift, size)] == VOCABULARY - 1
             owner, word = owner[other], h[other]
+            if len(known) and len(word):
+                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                hit = known[at] == word
+                sums += np.bincount(owner[hit], own[at[hit]], n)
+                owner, word = owner[~hit], word[~hit]
             order = np.lexsort((word, owner))
             owner, word = owner[order], word[order]
             begins = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])]) if len(word) else np.zeros(0, np.int64)
@@ -261,12 +287,11 @@ def score(documents: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame
                                                   pa.nulls(len(part), pa.float64())], names=NAMES)
 
     NAMES = ["digest", "word", "n", "log_prob"]
-    # A row without a word stands for a text: n tokens, the network's sum. The others: n times a word outside the vocabulary.
+    # A row without a word stands for a text: n tokens, their sum as far as it is known. The others: n times a word whose count is not held.
     found = documents.select(digest.alias("digest"), F.col(text).alias("text")).mapInArrow(run, "digest binary, word long, n long, log_prob double")
     found = materialize(found, "scored")
     share = F.log((F.coalesce("count", F.lit(0)) + 1) / F.lit(float(scorer.others)))
-    words_of = (found.where("word is not null").groupBy("word", "digest").agg(F.sum("n").alias("n"))
-                .join(scorer.counted, "word", "left").groupBy("digest").agg(F.sum(F.col("n") * share).alias("rest")))
+    words_of = (found.where("word is not null").join(scorer.counted, "word", "left").groupBy("digest").agg(F.sum(F.col("n") * share).alias("rest")))
     # Copies of a text add their words up as they add up their sums.
     texts = (found.where("word is null").groupBy("digest").agg(F.count("*").alias("copies"), F.max("n").alias("n_tokens"), F.max("log_prob").alias("inner"))
              .join(words_of, "digest", "left")

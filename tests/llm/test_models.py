@@ -150,8 +150,10 @@ def plain_sum(scorer, counts, words):
     return total
 
 
-def test_sums_equal_a_plain_recomputation(spark):
-    """Words beyond the network's vocabulary score by their own counts, seen or unseen, in copies too."""
+@pytest.mark.parametrize("held", [1 << 19, 4500, 0])
+def test_sums_equal_a_plain_recomputation(spark, monkeypatch, held):
+    """Words beyond the network's vocabulary score by their own counts, seen or unseen, in copies too, held in tasks or joined."""
+    monkeypatch.setattr(lm_score, "HELD", held)
     rng = random.Random(6)
     common, rare = [f"c{i}" for i in range(4200)], [f"r{i}" for i in range(3000)]
     texts = [" ".join(common) + " " + " ".join(common)]
@@ -161,6 +163,8 @@ def test_sums_equal_a_plain_recomputation(spark):
     fitted = lm_score.fit(df)
     hashes = lambda t: lm_score.words(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0, len(b)])))((t or "").encode()))[0].tolist()
     counts = Counter(w for t in texts for w in hashes(t))
+    assert len(fitted.held[0]) <= held and (held < len(counts) or len(fitted.held[0]) == len(counts))
+    assert dict(zip(fitted.held[0].tolist(), fitted.held[1].tolist())).items() <= counts.items()
     asked = texts[1:] + ["unseen words " + texts[3], "r1 " * 50]
     new = spark.createDataFrame([(i if i % 9 else None, t, i, "x") for i, t in enumerate(asked)], SCHEMA).withColumnRenamed("evidence", "_digest")
     got = {r["score"]: r for r in lm_score.score(new, fitted).collect()}
