@@ -117,13 +117,20 @@ def _hunk_rows(batch, names, hunks):
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(ends, pairs)], names=[*names, "hunks"])
 
 
+def _by_step() -> Column:
+    """A path's lines, those of one number (of repeated documents) by their steps."""
+    repeated = F.size(F.array_distinct(F.col("lines.ln"))) < F.size("lines")
+    row = F.transform("lines", lambda x: F.struct(x["ln"].alias("ln"), x["step"].alias("step"), x["t"].alias("t")))
+    return F.when(repeated, F.sort_array(row)).otherwise(row)
+
+
 def row_hunks(rows: DataFrame, cap: int | None = None, key: str = "ok", context: int = CONTEXT, compat: bool = False,
               keep: dict[str, Column] | None = None) -> DataFrame:
     """E1 in the row of the path: (key, path_id, m, hunks) with hunks (k: forward step, v: diff), from ``paths.path_rows``.
 
     ``keep`` names further columns, made from the path's row; m is the number of recorded steps, 1 at least.
     """
-    s = capped(rows, cap).where(F.col("m") >= 1).select(key, "path_id", "m", *(c.alias(n) for n, c in (keep or {}).items()), "lines")
+    s = capped(rows, cap).where(F.col("m") >= 1).select(key, "path_id", "m", *(c.alias(n) for n, c in (keep or {}).items()), _by_step().alias("lines"))
     names = [c for c in s.columns if c != "lines"]
     fields = ", ".join(f"`{c}` {s.schema[c].dataType.simpleString()}" for c in names)
     return s.mapInArrow(_batch_hunks(context, compat, names), f"{fields}, hunks array<struct<k: bigint, v: string>>")
