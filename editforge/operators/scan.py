@@ -14,7 +14,8 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,41 +56,55 @@ def scan(header, loc, inline, state: int = 0):
         at, state = begin + 1, LOOKAHEAD
 
 
-def _function(rows: pd.DataFrame) -> pd.DataFrame:
+def _blocks(batch):
+    """(positions, header places, locations, inline errors) of each block of an Arrow batch."""
+    sizes, rows = pc.list_value_length(batch.column("rows")).to_pylist(), batch.column("rows").flatten()
+    pos, hdr, loc, inl = (np.asarray(rows.field(f)) for f in ("pos", "hdr", "loc", "inl"))
+    at = 0
+    for n in sizes:
+        here = slice(at, at + n)
+        yield pos[here], np.flatnonzero(hdr[here]).tolist(), loc[here], inl[here]
+        at += n
+
+
+def _functions(batches):
     """State after a block for each state before it."""
-    header, loc, inline = _arrays(rows)
-    after = [scan(header, loc, inline, s)[0] for s in range(STATES)]
-    return pd.DataFrame({"doc": rows["doc"].iloc[:1], "blk": rows["blk"].iloc[:1], "f": [after]})
+    for batch in batches:
+        after = [[scan(*block, s)[0] for s in range(STATES)] for _, *block in _blocks(batch)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(after, pa.list_(pa.int64()))], names=[*batch.schema.names, "f"])
 
 
-def _arrays(rows: pd.DataFrame):
-    rows = rows.sort_values("pos")
-    return np.flatnonzero(rows["hdr"].to_numpy(bool)).tolist(), rows["loc"].to_numpy(np.int64), rows["inl"].to_numpy(np.int64)
+def _errors(batches):
+    for batch in batches:
+        row, places, kinds, found = [], [], [], []
+        for i, ((pos, *block), state) in enumerate(zip(_blocks(batch), batch.column("state").to_pylist())):
+            for place, kind, line in scan(*block, state)[1]:
+                row.append(i)
+                places.append(int(pos[0]) + place)
+                kinds.append(kind)
+                found.append(line)
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row, pa.int64())), pa.array(places, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(found, pa.int64())],
+                                         names=["doc", "pos", "hdr", "line_no"])
 
 
-def _composed(rows: pd.DataFrame) -> pd.DataFrame:
-    """The function of a group of blocks from those of its blocks."""
-    state = np.arange(STATES)
-    for f in rows.sort_values("blk")["f"]:
-        state = np.asarray(f)[state]
-    return pd.DataFrame({"doc": rows["doc"].iloc[:1], "blk": rows["up"].iloc[:1], "f": [state.tolist()]})
+def _composed(blocks: DataFrame, fan: int) -> DataFrame:
+    """(doc, blk, parts, f): groups of ``fan`` blocks (doc, blk, f), in order in ``parts``, and the function of each group."""
+    groups = blocks.groupBy("doc", F.floor(F.col("blk") / fan).cast("bigint").alias("up")).agg(F.sort_array(F.collect_list(F.struct("blk", "f"))).alias("parts"))
+    whole = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(STATES - 1).cast("bigint")), lambda s: F.aggregate("parts", s, lambda at, x: F.get(x["f"], at.cast("int"))))
+    return groups.select("doc", F.col("up").alias("blk"), "parts", whole.alias("f"))
 
 
-def _entered(rows: pd.DataFrame) -> pd.DataFrame:
-    """The state before each block of a group, from the state before the group."""
-    rows = rows.sort_values("blk")
-    state, before = int(rows["state"].iloc[0]), []
-    for f in rows["f"]:
-        before.append(state)
-        state = int(f[state])
-    return pd.DataFrame({"doc": rows["doc"], "blk": rows["blk"], "state": np.array(before, np.int64)})
+def _entered(groups: DataFrame) -> DataFrame:
+    """(doc, blk, state): the state before each block of a group, from the ``state`` before the group."""
+    start = F.struct(F.col("state"), F.array().cast("array<struct<blk: bigint, state: bigint>>").alias("before"))
+    step = lambda at, x: F.struct(F.get(x["f"], at["state"].cast("int")).alias("state"), F.concat(at["before"], F.array(F.struct(x["blk"].alias("blk"), at["state"].alias("state")))).alias("before"))
+    return groups.select("doc", F.explode(F.aggregate("parts", start, step, lambda at: at["before"])).alias("b")).select("doc", "b.blk", "b.state")
 
 
-def _errors(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
-    first, (_, found) = int(rows["pos"].iloc[0]), scan(*_arrays(rows), int(rows["state"].iloc[0]))
-    place, kind, line = zip(*found) if found else ((), (), ())
-    return pd.DataFrame({"doc": rows["doc"].iloc[np.zeros(len(place), np.int64)].reset_index(drop=True), "pos": np.array(place, np.int64) + first, "hdr": np.array(kind, bool), "line_no": pd.array(line, "Int64")})
+def _with_state(level: DataFrame, states: DataFrame) -> DataFrame:
+    """``level`` with the state before each of its blocks; files of states are far smaller than their rows and not to be broadcast."""
+    s = states.select(F.col("doc").alias("s_doc"), F.col("blk").alias("s_blk"), "state").hint("merge")
+    return level.join(s, F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("blk") == F.col("s_blk"))).drop("s_doc", "s_blk")
 
 
 def scan_errors(log: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
@@ -105,22 +120,19 @@ def scan_errors(log: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame
     lines = s.select("doc", F.col("pos").cast("bigint").alias("pos"), F.coalesce(F.col("s").startswith(HEADER_PREFIX), F.lit(False)).alias("hdr"),
                      F.coalesce(_num(LOCATION_RE, F.col("s")), F.lit(0)).alias("loc"), F.coalesce(_num(INLINE_RE, F.col("s")), F.lit(0)).alias("inl"),
                      F.floor((F.col("pos") - 1) / block).cast("bigint").alias("blk"))
-    function = f"doc {kind}, blk bigint, f array<bigint>"
-    levels = [materialize(lines.groupBy("doc", "blk").applyInPandas(_function, function), "blocks")]
+    rows = "rows array<struct<pos: bigint, hdr: boolean, loc: bigint, inl: bigint>>"
+    # A block is one row: its lines are shuffled once and read again where its state is known.
+    rowed = lines.groupBy("doc", "blk").agg(F.sort_array(F.collect_list(F.struct("pos", "hdr", "loc", "inl"))).alias("rows"))
+    levels = [materialize(rowed.mapInArrow(_functions, f"doc {kind}, blk bigint, {rows}, f array<bigint>"), "blocks")]
     blocks = (levels[0].agg(F.max("blk")).first()[0] or 0) + 1
     while blocks > 1:
-        up = levels[-1].withColumn("up", F.floor(F.col("blk") / fan).cast("bigint"))
-        levels.append(materialize(up.groupBy("doc", "up").applyInPandas(_composed, function), "blocks"))
+        levels.append(materialize(_composed(levels[-1].select("doc", "blk", "f"), fan), "blocks"))
         blocks = -(-blocks // fan)
-    states = levels.pop().select("doc", "blk", F.lit(0).cast("bigint").alias("state"))
-    while levels:
-        below = levels.pop().withColumn("up", F.floor(F.col("blk") / fan).cast("bigint")).alias("b")
-        above = states.select(F.col("doc").alias("up_doc"), F.col("blk").alias("up_blk"), "state")
-        joined = below.join(above, F.col("doc").eqNullSafe(F.col("up_doc")) & (F.col("up") == F.col("up_blk")))
-        states = joined.select("doc", "blk", "up", "f", "state").groupBy("doc", "up").applyInPandas(_entered, f"doc {kind}, blk bigint, state bigint")
-    states = states.select(F.col("doc").alias("s_doc"), F.col("blk").alias("s_blk"), "state")
-    read = lines.join(states, F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("blk") == F.col("s_blk"))).drop("s_doc", "s_blk")
-    found = read.groupBy("doc", "blk").applyInPandas(_errors, f"doc {kind}, pos bigint, hdr boolean, line_no bigint")
+    states = levels[-1].select("doc", "blk", F.lit(0).cast("bigint").alias("state"))
+    for level in levels[:0:-1]:
+        states = _entered(_with_state(level, states))
+    read = _with_state(levels[0], states).select("doc", "rows", "state")
+    found = read.mapInArrow(_errors, f"doc {kind}, pos bigint, hdr boolean, line_no bigint")
     # A header is told where it is read, and once more where its location is found.
     return (found.groupBy("doc", "pos", "hdr").agg(F.max("line_no").alias("line_no"))
             .select("doc", "pos", F.when(F.col("hdr"), F.lit("header")).otherwise(F.lit("inline")).alias("kind"), "line_no"))

@@ -62,6 +62,14 @@ def test_empty(spark):
     assert scan_errors(spark.createDataFrame([], "doc long, pos long, t string")).count() == 0
 
 
+def test_blocks_are_read_by_the_batch(spark):
+    """Short logs by the thousand: no step calls Python once a block."""
+    rows = [(d, i + 1, "Error: a") for d in range(40) for i in range(5)]
+    got = scan_errors(spark.createDataFrame(rows, "doc long, pos long, t string"), block=2, fan=2)
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 40
+
+
 def test_functions_compose():
     rng = np.random.default_rng(0)
     for _ in range(300):
