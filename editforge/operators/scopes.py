@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .deps import DECL_RE, IDENT_RE, _blanked
 
-USE, CLOSE, OPEN = 0, 1, 2
+USE, CLOSE, OPEN, EDGE = 0, 1, 2, 3
 
 
 def _structure(lines: DataFrame, key: str) -> DataFrame:
@@ -27,13 +27,13 @@ def _structure(lines: DataFrame, key: str) -> DataFrame:
 
 
 def _levels(b: DataFrame, key: str) -> DataFrame:
-    """(key, level, ln, kind, closes, own, o): lines at the levels they open or belong to, with the opener of that level."""
+    """(key, ln, bt, decl, level, kind, closes, own, o): lines at the levels they open or belong to, with the opener of that level."""
     row = lambda lv, kind, closes, own: F.struct(lv.alias("level"), F.lit(kind).alias("kind"), closes.alias("closes"), own.alias("own"))
     no = F.lit(False)
     opens = F.when(F.col("d_after") > F.col("d_before"),
                    F.transform(F.sequence(F.col("d_before") + 1, F.greatest("d_after", F.col("d_before") + 1)), lambda lv: row(lv, 0, no, no))).otherwise(F.array())
     member = F.transform(F.sequence(F.least(F.col("d_after") + 1, F.col("d_before")), F.col("d_before")), lambda lv: row(lv, 1, lv > F.col("d_after"), lv == F.col("d_before")))
-    r = b.select(key, "ln", F.explode(F.concat(opens, member)).alias("r")).select(key, "ln", "r.*")
+    r = b.select(key, "ln", "bt", "decl", F.explode(F.concat(opens, member)).alias("r")).select(key, "ln", "bt", "decl", "r.*")
     w = Window.partitionBy(key, "level").orderBy("ln", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return r.withColumn("o", F.last(F.when(F.col("kind") == 0, F.col("ln")), ignorenulls=True).over(w)).where("kind = 1")
 
@@ -46,24 +46,28 @@ def scoped_dependencies(lines: DataFrame, key: str = "ok") -> DataFrame:
     the end. Null texts are lines without braces and names; an empty table gives no edges.
     """
     b = _structure(lines.select(key, "ln", F.coalesce("t", F.lit("")).alias("t")), key)
-    levels = _levels(b, key)
-    blocks = levels.where("o is not null")
-    edge = lambda a, r: F.struct(F.col(a).alias("ln"), F.col(r).alias("req"))
-    by_block = blocks.select(key, F.explode(F.array_compact(F.array(edge("ln", "o"), F.when(F.col("closes"), edge("o", "ln"))))).alias("e")).select(key, "e.ln", "e.req")
-    closed = blocks.where("closes").groupBy(key, "level", F.col("o").alias("scope")).agg(F.min("ln").alias("close"))
-    # The scope of a line: the opener of the level it stands in; 0 outside of all blocks.
-    home = levels.where("own").select(key, "ln", "level", F.coalesce("o", F.lit(0)).alias("scope"))
-    declared = (b.where("decl <> ''").select(key, "ln", F.col("decl").alias("name")).join(home, [key, "ln"])
-                .groupBy(key, "name", "level", "scope").agg(F.min("ln").alias("req")))
-    scopes = declared.join(closed, [key, "level", "scope"], "left")
-    start = scopes.select(key, "name", F.col("scope").alias("ln"), F.lit(OPEN).alias("kind"), F.lit(1).alias("d"), "req")
-    stop = scopes.where("close is not null").select(key, "name", F.col("close").alias("ln"), F.lit(CLOSE).alias("kind"), F.lit(-1).alias("d"), F.lit(None).cast("bigint").alias("req"))
-    uses = (b.select(key, "ln", "decl", F.explode(F.array_distinct(F.regexp_extract_all("bt", F.lit(IDENT_RE), 0))).alias("name")).where("name <> decl")
-            .select(key, "name", "ln", F.lit(USE).alias("kind"), F.lit(0).alias("d"), F.lit(None).cast("bigint").alias("req")))
-    events = start.union(stop).union(uses.select(start.columns))
+    levels = _levels(b, key).withColumn("scope", F.coalesce("o", F.lit(0)))
+    # All windows lie by key: lines spread by key are not shuffled again. A scope of a line is the opener of the
+    # level it stands in, 0 outside of all blocks; its close and its first declaration of a name are on every row of it.
+    declares = F.when(F.col("own") & F.col(key).isNotNull(), F.nullif("decl", F.lit("")))
+    within = Window.partitionBy(key, "level", "scope")
+    levels = (levels.withColumn("close", F.min(F.when(F.col("closes") & F.col("o").isNotNull(), F.col("ln"))).over(within))
+              .withColumn("name", declares))
+    first = Window.partitionBy(key, "level", "scope", "name").orderBy("ln")
+    levels = levels.withColumn("first", F.col("name").isNotNull() & (F.row_number().over(first) == 1))
+    none = F.lit(None).cast("bigint")
+    event = lambda name, ln, kind, d, req: F.struct(name.alias("name"), ln.cast("bigint").alias("ln"), F.lit(kind).alias("kind"), F.lit(d).alias("d"), req.cast("bigint").alias("req"))
+    ln, o, no_name = F.col("ln"), F.col("o"), F.lit(None).cast("string")
+    used = F.filter(F.array_distinct(F.regexp_extract_all("bt", F.lit(IDENT_RE), 0)), lambda n: n != F.col("decl"))
+    events = levels.select(key, F.explode(F.concat(
+        F.array_compact(F.array(
+            F.when(o.isNotNull(), event(no_name, ln, EDGE, 0, o)), F.when(o.isNotNull() & F.col("closes"), event(no_name, o, EDGE, 0, ln)),
+            F.when(F.col("first"), event(F.col("name"), F.col("scope"), OPEN, 1, ln)),
+            F.when(F.col("first") & F.col("close").isNotNull(), event(F.col("name"), F.col("close"), CLOSE, -1, none)))),
+        F.when(F.col("own"), F.transform(used, lambda n: event(n, ln, USE, 0, none))).otherwise(F.array()))).alias("e")).select(key, "e.*")
     order = Window.partitionBy(key, "name").orderBy("ln", "kind", "req").rowsBetween(Window.unboundedPreceding, 0)
     depth = events.withColumn("depth", F.sum("d").over(order))
     at = Window.partitionBy(key, "name", "depth").orderBy("ln", "kind", "req").rowsBetween(Window.unboundedPreceding, 0)
-    seen = depth.withColumn("found", F.last("req", ignorenulls=True).over(at)).where((F.col("kind") == USE) & (F.col("depth") > 0))
-    by_name = seen.select(key, "ln", F.col("found").alias("req"))
-    return by_block.union(by_name).where("req is not null and req <> ln").distinct()
+    seen = depth.withColumn("found", F.when(F.col("kind") == EDGE, F.col("req")).otherwise(F.last("req", ignorenulls=True).over(at)))
+    edges = seen.where((F.col("kind") == EDGE) | ((F.col("kind") == USE) & (F.col("depth") > 0)))
+    return edges.select(key, "ln", F.col("found").alias("req")).where("req is not null and req <> ln").distinct()

@@ -93,6 +93,13 @@ def test_null_and_empty(spark):
     assert scoped_dependencies(df.limit(0)).count() == 0
 
 
+def test_lines_spread_by_key_are_not_shuffled_again(spark):
+    df = spark.createDataFrame([(1, 1, "uint a;"), (1, 2, "a = 1;"), (2, 1, "{"), (2, 2, "}")], "ok long, ln long, t string").repartition("ok")
+    edges = scoped_dependencies(df)
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, edges.collect())) == [(1, 2, 1), (2, 1, 2), (2, 2, 1)]
+
+
 def test_either_rule_builds_paths(spark):
     rng = random.Random(5)
     docs = {ok: document(rng, 25) for ok in range(6)}
