@@ -68,3 +68,26 @@ def test_responses_and_steps_are_not_broadcast(spark):
     records = spark.createDataFrame(C.edit_records(pb).collect(), C.edit_records(pb).schema)
     for df in (S.attach_instruction(records, answers), D.snapshot_validity(pb.steps, pb.edges)):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_the_lines(spark, monkeypatch):
+    """What one task holds of the lines is bounded, however small their files are."""
+    monkeypatch.setattr(C, "TASK_LINES", 16)
+    df = lines(spark, n=60).cache()
+    want = rows(D.line_dependencies(df))
+    pb = C.build_paths(df, min_lines=None)
+    assert rows(pb.edges) == want
+    assert pb.edges.rdd.getNumPartitions() >= df.count() // 16
+
+
+def test_line_items_are_spread_by_their_count(spark, tmp_path, monkeypatch):
+    from editforge.functions import numbering
+    from editforge.sources import fixtures as X
+    monkeypatch.setattr(numbering.tasks_for, "__defaults__", (10,))
+    n = 200
+    spark.range(n).selectExpr("id o_orderkey", "id o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(n).selectExpr("id l_orderkey", "id l_partkey", "id l_suppkey", "1 l_linenumber", "2 l_quantity", "'R' l_returnflag", "'F' l_linestatus",
+                              "date'2020-01-01' l_shipdate", "1.5d l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    docs = X.code_docs(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() == n // 10
+    assert docs.where("code is not null").count() == n
