@@ -80,14 +80,30 @@ def test_tasks_grow_with_the_lines(spark, monkeypatch):
     assert pb.edges.rdd.getNumPartitions() >= df.count() // 16
 
 
+def orders(spark, path, n):
+    """Tables of n orders with one line item each."""
+    spark.range(n).selectExpr("id o_orderkey", "id o_custkey").write.parquet(f"{path}/orders.parquet")
+    spark.range(n).selectExpr("id l_orderkey", "id l_partkey", "id l_suppkey", "1 l_linenumber", "2 l_quantity", "'R' l_returnflag", "'F' l_linestatus",
+                              "date'2020-01-01' l_shipdate", "1.5d l_extendedprice").write.parquet(f"{path}/lineitem.parquet")
+
+
 def test_line_items_are_spread_by_their_count(spark, tmp_path, monkeypatch):
     from editforge.functions import numbering
     from editforge.sources import fixtures as X
     monkeypatch.setattr(numbering.tasks_for, "__defaults__", (10,))
     n = 200
-    spark.range(n).selectExpr("id o_orderkey", "id o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
-    spark.range(n).selectExpr("id l_orderkey", "id l_partkey", "id l_suppkey", "1 l_linenumber", "2 l_quantity", "'R' l_returnflag", "'F' l_linestatus",
-                              "date'2020-01-01' l_shipdate", "1.5d l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders(spark, tmp_path, n)
     docs = X.code_docs(spark, str(tmp_path))
     assert docs.rdd.getNumPartitions() == n // 10
     assert docs.where("code is not null").count() == n
+
+
+def test_header_lines_read_the_code_once(spark, tmp_path):
+    from editforge.sources import fixtures as X
+    orders(spark, tmp_path, 4)
+    df = X.header_lines(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") == 2
+    for ok in range(4):
+        texts = [r["t"] for r in df.where(f"ok = {ok}").orderBy("ln").collect()]
+        assert texts[:6] == [*X.TWO_HEADERS, f"contract C{ok} {{"] and len(texts) > 6
