@@ -107,3 +107,34 @@ def test_header_lines_read_the_code_once(spark, tmp_path):
     for ok in range(4):
         texts = [r["t"] for r in df.where(f"ok = {ok}").orderBy("ln").collect()]
         assert texts[:6] == [*X.TWO_HEADERS, f"contract C{ok} {{"] and len(texts) > 6
+
+
+def test_rule_in_the_document_equals_the_windows(spark):
+    """Braces that do not close, names beside digits and letters of other scripts, literals with escapes and line ends, missing texts, repeated documents."""
+    rng = random.Random(5)
+    parts = ["{", "}", "{{", "}}", "uint a", "uint8  public a1 = 2a;", "\x0bint memory", "string s = \"x{a\\\"}\"", "'b}\\'", "a", "9a1", "_b.a", "é1a", "\"a\r{\\\r\"", "\"\\ }\" a", "bytes32 b", "byte\tstorage c", "uint publicx",
+             "address \x85 d", "\"", "'", "\\", "bool constant c;", "c=d+publicx*memory"]
+    rows_in = []
+    for ok in range(80):
+        for ln in range(1, rng.randint(2, 14)):
+            rows_in.append((ok, ln * 3 - 20, None if rng.random() < 0.05 else " ".join(rng.choices(parts, k=rng.randint(1, 4))) if rng.random() < 0.7 else "\r".join(rng.choices(parts, k=2))))
+    rows_in += [r for r in rows_in if r[0] % 7 == 0]
+    df = spark.createDataFrame(rows_in, "ok bigint, ln bigint, t string")
+    docs = P.document_lines(df).collect()
+    import numpy as np
+    import pyarrow as pa
+    ln, texts = np.array([x["ln"] for d in docs for x in d["lines"]]), pa.array([x["t"] for d in docs for x in d["lines"]], pa.string())
+    n, lines_, reqs = D.document_dependencies(np.array([len(d["lines"]) for d in docs]), ln, texts)
+    got = sorted(zip(np.repeat([d["ok"] for d in docs], n).tolist(), lines_.tolist(), reqs.tolist()))
+    assert len(got) > 300 and got == rows(D.line_dependencies(df))
+
+
+def test_default_build_reads_its_documents_once(spark):
+    """Default rule: no edges, lines or orders are written or shuffled beside the documents."""
+    made = []
+    write, C.materialize = C.materialize, lambda df, name="stage": made.append(df) or write(df, name)
+    try:
+        C.build_paths(lines(spark), min_lines=None)
+    finally:
+        C.materialize = write
+    assert len(made) == 1 and exchanges(made[0])[1] == 1
