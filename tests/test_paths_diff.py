@@ -231,3 +231,32 @@ def test_long_document_gives_few_rows(spark):
     diffs = E.diff_hunks(pb.steps, pb.lines).collect()
     assert len(diffs) == 2000   # one independent line a step, no state is written out
     assert sum(d["diff"].count("\n") for d in diffs) <= 2000 * 8
+
+
+def test_short_paths_have_the_hunks_of_long_ones():
+    """Lines left as a list and as linked lines: the same diffs, whatever a step takes away."""
+    import random
+
+    from editforge.operators.diff import _path_hunks, _short_path_hunks
+    rng = random.Random(1)
+    for _ in range(3000):
+        n = rng.randint(0, 40)
+        top = rng.randint(1, n + 1)
+        steps = [rng.randint(1, top) for _ in range(n)]
+        texts = [rng.choice(["a", "++b", "", "--c"]) for _ in range(n)]
+        args = steps, texts, rng.randint(1, top), rng.choice([0, 1, 3, 5]), rng.random() < 0.5
+        assert list(_short_path_hunks(*args)) == list(_path_hunks(*args))
+
+
+def test_texts_of_long_batches_are_read_in_pieces(spark, monkeypatch):
+    from editforge.operators import diff as E
+    from editforge.plans import corpus as C
+    df = spark.createDataFrame([(ok, ln, f"uint v{ln % 4} = v{ln % 3};") for ok in range(9) for ln in range(1, 8 + ok)], "ok bigint, ln bigint, t string")
+    rows = C.build_paths(df, min_lines=None).rows
+    import pyarrow as pa
+    batch = pa.Table.from_pylist([{"m": r["total_steps"], "lines": [{"t": x["t"], "step": x["step"]} for x in r["lines"]]} for r in rows.collect()]).combine_chunks().to_batches()
+    got = []
+    for size in (1, 40, 1 << 14):
+        monkeypatch.setattr(E, "PIECE_LINES", size)
+        got.append([b.to_pylist() for b in E._batch_hunks(3, False, ["m"])(batch)])
+    assert got[0] == got[1] == got[2] and len(got[0][0]) == 27

@@ -71,3 +71,20 @@ def test_normalise_is_linear_in_long_blank_runs(spark):
     got = [r[0] for r in df.collect()]
     assert time.time() - t0 < 20
     assert got == ["a" + " " * 1_000_000 + "b\nc", "x \t y\n z"]
+
+
+def test_cleaning_in_runs_equals_plain_python(spark):
+    """Comments, literals that do not close and blanks at line ends, of ASCII alone and with rare breaks; runs of any length."""
+    import random
+    import re
+    rng = random.Random(9)
+    parts = ["//", "/*", "*/", "/", "\"", "'", "\\", "\n", "\r\n", "\r", " ", "\t", "\x0b", "\x1f", "\x85", " ", "　", "a", "é", "x y", "\"u\"", "'v//'"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(1500)] + ["ab\"c/*d*/\" " * 100_000 + "//e", " a" * 200_000 + "  \n" * 100_000 + "\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string")
+    got = df.select("i", T.strip_comments(F.col("c")).alias("s"), T.normalise_lines(F.col("c")).alias("n")).orderBy("i").collect()
+    plain = r"""("(?:[^"\\]++|\\[^\n])*+"|'(?:[^'\\]++|\\[^\n])*+')|(?://[^\r\n]*+|/\*[\s\S]*?\*/)"""
+    for t, r in zip(texts, got):
+        assert r["s"] == re.sub(plain, lambda m: m.group(1) or "", t)
+        assert r["n"] == "\n".join(x for x in (x.rstrip() for x in t.splitlines()) if x)
+    # A text of ASCII alone is not translated letter by letter.
+    assert spark.sql("select 'a\\rb' c").select(T._has_any(F.col("c"), T._RARE_BREAKS)).first()[0]
