@@ -138,3 +138,31 @@ def test_default_build_reads_its_documents_once(spark):
     finally:
         C.materialize = write
     assert len(made) == 1 and exchanges(made[0])[1] == 1
+
+
+def test_eligible_documents_equal_their_lines(spark):
+    """Short, empty and missing texts, a missing key, keys that repeat with other and equal texts: the same rows, none of them a line before the shuffle."""
+    text = lambda i, n: "\n".join(["contract C {", *(f"uint v{k} = {i};" for k in range(n - 2)), "}"])
+    docs = [(i % 9, text(i, 4 + i % 5)) for i in range(30)] + [(20, text(1, 7))] * 2 + [(None, text(2, 8)), (21, None), (22, ""), (23, text(3, 5)), (24, "\n" * 6)]
+    df = spark.createDataFrame(docs, "ok bigint, code string")
+    got = P.eligible_documents(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    assert plan.count("Exchange") == 1
+    assert rows(got) == rows(P.document_lines(P.eligible_lines(df))) and {20, 24} <= {r["ok"] for r in got.collect()}
+    for n in (None, 7):
+        a, b = C.build_paths(got, min_lines=n), C.build_paths(P.eligible_lines(df), min_lines=n)
+        assert rows(a.steps) == rows(b.steps) and rows(a.lines) == rows(b.lines) and rows(a.edges) == rows(b.edges)
+
+
+def test_registered_builds_shuffle_documents_not_lines(spark):
+    """Queries that build paths of whole texts make no row per line before the documents are written."""
+    from editforge.plans import queries as Q
+    made = []
+    write, C.materialize = C.materialize, lambda df, name="stage": made.append(df) or write(df, name)
+    try:
+        Q._pb(spark, "/root/testdata/sf0.001"), Q.q_edit_corpus(spark, "/root/testdata/sf0.001"), Q._status_build(spark, "/root/testdata/sf0.001")
+    finally:
+        C.materialize = write
+    assert len(made) == 3 and not any("Generate" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+    assert "Generate" in P.document_lines(P.eligible_lines(Q.X.clean_docs(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().executedPlan().toString()
