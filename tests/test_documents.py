@@ -166,3 +166,32 @@ def test_registered_builds_shuffle_documents_not_lines(spark):
         C.materialize = write
     assert len(made) == 2 and not any("Generate" in df._jdf.queryExecution().executedPlan().toString() for df in made)
     assert "Generate" in P.document_lines(P.eligible_lines(Q.X.clean_docs(spark, "/root/testdata/sf0.001")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_validity_of_documents_equals_the_tables(spark):
+    """L7 in the document's row: no shuffle without edges of one's own; damaged steps, caps, repeated documents and other edges count alike."""
+    df = lines(spark, n=9)
+    late = lambda ln, step, total: F.when(ln % 3 == 0, F.least(step + 2, total + 1)).otherwise(step)
+    bad = 0
+    for given in (df, df.union(df.where("ok < 4"))):
+        pb = C.build_paths(given)
+        damaged = P.with_steps(pb.documents, late)
+        own = pb.edges.select("ok", (F.col("ln") + 1).alias("ln"), (F.col("req") - 1).alias("req"))
+        for cap in (None, 3):
+            assert exchanges(D.snapshot_validity(damaged, None, cap))[1] == 0
+            for docs in (pb.documents, damaged):
+                steps = P.step_rows(docs)
+                want = rows(D.snapshot_validity(steps, pb.edges, cap))
+                assert rows(D.snapshot_validity(docs, None, cap).select("ok", "path_id", "state", "n_lines", "violations")) == want
+                bad += sum(r[4] for r in want)
+                assert rows(D.snapshot_validity(docs, own, cap)) == rows(D.snapshot_validity(steps, own, cap))
+    assert bad
+
+
+def test_validity_of_many_documents_goes_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE_LINES", 20)
+    pb = C.build_paths(lines(spark, n=40))
+    batch = pb.documents.toArrow().combine_chunks().to_batches()[0]
+    assert len(list(D._pieces(batch))) > 5
+    got = [tuple(r.values()) for piece in D._pieces(batch) for r in D._state_counts(piece.rename_columns(["key", "lines", "paths"]), None).to_pylist()]
+    assert sorted(got) == rows(D.snapshot_validity(pb.steps, pb.edges))
