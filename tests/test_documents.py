@@ -195,3 +195,52 @@ def test_validity_of_many_documents_goes_by_pieces(spark, monkeypatch):
     assert len(list(D._pieces(batch))) > 5
     got = [tuple(r.values()) for piece in D._pieces(batch) for r in D._state_counts(piece.rename_columns(["key", "lines", "paths"]), None).to_pylist()]
     assert sorted(got) == rows(D.snapshot_validity(pb.steps, pb.edges))
+
+
+def test_instructions_join_documents_as_they_join_records(spark):
+    """Repeated and missing responses, null instructions, short documents: the same records, and no edit sequence in a shuffle."""
+    df = lines(spark, n=8)
+    answers = spark.createDataFrame([(0, " a "), (1, "b"), (1, "b"), (2, None), (3, "c\n"), (77, "d"), (None, "e")], "original_line_no bigint, instruction string")
+    short = spark.createDataFrame([(3, i, str(i)) for i in range(40, 47)] + [(90, i, str(i)) for i in range(1, 8)], "ok bigint, ln bigint, t string")
+    given = df.union(short)
+    answers = answers.union(spark.createDataFrame([(90, "f")], answers.schema))
+    want = rows(S.attach_instruction(C.edit_records(C.build_paths(given, min_lines=None)), answers).select("original_line_no", "path_id", "final_code", "edit_sequence", "steps_count", "instruction"))
+    records = S.instruct_eligible(C.document_records(C.path_documents(S.attach_instruction(P.document_lines(given), answers, key="ok"))))
+    assert sorted(map(str, rows_of(records))) == sorted(map(str, want)) and len(want) == 3 * 5
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.select("original_line_no", "path_id", "final_code", "edit_sequence", "steps_count", "instruction").collect()]
+
+
+def tables(spark, path, n):
+    orders(spark, path, n)
+    spark.createDataFrame([(c, t, "assistant" if t else "user", f"text {c} {t}") for c in range(5) for t in range(3)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+
+
+def test_texts_of_responses_are_not_shuffled_by_order(spark, tmp_path, monkeypatch):
+    from editforge.functions import numbering
+    from editforge.sources import fixtures as X
+    monkeypatch.setattr(numbering.tasks_for, "__defaults__", (10,))
+    tables(spark, tmp_path, 40)
+    joined = X.responses(spark, str(tmp_path))
+    got = rows(joined)
+    assert got == sorted((ok, f"text {ok % 5} 1") for ok in range(40))
+    records = C.document_records(C.path_documents(S.attach_instruction(P.document_lines(P.eligible_lines(X.clean_docs(spark, str(tmp_path)))), joined, key="ok")))
+    # Line items, orders (twice: codes, responses) are dealt by key; texts are sent, and neither they nor documents are dealt again.
+    assert exchanges(records)[0] == 3 and "BroadcastExchange" in records._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(X, "TURNS_SENT", 0)
+    assert rows(X.responses(spark, str(tmp_path))) == got
+
+
+def test_dual_sink_writes_packed_lines(spark, tmp_path):
+    import gzip
+    import json
+    sft = spark.createDataFrame([(5, 0, "final", "edits", 2, "do"), (6, 1, "final", "edits", 1, None)],
+                                "original_line_no bigint, path_id bigint, final_code string, edit_sequence string, steps_count bigint, instruction string")
+    assert tuple(S.dual_sink(sft, f"{tmp_path}/a", f"{tmp_path}/b").first()) == (2, 2, 0)
+    for name, output in (("a", "edits"), ("b", "final")):
+        found = [json.loads(x) for f in sorted((tmp_path / name).glob("*.gz")) for x in gzip.open(f, "rt")]
+        assert sorted((x["original_line_no"], x["instruction"], x["output"]) for x in found) == [(5, "do", output), (6, None, output)]
