@@ -205,7 +205,7 @@ def test_instructions_join_documents_as_they_join_records(spark):
     given = df.union(short)
     answers = answers.union(spark.createDataFrame([(90, "f")], answers.schema))
     want = rows(S.attach_instruction(C.edit_records(C.build_paths(given, min_lines=None)), answers).select("original_line_no", "path_id", "final_code", "edit_sequence", "steps_count", "instruction"))
-    records = S.instruct_eligible(C.document_records(C.path_documents(S.attach_instruction(P.document_lines(given), answers, key="ok"))))
+    records = S.instruct_eligible(C.records_once(S.attach_instruction(P.document_lines(given), answers, key="ok")))
     assert sorted(map(str, rows_of(records))) == sorted(map(str, want)) and len(want) == 3 * 5
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("MapInArrow")]
@@ -228,7 +228,7 @@ def test_texts_of_responses_are_not_shuffled_by_order(spark, tmp_path, monkeypat
     joined = X.responses(spark, str(tmp_path))
     got = rows(joined)
     assert got == sorted((ok, f"text {ok % 5} 1") for ok in range(40))
-    records = C.document_records(C.path_documents(S.attach_instruction(P.document_lines(P.eligible_lines(X.clean_docs(spark, str(tmp_path)))), joined, key="ok")))
+    records = C.records_once(S.attach_instruction(P.document_lines(P.eligible_lines(X.clean_docs(spark, str(tmp_path)))), joined, key="ok"))
     # Line items, orders (twice: codes, responses) are dealt by key; texts are sent, and neither they nor documents are dealt again.
     assert exchanges(records)[0] == 3 and "BroadcastExchange" in records._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(X, "TURNS_SENT", 0)
@@ -244,3 +244,22 @@ def test_dual_sink_writes_packed_lines(spark, tmp_path):
     for name, output in (("a", "edits"), ("b", "final")):
         found = [json.loads(x) for f in sorted((tmp_path / name).glob("*.gz")) for x in gzip.open(f, "rt")]
         assert sorted((x["original_line_no"], x["instruction"], x["output"]) for x in found) == [(5, "do", output), (6, None, output)]
+
+
+def test_sequences_of_documents_equal_those_of_paths(spark, monkeypatch):
+    """E1, E2 and E4 in the document's row, also without written documents: repeated documents, caps, marks, long paths, small pieces, further columns."""
+    df = lines(spark, n=9)
+    long = spark.createDataFrame([(50, i, f"line {i}") for i in range(1, 61)], df.schema)
+    names = ["original_line_no", "path_id", "final_code", "edit_sequence", "steps_count"]
+    for given in (df.union(long), df.union(df.where("ok < 4"))):
+        pb = C.build_paths(given, min_lines=None)
+        for cap, sep in ((None, E.JOIN_SEPARATOR), (3, E.TAGGED_SEPARATOR), (0, E.JOIN_SEPARATOR)):
+            hunks = E.row_hunks(pb.rows, cap, keep=P.summary_columns())
+            want = rows(E.row_records(E.row_sequence(hunks, sep)).select(names))
+            with monkeypatch.context() as m:
+                m.setattr(E, "PIECE_ROWS", 2)
+                m.setattr(E, "SHORT_PATH", 20)
+                assert rows(C.document_records(pb.documents, cap, sep=sep)) == want
+            told = C.records_once(P.document_lines(given).withColumn("mark", F.col("ok") * 2), cap, sep=sep)
+            assert told.where("mark = original_line_no * 2").count() == len(want) and rows(told.select(names)) == want
+    assert E.document_sequences(pb.documents.where("ok < 0")).count() == 0
